@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultline.llm import duplicates
-from faultline.session import table
+from faultline.llm import abuse, consensus, duplicates, encoding_repair, near_duplicates, packing, tokenize
+from faultline.session import table, written
+
+SIMILAR = 0.7
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,5 +19,88 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.records(table(spark, d, "failures"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records}
+def _near(spark: SparkSession, d: str) -> near_duplicates.NearDuplicates:
+    texts = near_duplicates.failure_texts(table(spark, d, "failures"))
+    return near_duplicates.NearDuplicates(texts, "rowId", "text", SIMILAR)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).row_pairs()
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).memberships()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = consensus.Consensus(table(spark, d, "run_labels")).rows()
+    two = F.explode(F.array(
+        F.struct(F.lit("category").alias("field_name"), F.col("category").alias("consensus_value")),
+        F.struct(F.lit("group").alias("field_name"), F.col("first_of_group").alias("consensus_value")),
+    ))
+    return rows.select(F.col("run_id").alias("corpus_run_id"), "failure_id", two.alias("x")).select("corpus_run_id", "failure_id", "x.*")
+
+
+def p4_labelers(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.Consensus(table(spark, d, "run_labels")).labelers()
+
+
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.Consensus(table(spark, d, "run_labels")).agreement()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.Repair(table(spark, d, "failures")).found()
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.Repair(table(spark, d, "failures")).restored()
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encode(table(spark, d, "documents"), tokenizer="byte_bpe_50k")
+
+
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, dict[int, int]]:
+    """Targets are few rows of a fixed table; each tokenizer named there sizes the corpus once."""
+    targets = table(spark, d, "pack_targets").collect()
+    out = None
+    for name in sorted({t.tokenizer for t in targets}):
+        sizes = written(tokenize.sizes(table(spark, d, "documents"), tokenizer=name))
+        part = packing.pack(sizes, {t.target_id: t.capacity_tokens for t in targets if t.tokenizer == name})
+        out = part if out is None else out.unionAll(part)
+    return out, {t.target_id: t.capacity_tokens for t in targets}
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)[0]
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(*_packed(spark, d))
+
+
+def _abuse(spark: SparkSession, d: str) -> abuse.AbuseClassifier:
+    return abuse.AbuseClassifier(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).scores().where("flagged").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).scores()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).rates()
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_records, p3_found, p3_classes, p4_found, p4_labelers, p4_agreement, p5_found, p5_restored, p6_ids,
+        p7_containers, p7_report, p8_found, p8_scores, p8_rates,
+    )
+}
 SQL = {}
