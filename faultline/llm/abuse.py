@@ -51,7 +51,7 @@ IDENTITIES = (
 )
 _GROUPS = [g.split() for g in IDENTITIES]
 _GROUP_OF = {w: g for g in _GROUPS for w in g}
-_SPLIT = re.compile(r"[\r\n]+|(?<=[.!?;…])\s+|(?<=[。！？])")
+_SPLIT = re.compile(r"[\r\n]+|(?<=[.!?;:…])\s+|(?<=[。！？、])|\s+[-–—]\s+")
 _SPEAKER = re.compile(r"^\s*[\w-]{1,20}:\s+")
 _ID = re.compile(r"`[^`]*`|https?://\S+|\b\w*[a-z][A-Z]\w*\b|\b\w*_\w*\b|\b[\w-]*\d[\w.-]*\b")
 _SPELLED = re.compile(r"(?<!\w)(?:\w[ .\-_*·]){3,}\w(?!\w)")
@@ -183,7 +183,7 @@ def _descend(x: _Matrix, y: np.ndarray, weight: np.ndarray, a: _Matrix, b: _Matr
     return w, bias
 
 
-def train(docs: list[tuple[list[str], int]], fairness: float = 0.3, ridge: float = 1e-6, steps: int = 120, rounds: int = 3) -> tuple[np.ndarray, float]:
+def train(docs: list[tuple[list[str], int]], fairness: float = 0.3, ridge: float = 1e-6, steps: int = 90, rounds: int = 4) -> tuple[np.ndarray, float]:
     """docs: (normalised passages, label). Passages of clean documents are clean; each abusive document shares one
     document's weight among its worst passages."""
     index: dict[str, int] = {}
@@ -196,20 +196,26 @@ def train(docs: list[tuple[list[str], int]], fairness: float = 0.3, ridge: float
         return np.zeros(DIMENSIONS), -20.0
     feats = [features(f) for f in forms]
     x = _Matrix(feats)
-    # as likely to be at fault as it is rare among clean documents
-    doubt = bad / (bad + 1 + 3 * clean)
-    belief = np.where(clean > 0, doubt * 0.2, 0.5 + 0.5 * doubt)
+    # first belief: how much more often a passage's features stand in abusive documents than in clean ones
+    seen = np.zeros((2, DIMENSIONS))
+    for own, (_, y) in zip(ids, docs):
+        if len(own):
+            seen[y, np.unique(np.concatenate([feats[i] for i in own]))] += 1
+    n_bad = sum(y for _, y in docs)
+    odds = np.log((seen[1] + 0.3) / (n_bad + 1)) - np.log((seen[0] + 0.3) / (len(docs) - n_bad + 1))
+    belief = np.array([1 / (1 + np.exp(-1.5 * odds[f].mean())) if len(f) else 0.0 for f in feats])
+    belief = np.where(clean > bad, 0.0, np.maximum(belief, 1e-3))
     w, bias = np.zeros(DIMENSIONS), -2.0
     for _ in range(rounds):
         blame = np.zeros(len(forms))
         for own, (_, y) in zip(ids, docs):
             if y and len(own):
-                share = belief[own] * (belief[own] >= 0.5 * belief[own].max())
+                share = belief[own] ** 2 * (belief[own] >= 0.5 * belief[own].max())
                 blame[own] += share / share.sum() if share.sum() > 0 else 0
         blame = np.where(clean > bad, 0, blame)
         # more copies of one sentence teach little more
-        weight_bad, weight_clean = np.sqrt(blame * np.maximum(blame, 1)) ** 0.5, clean**0.5
-        weight_bad = np.where(blame > 0.05, weight_bad, 0)
+        weight_bad, weight_clean = np.where(blame <= 1, blame, np.sqrt(blame)), clean**0.5
+        weight_bad = np.where(blame > 0.2, weight_bad, 0)
         rows = np.concatenate((np.flatnonzero(weight_bad), np.flatnonzero(weight_clean)))
         y = np.concatenate((np.ones((weight_bad > 0).sum()), np.zeros((weight_clean > 0).sum())))
         weight = np.concatenate((weight_bad[weight_bad > 0], weight_clean[weight_clean > 0]))
@@ -228,7 +234,7 @@ def fit(docs: list[tuple[int, str, int]], **how: float) -> Model:
     fold = np.array([crc32(str(d).encode()) & 1 for d, _, _ in docs])
     truth = np.array([y for _, y in ready], int)
     threshold = 0.5
-    if truth.sum() >= 20:
+    if truth.sum() >= 4:
         score = np.zeros(len(ready))
         for f in (0, 1):
             w, bias = train([d for d, k in zip(ready, fold) if k != f], **how)
