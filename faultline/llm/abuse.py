@@ -129,11 +129,16 @@ class _Matrix:
         self.n = len(rows)
         size = np.array([len(r) for r in rows], np.int64)
         self.row = np.repeat(np.arange(self.n), size)
+        self.filled = np.flatnonzero(size)
+        self.start = (np.cumsum(size) - size)[self.filled]
         self.col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.value = 1 / np.sqrt(np.maximum(size, 1))[self.row]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col] * self.value, self.n)
+        out = np.zeros(self.n)
+        if len(self.filled):
+            out[self.filled] = np.add.reduceat(w[self.col] * self.value, self.start)
+        return out
 
     def t_dot(self, r: np.ndarray) -> np.ndarray:
         return np.bincount(self.col, r[self.row] * self.value, DIMENSIONS)
@@ -183,7 +188,7 @@ def _descend(x: _Matrix, y: np.ndarray, weight: np.ndarray, a: _Matrix, b: _Matr
     return w, bias
 
 
-def train(docs: list[tuple[list[str], int]], fairness: float = 0.3, ridge: float = 1e-6, steps: int = 90, rounds: int = 4) -> tuple[np.ndarray, float]:
+def train(docs: list[tuple[list[str], int]], fairness: float = 0.3, ridge: float = 1e-6, steps: int = 160, rounds: int = 3) -> tuple[np.ndarray, float]:
     """docs: (normalised passages, label). Passages of clean documents are clean; each abusive document shares one
     document's weight among its worst passages."""
     index: dict[str, int] = {}
@@ -206,7 +211,7 @@ def train(docs: list[tuple[list[str], int]], fairness: float = 0.3, ridge: float
     belief = np.array([1 / (1 + np.exp(-1.5 * odds[f].mean())) if len(f) else 0.0 for f in feats])
     belief = np.where(clean > bad, 0.0, np.maximum(belief, 1e-3))
     w, bias = np.zeros(DIMENSIONS), -2.0
-    for _ in range(rounds):
+    for turn in range(rounds):
         blame = np.zeros(len(forms))
         for own, (_, y) in zip(ids, docs):
             if y and len(own):
@@ -219,10 +224,10 @@ def train(docs: list[tuple[list[str], int]], fairness: float = 0.3, ridge: float
         rows = np.concatenate((np.flatnonzero(weight_bad), np.flatnonzero(weight_clean)))
         y = np.concatenate((np.ones((weight_bad > 0).sum()), np.zeros((weight_clean > 0).sum())))
         weight = np.concatenate((weight_bad[weight_bad > 0], weight_clean[weight_clean > 0]))
-        weight[y == 1] *= max(1.0, min(8.0, weight[y == 0].sum() / max(weight[y == 1].sum(), 1e-9)))
+        weight[y == 1] *= max(1.0, min(2.0, weight[y == 0].sum() / max(weight[y == 1].sum(), 1e-9)))
         named = [(i, s) for i in np.unique(rows) for s in swaps(forms[i])]
         a, b = _Matrix([feats[i] for i, _ in named]), _Matrix([features(s) for _, s in named])
-        w, bias = _descend(_Matrix([feats[i] for i in rows]), y, weight, a, b, fairness, ridge, steps, w, bias)
+        w, bias = _descend(_Matrix([feats[i] for i in rows]), y, weight, a, b, fairness, ridge, steps if turn == 0 else steps // 2, w, bias)
         belief = 1 / (1 + np.exp(-(x.dot(w) + bias)))
         belief = np.where(clean > bad, 0.0, np.maximum(belief, 1e-3))
     return w, bias
