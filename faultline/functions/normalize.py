@@ -37,7 +37,7 @@ def _r(id: str, *steps: tuple[str, str], loose: bool = False) -> Rule:
 #: Rule ids, patterns, replacements and order are fixed values.
 RULES = (
     _r("ansi-control", (ANSI, ""), (CONTROL, "")),
-    _r("whitespace-canonical", (r"\r\n?", "\n"), (r"[ \t ]{2,}", " ")),
+    _r("whitespace-canonical", (r"\r\n?", "\n"), (r"[ \t\x{A0}]{2,}", " ")),
     _r("uuid", (rf"(?i){_B}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[1-8][0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}{_E}", "<id>")),
     _r("ulid", (rf"{_B}[0-7][0-9A-HJKMNP-TV-Z]{{25}}{_E}", "<id>")),
     _r("object-id", (rf"(?i){_B}[0-9a-f]{{24}}{_E}", "<id>")),
@@ -46,7 +46,7 @@ RULES = (
     _r("iso-timestamp", (rf"{_B}\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d{{1,9}})?(?:Z|[+-]\d{{2}}:?\d{{2}})?", "<ts>")),
     _r("epoch-ms", (rf"{_B}1\d{{12}}{_E}", "<ts>")),
     _r("epoch-s", (rf"{_B}1\d{{9}}{_E}", "<ts>")),
-    _r("duration", (rf"(?i){_B}\d+(?:\.\d+)?[{WS}]?(?:ms|[µμΜ]s|us|ns|s|m|h){_E}", "<dur>")),
+    _r("duration", (rf"(?i){_B}\d+(?:\.\d+)?[{WS}]?(?:ms|[\xB5\u03BC\u039C]s|us|ns|s|m|h){_E}", "<dur>")),
     _r("temp-path", (rf"(?i)(?:/private)?/tmp/{_STOP}|/var/folders/{_STOP}|%TEMP%{_STOP}|[A-Z]:\\+(?:Users\\+[^\\{WS}]+\\+AppData\\+Local\\+Temp|Temp)\\+{_STOP}", "<tmp>")),
     _r("repo-path"),
     _r("home-dir", (rf"/(?:home|Users)/[^/{WS}'\"`,;)\]]+", "<home>"), (rf"[A-Za-z]:\\+Users\\+[^\\{WS}]+", "<home>")),

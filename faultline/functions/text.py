@@ -10,11 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Body of a character class: what counts as white space; a fixed value.
-WS = r"\t\n\x0B\f\r    -     　﻿"
+WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 #: Escape sequences: CSI, OSC of at most 512 units, two-character ones; fixed values.
 ANSI = r"\x1B(?:\[[0-9;:?]*[ -/]*[@-~]|\][^\x07\x1B]{0,512}(?:\x07|\x1B\\)|[@-Z\\-_])"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-BIDI = r"[؜‎‏‪-‮⁦-⁩]"
+BIDI = r"[\x{61C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
 FIELD_CAP = 64 * 1024
 TRUNCATABLE = ("message", "stackText", "stdout", "stderr")
 
@@ -32,7 +32,11 @@ def units(s: Column | str) -> Column:
 def _slice(s: Column, start: Column, n: Column) -> Column:
     """n units from the 0-based unit `start`. A cut inside a surrogate pair drops the half pair."""
     wide = F.encode(s, "UTF-16BE")
-    cut = F.decode(F.substring(wide, start * 2 + 1, n * 2), "UTF-16BE")
+    part = F.substring(wide, start * 2 + 1, n * 2)
+    size = F.octet_length(part)
+    first, last = F.hex(F.substring(part, F.lit(1), F.lit(1))), F.hex(F.substring(part, size - 1, F.lit(1)))
+    skip = F.when(first.between("DC", "DF"), 2).otherwise(0)
+    cut = F.decode(F.substring(part, skip + 1, size - skip - F.when(last.between("D8", "DB"), 2).otherwise(0)), "UTF-16BE")
     return F.when(units(s) == F.length(s), F.substring(s, start + 1, n)).otherwise(cut)
 
 
@@ -58,7 +62,7 @@ def scrub_xml(s: Column | str) -> Column:
     """struct(text, n_ansi, n_control): escape sequences and characters illegal in XML removed and counted."""
     s = _c(s)
     plain = F.regexp_replace(s, ANSI, "")
-    illegal = r"[\x00-\x08\x0B\x0C\x0E-\x1F￾￿]"
+    illegal = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"
     return F.struct(F.regexp_replace(plain, illegal, "").alias("text"), F.regexp_count(s, F.lit(ANSI)).alias("n_ansi"), F.regexp_count(plain, F.lit(illegal)).alias("n_control"))
 
 
@@ -102,8 +106,8 @@ def indent(s: Column | str, prefix: str = "    ") -> Column:
 
 
 def error_class(s: Column | str) -> Column:
-    """The class name before the first colon of a message, if it looks like one; else null."""
-    return F.nullif(F.regexp_extract(_c(s), r"\A(?:Error: )?([A-Z][A-Za-z]*(?:Error|Exception|Failure))\b", 1), F.lit(""))
+    """The class name that a message begins with, if a colon follows it; else null."""
+    return F.nullif(F.regexp_extract(_c(s), rf"\A[{WS}]*((?:[A-Z][A-Za-z0-9_]*)?(?:Error|Exception|Failure))\s*:", 1), F.lit(""))
 
 
 def seconds_to_ms(s: Column | str) -> Column:
@@ -114,6 +118,6 @@ def seconds_to_ms(s: Column | str) -> Column:
 
 def escape_json_in_html(s: Column | str) -> Column:
     out = F.replace(_c(s), F.lit("</"), F.lit("<\\/"))
-    for c, e in (("�", "\\ufffd"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for c, e in (("\ufffd", "\\ufffd"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         out = F.replace(out, F.lit(c), F.lit(e))
     return out
