@@ -61,13 +61,14 @@ _LATIN = re.compile(r"[a-z]")
 _OTHER = re.compile(r"[Ͱ-ϿЀ-ԯ]")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _LEETED = re.compile(r"(?<![\w@$])(?=[^\s]*[a-z])(?=[^\s]*[013457@$!€|])[a-z013457@$!€|*]{3,}(?![\w@$])")
-_LONG_ID = re.compile(r"\d{3,}|[a-f]\d|\d[a-f]\d|0x")
+_NOT_HEX = re.compile(r"[g-z]")
 
 
 def _deleet(m: re.Match) -> str:
     w = m.group()
     body = w.rstrip("!")
-    if w[0] == "@" or _LONG_ID.search(w) or sum(c.isdigit() for c in body) > max(1, len(body) // 2):
+    # an identifier is mostly digits or hexadecimal; a disguised word is not
+    if w[0] == "@" or re.search(r"\d{3}", w) or sum(c.isdigit() for c in body) > len(body) // 2 or len(_NOT_HEX.findall(body)) < 2:
         return w
     return body.translate(LEET)
 

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -137,7 +138,7 @@ class Encoder:
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: int, chars: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
             if size and size + n > chars:
