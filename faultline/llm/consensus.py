@@ -24,15 +24,16 @@ blank group is no statement on grouping; failures with fewer than `least` labele
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import written
+from faultline.session import shuffle_partitions, written
 
 #: The label vocabulary; fixed values.
 CATEGORIES = (
@@ -165,147 +166,175 @@ def fit(items: DataFrame, labelers: list[str], k: int = K, passes: int = 14, pen
 # ---- grouping ------------------------------------------------------------------------------------
 
 
-def consensus_groups(g: np.ndarray, same: np.ndarray, diff: np.ndarray, q: np.ndarray, prior: np.ndarray, tilt: float) -> np.ndarray:
-    """Group numbers of the rows of g (failures x labelers, -1: no statement) by moves that raise the likelihood.
+def consensus_groups(g: list[tuple[int, ...]], same: list[float], diff: list[float], q: list[list[float]], prior: list[float], tilt: float) -> list[int]:
+    """Group numbers of failures, each a row of g (its group with every labeler, -1: no statement), by moves that raise
+    the likelihood.
 
-    same, diff: a labeler's log-likelihood ratio for putting two failures together and apart. Starts from each
-    labeler's own grouping and from the failures' own categories, and keeps the best end."""
+    same, diff: a labeler's log-likelihood ratio for putting two failures together and apart. Failures with the same
+    statements and leading category are one node. The search starts from each labeler's own grouping and from the
+    failures' own categories, and keeps the best end."""
     n = len(g)
     if n == 1:
-        return np.zeros(1, int)
-    distinct, back, size = np.unique(np.column_stack((g, q.argmax(axis=1))), axis=0, return_inverse=True, return_counts=True)
-    back = back.ravel()
-    d = len(distinct)
-    gg = distinct[:, :-1]
-    qq = np.zeros((d, q.shape[1]))
-    np.add.at(qq, back, q)
-    qq /= size[:, None]
-    w = np.zeros((d, d))
-    for i in range(g.shape[1]):
-        col = gg[:, i]
-        both = (col[:, None] >= 0) & (col[None] >= 0)
-        w += np.where(both, np.where(col[:, None] == col[None], same[i], diff[i]), 0)
-    w += tilt * np.clip(np.log(np.maximum((qq / prior) @ qq.T, 1e-9)), -2, 2)
-    w = w * size[:, None] * size[None]
-    np.fill_diagonal(w, 0)
-    starts = [np.arange(d), gg_start(qq.argmax(axis=1))] + [gg_start(gg[:, i]) for i in range(g.shape[1])]
-    best, best_score = None, -np.inf
-    for lab in starts:
-        lab = lab.copy()
-        for _ in range(20):
-            moved = False
-            for u in range(d):
-                labels = np.unique(lab)
-                gains = np.array([w[u, lab == x].sum() for x in labels])
-                k = int(gains.argmax())
-                target = labels[k] if gains[k] > 1e-12 else (lab[u] if (lab == lab[u]).sum() == 1 else lab.max() + 1)
-                here = gains[labels == lab[u]][0]
-                if target != lab[u] and max(gains[k], 0) > here + 1e-12:
-                    lab[u], moved = target, True
-            labels = np.unique(lab)
-            for x in range(len(labels)):  # joining two whole groups
-                for y in range(x):
-                    if w[np.ix_(lab == labels[x], lab == labels[y])].sum() > 1e-12 and (lab == labels[x]).any() and (lab == labels[y]).any():
-                        lab[lab == labels[x]] = labels[y]
-                        moved = True
-                        break
-            if not moved:
-                break
-        score = sum(w[np.ix_(lab == x, lab == x)].sum() for x in np.unique(lab)) / 2
+        return [0]
+    top = [max(range(len(x)), key=x.__getitem__) for x in q]
+    nodes: dict[tuple, list[int]] = {}
+    for i in range(n):
+        nodes.setdefault((*g[i], top[i]), []).append(i)
+    keys, members = list(nodes), list(nodes.values())
+    d, labelers = len(keys), range(len(same))
+    mean = [[sum(q[i][c] for i in m) / len(m) for c in range(len(prior))] for m in members]
+    w = [[0.0] * d for _ in range(d)]
+    for u in range(d):
+        scaled = [a / b for a, b in zip(mean[u], prior)]
+        for v in range(u):
+            x = 0.0
+            ku, kv = keys[u], keys[v]
+            for i in labelers:
+                if ku[i] >= 0 and kv[i] >= 0:
+                    x += same[i] if ku[i] == kv[i] else diff[i]
+            like = sum(a * b for a, b in zip(scaled, mean[v]))
+            x += tilt * min(2.0, max(-2.0, math.log(like) if like > 1e-9 else -2.0))
+            w[u][v] = w[v][u] = x * len(members[u]) * len(members[v])
+    starts = [list(range(d)), _numbered([k[-1] for k in keys])] + [_numbered([k[i] for k in keys]) for i in labelers]
+    best: list[int] = []
+    best_score = -math.inf
+    for start in {tuple(x): None for x in starts}:
+        lab = _climb(w, list(start))
+        score = sum(w[u][v] for u in range(d) for v in range(u) if lab[u] == lab[v])
         if score > best_score + 1e-9:
             best, best_score = lab, score
-    return np.unique(best, return_inverse=True)[1].ravel()[back]
-
-
-def gg_start(col: np.ndarray) -> np.ndarray:
-    """A labeler's grouping as a start: rows without a statement stand alone."""
-    out = np.unique(col, return_inverse=True)[1].ravel().astype(int)
-    alone = np.flatnonzero(col < 0)
-    out[alone] = out.max(initial=0) + 1 + np.arange(len(alone))
+    out = [0] * n
+    for u, m in enumerate(members):
+        for i in m:
+            out[i] = best[u]
     return out
 
 
-def pair_table(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float, float]:
+def _numbered(col: list[int]) -> list[int]:
+    """A grouping as numbers in order of appearance; entries without a statement stand alone."""
+    seen: dict = {}
+    return [seen.setdefault(("alone", i) if x < 0 else x, len(seen)) for i, x in enumerate(col)]
+
+
+def _climb(w: list[list[float]], lab: list[int]) -> list[int]:
+    """Moves single nodes, then joins whole groups, while either gains."""
+    d = len(w)
+    for _ in range(20):
+        moved = False
+        for u in range(d):
+            gain: dict[int, float] = {lab[u]: 0.0}
+            row = w[u]
+            for v in range(d):
+                if v != u:
+                    gain[lab[v]] = gain.get(lab[v], 0.0) + row[v]
+            k = max(gain, key=gain.__getitem__)
+            if gain[k] < 0:
+                k = next(x for x in range(d + 1) if x not in gain or x == lab[u] and sum(y == x for y in lab) == 1)
+            if k != lab[u] and max(gain.get(k, 0.0), 0.0) > gain[lab[u]] + 1e-12:
+                lab[u], moved = k, True
+        between: dict[tuple[int, int], float] = {}
+        for u in range(d):
+            for v in range(u):
+                if lab[u] != lab[v]:
+                    pair = (min(lab[u], lab[v]), max(lab[u], lab[v]))
+                    between[pair] = between.get(pair, 0.0) + w[u][v]
+        pair = max(between, key=between.__getitem__, default=None)
+        if pair is not None and between[pair] > 1e-12:
+            lab = [pair[0] if x == pair[1] else x for x in lab]
+            moved = True
+        if not moved:
+            break
+    return lab
+
+
+def pair_table(a: list[int], b: list[int]) -> tuple[float, float, float, float]:
     """Pairs together in both, in a only, in b only, in neither, from contingency counts."""
-    c2 = lambda x: (x * (x - 1) / 2).sum()
-    joint = np.unique(np.column_stack((a, b)), axis=0, return_counts=True)[1].astype(float)
-    na, nb = (np.unique(x, return_counts=True)[1].astype(float) for x in (a, b))
-    n = len(a)
-    tp = c2(joint)
-    return tp, c2(na) - tp, c2(nb) - tp, n * (n - 1) / 2 - c2(na) - c2(nb) + tp
+    c2 = lambda xs: sum(x * (x - 1) / 2 for x in Counter(xs).values())
+    tp, pa_, pb, n = c2(zip(a, b)), c2(a), c2(b), len(a)
+    return tp, pa_ - tp, pb - tp, n * (n - 1) / 2 - pa_ - pb + tp
 
 
-def _runs(pdf: pd.DataFrame) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    """A run's failures, its columns (labelers, a column per labeler and context), group table and posteriors."""
-    fails = sorted(pdf.failure_id.unique())
+def _run(rows: list[dict], k: int) -> tuple[list[str], list[str], list[tuple[int, ...]], list[list[float]], list[int]]:
+    """A run's failures, the labeler of each column (one per labeler and context), group numbers, posteriors, and how
+    many labelers each failure has."""
+    fails = sorted({r["failure_id"] for r in rows})
     at = {f: i for i, f in enumerate(fails)}
-    q = np.full((len(fails), K), 1 / K)
+    q = [[1 / k] * k for _ in fails]
+    who: list[set[str]] = [set() for _ in fails]
     cols: dict[tuple[str, str], dict[int, str]] = {}
-    for f, lab, ctx, grp, post in zip(pdf.failure_id, pdf.labeler, pdf.context, pdf.grp, pdf.q):
-        if post is not None:
-            q[at[f]] = post
-        if grp is not None and not (isinstance(grp, float) and np.isnan(grp)):
-            cols.setdefault((lab, ctx), {})[at[f]] = grp
-    keys = sorted(cols)
-    g = np.full((len(fails), len(keys)), -1)
-    for j, key in enumerate(keys):
-        names = {x: i for i, x in enumerate(sorted(set(cols[key].values())))}
-        for i, x in cols[key].items():
-            g[i, j] = names[x]
-    return fails, [k[0] for k in keys], g, q
+    for r in rows:
+        i = at[r["failure_id"]]
+        who[i].add(r["labeler"])
+        if r["q"] is not None:
+            q[i] = r["q"]
+        if r["grp"] is not None:
+            cols.setdefault((r["labeler"], r["context"]), {})[i] = r["grp"]
+    names = sorted(cols)
+    numbers = []
+    for c in names:
+        index = {x: j for j, x in enumerate(sorted(set(cols[c].values())))}
+        numbers.append([index[cols[c][i]] if i in cols[c] else -1 for i in range(len(fails))])
+    return fails, [c[0] for c in names], list(zip(*numbers)) if numbers else [()] * len(fails), q, [len(x) for x in who]
 
 
 class Rates:
     """How often a labeler puts together what belongs together, and what doesn't."""
 
     def __init__(self, table: dict[str, tuple[float, float, float, float]], prior: np.ndarray):
-        self.table, self.prior = table, prior
+        self.table, self.prior = table, prior.tolist()
 
-    def ratios(self, labelers: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ratios(self, labelers: list[str]) -> tuple[list[float], list[float]]:
         same, diff = [], []
         for n in labelers:
             tp, only_truth, only_own, tn = self.table.get(n, (0.0, 0.0, 0.0, 0.0))
             a, b = (tp + 8) / (tp + only_truth + 10), (only_own + 2) / (only_own + tn + 10)
-            same.append(np.log(a / b))
-            diff.append(np.log((1 - a) / (1 - b)))
-        return np.array(same), np.array(diff)
+            same.append(math.log(a / b))
+            diff.append(math.log((1 - a) / (1 - b)))
+        return same, diff
 
-    def group(self, labelers: list[str], g: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def group(self, labelers: list[str], g: list[tuple[int, ...]], q: list[list[float]]) -> list[int]:
         return consensus_groups(g, *self.ratios(labelers), q, self.prior, 0.7)
 
 
-def _group_counts(rates: Rates):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fails, labelers, g, q = _runs(pdf)
-        truth = rates.group(labelers, g, q)
-        out = []
-        for j, n in enumerate(labelers):
-            has = g[:, j] >= 0
-            if has.sum() > 1:
-                out.append((n, *pair_table(truth[has], g[has, j])))
-        return pd.DataFrame(out, columns=["labeler", "tp", "t", "o", "tn"])
-
-    return run
-
-
-def _consensus_rows(rates: Rates, least: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fails, labelers, g, q = _runs(pdf)
-        truth = rates.group(labelers, g, q)
-        who = pdf.groupby("failure_id").labeler.nunique()
+def _group_counts(batches: Iterator[pa.RecordBatch], rates: Rates) -> Iterator[pa.RecordBatch]:
+    """Per task and labeler: the contingency of their grouping with the consensus, summed over runs."""
+    sums: dict[str, list[float]] = {}
+    for b in batches:
+        for rows in b.column("v").to_pylist():
+            _, labelers, g, q, _ = _run(rows, len(rates.prior))
+            if len(g) < 2:
+                continue
+            truth = rates.group(labelers, g, q)
+            for j, n in enumerate(labelers):
+                has = [i for i in range(len(g)) if g[i][j] >= 0]
+                own = sums.setdefault(n, [0.0] * 4)
+                for i, x in enumerate(pair_table([truth[i] for i in has], [g[i][j] for i in has])):
+                    own[i] += x
+    if sums:
+        cols = list(zip(*sums.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), *(pa.array(c, pa.float64()) for c in cols)], ["labeler", "tp", "t", "o", "tn"])
+
+
+def _consensus_rows(batches: Iterator[pa.RecordBatch], rates: Rates, least: int) -> Iterator[pa.RecordBatch]:
+    names = ["run_id", "failure_id", "category", "confidence", "first_of_group", "n_labelers"]
+    for b in batches:
         out = []
-        for x in np.unique(truth):
-            own = np.flatnonzero(truth == x)
-            log_q = np.log(np.maximum(q[own], 1e-12)).sum(axis=0) - (len(own) - 1) * np.log(rates.prior)
-            post = np.exp(log_q - log_q.max())
-            post /= post.sum()
-            first = min(fails[i] for i in own)
-            for i in own:
-                if who[fails[i]] >= least:
-                    out.append((key[0], fails[i], CATEGORIES[int(post.argmax())], float(post.max()), first, int(who[fails[i]])))
-        return pd.DataFrame(out, columns=["run_id", "failure_id", "category", "confidence", "first_of_group", "n_labelers"])
-
-    return run
+        for run, rows in zip(b.column("run_id").to_pylist(), b.column("v").to_pylist()):
+            fails, labelers, g, q, who = _run(rows, len(rates.prior))
+            groups: dict[int, list[int]] = {}
+            for i, x in enumerate(rates.group(labelers, g, q)):
+                groups.setdefault(x, []).append(i)
+            for own in groups.values():
+                log_q = [sum(math.log(max(q[i][c], 1e-12)) for i in own) - (len(own) - 1) * math.log(p) for c, p in enumerate(rates.prior)]
+                high = max(log_q)
+                share = 1 / sum(math.exp(x - high) for x in log_q)
+                for i in own:
+                    if who[i] >= least:
+                        out.append((run, fails[i], CATEGORIES[log_q.index(high)], share, fails[own[0]], who[i]))
+        if out:
+            cols = list(zip(*out))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
 class Consensus:
@@ -315,29 +344,34 @@ class Consensus:
         self.statements = st = written(votes(run_labels))
         # a (run, failure) has at most two statements of a labeler, so an item is as long as there are labelers
         said = st.where("category is not null").groupBy("run_id", "failure_id").agg(F.array_sort(F.collect_list(F.struct("labeler", "context", "category"))).alias("v"))
-        self.items = written(said.select("run_id", "failure_id", F.col("v.labeler").alias("who"), F.col("v.category").alias("said")))
+        tasks = max(shuffle_partitions(run_labels.sparkSession), 2 * run_labels.sparkSession.sparkContext.defaultParallelism)
+        self.items = written(said.select("run_id", "failure_id", F.col("v.labeler").alias("who"), F.col("v.category").alias("said")).repartition(tasks))
         names = sorted(r.labeler for r in st.select("labeler").distinct().limit(MAX_LABELERS + 1).collect())
         self.model = fit(self.items, names, passes=passes)
         shared = run_labels.sparkSession.sparkContext.broadcast(self.model)
         self.posterior = written(self.items.mapInArrow(lambda it: _posterior_rows(it, shared.value), "run_id string, failure_id string, q array<double>"))
-        # a run's labels are a few documents, one per labeler and context
-        self.runs = written(st.join(self.posterior, ["run_id", "failure_id"], "left"))
+        self.joined = written(st.join(self.posterior, ["run_id", "failure_id"], "left"))
+        # a run's labels are a few documents, one per labeler and context; many small tasks share them out evenly
+        per_run = self.joined.groupBy("run_id").agg(F.collect_list(F.struct("failure_id", "labeler", "context", "grp", "q")).alias("v"))
+        self.runs = written(per_run.repartition(tasks))
         self.rates = Rates({}, self.model.prior)
         for _ in range(group_passes):
-            sums = self.runs.groupBy("run_id").applyInPandas(_group_counts(self.rates), "labeler string, tp double, t double, o double, tn double")
+            now = self.rates
+            sums = self.runs.mapInArrow(lambda it: _group_counts(it, now), "labeler string, tp double, t double, o double, tn double")  # noqa: B023
             sums = sums.groupBy("labeler").agg(*(F.sum(c).alias(c) for c in ("tp", "t", "o", "tn"))).collect()  # one row per labeler
             self.rates = Rates({r.labeler: (r.tp, r.t, r.o, r.tn) for r in sums}, self.model.prior)
 
     def rows(self, least: int = 3) -> DataFrame:
         """run_id, failure_id, category, confidence, first_of_group, n_labelers."""
         schema = "run_id string, failure_id string, category string, confidence double, first_of_group string, n_labelers int"
-        return self.runs.groupBy("run_id").applyInPandas(_consensus_rows(self.rates, least), schema)
+        rates = self.rates
+        return self.runs.mapInArrow(lambda it: _consensus_rows(it, rates, least), schema)
 
     def labelers(self) -> DataFrame:
         """labeler, n_labels, expected accuracy under the posteriors, and the two grouping rates."""
         spark = self.runs.sparkSession
         hit = F.element_at("q", F.col("category") + 1)
-        acc = self.runs.where("category is not null").groupBy("labeler").agg(F.count(F.lit(1)).alias("n_labels"), F.avg(hit).alias("expected_accuracy"))
+        acc = self.joined.where("category is not null").groupBy("labeler").agg(F.count(F.lit(1)).alias("n_labels"), F.avg(hit).alias("expected_accuracy"))
         rows = [(n, (tp + 8) / (tp + t + 10), (o + 2) / (o + tn + 10)) for n, (tp, t, o, tn) in sorted(self.rates.table.items())]
         rates = spark.createDataFrame(rows, "labeler string, joins_same_cause double, joins_other_cause double")
         return acc.join(rates, "labeler", "left")
@@ -354,19 +388,20 @@ class Consensus:
         observed = F.try_divide("x", "n_labels")
         expected = F.try_divide(F.col("n_labels") * F.col("n_labels") - F.col("s2"), F.col("n_labels") * (F.col("n_labels") - 1))
         cat = a.join(b).select("n_failures", "n_labels", observed.alias("observed_disagreement"), expected.alias("expected_disagreement"), (1 - F.try_divide(observed, expected)).alias("alpha"))
-        pairs = self.runs.groupBy("run_id").applyInPandas(_pair_agreement, "pairs double, alike double").agg(F.sum("pairs").alias("n_group_pairs"), F.try_divide(F.sum("alike"), F.sum("pairs")).alias("group_agreement"))
+        pairs = self.runs.mapInArrow(_pair_agreement, "pairs double, alike double").agg(F.sum("pairs").alias("n_group_pairs"), F.try_divide(F.sum("alike"), F.sum("pairs")).alias("group_agreement"))
         return cat.join(pairs)
 
 
-def _pair_agreement(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of failures both of two statements grouped; each two statements of a run are compared by contingency."""
-    _, labelers, g, _ = _runs(pdf)
+def _pair_agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of failures both of two statements grouped, and those grouped alike; two statements are compared by contingency."""
     pairs = alike = 0.0
-    for i in range(len(labelers)):
-        for j in range(i):
-            has = (g[:, i] >= 0) & (g[:, j] >= 0)
-            if labelers[i] != labelers[j] and has.sum() > 1:
-                tp, x, y, tn = pair_table(g[has, i], g[has, j])
-                pairs, alike = pairs + tp + x + y + tn, alike + tp + tn
-    return pd.DataFrame([(pairs, alike)], columns=["pairs", "alike"])
-
+    for b in batches:
+        for rows in b.column("v").to_pylist():
+            _, labelers, g, _, _ = _run(rows, K)
+            for i in range(len(labelers)):
+                for j in range(i):
+                    has = [x for x in g if x[i] >= 0 and x[j] >= 0]
+                    if labelers[i] != labelers[j] and len(has) > 1:
+                        tp, x, y, tn = pair_table([r[i] for r in has], [r[j] for r in has])
+                        pairs, alike = pairs + tp + x + y + tn, alike + tp + tn
+    yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([alike])], ["pairs", "alike"])

@@ -67,9 +67,8 @@ def test_edges(spark):
 
 
 def test_groups_from_unlike_names():
-    g = np.array([[0, 1, 0], [0, 1, 0], [1, 0, 0], [1, 0, 1]])
-    same, diff = np.array([2.0, 2.0, 0.3]), np.array([-2.0, -2.0, -0.3])
-    q = np.full((4, consensus.K), 1 / consensus.K)
-    out = consensus.consensus_groups(g, same, diff, q, np.full(consensus.K, 1 / consensus.K), 0.5)
+    g = [(0, 1, 0), (0, 1, 0), (1, 0, 0), (1, 0, 1)]
+    q = [[1 / consensus.K] * consensus.K] * 4
+    out = consensus.consensus_groups(g, [2.0, 2.0, 0.3], [-2.0, -2.0, -0.3], q, q[0], 0.5)
     assert out[0] == out[1] and out[2] == out[3] and out[0] != out[2]
-    assert consensus.pair_table(np.array([0, 0, 1]), np.array([0, 0, 0])) == (1.0, 0.0, 2.0, 0.0)
+    assert consensus.pair_table([0, 0, 1], [0, 0, 0]) == (1.0, 0.0, 2.0, 0.0)
