@@ -103,4 +103,11 @@ QUERIES = {
         p7_containers, p7_report, p8_found, p8_scores, p8_rates,
     )
 }
-SQL = {}
+SQL = {
+    "p3_found": """
+        WITH w AS (SELECT rowId, unnest(list_distinct(regexp_extract_all(lower(message || chr(10) || stackText), '[a-z0-9]+'))) AS w
+            FROM failures WHERE stackText IS NOT NULL),
+          n AS (SELECT rowId, count(*) AS n FROM w GROUP BY rowId),
+          c AS (SELECT a.rowId AS a, b.rowId AS b, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.rowId < b.rowId GROUP BY ALL)
+        SELECT a AS row_id_a, b AS row_id_b FROM c JOIN n x ON x.rowId = a JOIN n y ON y.rowId = b WHERE k >= 0.7 * (x.n + y.n - k)""",
+}
