@@ -11,7 +11,6 @@ SEED = 0x0C0FFEE
 RESAMPLES = 2000
 _MASK = (1 << 32) - 1
 _STEP = 0x6D2B79F5
-_NAN = F.lit
 
 
 def nan() -> Column:

@@ -5,12 +5,11 @@ Undefined ratios are null here, so that both engines agree; the library's own de
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from faultline.functions import hashing, stats, text
-from faultline.functions.frames import detect_framework, frame_summary, framework_or_adapter
+from faultline.functions.frames import detect_framework
 from faultline.functions.normalize import normalize
 from faultline.operators import corpus, sampling, scoring
 from faultline.session import table
@@ -77,13 +76,6 @@ def _counts_sql(src: str, by: str, p: str, t: str) -> str:
 _PRF = "tp / nullif(tp + fp, 0)::DOUBLE AS \"precision\", tp / nullif(tp + fn, 0)::DOUBLE AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE AS f1"
 
 
-def _draw_sql(k: str, seed: int) -> str:
-    """The generator's k-th number; 32-bit products are taken in HUGEINT."""
-    m = "4294967296"
-    a = f"(({seed}::HUGEINT + ({k})::HUGEINT * 1831565813) % {m})"
-    return f"""(WITH_A := {a})"""
-
-
 def _boot_sql(src: str, by: str, order: str, sums: list[str], stat: str, resamples: int, seed: int) -> str:
     """CTEs ending in `iv`: by, n, point, lower, upper of resampled units."""
     m = "4294967296"
