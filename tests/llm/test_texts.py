@@ -100,6 +100,22 @@ def test_near_duplicates_against_all_pairs(spark):
     assert near_duplicates.NearDuplicates(df.limit(0), "id", "body", 0.7).row_pairs().count() == 0
 
 
+def test_hot_copies_and_families_keep_their_links(spark):
+    """A third of the rows are copies of one text, another part one family of small edits; nothing is lost."""
+    rng = random.Random(6)
+    base = [f"h{i}" for i in range(60)]
+    texts = [" ".join(base)] * 400 + [" ".join(base[:57] + ["x", "y"])] * 3
+    family = [f"f{i}" for i in range(50)]
+    texts += [" ".join([*family, f"id{i}", f"no{i}"]) for i in range(25)]
+    texts += [" ".join(f"r{rng.randrange(10**6)}" for _ in range(40)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(6)
+    near = near_duplicates.NearDuplicates(df, "id", "body", 0.7)
+    member = {r.row_id: (r.class_id, r.n_copies, r.n_links) for r in near.memberships().collect()}
+    assert member[7] == (0, 400, 1) and member[401] == (400, 3, 1)
+    assert all(member[i] == (i, 1, 24) for i in range(403, 428)) and all(member[i][2] == 0 for i in range(428, len(texts)))
+    assert near.pairs.count() == 1 + 25 * 24 // 2
+
+
 # ---- encodings -----------------------------------------------------------------------------------
 
 CLEAN = [
