@@ -54,11 +54,11 @@ RULES = (
     _r("url-numeric-segment", (rf"(?i)({_B}https?://[^{WS}'\"`<>]*?)/\d+{_E}", "$1/<n>")),
     _r("ipv6", (rf"(?i){_B}(?:[0-9a-f]{{1,4}}:){{2,7}}(?::(?=\w)|[0-9a-f]{{1,4}}{_E})", "<ip>")),
     _r("ipv4", (rf"{_B}(?:\d{{1,3}}\.){{3}}\d{{1,3}}{_E}", "<ip>")),
-    _r("port", (rf"(?<=<ip>|{_B}localhost|\]|//[A-Za-z0-9._-]{{1,253}}):\d{{2,5}}{_E}(?!\.\d)", ":<port>")),
+    _r("port", (rf"(?=:\d{{2}})(?<=<ip>|{_B}localhost|\]|//[A-Za-z0-9._-]{{1,253}}):\d{{2,5}}{_E}(?!\.\d)", ":<port>")),
     _r(
         "generated-email",
         (
-            rf"(?:{_B}(?=\w)|(?<=\w)(?!\w))(?:(?={_LOCAL}{{0,64}}?(?:\d{{3}}|[0-9a-fA-F]{{8}}){_LOCAL}{{0,64}}@)|(?={_LOCAL}{{1,64}}@(?i:example|test|invalid|localhost|mailinator|faker)\.[A-Za-z.]+))"
+            rf"(?={_LOCAL}{{1,64}}+@)(?:{_B}(?=\w)|(?<=\w)(?!\w))(?:(?={_LOCAL}{{0,64}}?(?:\d{{3}}|[0-9a-fA-F]{{8}}){_LOCAL}{{0,64}}@)|(?={_LOCAL}{{1,64}}@(?i:example|test|invalid|localhost|mailinator|faker)\.[A-Za-z.]+))"
             rf"{_LOCAL}{{1,64}}@[A-Za-z0-9.-]{{1,253}}\.[A-Za-z]{{2,24}}{_E}",
             "<gen>",
         ),
