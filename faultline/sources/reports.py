@@ -254,7 +254,7 @@ class _Reader(DataSourceReader):
         for a in (row or {}).get("attempts", []):
             fields = [a[n] for n in ATTEMPT.names[:-1]]
             x = a["failure"]
-            yield (partition.path, row["adapter"], *fields, None if x is None else tuple(tuple(tuple(v.values()) for v in y) if k == "artifacts" else y for k, y in x.items()))
+            yield (partition.path, row["adapter"], *fields, None if x is None else tuple([tuple(v.values()) for v in y] if k == "artifacts" else y for k, y in x.items()))
 
 
 class ReportSource(DataSource):

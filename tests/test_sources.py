@@ -159,7 +159,7 @@ def test_spark_sources_and_harvest(spark, tmp_path):
     (tmp_path / "z" / "one.zip").write_bytes(zip_of([("a.xml", XML), ("b.json", json.dumps(DOC))]))
     (tmp_path / "z" / "none.zip").write_bytes(zip_of([("readme", "x")]))
     arch = reports.read_archives(spark, str(tmp_path / "z"))
-    name = {("one" if "one.zip" in r.archive else "none"): r.archive for r in arch.select("archive").distinct().collect()}
+    name = {("one" if "/one.zip" in r.archive else "none"): r.archive for r in arch.select("archive").distinct().collect()}
     src = spark.createDataFrame([(name["one"], 10, "gh:o/r:1:1", ("gh", "o/r")), (name["none"], 5, "gh:o/r:2:1", ("gh", "o/r"))], "archive string, size long, corpusRunId string, source struct<provider string, repo string>")
     runs, fails = reports.harvest(arch, src, budget=100)
     r = runs.collect()
