@@ -11,8 +11,13 @@ What can be missed: with s the similarity on informative words, one function fin
 p(s) = s^(m-1) * (1 + 2(m-1)q + m(m-1)q^2), q = (1-s)/2, and G functions miss it with (1-p)^G: below 1e-8 at
 s = 0.65 for m = 5, G = 28. Informative words leave out only what many rows share, so edits do not
 change which words count. Rows with fewer than 2m informative words also get fingerprints over all their words.
-Copies of a set count once per task here, so they make no word common; a family of more than `common` of all
-different sets would: its pairs, a number quadratic in the corpus, may be missed.
+Copies of a set count once per task here, so they make no word common.
+
+A pair alike in its common words may have s below 0.65, down to 0. Where s < LEAST_RARE (p(s) = 0.32, missed with
+2e-5), both its rows have less than (1 - threshold) / (1 - LEAST_RARE) of their words informative. All rows below that
+share are met over all their words: CLOSE_FUNCTIONS keys of CLOSE_WORDS minima find a pair at similarity t but for
+(1 - t^4)^48, 2e-6 at 0.7. As many unlike rows share such keys, a sketch of SKETCH bits travels with each key and
+pairs whose sketches differ by more than 5.7 deviations above the mean at the threshold are dropped (1e-8 of pairs at it).
 
 Rows with the same set of words are one class: a class is hashed once per task, whatever its number of
 copies, and the pairs of classes are expanded to rows at the end, for results that ask for row pairs.
@@ -37,6 +42,8 @@ FUNCTIONS = 28
 WORDS = 5
 COMMON = 0.05
 ALWAYS_INFORMATIVE = 200
+LEAST_RARE = 0.533
+CLOSE_FUNCTIONS, CLOSE_WORDS, SKETCH = 48, 4, 1024
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORDCHAR = np.zeros(256, bool)
@@ -256,6 +263,114 @@ def _collide(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield out()
 
 
+def _minima(x: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Of n hash functions of 32 bits, the least value in each column of x."""
+    for a, b in mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * _P).astype(np.uint32).reshape(n, 2):
+        v = (x ^ a) * (b | np.uint32(1))
+        v ^= v >> np.uint32(16)
+        v *= np.uint32(0x7FEB352D)
+        v ^= v >> np.uint32(15)
+        v *= np.uint32(0x846CA68B)
+        v ^= v >> np.uint32(16)
+        yield v.min(axis=0)
+
+
+def _close_keys(h: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, keys, sketch) over all words of the rows named, some hundred rows at a time."""
+    count = np.diff(bounds)[rows]
+    rows = rows[np.argsort(count, kind="stable")]
+    for part in np.array_split(rows, max(1, len(rows) // 256)):
+        if not len(part):
+            continue
+        last = bounds[part + 1] - 1
+        # a row shorter than the longest repeats its last word, which changes no minimum
+        at = np.minimum(bounds[part] + np.arange(int((last - bounds[part]).max()) + 1)[:, None], last)
+        x = h[at].astype(np.uint32)
+        minima = _minima(x, SKETCH + CLOSE_FUNCTIONS * CLOSE_WORDS)
+        bits = np.stack([(next(minima) & np.uint32(1)).astype(np.uint8) for _ in range(SKETCH)], axis=1)
+        keys = np.zeros((len(part), CLOSE_FUNCTIONS), np.uint64)
+        for g in range(CLOSE_FUNCTIONS):
+            key = np.full(len(part), g, np.uint64)
+            for _ in range(CLOSE_WORDS):
+                key = mix(key * _P + next(minima))
+            keys[:, g] = key
+        yield part, keys, np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _emit_close(batches: Iterator[pa.RecordBatch], common: np.ndarray, buckets: int, most: float) -> Iterator[pa.RecordBatch]:
+    """Packed blocks (bucket, keys, class ids, sketches) of rows with less than `most` of their words informative."""
+    seen: set[int] = set()
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        key, c, s = (np.concatenate(x) for x in zip(*held))
+        who, g = np.divmod(np.arange(key.size), CLOSE_FUNCTIONS)
+        key = key[who, g]
+        bucket = (key >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        for b, (i, j) in enumerate(zip(ends[:-1], ends[1:])):
+            if j > i:
+                own = order[i:j]
+                blobs = (key[own].tobytes(), c[who[own]].tobytes(), s[who[own]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["bucket", "v", "c", "s"])
+
+    for b in batches:
+        row, h = word_sets(b.column(0))
+        count, bounds = _per_row(row, b.num_rows)
+        one, _ = _set_ids(h, bounds)
+        own = _unseen(one, count, seen)
+        rare = np.bincount(row[~np.isin(h, common)], minlength=b.num_rows)
+        own = own[rare[own] < most * count[own]]
+        for part, keys, sketch in _close_keys(h, bounds, own):
+            held.append((keys, one[part], sketch))
+            size += keys.size
+            if size > 500_000:
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
+
+
+def _collide_close(limit: float):
+    """Pairs of one bucket that share a key and whose sketches differ in at most `limit` bits."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.frombuffer(v.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int64), np.frombuffer(s.as_py(), np.uint64).reshape(-1, SKETCH // 64)) for b in batches for v, c, s in zip(b.column("v"), b.column("c"), b.column("s"))]
+        v, c, s = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.lexsort((c, v))
+        v, c = v[order], c[order]
+        keep = np.ones(len(v), bool)
+        keep[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1])
+        v, c, s = v[keep], c[keep], s[order[keep]].T.copy()
+        starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        held, size = [], 0
+        for i, j in zip(starts, np.append(starts[1:], len(v))):
+            # 64 rows against up to 4,096 at a time, whatever the size of the group
+            for lo in range(i, j - 1, 64):
+                hi = min(lo + 64, j)
+                for at in range(lo, j, 4096):
+                    to = min(at + 4096, j)
+                    apart = np.zeros((hi - lo, to - at), np.uint16)
+                    for w in s:
+                        apart += np.bitwise_count(w[lo:hi, None] ^ w[None, at:to])
+                    x, y = np.nonzero(apart <= limit)
+                    x, y = x + lo, y + at
+                    ok = x < y
+                    if ok.any():
+                        held.append((c[x[ok]], c[y[ok]]))
+                        size += int(ok.sum())
+                    if size > 1_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*held)], ["a", "b"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*held)], ["a", "b"])
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Class ids and the sorted 48-bit word hashes of each row with words, packed; a class comes once per task."""
     seen: set[int] = set()
@@ -325,7 +440,16 @@ class NearDuplicates:
         buckets = max(shuffle_partitions(spark), total * functions * m // 600_000 + 1)
         shared = spark.sparkContext.broadcast(frequent)
         emitted = rows.select("text").mapInArrow(lambda it: _emit(it, shared.value, buckets, functions, m), "bucket int, v binary, c binary, k binary")
-        candidates = emitted.groupBy("bucket").applyInArrow(_collide, "a long, b long").distinct()
+        candidates = emitted.groupBy("bucket").applyInArrow(_collide, "a long, b long")
+        if len(frequent):
+            most = (1 - threshold) / (1 - LEAST_RARE)
+            # a bucket holds at most about 60,000 keys
+            wide = max(shuffle_partitions(spark), total * CLOSE_FUNCTIONS // 60_000 + 1)
+            close = rows.select("text").mapInArrow(lambda it: _emit_close(it, shared.value, wide, most), "bucket int, v binary, c binary, s binary")
+            mean = (1 - threshold) / 2
+            limit = SKETCH * mean + 5.7 * (SKETCH * mean * (1 - mean)) ** 0.5
+            candidates = candidates.unionAll(close.groupBy("bucket").applyInArrow(_collide_close(limit), "a long, b long"))
+        candidates = candidates.distinct()
         sets = rows.select("text").mapInArrow(_sets, "c1 long, c2 long, words binary")
         # one exchange by c1 serves the grouping and both joins
         sets = sets.repartition("c1").groupBy("c1", "c2").agg(F.first("words").alias("words"))

@@ -116,6 +116,19 @@ def test_hot_copies_and_families_keep_their_links(spark):
     assert near.pairs.count() == 1 + 25 * 24 // 2
 
 
+def test_families_above_the_common_share_keep_their_links(spark):
+    """A third of all sets is one family; its own words make up 15 to 25 of 145 to 155 in a row, so all links lie in common words."""
+    rng = random.Random(8)
+    family = [f"f{i}" for i in range(130)]
+    sets = [{*family, *(f"own{i}x{k}" for k in range(15 + i % 11))} for i in range(300)]
+    sets += [{f"r{rng.randrange(10**6)}" for _ in range(100)} for _ in range(600)]
+    df = spark.createDataFrame([(i, " ".join(sorted(x))) for i, x in enumerate(sets)], "id long, body string").repartition(6)
+    near = near_duplicates.NearDuplicates(df, "id", "body", 0.7)
+    got = {(r.row_id_a, r.row_id_b) for r in near.row_pairs().collect()}
+    want = {(i, j) for i, j in itertools.combinations(range(300), 2) if 130 >= 0.7 * (len(sets[i]) + len(sets[j]) - 130)}
+    assert len(want) > 40_000 and got == want
+
+
 # ---- encodings -----------------------------------------------------------------------------------
 
 CLEAN = [
