@@ -16,8 +16,8 @@ Copies of a set count once per task here, so they make no word common.
 A pair alike in its common words may have s below 0.65, down to 0. Where s < LEAST_RARE (p(s) = 0.32, missed with
 2e-5), both its rows have less than (1 - threshold) / (1 - LEAST_RARE) of their words informative. All rows below that
 share are met over all their words: CLOSE_FUNCTIONS keys of CLOSE_WORDS minima find a pair at similarity t but for
-(1 - t^4)^48, 2e-6 at 0.7. As many unlike rows share such keys, a sketch of SKETCH bits travels with each key and
-pairs whose sketches differ by more than 5.7 deviations above the mean at the threshold are dropped (1e-8 of pairs at it).
+(1 - t^3)^26, 2e-5 at 0.7. As many unlike rows share such keys, a sketch of SKETCH bits travels with each key and
+pairs whose sketches differ by more than 5 deviations above the mean at the threshold are dropped (3e-7 of pairs at it).
 
 Rows with the same set of words are one class: a class is hashed once per task, whatever its number of
 copies, and the pairs of classes are expanded to rows at the end, for results that ask for row pairs.
@@ -43,7 +43,7 @@ WORDS = 5
 COMMON = 0.05
 ALWAYS_INFORMATIVE = 200
 LEAST_RARE = 0.533
-CLOSE_FUNCTIONS, CLOSE_WORDS, SKETCH = 48, 4, 1024
+CLOSE_FUNCTIONS, CLOSE_WORDS, SKETCH = 26, 3, 768
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORDCHAR = np.zeros(256, bool)
@@ -313,7 +313,7 @@ def _emit_close(batches: Iterator[pa.RecordBatch], common: np.ndarray, buckets:
         for b, (i, j) in enumerate(zip(ends[:-1], ends[1:])):
             if j > i:
                 own = order[i:j]
-                blobs = (key[own].tobytes(), c[who[own]].tobytes(), s[who[own]].tobytes())
+                blobs = (key[own].astype(np.uint32).tobytes(), c[who[own]].tobytes(), s[who[own]].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["bucket", "v", "c", "s"])
 
     for b in batches:
@@ -337,7 +337,7 @@ def _collide_close(limit: float):
     """Pairs of one bucket that share a key and whose sketches differ in at most `limit` bits."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.frombuffer(v.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int64), np.frombuffer(s.as_py(), np.uint64).reshape(-1, SKETCH // 64)) for b in batches for v, c, s in zip(b.column("v"), b.column("c"), b.column("s"))]
+        parts = [(np.frombuffer(v.as_py(), np.uint32), np.frombuffer(c.as_py(), np.int64), np.frombuffer(s.as_py(), np.uint64).reshape(-1, SKETCH // 64)) for b in batches for v, c, s in zip(b.column("v"), b.column("c"), b.column("s"))]
         v, c, s = (np.concatenate(x) for x in zip(*parts))
         del parts
         order = np.lexsort((c, v))
@@ -447,7 +447,7 @@ class NearDuplicates:
             wide = max(shuffle_partitions(spark), total * CLOSE_FUNCTIONS // 60_000 + 1)
             close = rows.select("text").mapInArrow(lambda it: _emit_close(it, shared.value, wide, most), "bucket int, v binary, c binary, s binary")
             mean = (1 - threshold) / 2
-            limit = SKETCH * mean + 5.7 * (SKETCH * mean * (1 - mean)) ** 0.5
+            limit = SKETCH * mean + 5 * (SKETCH * mean * (1 - mean)) ** 0.5
             candidates = candidates.unionAll(close.groupBy("bucket").applyInArrow(_collide_close(limit), "a long, b long"))
         candidates = candidates.distinct()
         sets = rows.select("text").mapInArrow(_sets, "c1 long, c2 long, words binary")
