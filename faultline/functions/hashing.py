@@ -237,17 +237,25 @@ def _bands(sig: np.ndarray) -> list[str]:
     return [f"{i}:{np.base_repr(int(x), 36).lower()}" for i, x in enumerate(h)]
 
 
-def lsh_candidates(df, id: str, signature: str, least: float = 0.0):
+def lsh_candidates(df, id: str, signature: str, least: float = 0.0, members: bool = False):
     """Pairs (a < b) that share a band key, with the estimated similarity, from `least` on.
 
-    Equal signatures are one representative each; a pair found under several keys is kept once."""
+    Equal signatures are one representative each; a pair found under several keys is kept once. With `members`, the
+    pairs are those of all ids: what stands behind one signature is paired too, with similarity 1."""
     reps = df.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("n"))
     keys = reps.select("rep", F.col(signature).alias("s"), F.explode(band_keys(F.col(signature))).alias("k"))
     left, right = keys.select("k", F.col("rep").alias("a")), keys.select("k", F.col("rep").alias("b"))
     pairs = left.join(right, "k").where("a < b").select("a", "b").distinct()
     sig = reps.select("rep", F.col(signature).alias("s"))
     j = pairs.join(sig.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    return j.select("a", "b", estimate_jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
+    out = j.select("a", "b", estimate_jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
+    if not members:
+        return out
+    m = df.join(reps.select(signature, "rep"), signature).select("rep", F.col(id).alias("m"))
+    x, y = m.select(F.col("rep").alias("a"), F.col("m").alias("ma")), m.select(F.col("rep").alias("b"), F.col("m").alias("mb"))
+    between = out.join(x, "a").join(y, "b").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"), "similarity")
+    within = x.join(y, F.col("a") == F.col("b")).where("ma < mb").select(F.col("ma").alias("a"), F.col("mb").alias("b"), F.lit(1.0).alias("similarity"))
+    return between.unionAll(within) if least <= 1 else between
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

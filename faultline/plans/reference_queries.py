@@ -12,7 +12,7 @@ from faultline.functions import hashing, stats, text
 from faultline.functions.frames import detect_framework
 from faultline.functions.normalize import normalize
 from faultline.operators import corpus, sampling, scoring
-from faultline.session import table
+from faultline.session import table, written
 
 RESAMPLES = 200
 QUERIES: dict = {}
@@ -511,9 +511,17 @@ def same_text_groups(s: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def minhash_candidates(s: SparkSession, d: str) -> DataFrame:
-    """Pairs of distinct normalised messages with an estimated similarity of 0.8 or more, by banded sketches."""
+    """Pairs of distinct normalised messages with an estimated similarity of 0.8 or more, by banded sketches, those
+    of equal sketches included. A message goes by its first row; `minhash_members` has the others."""
     m = table(s, d, "failures").select(normalize("message", "strict").alias("t"), "rowId").groupBy("t").agg(F.min("rowId").alias("id"))
-    return hashing.lsh_candidates(m.select("id", hashing.minhash("t").alias("sig")), "id", "sig", 0.8)
+    return hashing.lsh_candidates(written(m.select("id", hashing.minhash("t").alias("sig"))), "id", "sig", 0.8, members=True)
+
+
+@_query()
+def minhash_members(s: SparkSession, d: str) -> DataFrame:
+    """Every row with a message, and the first row of the same normalised message: the id in `minhash_candidates`."""
+    m = written(table(s, d, "failures").where("message is not null").select("rowId", F.sha2(normalize("message", "strict"), 256).alias("t")))
+    return m.join(m.groupBy("t").agg(F.min("rowId").alias("id")), "t").select("rowId", "id")
 
 
 @_query("""WITH p AS (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next FROM part)

@@ -197,3 +197,15 @@ def test_windows_and_late_rows(spark):
     assert sorted(r.n for r in ingest.windowed(rows, "ts", "10 minutes", F.count(F.lit(1)).alias("n")).collect()) == [1, 2]
     assert sorted(r.n for r in ingest.sessions(rows, "ts", "30 minutes", F.count(F.lit(1)).alias("n"), by=["u"]).collect()) == [1, 2]
     assert ingest.late_rows(rows, "ts", "seen", "1 day").count() == 1
+
+
+def test_minhash_keeps_equal_sketches(spark, tmp_path):
+    """Texts of one set of shingles have one sketch; all their pairs and the rows of each text come back."""
+    from faultline.plans import reference_queries as q
+
+    one, two, three = "ab cd ef gh " * 8, "ab cd ef gh " * 9, "ab cd ef gh " * 10
+    rows = [(1, one), (2, two), (3, one), (4, three), (5, "something else entirely that has no like among the rest"), (6, None)]
+    spark.createDataFrame(rows, "rowId long, message string").write.parquet(f"{tmp_path}/failures.parquet")
+    got = sorted((r.a, r.b, r.similarity) for r in q.minhash_candidates(spark, str(tmp_path)).collect())
+    assert got == [(1, 2, 1.0), (1, 4, 1.0), (2, 4, 1.0)]
+    assert dict(q.minhash_members(spark, str(tmp_path)).collect()) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
