@@ -209,3 +209,14 @@ def test_minhash_keeps_equal_sketches(spark, tmp_path):
     got = sorted((r.a, r.b, r.similarity) for r in q.minhash_candidates(spark, str(tmp_path)).collect())
     assert got == [(1, 2, 1.0), (1, 4, 1.0), (2, 4, 1.0)]
     assert dict(q.minhash_members(spark, str(tmp_path)).collect()) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_first_lines_of_all_messages(spark, tmp_path):
+    from faultline.plans import reference_queries as q
+
+    odd = [0x0B, 0xA0, 0x1680, 0x2003, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+    texts = ["plain\nrest", *(f"{chr(c)} a{chr(c)}b {chr(c)}\r\nrest{chr(c)}" for c in odd)]
+    spark.createDataFrame(list(enumerate([*texts, None])), "rowId long, message string").write.parquet(f"{tmp_path}/failures.parquet")
+    space = "\t\n\x0b\f\r " + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+    want = {i: t.strip(space).replace("\r\n", "\n").replace("\r", "\n").split("\n")[0] for i, t in enumerate(texts)}
+    assert dict(q.first_lines(spark, str(tmp_path)).collect()) == want
