@@ -14,6 +14,7 @@ from faultline.functions.normalize import normalize
 from faultline.operators import corpus, sampling, scoring
 from faultline.session import table, written
 
+#: Of the SQL only; the queries draw stats.RESAMPLES, so their bounds differ from the SQL's.
 RESAMPLES = 200
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -136,14 +137,14 @@ def baseline_per_run(s: SparkSession, d: str) -> DataFrame:
   FROM t JOIN iv USING (labeler)""")
 def baseline_total(s: SparkSession, d: str) -> DataFrame:
     """Scores over all runs of each labeler, with the F1 interval over resampled runs."""
-    out = scoring.baseline_total(scoring.baseline_runs(_scored(s, d)), ["labeler"], resamples=RESAMPLES, undefined="null")
+    out = scoring.baseline_total(scoring.baseline_runs(_scored(s, d)), ["labeler"], resamples=stats.RESAMPLES, undefined="null")
     return _null(out, "f1_lower", "f1_upper").withColumns({c: F.round(c, 9) for c in ("f1_lower", "f1_upper")})
 
 
 @_query()
 def baseline_loose_fingerprint(s: SparkSession, d: str) -> DataFrame:
     """The same with groups of equal loose fingerprints."""
-    return scoring.baseline_total(scoring.baseline_runs(_scored(s, d, scoring.loose_fingerprint)), ["labeler"], resamples=RESAMPLES, undefined="null")
+    return scoring.baseline_total(scoring.baseline_runs(_scored(s, d, scoring.loose_fingerprint)), ["labeler"], resamples=stats.RESAMPLES, undefined="null")
 
 
 @_query(f"""{_SCORED.replace("l.grp AS truth", "l.grp AS truth, coalesce(f.producerAdapter, 'none') AS stratum")},
@@ -232,7 +233,7 @@ def kappa_per_category(s: SparkSession, d: str) -> DataFrame:
   FROM t JOIN iv USING (labeler_a, labeler_b)""")
 def grouping_agreement(s: SparkSession, d: str) -> DataFrame:
     """How alike every two people group the failures of a run, with the interval over resampled runs."""
-    out = scoring.grouping_agreement(_pairs(s, d), resamples=RESAMPLES)
+    out = scoring.grouping_agreement(_pairs(s, d), resamples=stats.RESAMPLES)
     return _null(out, "point", "lower", "upper").withColumns({c: F.round(c, 9) for c in ("point", "lower", "upper")})
 
 
@@ -240,7 +241,7 @@ def grouping_agreement(s: SparkSession, d: str) -> DataFrame:
   {_boot_sql('per', 'labeler_a, labeler_b', 'corpusRunId', ['agreed', 'total'], 'agreed / nullif(total, 0)::DOUBLE', RESAMPLES, stats.SEED)}
   SELECT labeler_a, labeler_b, n, round(point, 9) AS point, round(lower, 9) AS lower, round(upper, 9) AS upper FROM iv""")
 def category_agreement(s: SparkSession, d: str) -> DataFrame:
-    out = scoring.category_agreement(_pairs(s, d), resamples=RESAMPLES)
+    out = scoring.category_agreement(_pairs(s, d), resamples=stats.RESAMPLES)
     return _null(out, "point", "lower", "upper").withColumns({c: F.round(c, 9) for c in ("point", "lower", "upper")})
 
 
@@ -385,8 +386,8 @@ def gate_counts(s: SparkSession, d: str) -> DataFrame:
 @_query()
 def gate_measured(s: SparkSession, d: str) -> DataFrame:
     """The weakest pair's lower bounds of grouping agreement and of separability; an unmeasured gate is unmet."""
-    group = scoring.grouping_agreement(_pairs(s, d), resamples=RESAMPLES)
-    sep = scoring.category_agreement(scoring.separability_pairs(_labels(s, d)), resamples=RESAMPLES)
+    group = scoring.grouping_agreement(_pairs(s, d), resamples=stats.RESAMPLES)
+    sep = scoring.category_agreement(scoring.separability_pairs(_labels(s, d)), resamples=stats.RESAMPLES)
     weakest = lambda df: df.where(~F.isnan("lower")).agg(F.min("lower").alias("lower"), F.min_by(F.concat_ws(" vs ", *scoring.PAIR), "lower").alias("pair"))
     out = weakest(group).select(F.lit("grouping-agreement").alias("id"), "lower", "pair", F.lit(0.8).alias("required")).unionByName(weakest(sep).select(F.lit("separability").alias("id"), "lower", "pair", F.lit(0.6).alias("required")))
     return out.withColumn("met", F.coalesce(F.col("lower") >= F.col("required"), F.lit(False)))

@@ -220,3 +220,25 @@ def test_first_lines_of_all_messages(spark, tmp_path):
     space = "\t\n\x0b\f\r " + "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
     want = {i: t.strip(space).replace("\r\n", "\n").replace("\r", "\n").split("\n")[0] for i, t in enumerate(texts)}
     assert dict(q.first_lines(spark, str(tmp_path)).collect()) == want
+
+
+def test_registered_intervals_use_all_resamples(spark, monkeypatch):
+    from faultline.functions import stats
+    from faultline.plans import reference_queries as q
+
+    pairs = spark.createDataFrame([("a", "b", "r", "f", "X", "X", "g", "g")], "labeler_a string, labeler_b string, corpusRunId string, failureId string, cat_a string, cat_b string, grp_a string, grp_b string")
+    seen, real = [], stats.bootstrap
+
+    def spy(units, order, sums, statistic, by=None, resamples=stats.RESAMPLES, *rest, **named):
+        seen.append(resamples)
+        return real(units, order, sums, statistic, by, resamples, *rest, **named)
+
+    monkeypatch.setattr(stats, "bootstrap", spy)
+    scored = spark.createDataFrame([("a", "r", "f", "p", "t")], "labeler string, corpusRunId string, failureId string, predicted string, truth string")
+    monkeypatch.setattr(q, "_pairs", lambda s, d: pairs)
+    monkeypatch.setattr(q, "_scored", lambda s, d, *g: scored)
+    monkeypatch.setattr(q, "_labels", lambda s, d, *k: None)
+    monkeypatch.setattr(scoring, "separability_pairs", lambda labels: pairs)
+    for f in (q.baseline_total, q.baseline_loose_fingerprint, q.grouping_agreement, q.category_agreement, q.gate_measured):
+        f(spark, "")
+    assert seen == [2000] * 6
