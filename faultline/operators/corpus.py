@@ -136,13 +136,13 @@ def run_problems(runs: DataFrame, failures: DataFrame | None = None, version: in
     return out.unionByName(own)
 
 
-def label_problems(run_labels: DataFrame, failures: DataFrame | None = None, version: int = SCHEMA_VERSION) -> DataFrame:
-    """Breaches of label documents; failure ids are checked where the run is stored."""
-    id = F.concat_ws("/", "labeler", "corpusRunId")
+def label_problems(run_labels: DataFrame, failures: DataFrame | None = None, version: int = SCHEMA_VERSION, keys: tuple[str, ...] = ("labeler", "corpusRunId", "failureId")) -> DataFrame:
+    """Breaches of label documents, by an id of `keys`; failure ids are checked where the run is stored."""
+    id = F.concat_ws("/", *(k for k in keys if k != "failureId"))
     v = F.col("schemaVersion")
     doc = run_labels.select(_problems(id, (v.isNull() | (v > version) | (v < version - 1), "schema version cannot be read"), (F.coalesce(~F.col("context").isin(*CONTEXTS), F.lit(True)), "context is unknown"), (F.coalesce(F.size("labels"), F.lit(0)) <= 0, "no labels")).alias("p")).select("p.*")
     rows = run_labels.select("labeler", "corpusRunId", F.explode("labels").alias("failureId", "l"))
-    rid = F.concat_ws("/", "labeler", "corpusRunId", "failureId")
+    rid = F.concat_ws("/", *keys)
     out = doc.unionByName(rows.select(_problems(rid, (F.coalesce(F.trim("l.group") == "", F.lit(True)), "group is empty"), (F.coalesce(~F.col("l.category").isin(*CATEGORIES), F.lit(True)), "category is unknown")).alias("p")).select("p.*"))
     if failures is None:
         return out

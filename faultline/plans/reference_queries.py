@@ -572,9 +572,11 @@ def selection_missing_runs(s: SparkSession, d: str) -> DataFrame:
 @_query("""SELECT corpusRunId, problem, count(*)::BIGINT AS n FROM (
     SELECT corpusRunId, 'failureId is repeated' AS problem FROM failures GROUP BY corpusRunId, failureId HAVING count(*) > 1) GROUP BY ALL""")
 def validation_problems(s: SparkSession, d: str) -> DataFrame:
-    """What validation would reject among the stored failures: ids delivered twice."""
-    p = corpus.run_problems(table(s, d, "runs").limit(0), table(s, d, "failures"))
-    return p.select(F.substring_index("id", "#", 1).alias("corpusRunId"), "problem").groupBy("corpusRunId", "problem").agg(F.count(F.lit(1)).alias("n"))
+    """What validation would reject among the stored runs, failures and labels, by run. The SQL has repeated ids only."""
+    f = table(s, d, "failures")
+    own = corpus.run_problems(table(s, d, "runs"), f).select(F.substring_index("id", "#", 1).alias("corpusRunId"), "problem")
+    labels = corpus.label_problems(table(s, d, "run_labels"), f, keys=("corpusRunId",)).select(F.col("id").alias("corpusRunId"), "problem")
+    return own.unionAll(labels).groupBy("corpusRunId", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- events (extension) --------------------------------------------------------------------------

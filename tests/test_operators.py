@@ -242,3 +242,19 @@ def test_registered_intervals_use_all_resamples(spark, monkeypatch):
     for f in (q.baseline_total, q.baseline_loose_fingerprint, q.grouping_agreement, q.category_agreement, q.gate_measured):
         f(spark, "")
     assert seen == [2000] * 6
+
+
+def test_validation_covers_runs_and_labels(spark, tmp_path):
+    from faultline.plans import reference_queries as q
+
+    spark.createDataFrame([run_row("a/b", fidelity="x"), run_row("c", version=3)], RUN_SCHEMA).write.parquet(f"{tmp_path}/runs.parquet")
+    f = [("a/b", "f1", "m"), ("a/b", "f1", "m")]
+    spark.createDataFrame(f, "corpusRunId string, failureId string, message string").write.parquet(f"{tmp_path}/failures.parquet")
+    labels = [(1, "a/b", who, "t", "full", {"f1": ("", "NOPE", None), "f9": ("g", "FLAKY", None)}) for who in ("kim", "lee")]
+    schema = "schemaVersion int, corpusRunId string, labeler string, labeledAt string, context string, labels map<string,struct<group string, category string, note string>>"
+    spark.createDataFrame(labels, schema).write.parquet(f"{tmp_path}/run_labels.parquet")
+    got = {(r.corpusRunId, r.problem): r.n for r in q.validation_problems(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("a/b", "fidelity is unknown"): 1, ("c", "schema version cannot be read"): 1, ("a/b", "failureId is repeated"): 1,
+        ("a/b", "group is empty"): 2, ("a/b", "category is unknown"): 2, ("a/b", "failure is not in the run"): 2,
+    }
