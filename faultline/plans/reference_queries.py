@@ -433,7 +433,7 @@ _CUT = """CASE WHEN length(x) <= 1000 THEN x ELSE substr(x, 1, h) || chr(10) ||
     AND NOT regexp_matches(stackText, '[\\x{{10000}}-\\x{{10FFFF}}]')))""")
 def stacks_truncated(s: SparkSession, d: str) -> DataFrame:
     """Stacks capped at 1000 units: head, marker and tail within the cap."""
-    f = table(s, d, "failures").where(F.col("stackText").isNotNull() & (text.units("stackText") == F.length("stackText")))
+    f = table(s, d, "failures").where("stackText is not null")
     return f.select("rowId", text.truncate("stackText", 1000).alias("stack"))
 
 
@@ -504,7 +504,7 @@ def fingerprint_groups(s: SparkSession, d: str) -> DataFrame:
   count(*)::BIGINT AS n, min(rowId) AS first_row_id FROM failures WHERE NOT regexp_matches(coalesce(errorType, '') || message, '[\x{10000}-\x{10FFFF}]') GROUP BY 1""")
 def same_text_groups(s: SparkSession, d: str) -> DataFrame:
     """Failures of equal error type and message, by the length-framed hash of both."""
-    f = table(s, d, "failures").where(~F.concat(F.coalesce("errorType", F.lit("")), "message").rlike(r"[\x{10000}-\x{10FFFF}]"))
+    f = table(s, d, "failures").where("message is not null")
     parts = F.array(F.coalesce("errorType", F.lit("")), "message")
     return f.groupBy(hashing.sha_128(hashing.framed(parts)).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.min("rowId").alias("first_row_id"))
 

@@ -258,3 +258,20 @@ def test_validation_covers_runs_and_labels(spark, tmp_path):
         ("a/b", "fidelity is unknown"): 1, ("c", "schema version cannot be read"): 1, ("a/b", "failureId is repeated"): 1,
         ("a/b", "group is empty"): 2, ("a/b", "category is unknown"): 2, ("a/b", "failure is not in the run"): 2,
     }
+
+
+def test_astral_characters_are_kept(spark, tmp_path):
+    import hashlib
+
+    from faultline.plans import reference_queries as q
+
+    smile = chr(0x1F600)
+    rows = [(1, "E", "a" + smile, smile * 900), (2, "E", "a" + smile, "short" + smile), (3, smile, "b", None), (4, None, "b", "x" * 1200)]
+    spark.createDataFrame(rows, "rowId long, errorType string, message string, stackText string").write.parquet(f"{tmp_path}/failures.parquet")
+    n = lambda t: len(t.encode("utf-16-le")) // 2
+    name = lambda e, m: hashlib.sha256(f"{n(e)}\x1f{e}\x1f{n(m)}\x1f{m}".encode()).hexdigest()[:32]
+    got = {r.grp: (r.n, r.first_row_id) for r in q.same_text_groups(spark, str(tmp_path)).collect()}
+    assert got == {name("E", "a" + smile): (2, 1), name(smile, "b"): (1, 3), name("", "b"): (1, 4)}
+    stacks = dict(q.stacks_truncated(spark, str(tmp_path)).collect())
+    assert set(stacks) == {1, 2, 4} and stacks[2] == "short" + smile and all(n(t) <= 1000 for t in stacks.values())
+    assert stacks[1].startswith(smile) and stacks[1].endswith(smile) and "characters omitted" in stacks[1]
