@@ -109,7 +109,7 @@ def frames(stack: Column | str, test_globs: tuple[str, ...] = TEST_GLOBS, vendor
     return run(stack)
 
 
-def frame_summary(stack: Column | str) -> Column:
+def frame_summary(stack: Column | str, test_globs: tuple[str, ...] = TEST_GLOBS, vendor_dirs: tuple[str, ...] = ()) -> Column:
     """struct(n_frames, n_app, deepest_app, deepest_line): what reports need, without shipping the frames back."""
     kind = T.StructType([T.StructField("n_frames", T.IntegerType()), T.StructField("n_app", T.IntegerType()), T.StructField("deepest_app", T.StringType()), T.StructField("deepest_line", T.IntegerType())])
 
@@ -117,7 +117,7 @@ def frame_summary(stack: Column | str) -> Column:
     def run(s: pd.Series) -> pd.DataFrame:
         rows = []
         for x in s:
-            fs = parse_stack(x)
+            fs = parse_stack(x, tuple(test_globs), tuple(vendor_dirs))
             app = [f for f in fs if f[5] == "app"]
             rows.append((len(fs), len(app), app[0][2] if app else None, app[0][3] if app else None))
         return pd.DataFrame(rows, columns=["n_frames", "n_app", "deepest_app", "deepest_line"]).astype({"deepest_line": "Int32"})
@@ -154,16 +154,23 @@ DETECTION = (
     ("playwright", "all", r"(?i)(?<!\w)playwright(?!\w)"),
     ("jest", "all", r"(?i)(?<!\w)jest(?!\w)"),
 )
+#: What every pattern over the whole text contains.
+NAMED = r"(?mi)playwright|jest|vitest|cypress|mocha|pytest|testing\.T|go test|surefire|rspec|_spec\.rb|expect\(|^E\s{2,}\w"
 
 
 def detect_framework(source_file: Column | str = "sourceFile", stack: Column | str = "stackText", error_type: Column | str = "errorType") -> Column:
     c = lambda x: F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
     subject = {"stack": c(stack), "type": c(error_type), "all": F.concat(c(source_file), F.lit("\n"), c(stack), F.lit("\n"), c(error_type))}
-    out = None
-    for name, where, pattern in DETECTION:
-        test = subject[where].rlike(pattern)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise("unknown")
+
+    def chain(wheres: tuple[str, ...]) -> Column:
+        out = F
+        for name, where, pattern in DETECTION:
+            if where in wheres:
+                out = out.when(subject[where].rlike(pattern), name)
+        return out.otherwise("unknown")
+
+    # most texts name no framework: one look decides whether the patterns over the whole text are tried at all
+    return F.when(subject["all"].rlike(NAMED), chain(("stack", "type", "all"))).otherwise(chain(("stack", "type")))
 
 
 def framework_or_adapter(detected: Column, adapter: Column | str = "producerAdapter", default: str = "unidentified") -> Column:

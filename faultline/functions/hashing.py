@@ -1,20 +1,21 @@
 """Fingerprint hashes, MinHash sketches, band keys and edit similarity.
 
-Parts are framed by their length, so no choice of parts can imitate another. Two hashes are offered under
-different algorithm tags: SHA-256 cut to 128 bits, which stays in the JVM, and 128-bit BLAKE3, whose public
-algorithm is computed for a whole column at once.
+Parts are framed by their length, so no choice of parts can imitate another. Fingerprints are 128 bits of
+BLAKE3, whose public algorithm is computed for a whole batch at once, or of SHA-256 if that is asked for.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.functions.frames import parse_stack
-from faultline.functions.normalize import normalize
+from faultline.functions.frames import TEST_GLOBS, parse_stack
+from faultline.functions.normalize import VERSION, Normalizer, worker_normalizer
 from faultline.functions.text import units
 
 SEP = "\x1f"
@@ -137,36 +138,65 @@ def blake3_column(text: Column | str) -> Column:
     return run(text)
 
 
-def _basis(stack: Column | str) -> Column:
-    """array<struct<file, line, fn>>: up to five application frames, or up to five of all if none is."""
-    kind = T.ArrayType(T.StructType([T.StructField("file", T.StringType()), T.StructField("line", T.StringType()), T.StructField("fn", T.StringType())]))
-
-    @F.pandas_udf(kind)
-    def run(s: pd.Series) -> pd.Series:
-        def one(x: str | None) -> list[tuple]:
-            fs = parse_stack(x)
-            app = [f for f in fs if f[5] == "app"]
-            return [((f[2] or "").replace("\\", "/"), "" if f[3] is None else str(f[3]), f[1] or "") for f in (app or fs)[:STRICT_FRAMES]]
-
-        return s.map(one)
-
-    return run(stack)
-
-
-def with_fingerprint(df, error_type: str = "errorType", message: str = "message", stack: str = "stackText", algorithm: str = "sha", modes: tuple[str, ...] = ("strict", "loose"), repo_root: str | None = None, home_dir: str | None = None):
-    """Adds strict_hash and/or loose_hash. Strict: type, strict message, five frames with lines; loose: type, loose
-    message, three frames without. Frames are the application's, or all if it has none."""
-    h = sha_128 if algorithm == "sha" else blake3_column
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    norm = lambda c, mode: normalize(c, mode, repo_root=repo_root, home_dir=home_dir)
-    df = df.withColumn("_frames", _basis(F.col(stack)))
-    for mode in modes:
-        strict = mode == "strict"
-        top = F.slice("_frames", 1, STRICT_FRAMES if strict else LOOSE_FRAMES)
-        each = lambda f: F.array(*([norm(f["file"], "strict"), f["line"]] if strict else [norm(f["file"], "strict")]), norm(f["fn"], "strict"))  # noqa: B023, E731
-        parts = F.concat(F.array(norm(text(error_type), "strict"), norm(text(message), mode)), F.flatten(F.transform(top, each)))
-        df = df.withColumn(f"{mode}_hash", h(framed(parts)))
-    return df.drop("_frames")
+FINGERPRINT = T.StructType([
+    T.StructField("fingerprint", T.StringType()), T.StructField("strict_hash", T.StringType()), T.StructField("loose_hash", T.StringType()), T.StructField("frame_fallback", T.BooleanType()),
+])
+
+
+def _framed(parts: list[str]) -> bytes:
+    """The same framing as `framed`, for one list of parts."""
+    out = []
+    for p in parts:
+        n = len(p) if p.isascii() else len(p.encode("utf-16-le", "surrogatepass")) // 2
+        out += (str(n), p)
+    return SEP.join(out).encode("utf-8", "surrogatepass")
+
+
+def _hash(data: list[bytes], algorithm: str) -> list[str]:
+    return blake3_128(data) if algorithm == "blake3" else [sha256(d).hexdigest()[:32] for d in data]
+
+
+def fingerprint_column(error_type: Column | str, message: Column | str, stack: Column | str, algorithm: str = "blake3", disabled: tuple[str, ...] = (), repo_root: str | None = None, home_dir: str | None = None, test_globs: tuple[str, ...] = TEST_GLOBS, vendor_dirs: tuple[str, ...] = ()) -> Column:
+    """struct(fingerprint, strict_hash, loose_hash, frame_fallback), one pass over a batch's rows.
+
+    strict_hash: type, strict message, up to five frames with lines; loose_hash: type, loose message, up to three frames
+    without. Frames are the application's; if a stack has none, all of its frames, and frame_fallback is true. The
+    fingerprint is the strict hash behind its version. Null parts count as empty."""
+    if algorithm not in ("blake3", "sha256"):
+        raise ValueError("algorithm is blake3 or sha256")
+    args = (tuple(disabled), repo_root, home_dir)
+    Normalizer(*args)
+    globs, vendor = tuple(test_globs), tuple(vendor_dirs)
+
+    @F.pandas_udf(FINGERPRINT)
+    def run(kind: pd.Series, text: pd.Series, trace: pd.Series) -> pd.DataFrame:
+        norm = worker_normalizer(*args)
+        strict, loose, fallback = [], [], []
+        for k, t, x in zip(kind, text, trace):
+            frames = parse_stack(x, globs, vendor) if x else []
+            app = [f for f in frames if f[5] == "app"]
+            head = norm.form(k or "", "strict")
+            s, l_ = norm.forms(t or "")
+            parts, short = [head, s], [head, l_]
+            for i, (_, fn, file, line, _, _) in enumerate((app or frames)[:STRICT_FRAMES]):
+                file = norm.form((file or "").replace("\\", "/"), "strict")
+                fn = norm.form(fn or "", "strict")
+                parts += (file, "" if line is None else str(line), fn)
+                if i < LOOSE_FRAMES:
+                    short += (file, fn)
+            strict.append(_framed(parts))
+            loose.append(_framed(short))
+            fallback.append(bool(frames) and not app)
+        s = _hash(strict, algorithm)
+        return pd.DataFrame({"fingerprint": [f"fp_v{VERSION}_{x}" for x in s], "strict_hash": s, "loose_hash": _hash(loose, algorithm), "frame_fallback": fallback})
+
+    return run(error_type, message, stack)
+
+
+def with_fingerprint(df, error_type: str = "errorType", message: str = "message", stack: str = "stackText", **options):
+    """Adds fingerprint, strict_hash, loose_hash and frame_fallback, in place of columns of these names."""
+    f = df.withColumn("_fp", fingerprint_column(error_type, message, stack, **options))
+    return f.withColumns({n: F.col("_fp")[n] for n in FINGERPRINT.names}).drop("_fp")
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ Grouping = Callable[[DataFrame], DataFrame]
 
 def loose_fingerprint(failures: DataFrame) -> DataFrame:
     """corpusRunId, failureId, grp: equal loose fingerprints are one group."""
-    return hashing.with_fingerprint(failures, modes=("loose",)).select("corpusRunId", "failureId", F.col("loose_hash").alias("grp"))
+    return hashing.with_fingerprint(failures).select("corpusRunId", "failureId", F.col("loose_hash").alias("grp"))
 
 
 def same_text(failures: DataFrame) -> DataFrame:

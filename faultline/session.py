@@ -28,12 +28,15 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a temporary one if all executors are on this machine;
+    on a cluster its executors would not find that, so it is an error there."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-"))
     return sc.getCheckpointDir()
 
@@ -62,3 +65,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, pieces: int = 1) -> DataFrame:
+    """df ready for costly work per row: a small scan of fewer files than cores is dealt out over `pieces` tasks per core;
+    anything larger or split already stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df._jdf.inputFiles())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores * pieces) if 0 < files < cores and size < cores * (128 << 20) else df

@@ -27,6 +27,9 @@ CASES = [
     ("10.0.0.1:8080 and fe80:0:0:1", "<ip>:<port> and <ip>", "<ip>:<port> and <ip>"),
     ("localhost:3000 line 3000", "localhost:<port> line 3000", "localhost:<port> line <val>"),
     ("mail a123@corp.io or me@corp.io", "mail <gen> or me@corp.io", "mail <gen> or me@corp.io"),
+    ("bob@example.com2.org bob@test.io-x.org bob@test.io", "bob@example.com2.org bob@test.io-x.org <gen>", "bob@example.com2.org bob@test.io-x.org <gen>"),
+    ("http://h.io:8080/v1/42/x?q=1 C:\\Users\\me\\a 550E8400-e29b-41d4-A716-446655440000", "http://h.io:<port>/v1/<n>/x <home>\\a <id>", "http://h.io:<port>/v1/<n>/x <home>\\a <id>"),
+    ("got +5, 1234567890123 at 0xDEADBEEF", "got +5, <ts> at <addr>", "got <val> <ts> at <addr>"),
     ("user-12 on worker 3", "<gen> on <n>", "<gen> on <n>"),
     ("at x.ts:12:7 end", "at x.ts:12:7 end", "at x.ts end"),
     ('expected: "a b" got 5', 'expected: "a b" got 5', "expected: <val> got <val>"),
@@ -141,9 +144,12 @@ def test_blake3_vectors():
 def test_fingerprints(spark):
     rows = [("E", "took 5ms", STACKS["v8"]), ("E", "took 9ms", STACKS["v8"].replace(":88:", ":90:")), ("E", "took 5ms", None), (None, None, None)]
     df = spark.createDataFrame(rows, "errorType string, message string, stackText string")
-    for algorithm in ("sha", "blake3"):
+    for algorithm in ("sha256", "blake3"):
         a, b, c, d = hashing.with_fingerprint(df, algorithm=algorithm).collect()
+        assert a.fingerprint == f"fp_v4_{a.strict_hash}" and not a.frame_fallback
         assert a.loose_hash == b.loose_hash and a.strict_hash != b.strict_hash and c.loose_hash != a.loose_hash and len(d.strict_hash) == 32
+    apart = hashing.with_fingerprint(df.withColumn("loose_hash", F.lit("x")), vendor_dirs=("src",)).first()
+    assert apart.frame_fallback and apart.loose_hash != "x"
     framed = lambda *p: one(spark, hashing.framed(F.array(*map(F.lit, p))))
     assert framed("a", "b") != framed("a\x1f1\x1fb") and framed("ab", "c") != framed("a", "bc")
 
