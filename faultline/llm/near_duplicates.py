@@ -1,26 +1,29 @@
 """Problem 3: near-duplicates with small edits, by meet-in-the-middle ball hashing.
 
-A row is the set of its words. Its fingerprints are G sets of m words: under each of G independent hash
-functions, the m smallest words among the informative ones (words of at most 200 sets or `common` of all). Two
+A row is the set of its words. Its fingerprints are FUNCTIONS sets of m = WORDS words: under each of as many independent
+hash functions, the m smallest words among the rare ones (words of at most ALWAYS_INFORMATIVE sets or COMMON of all). Two
 fingerprints of one function that differ by one replaced word lie at distance 2; each emits its ball of
 half that radius, the m sets with one word removed, and they meet in the set they share. The variants
 are shuffled as packed blocks, colliding rows become candidate pairs, and each distinct pair is
 verified on the full word sets, so what is reported is exact.
 
-What can be missed: with s the similarity on informative words, one function finds a pair with chance
-p(s) = s^(m-1) * (1 + 2(m-1)q + m(m-1)q^2), q = (1-s)/2, and G functions miss it with (1-p)^G: below 1e-8 at
-s = 0.65 for m = 5, G = 28. Informative words leave out only what many rows share, so edits do not
-change which words count. Rows with fewer than 2m informative words also get fingerprints over all their words.
-Copies of a set count once per task here, so they make no word common.
+What can be missed: with s the similarity on rare words, one function finds a pair with chance
+p(s) = s^(m-1) * (1 + 2(m-1)q + m(m-1)q^2), q = (1-s)/2, and all functions miss it with (1-p)^FUNCTIONS: 2e-5 at s = LEAST_RARE,
+2e-11 at s = 0.7.
 
-A pair alike in its common words may have s below 0.65, down to 0. Where s < LEAST_RARE (p(s) = 0.32, missed with
-2e-5), both its rows have less than (1 - threshold) / (1 - LEAST_RARE) of their words informative. All rows below that
-share are met over all their words: CLOSE_FUNCTIONS keys of CLOSE_WORDS minima find a pair at similarity t but for
-(1 - t^3)^26, 2e-5 at 0.7. As many unlike rows share such keys, a sketch of SKETCH bits travels with each key and
-pairs whose sketches differ by more than 5 deviations above the mean at the threshold are dropped (3e-7 of pairs at it).
+A pair alike in its common words may have s below that, down to 0. Where s < LEAST_RARE, both its rows have less
+than (1 - threshold) / (1 - LEAST_RARE) of their words rare. All rows below that share are met over all their words as well:
+CLOSE_FUNCTIONS keys of CLOSE_WORDS minima miss a pair of similarity t with (1 - t^3)^24, 4e-5 at 0.7. As many unlike
+rows share such keys, a signature travels with each: a bit per word, from which follows how many words two rows can share
+at most. Pairs that cannot reach the threshold are dropped; no other is.
 
-Rows with the same set of words are one class: a class is hashed once per task, whatever its number of
-copies, and the pairs of classes are expanded to rows at the end, for results that ask for row pairs.
+Crowded keys are split. Keys of CROWD rows or more are found by counts combined per task, and each is dealt out over cells
+of two blocks of its rows, each cell a key of its own, with signatures; so the largest group a task compares has 2 CROWD rows,
+and a hot key's work is shared by as many tasks as it has pairs of blocks.
+
+Texts are read once; words are 48-bit hashes from then on. Rows with the same set of words are one class: a class is hashed
+once per task, whatever its number of copies, and the pairs of classes are expanded to rows at the end, for results that ask for
+row pairs.
 
 Defined results: rows without a stack are left out of row pairs; a null message has no words of its own;
 rows without any word are in no pair.
@@ -29,6 +32,7 @@ rows without any word are in no pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +40,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import shuffle_partitions, written
+from faultline.session import shuffle_partitions, spread, written
 
-FUNCTIONS = 28
-WORDS = 5
+FUNCTIONS, WORDS = 18, 4
 COMMON = 0.05
 ALWAYS_INFORMATIVE = 200
 LEAST_RARE = 0.533
-CLOSE_FUNCTIONS, CLOSE_WORDS, SKETCH = 26, 3, 768
+CLOSE_FUNCTIONS, CLOSE_WORDS = 24, 3
+SIGNATURE, COMMON_BITS = 9, 384
+CROWD, MOST_HOT, LEAST_NOTED = 4096, 100_000, 8
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORDCHAR = np.zeros(256, bool)
@@ -129,138 +134,107 @@ def _set_ids(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass: rows with their set's names (kind 0), and how many sets of this task hold each word (kind 1) and there
-    are (kind 2). A set counts once per task, so copies don't make their words common."""
+@dataclass(frozen=True)
+class Plan:
+    """What both routes need to know; all of bounded size."""
+
+    common: np.ndarray  # sorted hashes of words of more than `common` of all sets
+    hot: np.ndarray  # sorted keys that very many rows hold
+    blocks: np.ndarray  # for each of them, into how many blocks its rows are dealt
+    threshold: float
+    buckets: int = 1
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The only pass over the texts: each row with its set's names (kind 0), and, the first time a task meets a set, its
+    words as 48-bit hashes; how many of this task's sets hold each word (kind 1), and how many sets there are (kind 2)."""
     words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     seen: set[int] = set()
     sets = 0
 
-    def out(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
-        n = len(cols[0])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *(pa.array(c) for c in cols)], ["kind", "a", "b", "c", "n"])
+    def out(kind: int, a, b, c, blobs=None) -> pa.RecordBatch:
+        n = len(a)
+        cols = [pa.array(np.full(n, kind, np.int8)), pa.array(a), pa.array(b), pa.array(c), pa.array([None] * n if blobs is None else blobs, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["kind", "a", "b", "c", "words"])
 
-    for b in batches:
-        row, h = word_sets(b.column(1))
-        n, bounds = _per_row(row, b.num_rows)
+    for batch in batches:
+        row, h = word_sets(batch.column(1))
+        h = h >> np.uint64(16)
+        count, bounds = _per_row(row, batch.num_rows)
         one, two = _set_ids(h, bounds)
-        yield out(0, b.column(0).to_numpy(), one, two, n.astype(np.int64))
-        own = np.zeros(b.num_rows, bool)
-        own[_unseen(one, n, seen)] = True
-        sets += int(own.sum())
-        w, c = np.unique(h[own[row]], return_counts=True)
+        own = _unseen(one, count, seen)
+        packed = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        blobs: list[bytes | None] = [None] * batch.num_rows
+        for i in own:
+            blobs[i] = packed[6 * bounds[i] : 6 * bounds[i + 1]]
+        some = np.flatnonzero(count > 0)
+        yield out(0, batch.column(0).to_numpy()[some], one[some], two[some], [blobs[i] for i in some])
+        new = np.zeros(batch.num_rows, bool)
+        new[own] = True
+        sets += len(own)
+        w, n = np.unique(h[new[row]], return_counts=True)
         words, k = np.unique(np.concatenate((words, w)), return_inverse=True)
-        counts = np.bincount(k, np.concatenate((counts, c)), len(words)).astype(np.int64)
+        counts = np.bincount(k, np.concatenate((counts, n)), len(words)).astype(np.int64)
         if len(words) > 1_000_000:
-            yield out(1, words.view(np.int64), counts, counts, counts)
+            yield out(1, words.view(np.int64), counts, counts)
             words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(words):
-        yield out(1, words.view(np.int64), counts, counts, counts)
-    yield out(2, *[np.array([sets], np.int64)] * 4)
-
-
-def fingerprints(row: np.ndarray, h: np.ndarray, n_rows: int, functions: int, m: int, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, variant, mark) for every function: the m variants of each row's fingerprint. mark tells which word
-    was removed and whether it is the first."""
-    informative = ~np.isin(h, common, assume_unique=False) if len(common) else np.ones(len(h), bool)
-    n_inf = np.bincount(row[informative], minlength=n_rows)
-    plain = n_inf < 2 * m
-    for salt, keep in ((0, informative), (1 << 32, plain[row])):
-        r, w = row[keep], h[keep]
-        count, bounds = _per_row(r, n_rows)
-        # rows of like size are laid out together, padded to the largest of them
-        size_class = np.ceil(np.log2(np.maximum(count, 1) / m) * 2).clip(0)
-        for c in np.unique(size_class[count > 0]):
-            own = np.flatnonzero((size_class == c) & (count > 0))
-            width = max(int(count[own].max()), m)
-            for part in np.array_split(own, max(1, len(own) * width // 2_000_000 + 1)):
-                if not len(part):
-                    continue
-                at = bounds[part][:, None] + np.arange(width)
-                missing = np.arange(width) >= count[part][:, None]
-                x = w[np.minimum(at, len(w) - 1)]
-                for g in range(functions):
-                    v = mix(x + np.uint64((g + 1) * 0x9E3779B97F4A7C15 + salt & 0xFFFFFFFFFFFFFFFF))
-                    # words a row lacks are filled with one value, so that short rows can still meet
-                    v[missing] = np.uint64(0xFFFFFFFFFFFFFFFF)
-                    low = np.sort(np.partition(v, m - 1, axis=1)[:, :m], axis=1)
-                    each = mix(low)
-                    rest = each.sum(axis=1, dtype=np.uint64)[:, None] - each
-                    mark = (low & np.uint64(0x7FFF)).astype(np.uint16) << np.uint16(1)
-                    mark[:, 0] |= np.uint16(1)
-                    yield np.repeat(part, m), mix(rest + np.uint64(g + salt)).ravel(), mark.ravel()
-
-
-def _emit(batches: Iterator[pa.RecordBatch], common: np.ndarray, buckets: int, functions: int, m: int) -> Iterator[pa.RecordBatch]:
-    """Packed blocks (bucket, variants, class ids, marks). A class is emitted once per task."""
-    seen: set[int] = set()
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
+        yield out(1, words.view(np.int64), counts, counts)
+    yield out(2, *[np.array([sets], np.int64)] * 3)
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        v, c, k = (np.concatenate(x) for x in zip(*held))
-        bucket = (v >> np.uint64(32)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        v, c, k, bucket = v[order].astype(np.uint32), c[order], k[order], bucket[order]
-        ends = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        rows = [(b, v[s:e].tobytes(), c[s:e].tobytes(), k[s:e].tobytes()) for b, (s, e) in enumerate(zip(ends[:-1], ends[1:])) if e > s]
-        for i in range(0, len(rows), 64):
-            cols = list(zip(*rows[i : i + 64]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], ["bucket", "v", "c", "k"])
 
-    for b in batches:
-        row, h = word_sets(b.column(0))
-        count, bounds = _per_row(row, b.num_rows)
-        one, _ = _set_ids(h, bounds)
-        new = np.zeros(b.num_rows, bool)
-        new[_unseen(one, count, seen)] = True
-        keep = new[row]
-        for r, v, k in fingerprints(row[keep], h[keep], b.num_rows, functions, m, common):
-            held.append((v, one[r], k))
-            size += len(v)
-            if size > 2_500_000:
-                yield from flush()
-                held, size = [], 0
-    if held:
-        yield from flush()
+def _unseen(ids: np.ndarray, count: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Rows with words whose class this task has not had; what it remembers is bounded, so a class may come again."""
+    own = []
+    for i in np.flatnonzero(count > 0).tolist():
+        if (x := int(ids[i])) not in seen:
+            seen.add(x)
+            own.append(i)
+    if len(seen) > 500_000:
+        seen.clear()
+    return np.array(own, np.int64)
 
 
-def _collide(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of one bucket. Equal fingerprints share all their variants and are paired on the first only."""
-    parts = [(np.frombuffer(v.as_py(), np.uint32), np.frombuffer(c.as_py(), np.int64), np.frombuffer(k.as_py(), np.uint16)) for b in batches for v, c, k in zip(b.column("v"), b.column("c"), b.column("k"))]
-    v, c, k = (np.concatenate(x) for x in zip(*parts))
-    del parts
-    order = np.lexsort((c, v))
-    v, c, k = v[order], c[order], k[order]
-    # one entry for each variant and class; copies of a class from other tasks fall away
-    keep = np.ones(len(v), bool)
-    keep[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1]) | (k[1:] != k[:-1])
-    v, c, k = v[keep], c[keep], k[keep]
-    starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-    length = np.diff(np.concatenate((starts, [len(v)])))
-    starts, length = starts[length > 1], length[length > 1]
-    held, size = [], 0
-
-    def out() -> pa.RecordBatch:
-        p = np.unique(np.concatenate(held), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-    for gap in range(1, int(length.max()) if len(length) else 1):
-        starts, length = starts[length > gap], length[length > gap]
-        reach = length - gap
-        at = np.repeat(starts - np.concatenate(([0], np.cumsum(reach)[:-1])), reach) + np.arange(int(reach.sum()))
-        for i in range(0, len(at), 1_000_000):
-            x, y = at[i : i + 1_000_000], at[i : i + 1_000_000] + gap
-            same = (k[x] >> 1) == (k[y] >> 1)
-            ok = (c[x] != c[y]) & (~same | ((k[x] & 1) == 1))
-            if ok.any():
-                held.append(np.stack((c[x][ok], c[y][ok]), axis=1))
-                size += len(held[-1])
-            if size > 2_000_000:
-                yield out()
-                held, size = [], 0
-    if held:
-        yield out()
+class _Sets:
+    """The word sets of some rows side by side: row of each word, words, and each row's share of them."""
+
+    def __init__(self, blobs: pa.Array):
+        arr = blobs.cast(pa.large_binary())
+        at = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
+        raw = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(-1, 6)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :6] = raw
+        self.words = wide.view("<u8").ravel()
+        self.bounds = (at - at[0]) // 6
+        self.count = np.diff(self.bounds)
+        self.row = np.repeat(np.arange(len(arr)), self.count)
+
+
+def fingerprints(row: np.ndarray, h: np.ndarray, n_rows: int, functions: int = FUNCTIONS, m: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, variant, mark) for every function: the m variants of each row's fingerprint, which is the m smallest of
+    its words. mark tells which word was removed and whether it is the first."""
+    count, bounds = _per_row(row, n_rows)
+    # rows of like size are laid out together, padded to the largest of them
+    size_class = np.ceil(np.log2(np.maximum(count, 1) / m) * 2).clip(0)
+    for c in np.unique(size_class[count > 0]):
+        own = np.flatnonzero((size_class == c) & (count > 0))
+        width = max(int(count[own].max()), m)
+        for part in np.array_split(own, len(own) * width // 1_000_000 + 1):
+            if not len(part):
+                continue
+            at = bounds[part][:, None] + np.arange(width)
+            missing = np.arange(width) >= count[part][:, None]
+            x = h[np.minimum(at, len(h) - 1)]
+            for g in range(functions):
+                v = mix(x + np.uint64((g + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+                # words a row lacks are filled with one value, so that short rows can still meet
+                v[missing] = np.uint64(0xFFFFFFFFFFFFFFFF)
+                low = np.sort(np.partition(v, m - 1, axis=1)[:, :m], axis=1)
+                each = mix(low)
+                rest = each.sum(axis=1, dtype=np.uint64)[:, None] - each
+                mark = (low >> np.uint64(33)).astype(np.uint32) << np.uint32(1)
+                mark[:, 0] |= np.uint32(1)
+                yield np.repeat(part, m), mix(rest + np.uint64(g)).ravel(), mark.ravel()
 
 
 def _minima(x: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -275,125 +249,223 @@ def _minima(x: np.ndarray, n: int) -> Iterator[np.ndarray]:
         yield v.min(axis=0)
 
 
-def _close_keys(h: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, keys, sketch) over all words of the rows named, some hundred rows at a time."""
-    count = np.diff(bounds)[rows]
-    rows = rows[np.argsort(count, kind="stable")]
-    for part in np.array_split(rows, max(1, len(rows) // 256)):
+def _close_keys(s: _Sets, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, key) over all words of the rows named, some hundred rows at a time."""
+    rows = rows[np.argsort(s.count[rows], kind="stable")]
+    for part in np.array_split(rows, len(rows) // 256 + 1):
         if not len(part):
             continue
-        last = bounds[part + 1] - 1
+        last = s.bounds[part + 1] - 1
         # a row shorter than the longest repeats its last word, which changes no minimum
-        at = np.minimum(bounds[part] + np.arange(int((last - bounds[part]).max()) + 1)[:, None], last)
-        x = h[at].astype(np.uint32)
-        minima = _minima(x, SKETCH + CLOSE_FUNCTIONS * CLOSE_WORDS)
-        bits = np.stack([(next(minima) & np.uint32(1)).astype(np.uint8) for _ in range(SKETCH)], axis=1)
-        keys = np.zeros((len(part), CLOSE_FUNCTIONS), np.uint64)
+        at = np.minimum(s.bounds[part] + np.arange(int((last - s.bounds[part]).max()) + 1)[:, None], last)
+        minima = _minima(s.words[at].astype(np.uint32), CLOSE_FUNCTIONS * CLOSE_WORDS)
         for g in range(CLOSE_FUNCTIONS):
             key = np.full(len(part), g, np.uint64)
             for _ in range(CLOSE_WORDS):
                 key = mix(key * _P + next(minima))
-            keys[:, g] = key
-        yield part, keys, np.packbits(bits, axis=1).view(np.uint64)
+            yield part, key
+
 
+def signatures(s: _Sets, common: np.ndarray) -> np.ndarray:
+    """(rows, SIGNATURE + 1) words of 64 bits: each word of a row sets one bit, the common ones in a part of their own; the last
+    says how many words found their bit set. Two rows share at most as many words as bits, and the lesser of these."""
+    at = np.searchsorted(common, s.words)
+    known = np.zeros(len(s.words), bool)
+    inside = at < len(common)
+    known[inside] = common[at[inside]] == s.words[inside]
+    bit = np.where(known, at % COMMON_BITS, COMMON_BITS + (mix(s.words) % np.uint64(64 * SIGNATURE - COMMON_BITS)).astype(np.int64))
+    out = np.zeros((len(s.count), SIGNATURE + 1), np.uint64)
+    np.bitwise_or.at(out, (s.row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    out[:, -1] = (s.count - np.bitwise_count(out[:, :-1]).sum(axis=1, dtype=np.int64)).astype(np.uint64)
+    return out
 
-def _emit_close(batches: Iterator[pa.RecordBatch], common: np.ndarray, buckets: int, most: float) -> Iterator[pa.RecordBatch]:
-    """Packed blocks (bucket, keys, class ids, sketches) of rows with less than `most` of their words informative."""
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, _Sets]]:
+    """(class names, sets), each class once per task, in pieces of bounded size."""
     seen: set[int] = set()
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for b in batches:
+        for i in range(0, b.num_rows, 4096):
+            part = b.slice(i, 4096)
+            ids = part.column(0).to_numpy()
+            own = _unseen(ids, np.ones(len(ids), np.int64), seen)
+            if len(own):
+                yield ids[own], _Sets(part.column(1).take(pa.array(own)))
+
+
+def _entries(s: _Sets, plan: Plan) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(close, row, key, mark) of both routes."""
+    rare = ~np.isin(s.words, plan.common)
+    n_rare = np.bincount(s.row[rare], minlength=len(s.count))
+    for row, key, mark in fingerprints(s.row[rare], s.words[rare], len(s.count)):
+        yield False, row, key, mark
+    most = (1 - plan.threshold) / (1 - LEAST_RARE)
+    if len(plan.common):
+        for row, key in _close_keys(s, np.flatnonzero(n_rare < most * s.count)):
+            yield True, row, key, None
+
+
+def _crowded(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Keys held by at least LEAST_NOTED rows of a block, with the numbers of them."""
+    held: list[np.ndarray] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        key, c, s = (np.concatenate(x) for x in zip(*held))
-        who, g = np.divmod(np.arange(key.size), CLOSE_FUNCTIONS)
-        key = key[who, g]
-        bucket = (key >> np.uint64(32)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        for b, (i, j) in enumerate(zip(ends[:-1], ends[1:])):
-            if j > i:
-                own = order[i:j]
-                blobs = (key[own].astype(np.uint32).tobytes(), c[who[own]].tobytes(), s[who[own]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["bucket", "v", "c", "s"])
-
-    for b in batches:
-        row, h = word_sets(b.column(0))
-        count, bounds = _per_row(row, b.num_rows)
-        one, _ = _set_ids(h, bounds)
-        own = _unseen(one, count, seen)
-        rare = np.bincount(row[~np.isin(h, common)], minlength=b.num_rows)
-        own = own[rare[own] < most * count[own]]
-        for part, keys, sketch in _close_keys(h, bounds, own):
-            held.append((keys, one[part], sketch))
-            size += keys.size
-            if size > 500_000:
-                yield from flush()
-                held, size = [], 0
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= LEAST_NOTED
+        if often.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(n[often])], ["key", "n"])
+
+    for _, s in _distinct(batches):
+        for _, _, key, _ in _entries(s, plan):
+            held.append(key)
+            size += len(key)
+        if size > 4_000_000:
+            yield from flush()
+            held, size = [], 0
     if held:
         yield from flush()
 
 
-def _collide_close(limit: float):
-    """Pairs of one bucket that share a key and whose sketches differ in at most `limit` bits."""
+def _dealt(key: np.ndarray, ids: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, cell, hot) of each entry. An entry of a crowded key goes to one cell for each block of that key: a cell is
+    a pair of blocks, so any two of the key's rows meet in one, and no cell holds more than two blocks."""
+    at = np.minimum(np.searchsorted(plan.hot, key), max(0, len(plan.hot) - 1))
+    hot = plan.hot[at] == key if len(plan.hot) else np.zeros(len(key), bool)
+    if not hot.any():
+        return np.arange(len(key)), key, hot
+    n = np.where(hot, plan.blocks[at] if len(plan.hot) else 1, 1)
+    index = np.repeat(np.arange(len(key)), n)
+    k = np.arange(len(index)) - np.repeat(np.cumsum(n) - n, n)
+    block = (mix(ids.view(np.uint64)[index]) % n[index].astype(np.uint64)).astype(np.int64)
+    cell = np.minimum(block, k) * (1 << 20) + np.maximum(block, k)
+    cells = np.where(hot[index], mix(key[index] + mix(cell.astype(np.uint64) + np.uint64(1))), key[index])
+    return index, cells, hot[index]
+
+
+def _emit(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Packed blocks (bucket, keys, classes, marks or signatures). Rows mostly of common words, and rows of a crowded key,
+    carry a signature."""
+    held: dict[bool, list[tuple]] = {False: [], True: []}
+    size = {False: 0, True: 0}
+
+    def flush(signed: bool) -> Iterator[pa.RecordBatch]:
+        if not held[signed]:
+            return
+        key, c, extra = (np.concatenate(x) for x in zip(*held[signed]))
+        held[signed], size[signed] = [], 0
+        bucket = (key >> np.uint64(32)) % np.uint64(plan.buckets)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(plan.buckets + 1, dtype=np.uint64))
+        full = np.flatnonzero(np.diff(ends))
+        for some in np.array_split(full, len(full) // 32 + 1):
+            own = [order[ends[b] : ends[b + 1]] for b in some]
+            blobs = [[x[o].tobytes() for o in own] for x in (key.astype(np.uint32), c, extra)]
+            cols = [pa.array(some.astype(np.int32)), pa.array([signed] * len(some), pa.bool_()), *(pa.array(x, pa.binary()) for x in blobs)]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "signed", "v", "c", "x"])
+
+    for ids, s in _distinct(batches):
+        sign = None
+        for close, row, key, mark in _entries(s, plan):
+            index, cell, hot = _dealt(key, ids[row], plan)
+            signed = hot | close
+            for kind in (False, True):
+                own = index[signed == kind]
+                if not len(own):
+                    continue
+                if kind and sign is None:
+                    sign = signatures(s, plan.common)
+                held[kind].append((cell[signed == kind], ids[row[own]], sign[row[own]] if kind else mark[own]))
+                size[kind] += len(own) * (8 if kind else 1)
+        for kind in (False, True):
+            if size[kind] > 2_000_000:
+                yield from flush(kind)
+    for kind in (False, True):
+        yield from flush(kind)
+
+
+def _unpacked(rows: list[tuple], width: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, classes and extras in order of key and class, each pair of the two once (with each of its marks)."""
+    v = np.concatenate([np.frombuffer(r[0], np.uint32) for r in rows])
+    c = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
+    x = np.concatenate([np.frombuffer(r[2], kind).reshape(-1, width) for r in rows])
+    order = np.lexsort((c, v))
+    v, c, x = v[order], c[order], x[order]
+    keep = np.ones(len(v), bool)
+    keep[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1]) | ((x[1:] != x[:-1]).any(axis=1) if width == 1 else False)
+    return v[keep], c[keep], x[keep]
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.frombuffer(v.as_py(), np.uint32), np.frombuffer(c.as_py(), np.int64), np.frombuffer(s.as_py(), np.uint64).reshape(-1, SKETCH // 64)) for b in batches for v, c, s in zip(b.column("v"), b.column("c"), b.column("s"))]
-        v, c, s = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        order = np.lexsort((c, v))
-        v, c = v[order], c[order]
-        keep = np.ones(len(v), bool)
-        keep[1:] = (v[1:] != v[:-1]) | (c[1:] != c[:-1])
-        v, c, s = v[keep], c[keep], s[order[keep]].T.copy()
+
+def _pairs_out(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    p = np.unique(np.stack([np.concatenate(z) for z in zip(*held)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
+
+def _collide(threshold: float):
+    """Candidate pairs of one bucket."""
+
+    def plain(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Rows of one variant; equal fingerprints share all their variants and are paired on the first only."""
+        v, c, k = _unpacked(rows, 1, np.uint32)
+        k = k.ravel()
+        starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        length = np.diff(np.append(starts, len(v)))
+        starts, length = starts[length > 1], length[length > 1]
+        held, size = [], 0
+        for gap in range(1, int(length.max()) if len(length) else 1):
+            starts, length = starts[length > gap], length[length > gap]
+            reach = length - gap
+            at = np.repeat(starts - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))
+            for i in range(0, len(at), 1_000_000):
+                x, y = at[i : i + 1_000_000], at[i : i + 1_000_000] + gap
+                ok = (c[x] != c[y]) & ((k[x] >> 1 != k[y] >> 1) | (k[x] & 1 == 1))
+                if ok.any():
+                    held.append((c[x[ok]], c[y[ok]]))
+                    size += int(ok.sum())
+                if size > 1_000_000:
+                    yield _pairs_out(held)
+                    held, size = [], 0
+        if held:
+            yield _pairs_out(held)
+
+    def signed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Rows of one key whose signatures leave room for the similarity asked for; nothing above it is lost."""
+        v, c, s = _unpacked(rows, SIGNATURE + 1, np.uint64)
+        spare = s[:, -1].astype(np.int32)
+        bits = s[:, :-1].T.copy()
+        need = (np.bitwise_count(bits).sum(axis=0, dtype=np.int32) + spare) * np.float32(threshold / (1 + threshold))
         starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         held, size = [], 0
         for i, j in zip(starts, np.append(starts[1:], len(v))):
-            # 64 rows against up to 4,096 at a time, whatever the size of the group
             for lo in range(i, j - 1, 64):
                 hi = min(lo + 64, j)
                 for at in range(lo, j, 4096):
                     to = min(at + 4096, j)
-                    apart = np.zeros((hi - lo, to - at), np.uint16)
-                    for w in s:
-                        apart += np.bitwise_count(w[lo:hi, None] ^ w[None, at:to])
-                    x, y = np.nonzero(apart <= limit)
+                    shared = np.minimum(spare[lo:hi, None], spare[None, at:to])
+                    for w in bits:
+                        shared += np.bitwise_count(w[lo:hi, None] & w[None, at:to])
+                    x, y = np.nonzero(shared >= need[lo:hi, None] + need[None, at:to] - 1e-3)
                     x, y = x + lo, y + at
                     ok = x < y
                     if ok.any():
                         held.append((c[x[ok]], c[y[ok]]))
                         size += int(ok.sum())
                     if size > 1_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*held)], ["a", "b"])
+                        yield _pairs_out(held)
                         held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*held)], ["a", "b"])
-
-    return run
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class ids and the sorted 48-bit word hashes of each row with words, packed; a class comes once per task."""
-    seen: set[int] = set()
-    for b in batches:
-        row, h = word_sets(b.column(0))
-        count, bounds = _per_row(row, b.num_rows)
-        one, two = _set_ids(h, bounds)
-        own = _unseen(one, count, seen)
-        packed = (h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        blobs = [packed[6 * bounds[i] : 6 * bounds[i + 1]] for i in own]
-        yield pa.RecordBatch.from_arrays([pa.array(one[own]), pa.array(two[own]), pa.array(blobs, pa.binary())], ["c1", "c2", "words"])
+            yield _pairs_out(held)
 
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[bool, list[tuple]] = {False: [], True: []}
+        for b in batches:
+            for kind, *blobs in zip(b.column("signed").to_pylist(), b.column("v").to_pylist(), b.column("c").to_pylist(), b.column("x").to_pylist()):
+                rows[kind].append(tuple(blobs))
+        if rows[False]:
+            yield from plain(rows.pop(False))
+        if rows[True]:
+            yield from signed(rows.pop(True))
 
-def _unseen(ids: np.ndarray, count: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Rows with words whose class this task has not had; what it remembers is bounded, so a class may come again."""
-    own = []
-    for i in np.flatnonzero(count > 0).tolist():
-        if (x := int(ids[i])) not in seen:
-            seen.add(x)
-            own.append(i)
-    if len(seen) > 500_000:
-        seen.clear()
-    return np.array(own, np.int64)
+    return run
 
 
 def _unpack(blob: bytes) -> np.ndarray:
@@ -427,30 +499,29 @@ class NearDuplicates:
     """classes: (row_id, c1, c2) of every row with words; pairs: (a1, a2, b1, b2, similarity) of all pairs of different
     classes at or above the threshold, a before b."""
 
-    def __init__(self, df: DataFrame, row_id: str, text: str, threshold: float, functions: int = FUNCTIONS, m: int = WORDS, common: float = COMMON):
+    def __init__(self, df: DataFrame, row_id: str, text: str, threshold: float, common: float = COMMON, crowd: int = CROWD):
         spark = df.sparkSession
-        rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-        stats = written(rows.mapInArrow(_stats, "kind byte, a long, b long, c long, n long"))
-        self.classes = stats.where("kind = 0 and n > 0").select(F.col("a").alias("row_id"), F.col("b").alias("c1"), F.col("c").alias("c2"))
-        total = stats.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows = spread(df.select(F.col(row_id).cast("long").alias("row_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text")))
+        scan = written(rows.mapInArrow(_scan, "kind byte, a long, b long, c long, words binary"))
+        self.classes = scan.where("kind = 0").select(F.col("a").alias("row_id"), F.col("b").alias("c1"), F.col("c").alias("c2"))
+        total = scan.where("kind = 2").agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]
         # at most (words per row) / common of them, whatever the number of rows
-        often = stats.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") > max(float(ALWAYS_INFORMATIVE), common * total))
+        often = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") > max(float(ALWAYS_INFORMATIVE), common * total))
         frequent = np.sort(np.array([r.a for r in often.collect()], np.int64).view(np.uint64))
-        # a bucket holds about 600,000 variants
-        buckets = max(shuffle_partitions(spark), total * functions * m // 600_000 + 1)
-        shared = spark.sparkContext.broadcast(frequent)
-        emitted = rows.select("text").mapInArrow(lambda it: _emit(it, shared.value, buckets, functions, m), "bucket int, v binary, c binary, k binary")
-        candidates = emitted.groupBy("bucket").applyInArrow(_collide, "a long, b long")
-        if len(frequent):
-            most = (1 - threshold) / (1 - LEAST_RARE)
-            # a bucket holds at most about 60,000 keys
-            wide = max(shuffle_partitions(spark), total * CLOSE_FUNCTIONS // 60_000 + 1)
-            close = rows.select("text").mapInArrow(lambda it: _emit_close(it, shared.value, wide, most), "bucket int, v binary, c binary, s binary")
-            mean = (1 - threshold) / 2
-            limit = SKETCH * mean + 5 * (SKETCH * mean * (1 - mean)) ** 0.5
-            candidates = candidates.unionAll(close.groupBy("bucket").applyInArrow(_collide_close(limit), "a long, b long"))
-        candidates = candidates.distinct()
-        sets = rows.select("text").mapInArrow(_sets, "c1 long, c2 long, words binary")
+        sets = scan.where("kind = 0 and words is not null").select(F.col("b").alias("c1"), F.col("c").alias("c2"), "words")
+        none = np.zeros(0, np.int64)
+        plan = Plan(frequent, none.view(np.uint64), none, threshold)
+        least = spark.sparkContext.broadcast(plan)
+        # a key has at most total * (entries per row) / crowd equals, and no more than MOST_HOT are asked for
+        crowd = max(crowd, total * (FUNCTIONS * WORDS + CLOSE_FUNCTIONS) // MOST_HOT)
+        hot = sets.select("c1", "words").mapInArrow(lambda it: _crowded(it, least.value), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= crowd)
+        hot = sorted((int(np.int64(r.key).view(np.uint64)), r.n) for r in hot.collect())
+        # a bucket holds some hundred thousand entries
+        buckets = max(shuffle_partitions(spark), total * (FUNCTIONS * WORDS + 8 * CLOSE_FUNCTIONS) // 800_000 + 1)
+        plan = Plan(frequent, np.array([k for k, _ in hot], np.uint64), np.array([-(-n // crowd) for _, n in hot], np.int64), threshold, buckets)
+        shared = spark.sparkContext.broadcast(plan)
+        emitted = sets.select("c1", "words").mapInArrow(lambda it: _emit(it, shared.value), "bucket int, signed boolean, v binary, c binary, x binary")
+        candidates = emitted.groupBy("bucket").applyInArrow(_collide(threshold), "a long, b long").distinct()
         # one exchange by c1 serves the grouping and both joins
         sets = sets.repartition("c1").groupBy("c1", "c2").agg(F.first("words").alias("words"))
         x = candidates.join(sets.select(F.col("c1").alias("a"), F.col("c2").alias("a2"), F.col("words").alias("x")), "a")

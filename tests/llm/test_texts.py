@@ -116,6 +116,36 @@ def test_hot_copies_and_families_keep_their_links(spark):
     assert near.pairs.count() == 1 + 25 * 24 // 2
 
 
+def test_crowded_keys_are_split_and_keep_their_links(spark):
+    """With a low bound every family's keys are dealt out over blocks; the pairs stay the same."""
+    rng = random.Random(9)
+    texts = []
+    for f in range(3):
+        family = [f"f{f}w{i}" for i in range(50)]
+        texts += [" ".join([*family, *(f"v{rng.randrange(10**6)}" for _ in range(rng.randint(1, 9)))]) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(3)
+    sets = [words(t) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])}
+    near = near_duplicates.NearDuplicates(df, "id", "body", 0.7, crowd=32)
+    got = [(r.row_id_a, r.row_id_b) for r in near.row_pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30_000
+
+
+def test_signatures_never_rule_out_a_pair():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 900, rng.integers(1, 400))).astype("<u8") * np.uint64(77_777_777_777) % np.uint64(1 << 48) for _ in range(60)]
+    blobs = pa.array([np.unique(r).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for r in rows], pa.binary())
+    s = near_duplicates._Sets(blobs)
+    common = np.unique(rows[0])[:500]
+    sign = near_duplicates.signatures(s, common)
+    for i, j in itertools.combinations(range(60), 2):
+        shared = len(np.intersect1d(rows[i], rows[j]))
+        bound = int(np.bitwise_count(sign[i, :-1] & sign[j, :-1]).sum()) + min(int(sign[i, -1]), int(sign[j, -1]))
+        assert shared <= bound
+
+
 def test_families_above_the_common_share_keep_their_links(spark):
     """A third of all sets is one family; its own words make up 15 to 25 of 145 to 155 in a row, so all links lie in common words."""
     rng = random.Random(8)
