@@ -8,12 +8,13 @@ are shuffled as packed blocks, colliding rows become candidate pairs, and each d
 verified on the full word sets, so what is reported is exact.
 
 What can be missed: with s the similarity on rare words, one function finds a pair with chance
-p(s) = s^(m-1) * (1 + 2(m-1)q + m(m-1)q^2), q = (1-s)/2, and all functions miss it with (1-p)^FUNCTIONS: 2e-5 at s = LEAST_RARE,
-2e-11 at s = 0.7.
+p(s) = s^(m-1) * (1 + 2(m-1)q + m(m-1)q^2), q = (1-s)/2, and all functions miss it with (1-p)^FUNCTIONS: 4e-5 at s = LEAST_RARE,
+2e-10 at s = 0.7. Equal fingerprints are told apart from ones with another word removed by 15 bits of that word.
 
 A pair alike in its common words may have s below that, down to 0. Where s < LEAST_RARE, both its rows have less
-than (1 - threshold) / (1 - LEAST_RARE) of their words rare. All rows below that share are met over all their words as well:
-CLOSE_FUNCTIONS keys of CLOSE_WORDS minima miss a pair of similarity t with (1 - t^3)^24, 4e-5 at 0.7. As many unlike
+than most = (1 - threshold) / (1 - LEAST_RARE) of their words rare. All rows below that share are met over all their words:
+CLOSE_FUNCTIONS keys of CLOSE_WORDS minima miss a pair of similarity t with (1 - t^3)^22, 1e-4 at 0.7, 2e-6 at 0.77. (Rows so far
+below it that no row above it can be alike need no fingerprints of rare words: see `least_share`.) As many unlike
 rows share such keys, a signature travels with each: a bit per word, from which follows how many words two rows can share
 at most. Pairs that cannot reach the threshold are dropped; no other is.
 
@@ -21,7 +22,7 @@ Crowded keys are split. Keys of CROWD rows or more are found by counts combined
 of two blocks of its rows, each cell a key of its own, with signatures; so the largest group a task compares has 2 CROWD rows,
 and a hot key's work is shared by as many tasks as it has pairs of blocks.
 
-Texts are read once; words are 48-bit hashes from then on. Rows with the same set of words are one class: a class is hashed
+Texts are read once; words are 40-bit hashes from then on. Rows with the same set of words are one class: a class is hashed
 once per task, whatever its number of copies, and the pairs of classes are expanded to rows at the end, for results that ask for
 row pairs.
 
@@ -42,12 +43,13 @@ from pyspark.sql import functions as F
 
 from faultline.session import shuffle_partitions, spread, written
 
-FUNCTIONS, WORDS = 18, 4
+FUNCTIONS, WORDS = 22, 5
 COMMON = 0.05
 ALWAYS_INFORMATIVE = 200
-LEAST_RARE = 0.533
-CLOSE_FUNCTIONS, CLOSE_WORDS = 24, 3
-SIGNATURE, COMMON_BITS = 9, 384
+LEAST_RARE = 0.56
+CLOSE_FUNCTIONS, CLOSE_WORDS = 22, 3
+SIGNATURE, COMMON_BITS = 8, 384
+WORD_BYTES = 5
 CROWD, MOST_HOT, LEAST_NOTED = 4096, 100_000, 8
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -147,7 +149,7 @@ class Plan:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The only pass over the texts: each row with its set's names (kind 0), and, the first time a task meets a set, its
-    words as 48-bit hashes; how many of this task's sets hold each word (kind 1), and how many sets there are (kind 2)."""
+    words as 40-bit hashes; how many of this task's sets hold each word (kind 1), and how many sets there are (kind 2)."""
     words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     seen: set[int] = set()
     sets = 0
@@ -159,14 +161,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         row, h = word_sets(batch.column(1))
-        h = h >> np.uint64(16)
+        h = h >> np.uint64(64 - 8 * WORD_BYTES)
         count, bounds = _per_row(row, batch.num_rows)
         one, two = _set_ids(h, bounds)
         own = _unseen(one, count, seen)
-        packed = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        packed = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
         blobs: list[bytes | None] = [None] * batch.num_rows
         for i in own:
-            blobs[i] = packed[6 * bounds[i] : 6 * bounds[i + 1]]
+            blobs[i] = packed[WORD_BYTES * bounds[i] : WORD_BYTES * bounds[i + 1]]
         some = np.flatnonzero(count > 0)
         yield out(0, batch.column(0).to_numpy()[some], one[some], two[some], [blobs[i] for i in some])
         new = np.zeros(batch.num_rows, bool)
@@ -201,11 +203,11 @@ class _Sets:
     def __init__(self, blobs: pa.Array):
         arr = blobs.cast(pa.large_binary())
         at = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
-        raw = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(-1, 6)
+        raw = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(-1, WORD_BYTES)
         wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
+        wide[:, :WORD_BYTES] = raw
         self.words = wide.view("<u8").ravel()
-        self.bounds = (at - at[0]) // 6
+        self.bounds = (at - at[0]) // WORD_BYTES
         self.count = np.diff(self.bounds)
         self.row = np.repeat(np.arange(len(arr)), self.count)
 
@@ -232,8 +234,8 @@ def fingerprints(row: np.ndarray, h: np.ndarray, n_rows: int, functions: int = F
                 low = np.sort(np.partition(v, m - 1, axis=1)[:, :m], axis=1)
                 each = mix(low)
                 rest = each.sum(axis=1, dtype=np.uint64)[:, None] - each
-                mark = (low >> np.uint64(33)).astype(np.uint32) << np.uint32(1)
-                mark[:, 0] |= np.uint32(1)
+                mark = (low & np.uint64(0x7FFF)).astype(np.uint16) << np.uint16(1)
+                mark[:, 0] |= np.uint16(1)
                 yield np.repeat(part, m), mix(rest + np.uint64(g)).ravel(), mark.ravel()
 
 
@@ -292,13 +294,23 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, _
                 yield ids[own], _Sets(part.column(1).take(pa.array(own)))
 
 
+def least_share(threshold: float, most: float) -> float:
+    """A row whose share of rare words is below this is alike to no row whose share is `most` or more.
+
+    Rows of a and b words that share c have c >= t (a + b) / (1 + t), and b's rare words are at most a's and b's own:
+    most * b <= share * a + b - c. The share follows, and is least where a is largest beside b, at b / t."""
+    t = threshold
+    return max(0.0, (t * (1 + 1 / t) / (1 + t) - (1 - most)) * t)
+
+
 def _entries(s: _Sets, plan: Plan) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray | None]]:
     """(close, row, key, mark) of both routes."""
     rare = ~np.isin(s.words, plan.common)
     n_rare = np.bincount(s.row[rare], minlength=len(s.count))
-    for row, key, mark in fingerprints(s.row[rare], s.words[rare], len(s.count)):
-        yield False, row, key, mark
     most = (1 - plan.threshold) / (1 - LEAST_RARE)
+    some = rare & (n_rare >= least_share(plan.threshold, most) * s.count)[s.row]
+    for row, key, mark in fingerprints(s.row[some], s.words[some], len(s.count)):
+        yield False, row, key, mark
     if len(plan.common):
         for row, key in _close_keys(s, np.flatnonzero(n_rare < most * s.count)):
             yield True, row, key, None
@@ -405,7 +417,7 @@ def _collide(threshold: float):
 
     def plain(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Rows of one variant; equal fingerprints share all their variants and are paired on the first only."""
-        v, c, k = _unpacked(rows, 1, np.uint32)
+        v, c, k = _unpacked(rows, 1, np.uint16)
         k = k.ravel()
         starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         length = np.diff(np.append(starts, len(v)))
@@ -468,9 +480,27 @@ def _collide(threshold: float):
     return run
 
 
+def _possible(candidates: DataFrame, sets: DataFrame, plan, threshold: float) -> DataFrame:
+    """The candidates whose signatures leave room for the threshold: most others never meet their words."""
+    names = [f"s{i}" for i in range(SIGNATURE + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sign = signatures(_Sets(b.column(1)), plan.value.common).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in sign.T)], ["c1", *names])
+
+    signed = sets.select("c1", "words").mapInArrow(run, ", ".join(f"{n} long" for n in ("c1", *names)))
+    side = lambda end: signed.select(F.col("c1").alias(end), *(F.col(n).alias(f"{end}_{n}") for n in names))
+    j = candidates.join(side("a"), "a").join(side("b"), "b")
+    total = lambda f: sum((f(n) for n in names[1:-1]), f(names[0]))
+    size = lambda end: total(lambda n: F.bit_count(F.col(f"{end}_{n}"))) + F.col(f"{end}_{names[-1]}")
+    shared = total(lambda n: F.bit_count(F.col(f"a_{n}").bitwiseAND(F.col(f"b_{n}")))) + F.least(f"a_{names[-1]}", f"b_{names[-1]}")
+    return j.where(shared >= threshold / (1 + threshold) * (size("a") + size("b")) - 1e-6).select("a", "b").distinct()
+
+
 def _unpack(blob: bytes) -> np.ndarray:
-    x = np.zeros((len(blob) // 6, 8), np.uint8)
-    x[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    x = np.zeros((len(blob) // WORD_BYTES, 8), np.uint8)
+    x[:, :WORD_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, WORD_BYTES)
     return x.view("<u8").ravel()
 
 
@@ -479,7 +509,7 @@ def _verify(threshold: float):
         for b in batches:
             sims = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                p, q = len(x) // 6, len(y) // 6
+                p, q = len(x) // WORD_BYTES, len(y) // WORD_BYTES
                 if min(p, q) < threshold * max(p, q):
                     sims.append(0.0)
                     continue
@@ -524,6 +554,7 @@ class NearDuplicates:
         candidates = emitted.groupBy("bucket").applyInArrow(_collide(threshold), "a long, b long").distinct()
         # one exchange by c1 serves the grouping and both joins
         sets = sets.repartition("c1").groupBy("c1", "c2").agg(F.first("words").alias("words"))
+        candidates = _possible(candidates, sets, shared, threshold)
         x = candidates.join(sets.select(F.col("c1").alias("a"), F.col("c2").alias("a2"), F.col("words").alias("x")), "a")
         xy = x.join(sets.select(F.col("c1").alias("b"), F.col("c2").alias("b2"), F.col("words").alias("y")), "b")
         xy = xy.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2", "x", "y")

@@ -135,8 +135,8 @@ def test_signatures_never_rule_out_a_pair():
     import pyarrow as pa
 
     rng = np.random.default_rng(2)
-    rows = [np.unique(rng.integers(0, 900, rng.integers(1, 400))).astype("<u8") * np.uint64(77_777_777_777) % np.uint64(1 << 48) for _ in range(60)]
-    blobs = pa.array([np.unique(r).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for r in rows], pa.binary())
+    rows = [np.unique(rng.integers(0, 900, rng.integers(1, 400))).astype("<u8") * np.uint64(77_777_777_777) % np.uint64(1 << 40) for _ in range(60)]
+    blobs = pa.array([np.unique(r).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for r in rows], pa.binary())
     s = near_duplicates._Sets(blobs)
     common = np.unique(rows[0])[:500]
     sign = near_duplicates.signatures(s, common)
