@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -42,21 +43,34 @@ IDENTITIES = (
     "women men girls boys mothers fathers wives gays lesbians homosexuals transsexuals queers jews muslims christians hindus buddhists catholics "
     "atheists believers blacks whites asians africans arabs mexicans indians chinese poles germans russians turks gypsies immigrants migrants refugees "
     "foreigners southerners northerners pensioners elderly disabled deaf blind autistic",
+    "woman man girl boy mother father wife lesbian homosexual transsexual jew muslim christian hindu buddhist catholic atheist asian african arab mexican "
+    "indian pole german russian turk gypsy immigrant migrant refugee foreigner southerner northerner pensioner",
+    "jewish islamic female male gay black white polish turkish foreign old young",
     "frauen männer juden muslime christen ausländer flüchtlinge einwanderer schwule lesben behinderte türken polen russen",
+    "frau mann jude muslim christ ausländerin flüchtling einwanderin lesbe türke pole russe",
     "mujeres hombres judíos musulmanes cristianos extranjeros refugiados inmigrantes gitanos negros",
+    "mujer hombre judío musulmán cristiano extranjero refugiado inmigrante gitano negro",
     "femmes hommes juifs musulmans chrétiens étrangers réfugiés immigrés arabes noirs",
+    "femme homme juif musulman chrétien étranger réfugié immigré arabe noir",
     "mulheres homens judeus muçulmanos cristãos estrangeiros refugiados imigrantes negros",
+    "mulher homem judeu muçulmano cristão estrangeiro refugiado imigrante",
     "женщины мужчины евреи мусульмане христиане иностранцы беженцы мигранты",
+    "женщина мужчина еврей мусульманин христианин иностранец беженец мигрант",
     "kobiety mężczyźni żydzi muzułmanie chrześcijanie cudzoziemcy uchodźcy imigranci",
+    "kobieta mężczyzna żyd muzułmanin chrześcijanin cudzoziemiec uchodźca imigrant",
 )
+#: Written without blanks between words, so found anywhere in a passage; fixed values.
+IDENTITIES_WIDE = ("女性", "男性", "外国人", "移民", "難民", "ユダヤ人", "イスラム教徒", "キリスト教徒", "同性愛者", "障害者", "高齢者")
 _GROUPS = [g.split() for g in IDENTITIES]
-_GROUP_OF = {w: g for g in _GROUPS for w in g}
+_GROUP_OF = {w: g for g in reversed(_GROUPS) for w in g}
 _SPLIT = re.compile(r"[\r\n]+|(?<=[.!?;:…])\s+|(?<=[。！？、])|\s+[-–—]\s+")
 _SPEAKER = re.compile(r"^\s*[\w-]{1,20}:\s+")
 _ID = re.compile(r"`[^`]*`|https?://\S+|\b\w*[a-z][A-Z]\w*\b|\b\w*_\w*\b|\b[\w-]*\d[\w.-]*\b")
 _SPELLED = re.compile(r"(?<!\w)(?:\w[ .\-_*·]){3,}\w(?!\w)")
 _WORD = re.compile(r"[^\W_]+(?:[’'*][^\W_]+)*|[@#]")
 _SAME = re.compile(r"(.)\1{2,}")
+_ID_SIGN = re.compile(r"[`_\d]|://|[a-z][A-Z]")
+_LEET_SIGN = re.compile(r"[013457@$!€|]")
 _LATIN = re.compile(r"[a-z]")
 _OTHER = re.compile(r"[Ͱ-ϿЀ-ԯ]")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
@@ -73,21 +87,40 @@ def _deleet(m: re.Match) -> str:
     return body.translate(LEET)
 
 
+class _Invisible(dict):
+    """Format characters and combining marks map to nothing; categories are looked up once each."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = out = None if unicodedata.category(chr(c)) in ("Cf", "Mn") else c
+        return out
+
+
+_INVISIBLE = _Invisible()
+
+
+def _squeeze(m: re.Match) -> str:
+    return re.sub(r"[ .\-_*·]", "", m.group())
+
+
 def normalise(passage: str) -> str:
     """The passage in one spelling: identifiers masked, disguises undone."""
-    s = unicodedata.normalize("NFKC", passage)
-    s = "".join(c for c in s if unicodedata.category(c) not in ("Cf", "Mn"))
-    s = _SPEAKER.sub("", s)
-    s = _SPELLED.sub(lambda m: re.sub(r"[ .\-_*·]", "", m.group()), s)
+    plain = passage.isascii()
+    s = passage if plain else unicodedata.normalize("NFKC", passage).translate(_INVISIBLE)
+    if ":" in s:
+        s = _SPEAKER.sub("", s)
+    s = _SPELLED.sub(_squeeze, s)
     low = s.lower()
-    low = _LEETED.sub(_deleet, low) if low == s or not _ID.search(s) else _LEETED.sub(_deleet, _ID.sub("#", s).lower())
-    low = _ID.sub("#", low)
-    words = []
-    for w in low.split():
-        if _LATIN.search(w) and _OTHER.search(w):
-            w = w.translate(LOOKALIKES)
-        words.append(w)
-    return _SAME.sub(r"\1", " ".join(words))
+    if low != s and _ID_SIGN.search(s) and (masked := _ID.sub("#", s)) != s:
+        low = masked.lower()
+    if _LEET_SIGN.search(low):
+        low = _LEETED.sub(_deleet, low)
+    if _ID_SIGN.search(low):
+        low = _ID.sub("#", low)
+    words = low.split()
+    if not plain and _OTHER.search(low):
+        words = [w.translate(LOOKALIKES) if _LATIN.search(w) and _OTHER.search(w) else w for w in words]
+    low = " ".join(words)
+    return _SAME.sub(r"\1", low)
 
 
 def passages(text: str | None) -> list[str]:
@@ -98,23 +131,29 @@ def _hash(s: str) -> int:
     return crc32(s.encode("utf-8", "surrogatepass")) % DIMENSIONS
 
 
+@lru_cache(maxsize=200_000)
+def _word_features(w: str) -> frozenset[int]:
+    """The features a word has by itself: the word, and its character groups."""
+    out = {_hash("w" + w)}
+    if _WIDE.search(w):
+        out.update(_hash("z" + w[i : i + n]) for n in (2, 3, 4) for i in range(len(w) - n + 1))
+    elif len(w) > 3:
+        x = f"<{w}>"
+        out.update(_hash("c" + x[i : i + 4]) for i in range(len(x) - 3))
+    return frozenset(out)
+
+
 def features(form: str) -> np.ndarray:
     """Distinct hashed features of a normalised passage."""
     words = _WORD.findall(form)
-    out = {_hash("w" + w) for w in words}
+    out: set[int] = set().union(*map(_word_features, words))
     out.update(_hash("b" + a + " " + b) for a, b in zip(["^", *words], [*words, "$"]))
     out.update(_hash("s" + a + " " + b) for a, b in zip(words, words[2:]))
-    for w in words:
-        if _WIDE.search(w):
-            out.update(_hash("z" + w[i : i + n]) for n in (2, 3, 4) for i in range(len(w) - n + 1))
-        elif len(w) > 3:
-            x = f"<{w}>"
-            out.update(_hash("c" + x[i : i + 4]) for i in range(len(x) - 3))
     return np.fromiter(out, np.int64, len(out))
 
 
 def swaps(form: str, n: int = 3) -> list[str]:
-    """The passage with the group it names replaced by others of the same language."""
+    """The passage with each group it names replaced by n others of the same language and word form."""
     out = []
     for w in _WORD.findall(form):
         group = _GROUP_OF.get(w)
@@ -122,12 +161,15 @@ def swaps(form: str, n: int = 3) -> list[str]:
             at = group.index(w)
             step = max(1, len(group) // (n + 1))
             out += [re.sub(rf"(?<!\w){re.escape(w)}(?!\w)", group[(at + step * (i + 1)) % len(group)], form) for i in range(n)]
-    return out[: 2 * n]
+    for at, w in enumerate(IDENTITIES_WIDE):
+        if w in form:
+            out += [form.replace(w, IDENTITIES_WIDE[(at + 3 * (i + 1)) % len(IDENTITIES_WIDE)]) for i in range(n)]
+    return out
 
 
 class _Matrix:
-    def __init__(self, rows: list[np.ndarray]):
-        self.n = len(rows)
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.n, self.width = len(rows), width
         size = np.array([len(r) for r in rows], np.int64)
         self.row = np.repeat(np.arange(self.n), size)
         self.filled = np.flatnonzero(size)
@@ -142,7 +184,7 @@ class _Matrix:
         return out
 
     def t_dot(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, r[self.row] * self.value, DIMENSIONS)
+        return np.bincount(self.col, r[self.row] * self.value, self.width)
 
 
 @dataclass
@@ -151,24 +193,28 @@ class Model:
     bias: float
     threshold: float
 
+    def scores(self, forms: list[str]) -> np.ndarray:
+        """The score of each normalised passage; passages without features score 0."""
+        feats = [features(f) for f in forms]
+        size = np.array([len(f) for f in feats], np.int64)
+        out = np.zeros(len(forms))
+        some = np.flatnonzero(size)
+        if len(some):
+            sums = np.add.reduceat(self.weights[np.concatenate(feats)].astype(float), (np.cumsum(size) - size)[some])
+            out[some] = 1 / (1 + np.exp(-(sums / np.sqrt(size[some]) + self.bias)))
+        return out
+
     def score(self, form: str) -> float:
-        f = features(form)
-        if not len(f):
-            return 0.0
-        return float(1 / (1 + np.exp(-(self.weights[f].sum() / np.sqrt(len(f)) + self.bias))))
-
-    def document(self, text: str | None, known: dict[str, float]) -> float:
-        worst = 0.0
-        for p in passages(text):
-            s = known.get(p)
-            if s is None:
-                form = normalise(p)
-                s = known.get("\0" + form)
-                if s is None:
-                    s = known["\0" + form] = self.score(form)
-                known[p] = s
-            worst = max(worst, s)
-        return worst
+        return float(self.scores([form])[0])
+
+    def documents(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
+        """The score of each text's worst passage. known: scores of passages and forms met before."""
+        cut = [passages(t) for t in texts]
+        form_of = {p: normalise(p) for p in {p for ps in cut for p in ps if p not in known}}
+        new = list({f for f in form_of.values() if "\0" + f not in known})
+        known.update(("\0" + f, x) for f, x in zip(new, self.scores(new).tolist()))
+        known.update((p, known["\0" + f]) for p, f in form_of.items())
+        return np.array([max((known[p] for p in ps), default=0.0) for ps in cut], float)
 
 
 def _descend(x: _Matrix, y: np.ndarray, weight: np.ndarray, a: _Matrix, b: _Matrix, fairness: float, ridge: float, steps: int, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
@@ -200,10 +246,17 @@ def train(docs: list[tuple[list[str], int]], fairness: float = 0.3, ridge: float
         (bad if y else clean)[own] += 1
     if not bad.any():
         return np.zeros(DIMENSIONS), -20.0
+    # every swapped passage's features too; only the columns that occur are trained
+    named = {i: swaps(f) for i, f in enumerate(forms)}
+    swapped = {s: features(s) for own in named.values() for s in own}
     feats = [features(f) for f in forms]
-    x = _Matrix(feats)
+    columns = np.unique(np.concatenate([*feats, *swapped.values(), np.zeros(0, np.int64)]))
+    feats = [np.searchsorted(columns, f) for f in feats]
+    swapped = {s: np.searchsorted(columns, f) for s, f in swapped.items()}
+    width = len(columns)
+    x = _Matrix(feats, width)
     # first belief: how much more often a passage's features stand in abusive documents than in clean ones
-    seen = np.zeros((2, DIMENSIONS))
+    seen = np.zeros((2, width))
     for own, (_, y) in zip(ids, docs):
         if len(own):
             seen[y, np.unique(np.concatenate([feats[i] for i in own]))] += 1
@@ -211,27 +264,31 @@ def train(docs: list[tuple[list[str], int]], fairness: float = 0.3, ridge: float
     odds = np.log((seen[1] + 0.3) / (n_bad + 1)) - np.log((seen[0] + 0.3) / (len(docs) - n_bad + 1))
     belief = np.array([1 / (1 + np.exp(-1.5 * odds[f].mean())) if len(f) else 0.0 for f in feats])
     belief = np.where(clean > bad, 0.0, np.maximum(belief, 1e-3))
-    w, bias = np.zeros(DIMENSIONS), -2.0
+    w, bias = np.zeros(width), -2.0
     for turn in range(rounds):
-        blame = np.zeros(len(forms))
+        blame, worst = np.zeros(len(forms)), np.zeros(len(forms), bool)
         for own, (_, y) in zip(ids, docs):
             if y and len(own):
                 share = belief[own] ** 2 * (belief[own] >= 0.5 * belief[own].max())
                 blame[own] += share / share.sum() if share.sum() > 0 else 0
+                worst[own[belief[own].argmax()]] = True
         blame = np.where(clean > bad, 0, blame)
         # more copies of one sentence teach little more
         weight_bad, weight_clean = np.where(blame <= 1, blame, np.sqrt(blame)), clean**0.5
-        weight_bad = np.where(blame > 0.2, weight_bad, 0)
+        # small shares teach little, but every abusive document keeps its worst passage
+        weight_bad = np.where((blame > 0.2) | worst, weight_bad, 0)
         rows = np.concatenate((np.flatnonzero(weight_bad), np.flatnonzero(weight_clean)))
         y = np.concatenate((np.ones((weight_bad > 0).sum()), np.zeros((weight_clean > 0).sum())))
         weight = np.concatenate((weight_bad[weight_bad > 0], weight_clean[weight_clean > 0]))
         weight[y == 1] *= max(1.0, min(2.0, weight[y == 0].sum() / max(weight[y == 1].sum(), 1e-9)))
-        named = [(i, s) for i in np.unique(rows) for s in swaps(forms[i])]
-        a, b = _Matrix([feats[i] for i, _ in named]), _Matrix([features(s) for _, s in named])
-        w, bias = _descend(_Matrix([feats[i] for i in rows]), y, weight, a, b, fairness, ridge, steps if turn == 0 else steps // 2, w, bias)
+        both = [(i, s) for i in np.unique(rows) for s in named[i]]
+        a, b = _Matrix([feats[i] for i, _ in both], width), _Matrix([swapped[s] for _, s in both], width)
+        w, bias = _descend(_Matrix([feats[i] for i in rows], width), y, weight, a, b, fairness, ridge, steps if turn == 0 else steps // 2, w, bias)
         belief = 1 / (1 + np.exp(-(x.dot(w) + bias)))
         belief = np.where(clean > bad, 0.0, np.maximum(belief, 1e-3))
-    return w, bias
+    out = np.zeros(DIMENSIONS)
+    out[columns] = w
+    return out, bias
 
 
 def fit(docs: list[tuple[int, str, int]], **how: float) -> Model:
@@ -244,12 +301,10 @@ def fit(docs: list[tuple[int, str, int]], **how: float) -> Model:
         score = np.zeros(len(ready))
         for f in (0, 1):
             w, bias = train([d for d, k in zip(ready, fold) if k != f], **how)
-            part = Model(w, bias, 0.5)
-            known: dict[str, float] = {}
-            for i in np.flatnonzero(fold == f):
-                for p in ready[i][0]:
-                    if p not in known:
-                        known[p] = part.score(p)
+            own = np.flatnonzero(fold == f)
+            forms = list({p for i in own for p in ready[i][0]})
+            known = dict(zip(forms, Model(w, bias, 0.5).scores(forms).tolist()))
+            for i in own:
                 score[i] = max((known[p] for p in ready[i][0]), default=0.0)
         order = np.argsort(-score, kind="stable")
         hits = np.cumsum(truth[order])
@@ -278,9 +333,9 @@ class AbuseClassifier:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, known = shared.value, {}
             for b in batches:
-                s = np.array([model.document(t, known) for t in b.column(2).to_pylist()], float)
                 if len(known) > 300_000:
                     known.clear()
+                s = model.documents(b.column(2).to_pylist(), known)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array(s >= model.threshold)], ["doc_id", "source", "score", "flagged"])
 
         kind = dict(self.documents.dtypes)["doc_id"]
