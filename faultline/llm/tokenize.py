@@ -1,10 +1,15 @@
-"""Problem 6: the whole corpus encoded with a public byte-level BPE, by merge replay over an inverted index.
+"""Problem 6: the whole corpus encoded with a public byte-level BPE, by merge replay over a corpus-level inverted index.
 
-Documents are cut into the vocabulary's word pieces, and each distinct piece of a slice of the corpus is
-encoded once. An inverted index maps every pair of neighbouring tokens to the places where it stands in
-those pieces; a heap yields the pairs in rank order; each merge is applied to all its places at once and
-touches only the neighbours of those places. Nothing is shuffled: a slice is what one task reads, taken
-in blocks of bounded size, and pieces of earlier blocks stay known up to a fixed number.
+Documents are cut into the vocabulary's word pieces once. A block (a few thousand documents) keeps its documents as
+references into its own dictionary of distinct pieces. The dictionaries of all blocks are brought together by piece, so that a
+piece is in one partition of the index, whatever number of documents holds it, and is encoded once for the corpus. There
+an inverted index maps every pair of neighbouring tokens to the places where it stands in the partition's
+pieces; a heap yields the pairs in rank order; each merge is applied to all its places at once and
+touches only the neighbours of those places. Merges never cross pieces, so the partitions of the index do not
+depend on each other. The ids go back to the blocks that asked for them, one row per block and distinct piece; a piece that stands
+everywhere has a row per block, not per occurrence.
+
+The vocabulary is read on the driver and shipped with the job.
 
 Defined results: a null text and an empty text give an empty list; the spelling of a special token in a
 text is ordinary text; lone surrogates cannot occur in a Spark string. A piece of any length is
@@ -15,26 +20,41 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from faultline.session import shuffle_partitions, spread, written
+
 #: Public pre-tokenisation pattern of this family of vocabularies; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER_DIR = "/opt/tokenizers"
-BLOCK_CHARS = 8_000_000
-KNOWN_PIECES = 400_000
+#: Characters of a block of documents, and bytes of pieces in one part of the index.
+BLOCK_CHARS = 4_000_000
+INDEX_BYTES = 8_000_000
+
+
+def load_ranks(data: bytes) -> dict[bytes, int]:
+    """The ranks of a vocabulary file: a token in base64 and its rank on each line."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+
 
+_TABLES: dict[bytes, MergeTable] = {}
 
-@lru_cache(maxsize=4)
-def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+def merge_table(data: bytes) -> MergeTable:
+    """One table per worker process and vocabulary."""
+    key = data[:64] + len(data).to_bytes(8)
+    if key not in _TABLES:
+        _TABLES[key] = MergeTable(load_ranks(data))
+    return _TABLES[key]
 
 
 class MergeTable:
@@ -55,11 +75,6 @@ class MergeTable:
         return known[pair]
 
 
-@lru_cache(maxsize=4)
-def merge_table(path: str) -> MergeTable:
-    return MergeTable(load_ranks(path))
-
-
 def replay(pieces: list[bytes], table: MergeTable) -> list[list[int]]:
     """Token ids of each piece. All pieces lie in one array with gaps between them; `after` and `before` link the
     live tokens of a piece; `places` is the inverted index from a pair to the left ends where it stands."""
@@ -116,64 +131,126 @@ def replay(pieces: list[bytes], table: MergeTable) -> list[list[int]]:
     return out
 
 
-class Encoder:
-    """Encodes blocks of texts; distinct pieces are replayed once while they are known."""
-
-    def __init__(self, path: str, known_pieces: int = KNOWN_PIECES):
-        self.table, self.known_pieces = merge_table(path), known_pieces
-        self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, list[int]] = {}
+def vocabulary(folder: str, tokenizer: str) -> bytes:
+    with open(f"{folder}/{tokenizer}.tiktoken", "rb") as f:
+        return f.read()
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        cut = [self.split(t) if t else [] for t in texts]
-        new = list({p for ps in cut for p in ps if p not in self.known})
-        fresh = dict(zip(new, replay([p.encode() for p in new], self.table)))
-        if len(self.known) + len(fresh) > self.known_pieces:
-            old = {p: self.known[p] for ps in cut for p in ps if p in self.known}
-            self.known = old
-        self.known.update(fresh)
-        known = self.known
-        return [[i for p in ps for i in known[p]] for ps in cut]
 
+def _cut(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[pa.RecordBatch]:
+    """Documents as references into their block's dictionary, and the dictionary (rows without references)."""
+    from pyspark import TaskContext
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: int, chars: int) -> Iterator[pa.RecordBatch]:
+    split = regex.compile(PATTERN).findall
+    block = TaskContext.get().partitionId() << 32
     for b in batches:
-        lengths = pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()
-        start = size = 0
-        for i, n in enumerate(lengths):
-            if size and size + n > chars:
-                yield b.slice(start, i - start)
-                start, size = i, 0
-            size += n
-        if len(lengths) > start:
-            yield b.slice(start)
+        for part in _blocks(b, block_chars):
+            index: defaultdict[str, int] = defaultdict()
+            index.default_factory = index.__len__
+            look = index.__getitem__
+            refs = [array("I", map(look, split(t))).tobytes() if t else b"" for t in part.column(1).to_pylist()]
+            n, m = part.num_rows, len(index)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), part.column(0), pa.array(refs, pa.binary()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())], _CUT)
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.nulls(m, part.column(0).type), pa.nulls(m, pa.binary()), pa.array(list(index), pa.string()), pa.array(np.arange(m, dtype=np.int32))], _CUT)
+            block += 1
+
+
+_CUT = ["block", "doc_id", "refs", "piece", "at"]
+
+
+def _blocks(b: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
+    lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+    start = size = 0
+    for i, n in enumerate(lengths):
+        if size and size + n > chars:
+            yield b.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if len(lengths) > start:
+        yield b.slice(start)
+
+
+def _replayed(batches: Iterator[pa.RecordBatch], table: MergeTable, index_bytes: int, count_only: bool) -> Iterator[pa.RecordBatch]:
+    """(block, at, ids) of dictionary rows in order of their pieces: every distinct piece is replayed once."""
+    held: list[tuple[int, int, int]] = []
+    pieces: list[bytes] = []
+    last, size = None, 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        ids = [array("i", x).tobytes() for x in replay(pieces, table)]
+        if count_only:
+            ids = [array("i", (len(x) // 4,)).tobytes() for x in ids]
+        block, at, piece = zip(*held)
+        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(at, pa.int32()), pa.array([ids[i] for i in piece], pa.binary())], ["block", "at", "ids"])
 
-
-def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id and ids of every row of df, in one pass without a shuffle."""
-    path = f"{folder}/{tokenizer}.tiktoken"
-    id_type = df.schema[doc_id].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
-        for b in _blocks(batches, 1, block_chars):
-            ids = enc.encode(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(df[doc_id], df[text]).mapInArrow(run, schema)
-
-
-def sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    for b in batches:
+        for block, at, piece in zip(b.column("block").to_pylist(), b.column("at").to_pylist(), b.column("piece").to_pylist()):
+            if piece != last:
+                if size > index_bytes:
+                    yield from flush()
+                    held, pieces, size = [], [], 0
+                pieces.append(piece.encode())
+                last, size = piece, size + len(piece) + 16
+            held.append((block, at, len(pieces) - 1))
+            if len(held) > 500_000:  # one piece of very many blocks
+                yield from flush()
+                held, pieces, size = [], [pieces[-1]], 0
+    if held:
+        yield from flush()
+
+
+def _ragged(refs: list[bytes], words: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all documents' pieces in a row, offsets of the documents among them)."""
+    at = words.column("at").to_numpy()
+    blobs = words.column("ids").combine_chunks().cast(pa.large_binary())
+    if isinstance(blobs, pa.ChunkedArray):
+        blobs = pa.concat_arrays(blobs.chunks) if blobs.num_chunks else pa.array([], pa.large_binary())
+    bounds = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1] // 4
+    values = np.frombuffer(blobs.buffers()[2] or b"", np.int32)
+    row_of = np.empty(len(at), np.int64)
+    row_of[at] = np.arange(len(at))
+    asked = row_of[np.frombuffer(b"".join(refs), np.uint32)]
+    length = (bounds[1:] - bounds[:-1])[asked]
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
+    where = np.repeat(bounds[asked] - ends[:-1], length) + np.arange(ends[-1])
+    docs = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(r) // 4 for r in refs]))).astype(np.int64)
+    return values[where], ends[docs]
+
+
+def _encoded(df: DataFrame, doc_id: str, text: str, tokenizer: str, folder: str, block_chars: int, index_bytes: int, count_only: bool) -> DataFrame:
+    spark = df.sparkSession
+    kind = df.schema[doc_id].dataType
+    table = spark.sparkContext.broadcast(vocabulary(folder, tokenizer))  # a vocabulary file of fixed size
+    cut_schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("doc_id", kind), T.StructField("refs", T.BinaryType()), T.StructField("piece", T.StringType()), T.StructField("at", T.IntegerType()),
+    ])
+    cut = written(spread(df.select(df[doc_id], df[text])).mapInArrow(lambda it: _cut(it, block_chars), cut_schema))
+    tasks = max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism)
+    dictionary = cut.where("piece is not null").select("block", "at", "piece").repartition(tasks, "piece").sortWithinPartitions("piece")
+    ids = dictionary.mapInArrow(lambda it: _replayed(it, merge_table(table.value), index_bytes, count_only), "block long, at int, ids binary")
+    documents = cut.where("refs is not null").select("block", "doc_id", "refs")
+
+    def back(docs: pa.Table, words: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table({"doc_id": docs.column("doc_id"), name: pa.array([], result)})
+        numbers, bounds = _ragged(docs.column("refs").to_pylist(), words)
+        if count_only:
+            sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(numbers, dtype=np.int64)))[bounds]
+            out = pa.array(np.diff(sums).astype(np.int32))
+        else:
+            out = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(numbers))
+        return pa.table({"doc_id": docs.column("doc_id"), name: out})
+
+    name, result = ("n_tokens", pa.int32()) if count_only else ("ids", pa.list_(pa.int32()))
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField(name, T.IntegerType() if count_only else T.ArrayType(T.IntegerType()))])
+    return documents.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(back, schema)
+
+
+def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, block_chars: int = BLOCK_CHARS, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """doc_id and ids of every row of df."""
+    return _encoded(df, doc_id, text, tokenizer, folder, block_chars, index_bytes, False)
+
+
+def sizes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, block_chars: int = BLOCK_CHARS, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id and n_tokens of every row of df."""
-    path = f"{folder}/{tokenizer}.tiktoken"
-    id_type = df.schema[doc_id].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
-        for b in _blocks(batches, 1, block_chars):
-            n = [len(x) for x in enc.encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], ["doc_id", "n_tokens"])
-
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_tokens", T.IntegerType())])
-    return df.select(df[doc_id], df[text]).mapInArrow(run, schema)
+    return _encoded(df, doc_id, text, tokenizer, folder, block_chars, index_bytes, True)

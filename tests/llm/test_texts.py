@@ -208,10 +208,23 @@ def test_encoding_equals_the_library(spark):
     assert tokenize.encode(df.limit(0)).count() == 0
 
 
-def test_known_pieces_are_bounded():
-    enc = tokenize.Encoder(f"{tokenize.TOKENIZER_DIR}/byte_bpe_50k.tiktoken", known_pieces=5)
-    first = enc.encode(["one two three four five six", None, ""])
-    assert enc.encode(["seven eight nine ten"])[0] and enc.encode(["one two three four five six", None, ""]) == first and first[1:] == [[], []]
+def test_each_piece_is_replayed_once(monkeypatch):
+    """Rows of one piece from many blocks, in parts of the index as small as can be."""
+    import pyarrow as pa
+
+    data = tokenize.vocabulary(tokenize.TOKENIZER_DIR, "byte_bpe_50k")
+    table = tokenize.merge_table(data)
+    seen = []
+    real = tokenize.replay
+    monkeypatch.setattr(tokenize, "replay", lambda pieces, t: seen.extend(pieces) or real(pieces, t))
+    rows = [(b, a, w) for w in sorted(["one", " two", "three", "x" * 70]) for b, a in ((1, 0), (2, 5), (3, 1))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 5])], ["block", "at", "piece"]) for i in range(0, len(rows), 5)]
+    for size in (1, 10**6):
+        seen.clear()
+        out = [r for b in tokenize._replayed(iter(batches), table, size, False) for r in b.to_pylist()]
+        assert len(out) == len(rows) and sorted(seen) == sorted({w.encode() for _, _, w in rows})
+        by = {(b, a, w): r["ids"] for (b, a, w), r in zip(rows, out)}
+        assert all(np.frombuffer(x, np.int32).tolist() == real([w.encode()], table)[0] for (_, _, w), x in by.items())
 
 
 # ---- packing -------------------------------------------------------------------------------------
