@@ -81,9 +81,9 @@ def _bin(plan: LoadPlan, key: str, row: Column) -> tuple[Column, Column]:
 def assign(df: DataFrame, key: str, plan: LoadPlan, spread: Column | None = None) -> DataFrame:
     """Adds _fr_shard and _fr_bin. spread: what picks the shard of a row of a planned key; all columns if none."""
     row = spread if spread is not None else F.struct(*(F.col(f"`{c}`").cast("string") for c, t in df.dtypes if not t.startswith("map")))
-    j = df.join(F.broadcast(_shards(plan, df, key)), F.col(key) == F.col("_fr_key"), "left")
-    shard, b = _bin(plan, key, row)
-    return j.withColumn("_fr_shard", shard).withColumn("_fr_bin", b).drop("_fr_key", "_fr_bins")
+    j = df.withColumn("_fr_row", row).join(F.broadcast(_shards(plan, df, key)), F.col(key) == F.col("_fr_key"), "left")
+    shard, b = _bin(plan, key, F.col("_fr_row"))
+    return j.withColumn("_fr_shard", shard).withColumn("_fr_bin", b).drop("_fr_key", "_fr_bins", "_fr_row")
 
 
 def balanced(df: DataFrame, key: str, plan: LoadPlan | None = None, spread: Column | None = None) -> DataFrame:
@@ -95,25 +95,36 @@ def balanced(df: DataFrame, key: str, plan: LoadPlan | None = None, spread: Colu
 def per_key(df: DataFrame, key: str, partial: list[Column], final: list[Column], plan: LoadPlan | None = None, spread: Column | None = None) -> DataFrame:
     """Per-key results: `partial` aggregates of each (key, shard), then `final` aggregates over a key's shards."""
     rows = balanced(df, key, plan, spread)
-    return rows.groupBy(key, "_fr_bin", "_fr_shard").agg(*partial).groupBy(key).agg(*final)
+    return rows.groupBy("_fr_bin", key, "_fr_shard").agg(*partial).groupBy(key).agg(*final)
 
 
 def join(left: DataFrame, right: DataFrame, key: str, plan: LoadPlan | None = None, spread: Column | None = None, how: str = "inner") -> DataFrame:
     """left joined with right on `key` (inner or left): left's hot keys are cut into shards, and right's rows of
-    those keys are copied to each shard, no further. The shard is part of the join key, so a hot key's rows meet
-    in as many tasks as its load asks for."""
+    those keys are copied to each shard, no further. Both sides are dealt out by the plan's bins, so a task holds the
+    shards packed for it and no second exchange follows."""
     if how not in ("inner", "left"):
         raise ValueError("how is inner or left")
-    plan = plan or plan_load(left, key)
-    a = assign(left, key, plan, spread)
-    copies = F.when(F.col("_fr_bins").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("_fr_bins") - 1))
+    return _joined(left, right, key, plan or plan_load(left, key), spread, how).drop("_fr_shard", "_fr_bin")
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str, plan: LoadPlan, spread: Column | None, how: str) -> DataFrame:
+    a = balanced(left, key, plan, spread)
     b = right.join(F.broadcast(_shards(plan, left, key)), F.col(key) == F.col("_fr_key"), "left")
-    b = b.withColumn("_fr_shard", F.explode(copies)).drop("_fr_key", "_fr_bins")
-    return a.join(b, [key, "_fr_shard"], how).drop("_fr_shard", "_fr_bin")
+    own = F.array(F.struct(F.lit(0).alias("s"), F.pmod(F.xxhash64(key), F.lit(plan.tasks)).cast("int").alias("b")))
+    copies = F.when(F.col("_fr_bins").isNull(), own).otherwise(F.transform("_fr_bins", lambda x, i: F.struct(i.alias("s"), x.alias("b"))))
+    b = b.withColumn("_fr_c", F.explode(copies)).withColumns({"_fr_shard": F.col("_fr_c.s"), "_fr_bin": F.col("_fr_c.b")}).drop("_fr_c", "_fr_key", "_fr_bins")
+    return a.join(b.repartitionById(plan.tasks, F.col("_fr_bin")), ["_fr_bin", key, "_fr_shard"], how)
+
+
+def join_per_key(left: DataFrame, right: DataFrame, key: str, partial: list[Column], final: list[Column], plan: LoadPlan | None = None, spread: Column | None = None, how: str = "inner") -> DataFrame:
+    """Per-key results of a join: `partial` aggregates of each shard where it was joined, `final` ones over a key's shards."""
+    rows = _joined(left, right, key, plan or plan_load(left, key), spread, how)
+    return rows.groupBy("_fr_bin", key, "_fr_shard").agg(*partial).groupBy(key).agg(*final)
 
 
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """The non-null keys that hold at least `share` of df's rows, with their counts."""
     plan = plan_load(df.select(key), key)
-    sums = per_key(df.select(key), key, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n_rows")], plan, F.rand(7))
+    # rows of a key alone are alike, so what spreads them is where they stand
+    sums = per_key(df.select(key), key, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n_rows")], plan, F.monotonically_increasing_id())
     return sums.where(F.col(key).isNotNull() & (F.col("n_rows") >= share * plan.total))

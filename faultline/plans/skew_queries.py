@@ -38,9 +38,9 @@ def p2_selected_runs(spark: SparkSession, d: str) -> DataFrame:
         F.max_by(F.struct("source.repo", "counts.failures"), F.struct("ingestedAt", "counts.attempts", "counts.failures")).alias("r")
     )
     plan = skew.plan_load(table(spark, d, "agreement_selection").select("corpusRunId"), "corpusRunId")
-    j = skew.join(entries, runs, "corpusRunId", plan, F.rand(11))
     partial = [F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("n_ids") >= 0, F.col("n_ids"))).alias("ids"), F.first("r").alias("r")]
-    out = skew.per_key(j, "corpusRunId", partial, [F.sum("n").alias("n_entries"), F.sum("ids").alias("n_failure_ids"), F.first("r").alias("r")], plan, F.rand(13))
+    final = [F.sum("n").alias("n_entries"), F.sum("ids").alias("n_failure_ids"), F.first("r").alias("r")]
+    out = skew.join_per_key(entries, runs, "corpusRunId", partial, final, plan, F.struct("digest", "n_ids", F.monotonically_increasing_id()))
     return out.select("corpusRunId", "n_entries", "n_failure_ids", "r.repo", F.col("r.failures").alias("run_failures"))
 
 
