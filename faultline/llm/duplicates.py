@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import written
+from faultline.session import shuffle_partitions, written
 
 WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _WORD = r"[\p{L}\p{M}\p{N}]++"
@@ -75,27 +75,47 @@ def same_fields(a: Column, b: Column) -> Column:
     return (a.isNull() & b.isNull()) | ((F.size(a) == F.size(b)) & once & (plain | repeats))
 
 
+CONTENT = ("et", "header", "fields")
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """row_id, k1, k2, first_row_id, and the content where it is not that of the fingerprint's first row (first_row_id is null).
+
+    The first row and the size of a fingerprint come from a partial aggregate, so a group of any size arrives as one
+    row per map task. Rows alone in theirs need no second look. Fingerprints of more than a quarter of a task's share
+    (at most four per task) are compared where their rows lie; only the rows of all others move to their first row."""
+    tasks = shuffle_partitions(rows.sparkSession)
+    total = rows.count()  # from the footers of the written table
+    firsts = rows.groupBy("k1", "k2").agg(F.min(F.struct("row_id", *CONTENT)).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    large = F.col("n") * (4 * tasks) > total
+    hot = F.broadcast(firsts.where(large).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("f").alias("hf")))
+    a = rows.join(hot, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
+    known = F.col("hf").isNotNull()
+    a = a.withColumns({"m1": F.when(known, F.xxhash64("row_id")).otherwise(F.col("k1")), "m3": known})
+    cold = firsts.where(~large).select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.lit(False).alias("m3"), "f")
+    j = a.withColumnRenamed("k2", "m2").join(cold, ["m1", "m2", "m3"], "left").withColumnRenamed("m2", "k2")
+    f = F.coalesce("hf", "f")
+    equal = F.col("et").eqNullSafe(f["et"]) & F.col("header").eqNullSafe(f["header"]) & same_fields(F.col("fields"), f["fields"])
+    j = j.withColumn("first_row_id", F.when(f.isNull(), F.col("row_id")).when(equal, f["row_id"]))
+    odd = F.col("first_row_id").isNull()
+    return j.select("row_id", "k1", "k2", "first_row_id", *(F.when(odd, F.col(c)).alias(c) for c in CONTENT))
+
+
 def collapse(df: DataFrame, row_id: str = "rowId", error_type: str = "errorType", message: str = "message") -> DataFrame:
     """One row per input row: row_id, first_row_id (the smallest of its content).
 
-    The group's first row and size come from a partial aggregate, so a group of any size arrives as one
-    row per map task. Members of groups of one need no second look. A member whose content differs from
-    its group's first row (a hash collision) is grouped again by its content in full.
-    """
+    Members whose content is not that of their fingerprint's first row (a collision of hashes) are compared among
+    themselves, again with their first row, until none is left: a turn for each content that shares a fingerprint.
+    Nothing is sorted."""
     rows = fingerprint(written(canonical(df, row_id, error_type, message)))
-    content = ("et", "header", "fields")
-    firsts = (
-        rows.groupBy("k1", "k2").agg(F.min(F.struct("row_id", *content)).alias("f"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").drop("n")
-    )
-    j = rows.join(firsts, ["k1", "k2"], "left")
-    equal = F.col("et").eqNullSafe(F.col("f.et")) & F.col("header").eqNullSafe(F.col("f.header")) & same_fields(F.col("fields"), F.col("f.fields"))
-    j = j.select("row_id", *content, F.when(F.col("f").isNull(), F.col("row_id")).when(equal, F.col("f.row_id")).alias("first_row_id"))
-    odd = j.where(F.col("first_row_id").isNull())
-    key = F.struct("et", "header", F.array_sort("fields").alias("fields"))
-    again = odd.groupBy(key.alias("c")).agg(F.min("row_id").alias("first_row_id"))
-    odd = odd.drop("first_row_id").join(again, key.eqNullSafe(F.col("c"))).select("row_id", "first_row_id")
-    return j.where(F.col("first_row_id").isNotNull()).select("row_id", "first_row_id").unionAll(odd)
+    out = None
+    while True:
+        seen = written(_compared(rows))
+        done = seen.where("first_row_id is not null").select("row_id", "first_row_id")
+        out = done if out is None else out.unionAll(done)
+        rows = seen.where("first_row_id is null").select("row_id", *CONTENT, "k1", "k2")
+        if rows.isEmpty():
+            return out
 
 
 def copies(df: DataFrame, **columns: str) -> DataFrame:
