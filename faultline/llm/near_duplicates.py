@@ -18,9 +18,9 @@ below it that no row above it can be alike need no fingerprints of rare words: s
 rows share such keys, a signature travels with each: a bit per word, from which follows how many words two rows can share
 at most. Pairs that cannot reach the threshold are dropped; no other is.
 
-Crowded keys are split. Keys of CROWD rows or more are found by counts combined per task, and each is dealt out over cells
-of two blocks of its rows, each cell a key of its own, with signatures; so the largest group a task compares has 2 CROWD rows,
-and a hot key's work is shared by as many tasks as it has pairs of blocks.
+Crowded keys are split. Keys of many rows are found by counts combined per task. Variants of BUSY rows or more carry
+signatures too, and a key of CROWD rows or more is dealt out over cells of two blocks of its rows, each cell a key of its own; so the
+largest group a task compares has 2 CROWD rows, and a hot key's work is shared by as many tasks as it has pairs of blocks.
 
 Texts are read once; words are 40-bit hashes from then on. Rows with the same set of words are one class: a class is hashed
 once per task, whatever its number of copies, and the pairs of classes are expanded to rows at the end, for results that ask for
@@ -49,8 +49,8 @@ ALWAYS_INFORMATIVE = 200
 LEAST_RARE = 0.56
 CLOSE_FUNCTIONS, CLOSE_WORDS = 22, 3
 SIGNATURE, COMMON_BITS = 8, 384
-WORD_BYTES = 5
-CROWD, MOST_HOT, LEAST_NOTED = 4096, 100_000, 8
+WORD_BYTES, NAME_BYTES = 5, 6
+BUSY, CROWD, MOST_HOT, LEAST_NOTED = 1024, 16_384, 100_000, 8
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORDCHAR = np.zeros(256, bool)
@@ -164,8 +164,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = h >> np.uint64(64 - 8 * WORD_BYTES)
         count, bounds = _per_row(row, batch.num_rows)
         one, two = _set_ids(h, bounds)
+        one = (one.view(np.uint64) >> np.uint64(64 - 8 * NAME_BYTES)).view(np.int64)
         own = _unseen(one, count, seen)
-        packed = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+        packed = _bytes(h.view(np.int64), WORD_BYTES)
         blobs: list[bytes | None] = [None] * batch.num_rows
         for i in own:
             blobs[i] = packed[WORD_BYTES * bounds[i] : WORD_BYTES * bounds[i + 1]]
@@ -197,16 +198,25 @@ def _unseen(ids: np.ndarray, count: np.ndarray, seen: set[int]) -> np.ndarray:
     return np.array(own, np.int64)
 
 
+def _bytes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of 64-bit numbers."""
+    return np.ascontiguousarray(x).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _numbers(blob: bytes, width: int) -> np.ndarray:
+    x = np.zeros((len(blob) // width, 8), np.uint8)
+    x[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    return x.view("<i8").ravel()
+
+
 class _Sets:
     """The word sets of some rows side by side: row of each word, words, and each row's share of them."""
 
     def __init__(self, blobs: pa.Array):
         arr = blobs.cast(pa.large_binary())
         at = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
-        raw = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(-1, WORD_BYTES)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :WORD_BYTES] = raw
-        self.words = wide.view("<u8").ravel()
+        raw = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        self.words = _numbers(raw.tobytes(), WORD_BYTES).view(np.uint64)
         self.bounds = (at - at[0]) // WORD_BYTES
         self.count = np.diff(self.bounds)
         self.row = np.repeat(np.arange(len(arr)), self.count)
@@ -318,24 +328,26 @@ def _entries(s: _Sets, plan: Plan) -> Iterator[tuple[bool, np.ndarray, np.ndarra
 
 def _crowded(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
     """Keys held by at least LEAST_NOTED rows of a block, with the numbers of them."""
-    held: list[np.ndarray] = []
+    held: dict[bool, list[np.ndarray]] = {False: [], True: []}
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= LEAST_NOTED
-        if often.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(n[often])], ["key", "n"])
+        for close, keys in held.items():
+            if keys:
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                often = n >= LEAST_NOTED
+                if often.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), close)), pa.array(key[often].view(np.int64)), pa.array(n[often])], ["close", "key", "n"])
+            keys.clear()
 
     for _, s in _distinct(batches):
-        for _, _, key, _ in _entries(s, plan):
-            held.append(key)
+        for close, _, key, _ in _entries(s, plan):
+            held[close].append(key)
             size += len(key)
         if size > 4_000_000:
             yield from flush()
-            held, size = [], 0
-    if held:
-        yield from flush()
+            size = 0
+    yield from flush()
 
 
 def _dealt(key: np.ndarray, ids: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -371,7 +383,7 @@ def _emit(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBa
         full = np.flatnonzero(np.diff(ends))
         for some in np.array_split(full, len(full) // 32 + 1):
             own = [order[ends[b] : ends[b + 1]] for b in some]
-            blobs = [[x[o].tobytes() for o in own] for x in (key.astype(np.uint32), c, extra)]
+            blobs = [[key[o].astype(np.uint32).tobytes() for o in own], [_bytes(c[o], NAME_BYTES) for o in own], [extra[o].tobytes() for o in own]]
             cols = [pa.array(some.astype(np.int32)), pa.array([signed] * len(some), pa.bool_()), *(pa.array(x, pa.binary()) for x in blobs)]
             yield pa.RecordBatch.from_arrays(cols, ["bucket", "signed", "v", "c", "x"])
 
@@ -398,7 +410,7 @@ def _emit(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBa
 def _unpacked(rows: list[tuple], width: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, classes and extras in order of key and class, each pair of the two once (with each of its marks)."""
     v = np.concatenate([np.frombuffer(r[0], np.uint32) for r in rows])
-    c = np.concatenate([np.frombuffer(r[1], np.int64) for r in rows])
+    c = np.concatenate([_numbers(r[1], NAME_BYTES) for r in rows])
     x = np.concatenate([np.frombuffer(r[2], kind).reshape(-1, width) for r in rows])
     order = np.lexsort((c, v))
     v, c, x = v[order], c[order], x[order]
@@ -498,12 +510,6 @@ def _possible(candidates: DataFrame, sets: DataFrame, plan, threshold: float) ->
     return j.where(shared >= threshold / (1 + threshold) * (size("a") + size("b")) - 1e-6).select("a", "b").distinct()
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    x = np.zeros((len(blob) // WORD_BYTES, 8), np.uint8)
-    x[:, :WORD_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, WORD_BYTES)
-    return x.view("<u8").ravel()
-
-
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -513,7 +519,7 @@ def _verify(threshold: float):
                 if min(p, q) < threshold * max(p, q):
                     sims.append(0.0)
                     continue
-                both = np.concatenate((_unpack(x), _unpack(y)))
+                both = np.concatenate((_numbers(x, WORD_BYTES), _numbers(y, WORD_BYTES)))
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 sims.append(shared / (p + q - shared))
@@ -529,7 +535,7 @@ class NearDuplicates:
     """classes: (row_id, c1, c2) of every row with words; pairs: (a1, a2, b1, b2, similarity) of all pairs of different
     classes at or above the threshold, a before b."""
 
-    def __init__(self, df: DataFrame, row_id: str, text: str, threshold: float, common: float = COMMON, crowd: int = CROWD):
+    def __init__(self, df: DataFrame, row_id: str, text: str, threshold: float, common: float = COMMON, busy: int = BUSY, crowd: int = CROWD):
         spark = df.sparkSession
         rows = spread(df.select(F.col(row_id).cast("long").alias("row_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text")))
         scan = written(rows.mapInArrow(_scan, "kind byte, a long, b long, c long, words binary"))
@@ -542,10 +548,10 @@ class NearDuplicates:
         none = np.zeros(0, np.int64)
         plan = Plan(frequent, none.view(np.uint64), none, threshold)
         least = spark.sparkContext.broadcast(plan)
-        # a key has at most total * (entries per row) / crowd equals, and no more than MOST_HOT are asked for
-        crowd = max(crowd, total * (FUNCTIONS * WORDS + CLOSE_FUNCTIONS) // MOST_HOT)
-        hot = sets.select("c1", "words").mapInArrow(lambda it: _crowded(it, least.value), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= crowd)
-        hot = sorted((int(np.int64(r.key).view(np.uint64)), r.n) for r in hot.collect())
+        # fewer than total * (entries per row) / n keys can have n rows, and no more than MOST_HOT are asked for
+        busy, crowd = (max(n, total * (FUNCTIONS * WORDS + CLOSE_FUNCTIONS) // MOST_HOT) for n in (busy, crowd))
+        hot = sets.select("c1", "words").mapInArrow(lambda it: _crowded(it, least.value), "close boolean, key long, n long").groupBy("close", "key").agg(F.sum("n").alias("n"))
+        hot = sorted((int(np.int64(r.key).view(np.uint64)), r.n) for r in hot.where(F.col("n") >= F.when(F.col("close"), crowd).otherwise(busy)).collect())
         # a bucket holds some hundred thousand entries
         buckets = max(shuffle_partitions(spark), total * (FUNCTIONS * WORDS + 8 * CLOSE_FUNCTIONS) // 800_000 + 1)
         plan = Plan(frequent, np.array([k for k, _ in hot], np.uint64), np.array([-(-n // crowd) for _, n in hot], np.int64), threshold, buckets)

@@ -126,7 +126,7 @@ def test_crowded_keys_are_split_and_keep_their_links(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(3)
     sets = [words(t) for t in texts]
     want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])}
-    near = near_duplicates.NearDuplicates(df, "id", "body", 0.7, crowd=32)
+    near = near_duplicates.NearDuplicates(df, "id", "body", 0.7, busy=16, crowd=32)
     got = [(r.row_id_a, r.row_id_b) for r in near.row_pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 30_000
 
