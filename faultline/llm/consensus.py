@@ -1,17 +1,24 @@
 """Problem 4: consensus of several labelers, by minimax conditional entropy.
 
-A labeler i who sees an item j of true category c answers k with probability proportional to
+A labeler i who sees an item j of true class c answers k with probability proportional to
 exp(sigma_i(c, k) + tau_j(c, k)): one tilting table per labeler and one per item, both with a quadratic
 penalty. The dual is climbed one coordinate block at a time: each pass over the items finds every item's
 posterior and its tau for the present sigma (nothing is kept per item between passes), adds up the
-gradient and curvature of every sigma, and takes one damped Newton step per coordinate. A pass is one
-scan of the items; what comes back is one table per labeler, combined per task before the shuffle.
-
-Root causes: labelers' group names mean something only within one run, so a labeler is described by how
-often they put two failures of one cause together and two of different causes together. A run's consensus
-grouping maximises the sum of those log-likelihood ratios, and of the ratio that the posteriors of two
-failures' categories give, by moving failures between groups; the two rates of each labeler come from
-contingency counts, not from pairs. Failures of one cause share a category, whose posterior is then pooled.
+gradient and curvature of every sigma, and takes one damped Newton step per coordinate, until no
+coordinate moves by more than `tolerance`. A pass is one scan of the items; what comes back is one table per labeler, combined per
+task before the shuffle.
+
+For categories, an item is a failure and a class a category. Failures with the same votes have the same posterior, so
+the model runs over the distinct sets of votes of the whole corpus, with their numbers.
+
+For root causes, group names mean something only within one run, so an item is a pair of failures of a run, its classes are
+"same cause" and "other cause", and a labeler's answer is whether they put the two together. Failures of a run with the same
+statements are one node, counted where they lie, so what a task holds of a run is its distinct statements, however many
+failures it has; copies weigh as many pairs as they stand for. Posteriors of pairs need not agree
+with each other: a run's consensus grouping is the partition that collects the most log-odds (all partitions of up to four
+nodes are tried, larger runs are climbed by moving nodes and joining groups until nothing gains), with
+the ratio that the posteriors of two failures' categories give; it is the class of each pair in the next step of
+the tilts. Failures of one cause share a category, whose posterior is then pooled.
 
 Agreement is reported apart from the model: Krippendorff's alpha for categories and the share of failure
 pairs grouped alike for groups.
@@ -19,17 +26,17 @@ pairs grouped alike for groups.
 Defined results: names of labelers are compared without case and outer blanks; of repeated or earlier
 sittings of a labeler (same run, context and failure) the latest counts, ties to the greatest label;
 spellings of a category are compared by their letters, and unknown or null ones are no vote; a null or
-blank group is no statement on grouping; failures with fewer than `least` labelers get no consensus.
+blank group is no statement on grouping; failures with fewer than `least` labelers get no consensus; a failure without any
+category vote has all categories alike. More than MAX_LABELERS labelers are an error, as there is a table of each on every task.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +49,8 @@ CATEGORIES = (
 )
 K = len(CATEGORIES)
 MAX_LABELERS = 50_000
+#: How much two failures' categories count beside what labelers say of their groups.
+TILT = 0.7
 
 
 def votes(run_labels: DataFrame) -> DataFrame:
@@ -58,7 +67,7 @@ def votes(run_labels: DataFrame) -> DataFrame:
 
 
 class Entropy:
-    """The model: sigma by labeler name, and the prior of the categories."""
+    """The model: sigma by labeler, and the prior of the classes."""
 
     def __init__(self, labelers: list[str], k: int, item_penalty: float):
         self.index = {n: i for i, n in enumerate(labelers)}
@@ -68,312 +77,380 @@ class Entropy:
         self.item_penalty = item_penalty
 
     def posteriors(self, item: np.ndarray, who: np.ndarray, said: np.ndarray, n: int, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """(posterior of each item, answer probabilities of each vote): tau starts at 0 and follows the posterior."""
+        """(posterior of each item, answer probabilities of each vote): tau starts at 0 and follows the posterior. Votes lie in
+        the order of their items, and every item has one."""
         k = self.sigma.shape[1]
-        tau = np.zeros((n, k, k))
-        count = np.bincount(item, minlength=n)
-        rows = np.arange(len(item))
+        if not n:
+            return np.zeros((0, k)), np.zeros((0, k, k))
+        start = np.searchsorted(item, np.arange(n))
+        count = np.diff(np.append(start, len(item)))[:, None, None]
+        tau, rows = np.zeros((n, k, k)), np.arange(len(item))
         for r in range(rounds + 1):
             logit = self.sigma[who] + tau[item]
-            logit -= logit.max(axis=2, keepdims=True)
-            p = np.exp(logit)
+            p = np.exp(logit - logit.max(axis=2, keepdims=True))
             p /= p.sum(axis=2, keepdims=True)
-            log_q = np.tile(np.log(self.prior), (n, 1))
-            np.add.at(log_q, item, np.log(p[rows, :, said]))
-            log_q -= log_q.max(axis=1, keepdims=True)
-            q = np.exp(log_q)
+            log_q = np.log(self.prior) + np.add.reduceat(np.log(np.maximum(p[rows, :, said], 1e-300)), start)
+            q = np.exp(log_q - log_q.max(axis=1, keepdims=True))
             q /= q.sum(axis=1, keepdims=True)
             if r == rounds:
                 return q, p
             miss = -p
             miss[rows, :, said] += 1
-            grad = np.zeros((n, k, k))
-            np.add.at(grad, item, miss)
-            grad = grad * q[:, :, None] - self.item_penalty * tau
-            tau += grad / (0.25 * count[:, None, None] * q[:, :, None] + self.item_penalty)
+            grad = np.add.reduceat(miss, start) * q[:, :, None] - self.item_penalty * tau
+            tau += grad / (0.25 * count * q[:, :, None] + self.item_penalty)
         raise AssertionError
 
+    def sums(self, who: np.ndarray, said: np.ndarray, p: np.ndarray, w: np.ndarray) -> dict[int, np.ndarray]:
+        """Gradient and curvature of sigma for each labeler here; w: the weight of each vote under each class."""
+        if not len(who):
+            return {}
+        miss = -p
+        miss[np.arange(len(who)), :, said] += 1
+        both = np.concatenate((w[:, :, None] * miss, w[:, :, None] * p * (1 - p)), axis=1).reshape(len(who), -1)
+        order = np.argsort(who, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(who[order]) > 0)))
+        return dict(zip(who[order][first].tolist(), np.add.reduceat(both[order], first)))
 
-def _arrays(b: pa.RecordBatch, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    who_col, said_col = b.column("who"), b.column("said")
-    length = np.array([len(x) for x in who_col], np.int64)
-    item = np.repeat(np.arange(b.num_rows), length)
-    who = np.array([index[w] for x in who_col.to_pylist() for w in x], np.int64)
-    said = np.array([s for x in said_col.to_pylist() for s in x], np.int64)
-    return item, who, said
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, 2000):
-            yield b.slice(i, 2000)
 
+class _Sums:
+    """What a task adds up: a table per labeler met, and the mass of the classes under a null name."""
 
-def _gradients(batches: Iterator[pa.RecordBatch], model: Entropy) -> Iterator[pa.RecordBatch]:
-    """Per task: for each labeler the sums of gradient, curvature; and, under a null name, the posterior mass."""
-    shape = model.sigma.shape
-    grad, curve, mass, votes_of = np.zeros(shape), np.zeros(shape), np.zeros(shape[1]), np.zeros(shape[0])
-    for b in _slices(batches):
-        item, who, said = _arrays(b, model.index)
-        q, p = model.posteriors(item, who, said, b.num_rows)
-        w = q[item][:, :, None]
-        np.add.at(curve, who, w * p * (1 - p))
-        miss = -p
-        miss[np.arange(len(item)), :, said] += 1
-        np.add.at(grad, who, w * miss)
-        np.add.at(votes_of, who, 1)
-        mass += q.sum(axis=0)
-    names = [n for n, i in model.index.items() if votes_of[i]]
-    rows = [np.concatenate((grad[model.index[n]].ravel(), curve[model.index[n]].ravel())).tolist() for n in names]
-    yield pa.RecordBatch.from_arrays([pa.array([*names, None], pa.string()), pa.array([*rows, mass.tolist()], pa.list_(pa.float64()))], ["labeler", "v"])
+    def __init__(self, model: Entropy):
+        self.model, self.tables, self.mass = model, {}, np.zeros(len(model.prior))
 
+    def add(self, sums: dict[int, np.ndarray], mass: np.ndarray) -> None:
+        for i, v in sums.items():
+            self.tables[i] = self.tables[i] + v if i in self.tables else v
+        self.mass += mass
 
-def _posterior_rows(batches: Iterator[pa.RecordBatch], model: Entropy) -> Iterator[pa.RecordBatch]:
-    for b in _slices(batches):
-        item, who, said = _arrays(b, model.index)
-        q, _ = model.posteriors(item, who, said, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("run_id"), b.column("failure_id"), pa.array(q.tolist(), pa.list_(pa.float64()))], ["run_id", "failure_id", "q"])
+    def batch(self) -> pa.RecordBatch:
+        names = list(self.model.index)
+        rows = [v.tolist() for v in self.tables.values()]
+        return pa.RecordBatch.from_arrays([pa.array([*(names[i] for i in self.tables), None], pa.string()), pa.array([*rows, self.mass.tolist()], pa.list_(pa.float64()))], ["labeler", "v"])
 
 
-def fit(items: DataFrame, labelers: list[str], k: int = K, passes: int = 14, penalty: float = 1.0, item_penalty: float = 4.0) -> Entropy:
-    """items: run_id, failure_id, who array<string>, said array<int>. Sums are added in a fixed order of keys, rounded
-    against the order of tasks."""
-    if len(labelers) > MAX_LABELERS:
-        raise ValueError(f"{len(labelers)} labelers; the model's tables are made for at most {MAX_LABELERS}")
+def fit(items: DataFrame, one_pass: Callable, model: Entropy, passes: int, penalty: float = 1.0, tolerance: float = 0.02, learn_prior: bool = True) -> Entropy:
+    """Climbs until no coordinate moves by more than `tolerance`, `passes` passes at most. one_pass: (batches, model) to sums.
+    Sums are added as decimals, so the order of tasks does not matter."""
     spark = items.sparkSession
-    model = Entropy(labelers, k, item_penalty)
+    k = len(model.prior)
     for _ in range(passes):
-        shared = spark.sparkContext.broadcast(model)
-        parts = items.select("run_id", "failure_id", "who", "said").mapInArrow(lambda it: _gradients(it, shared.value), "labeler string, v array<double>")
+        shared = spark.sparkContext.broadcast(model)  # a table per labeler, at most MAX_LABELERS
+        parts = items.mapInArrow(lambda it: one_pass(it, shared.value), "labeler string, v array<double>")  # noqa: B023
         sums = parts.select("labeler", F.posexplode("v").alias("i", "x")).groupBy("labeler", "i").agg(F.sum(F.round("x", 9).cast("decimal(30,9)")).cast("double").alias("x"))
         sums = sums.groupBy("labeler").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect()  # one row per labeler
-        fresh = Entropy(labelers, k, item_penalty)
+        fresh = Entropy(list(model.index), k, model.item_penalty)
         fresh.sigma, fresh.prior = model.sigma.copy(), model.prior
+        moved = 0.0
         for r in sums:
             v = np.array([x["x"] for x in r.v])
-            if r.labeler is None:
-                fresh.prior = (v + 1) / (v.sum() + k)
-            else:
+            if r.labeler is not None:
                 i = model.index[r.labeler]
                 g, c = v.reshape(2, k, k)
-                step = (g - penalty * model.sigma[i]) / (c + penalty)
-                fresh.sigma[i] += np.clip(step, -1, 1)
+                step = np.clip((g - penalty * model.sigma[i]) / (c + penalty), -1, 1)
+                fresh.sigma[i] += step
+                moved = max(moved, float(np.abs(step).max()))
+            elif learn_prior:
+                fresh.prior = (v + 1) / (v.sum() + k)
         shared.unpersist()
         model = fresh
+        if moved < tolerance:
+            break
     return model
 
 
+def _codes(names: pa.Array, index: dict[str, int]) -> np.ndarray:
+    enc = names.dictionary_encode()
+    return np.array([index[x] for x in enc.dictionary.to_pylist()], np.int64)[enc.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """(length of each list, all values in a row)."""
+    return np.diff(column.offsets.to_numpy()), column.flatten()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], n: int = 2000) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, n):
+            yield b.slice(i, n)
+
+
+def _votes(b: pa.RecordBatch, model: Entropy) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    length, names = _lists(b.column("who"))
+    said = b.column("said").flatten().to_numpy().astype(np.int64)
+    return np.repeat(np.arange(b.num_rows), length), _codes(names, model.index), said
+
+
+def _category_pass(batches: Iterator[pa.RecordBatch], model: Entropy) -> Iterator[pa.RecordBatch]:
+    out = _Sums(model)
+    for b in _slices(batches):
+        item, who, said = _votes(b, model)
+        q, p = model.posteriors(item, who, said, b.num_rows)
+        w = q * b.column("n").to_numpy()[:, None]
+        out.add(model.sums(who, said, p, w[item]), w.sum(axis=0))
+    yield out.batch()
+
+
+def _category_rows(batches: Iterator[pa.RecordBatch], model: Entropy) -> Iterator[pa.RecordBatch]:
+    """The nodes with the posterior of their category."""
+    for b in _slices(batches):
+        item, who, said = _votes(b, model)
+        some, item = np.unique(item, return_inverse=True)
+        q = np.full((b.num_rows, len(model.prior)), 1 / len(model.prior))
+        q[some] = model.posteriors(item, who, said, len(some))[0]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(q.tolist(), pa.list_(pa.float64()))], [*b.schema.names, "q"])
+
+
 # ---- grouping ------------------------------------------------------------------------------------
 
 
-def consensus_groups(g: list[tuple[int, ...]], same: list[float], diff: list[float], q: list[list[float]], prior: list[float], tilt: float) -> list[int]:
-    """Group numbers of failures, each a row of g (its group with every labeler, -1: no statement), by moves that raise
-    the likelihood.
-
-    same, diff: a labeler's log-likelihood ratio for putting two failures together and apart. Failures with the same
-    statements and leading category are one node. The search starts from each labeler's own grouping and from the
-    failures' own categories, and keeps the best end."""
-    n = len(g)
-    if n == 1:
-        return [0]
-    top = [max(range(len(x)), key=x.__getitem__) for x in q]
-    nodes: dict[tuple, list[int]] = {}
-    for i in range(n):
-        nodes.setdefault((*g[i], top[i]), []).append(i)
-    keys, members = list(nodes), list(nodes.values())
-    d, labelers = len(keys), range(len(same))
-    mean = [[sum(q[i][c] for i in m) / len(m) for c in range(len(prior))] for m in members]
-    w = [[0.0] * d for _ in range(d)]
-    for u in range(d):
-        scaled = [a / b for a, b in zip(mean[u], prior)]
-        for v in range(u):
-            x = 0.0
-            ku, kv = keys[u], keys[v]
-            for i in labelers:
-                if ku[i] >= 0 and kv[i] >= 0:
-                    x += same[i] if ku[i] == kv[i] else diff[i]
-            like = sum(a * b for a, b in zip(scaled, mean[v]))
-            x += tilt * min(2.0, max(-2.0, math.log(like) if like > 1e-9 else -2.0))
-            w[u][v] = w[v][u] = x * len(members[u]) * len(members[v])
-    starts = [list(range(d)), _numbered([k[-1] for k in keys])] + [_numbered([k[i] for k in keys]) for i in labelers]
-    best: list[int] = []
-    best_score = -math.inf
-    for start in {tuple(x): None for x in starts}:
-        lab = _climb(w, list(start))
-        score = sum(w[u][v] for u in range(d) for v in range(u) if lab[u] == lab[v])
-        if score > best_score + 1e-9:
-            best, best_score = lab, score
-    out = [0] * n
-    for u, m in enumerate(members):
-        for i in m:
-            out[i] = best[u]
+def _partitions(d: int) -> list[list[int]]:
+    """All partitions of d nodes, as group numbers."""
+    out = [[]]
+    for _ in range(d):
+        out = [[*p, g] for p in out for g in range(max(p, default=-1) + 2)]
     return out
 
 
-def _numbered(col: list[int]) -> list[int]:
-    """A grouping as numbers in order of appearance; entries without a statement stand alone."""
-    seen: dict = {}
-    return [seen.setdefault(("alone", i) if x < 0 else x, len(seen)) for i, x in enumerate(col)]
+_SMALL = {d: np.array(_partitions(d)) for d in range(1, 5)}
+_TOGETHER = {d: p[:, :, None] == p[:, None, :] for d, p in _SMALL.items()}
 
 
-def _climb(w: list[list[float]], lab: list[int]) -> list[int]:
-    """Moves single nodes, then joins whole groups, while either gains."""
+def partition(w: np.ndarray, starts: list[np.ndarray]) -> np.ndarray:
+    """Group numbers that collect the most weight; w is symmetric with an empty diagonal. The first best of all partitions of
+    up to four nodes, else the best end of climbs from `starts`."""
     d = len(w)
-    for _ in range(20):
+    if d <= 4:
+        return _SMALL[d][(_TOGETHER[d] * w).sum(axis=(1, 2)).argmax()]
+    best, best_score = None, -np.inf
+    for start in {tuple(x.tolist()): None for x in starts}:
+        lab = _climb(w, np.array(start))
+        score = w[lab[:, None] == lab[None, :]].sum()
+        if score > best_score + 1e-9:
+            best, best_score = lab, score
+    return best
+
+
+def _climb(w: np.ndarray, lab: np.ndarray) -> np.ndarray:
+    """Moves single nodes, then joins whole groups, while either gains; the sum rises with every step, so it ends."""
+    d = len(w)
+    while True:
         moved = False
         for u in range(d):
-            gain: dict[int, float] = {lab[u]: 0.0}
-            row = w[u]
-            for v in range(d):
-                if v != u:
-                    gain[lab[v]] = gain.get(lab[v], 0.0) + row[v]
-            k = max(gain, key=gain.__getitem__)
-            if gain[k] < 0:
-                k = next(x for x in range(d + 1) if x not in gain or x == lab[u] and sum(y == x for y in lab) == 1)
-            if k != lab[u] and max(gain.get(k, 0.0), 0.0) > gain[lab[u]] + 1e-12:
+            gain = np.bincount(lab, w[u], minlength=d + 1)
+            size = np.bincount(lab, minlength=d + 1)
+            size[lab[u]] -= 1
+            gain[size == 0] = -np.inf
+            gain[np.flatnonzero(size == 0)[0]] = 0.0  # alone
+            k = int(gain.argmax())
+            now = gain[lab[u]] if size[lab[u]] else 0.0
+            if gain[k] > now + 1e-9:
                 lab[u], moved = k, True
-        between: dict[tuple[int, int], float] = {}
-        for u in range(d):
-            for v in range(u):
-                if lab[u] != lab[v]:
-                    pair = (min(lab[u], lab[v]), max(lab[u], lab[v]))
-                    between[pair] = between.get(pair, 0.0) + w[u][v]
-        pair = max(between, key=between.__getitem__, default=None)
-        if pair is not None and between[pair] > 1e-12:
-            lab = [pair[0] if x == pair[1] else x for x in lab]
-            moved = True
+        names, small = np.unique(lab, return_inverse=True)
+        one = np.zeros((d, len(names)))
+        one[np.arange(d), small] = 1
+        between = one.T @ w @ one
+        np.fill_diagonal(between, -np.inf)
+        a, b = divmod(int(between.argmax()), len(names)) if len(names) > 1 else (0, 0)
+        if a != b and between[a, b] > 1e-9:
+            lab, moved = np.where(lab == names[b], names[a], lab), True
         if not moved:
-            break
-    return lab
-
-
-def pair_table(a: list[int], b: list[int]) -> tuple[float, float, float, float]:
-    """Pairs together in both, in a only, in b only, in neither, from contingency counts."""
-    c2 = lambda xs: sum(x * (x - 1) / 2 for x in Counter(xs).values())
-    tp, pa_, pb, n = c2(zip(a, b)), c2(a), c2(b), len(a)
-    return tp, pa_ - tp, pb - tp, n * (n - 1) / 2 - pa_ - pb + tp
-
-
-def _run(rows: list[dict], k: int) -> tuple[list[str], list[str], list[tuple[int, ...]], list[list[float]], list[int]]:
-    """A run's failures, the labeler of each column (one per labeler and context), group numbers, posteriors, and how
-    many labelers each failure has."""
-    fails = sorted({r["failure_id"] for r in rows})
-    at = {f: i for i, f in enumerate(fails)}
-    q = [[1 / k] * k for _ in fails]
-    who: list[set[str]] = [set() for _ in fails]
-    cols: dict[tuple[str, str], dict[int, str]] = {}
-    for r in rows:
-        i = at[r["failure_id"]]
-        who[i].add(r["labeler"])
-        if r["q"] is not None:
-            q[i] = r["q"]
-        if r["grp"] is not None:
-            cols.setdefault((r["labeler"], r["context"]), {})[i] = r["grp"]
-    names = sorted(cols)
-    numbers = []
-    for c in names:
-        index = {x: j for j, x in enumerate(sorted(set(cols[c].values())))}
-        numbers.append([index[cols[c][i]] if i in cols[c] else -1 for i in range(len(fails))])
-    return fails, [c[0] for c in names], list(zip(*numbers)) if numbers else [()] * len(fails), q, [len(x) for x in who]
-
-
-class Rates:
-    """How often a labeler puts together what belongs together, and what doesn't."""
-
-    def __init__(self, table: dict[str, tuple[float, float, float, float]], prior: np.ndarray):
-        self.table, self.prior = table, prior.tolist()
-
-    def ratios(self, labelers: list[str]) -> tuple[list[float], list[float]]:
-        same, diff = [], []
-        for n in labelers:
-            tp, only_truth, only_own, tn = self.table.get(n, (0.0, 0.0, 0.0, 0.0))
-            a, b = (tp + 8) / (tp + only_truth + 10), (only_own + 2) / (only_own + tn + 10)
-            same.append(math.log(a / b))
-            diff.append(math.log((1 - a) / (1 - b)))
-        return same, diff
-
-    def group(self, labelers: list[str], g: list[tuple[int, ...]], q: list[list[float]]) -> list[int]:
-        return consensus_groups(g, *self.ratios(labelers), q, self.prior, 0.7)
-
-
-def _group_counts(batches: Iterator[pa.RecordBatch], rates: Rates) -> Iterator[pa.RecordBatch]:
-    """Per task and labeler: the contingency of their grouping with the consensus, summed over runs."""
-    sums: dict[str, list[float]] = {}
-    for b in batches:
-        for rows in b.column("v").to_pylist():
-            _, labelers, g, q, _ = _run(rows, len(rates.prior))
-            if len(g) < 2:
-                continue
-            truth = rates.group(labelers, g, q)
-            for j, n in enumerate(labelers):
-                has = [i for i in range(len(g)) if g[i][j] >= 0]
-                own = sums.setdefault(n, [0.0] * 4)
-                for i, x in enumerate(pair_table([truth[i] for i in has], [g[i][j] for i in has])):
-                    own[i] += x
-    if sums:
-        cols = list(zip(*sums.values()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), *(pa.array(c, pa.float64()) for c in cols)], ["labeler", "tp", "t", "o", "tn"])
-
-
-def _consensus_rows(batches: Iterator[pa.RecordBatch], rates: Rates, least: int) -> Iterator[pa.RecordBatch]:
-    names = ["run_id", "failure_id", "category", "confidence", "first_of_group", "n_labelers"]
+            return lab
+
+
+class _Runs:
+    """Runs side by side: their nodes, and what was said of each."""
+
+    def __init__(self, b: pa.RecordBatch, index: dict[str, int]):
+        self.per_run, nodes = _lists(b.column("nodes"))
+        self.run = np.repeat(np.arange(b.num_rows), self.per_run)
+        field = lambda n: pc.struct_field(nodes, n)
+        self.n, self.first = field("n").to_numpy(), field("first").to_pylist()
+        self.h1, self.h2 = field("h1"), field("h2")
+        self.q = np.array(field("q").flatten().to_numpy()).reshape(len(nodes), K)
+        length, names = _lists(field("labelers"))
+        at = np.repeat(np.arange(len(nodes)), length)
+        context = field("contexts").flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+        grp = field("groups").flatten()
+        said = np.flatnonzero(grp.is_valid().to_numpy(zero_copy_only=False))
+        code = pc.fill_null(grp.dictionary_encode().indices, -1).to_numpy().astype(np.int64)
+        who = _codes(names, index)
+        # columns of statements: one labeler in one context in one run
+        at, who, context, code = at[said], who[said], context[said], code[said]
+        order = np.lexsort((at, context, who, self.run[at]))
+        self.at, self.who, self.code = at[order], who[order], code[order]
+        key = np.stack((self.run[self.at], self.who, context[order]))
+        self.col = np.cumsum(np.concatenate(([0], (key[:, 1:] != key[:, :-1]).any(axis=0)))) if len(said) else np.zeros(0, np.int64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(u, v) of every pair of nodes that one column has both of, u = v for copies; (item, who, said) of the votes."""
+        total = len(self.run)
+        copied = self.n[self.at] > 1
+        keys, who, said = [self.at[copied] * (total + 1)], [self.who[copied]], [np.ones(int(copied.sum()), np.int64)]
+        for gap in range(1, len(self.at)):
+            x = np.flatnonzero(self.col[gap:] == self.col[:-gap])
+            if not len(x):
+                break
+            keys.append(self.at[x] * total + self.at[x + gap])
+            who.append(self.who[x])
+            said.append((self.code[x] == self.code[x + gap]).astype(np.int64))
+        key, who, said = (np.concatenate(c) for c in (keys, who, said))
+        names, item = np.unique(key, return_inverse=True)
+        order = np.argsort(item, kind="stable")
+        return names // max(1, total), names % max(1, total), item[order], who[order], said[order]
+
+    def groups(self, u: np.ndarray, v: np.ndarray, q: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """The group number of each node within its run."""
+        lab = np.zeros(len(self.run), np.int64)
+        odds = np.log(np.maximum(q[:, 1], 1e-12)) - np.log(np.maximum(q[:, 0], 1e-12)) if len(q) else np.zeros(0)
+        other = u != v
+        u, v, odds = u[other], v[other], odds[other]
+        ends = np.cumsum(self.per_run)
+        scaled, top = self.q / prior, self.q.argmax(axis=1)
+        pair_run, stated = self.run[u], self.run[self.at]
+        for r in np.flatnonzero(self.per_run > 1):
+            lo, hi = ends[r] - self.per_run[r], ends[r]
+            d = hi - lo
+            w = TILT * np.clip(np.log(np.maximum(scaled[lo:hi] @ self.q[lo:hi].T, 1e-9)), -2, 2)
+            own = slice(*np.searchsorted(pair_run, (r, r + 1)))
+            w[u[own] - lo, v[own] - lo] += odds[own]
+            w[v[own] - lo, u[own] - lo] += odds[own]
+            w *= np.outer(self.n[lo:hi], self.n[lo:hi])
+            np.fill_diagonal(w, 0)
+            starts = []
+            if d > 4:
+                starts = [np.arange(d), np.unique(top[lo:hi], return_inverse=True)[1]]
+                s = slice(*np.searchsorted(stated, (r, r + 1)))
+                for c in np.unique(self.col[s]):
+                    mine = self.col[s] == c
+                    start = -1 - np.arange(d)
+                    start[self.at[s][mine] - lo] = self.code[s][mine]
+                    starts.append(np.unique(start, return_inverse=True)[1])
+            lab[lo:hi] = partition(w, starts)
+        return lab
+
+
+def _run_slices(batches: Iterator[pa.RecordBatch], pairs: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Runs of bounded numbers of node pairs together; a larger run alone."""
     for b in batches:
-        out = []
-        for run, rows in zip(b.column("run_id").to_pylist(), b.column("v").to_pylist()):
-            fails, labelers, g, q, who = _run(rows, len(rates.prior))
-            groups: dict[int, list[int]] = {}
-            for i, x in enumerate(rates.group(labelers, g, q)):
-                groups.setdefault(x, []).append(i)
-            for own in groups.values():
-                log_q = [sum(math.log(max(q[i][c], 1e-12)) for i in own) - (len(own) - 1) * math.log(p) for c, p in enumerate(rates.prior)]
-                high = max(log_q)
-                share = 1 / sum(math.exp(x - high) for x in log_q)
-                for i in own:
-                    if who[i] >= least:
-                        out.append((run, fails[i], CATEGORIES[log_q.index(high)], share, fails[own[0]], who[i]))
-        if out:
-            cols = list(zip(*out))
-            kinds = (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        d = np.diff(b.column("nodes").offsets.to_numpy()).astype(float)
+        part = np.floor(np.cumsum(d * d + 50) / pairs).astype(np.int64)
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [b.num_rows]))
+        for i, j in zip(cut[:-1], cut[1:]):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
+def _group_pass(batches: Iterator[pa.RecordBatch], model: Entropy, prior: np.ndarray) -> Iterator[pa.RecordBatch]:
+    out = _Sums(model)
+    for b in _run_slices(batches):
+        runs = _Runs(b, model.index)
+        u, v, item, who, said = runs.pairs()
+        q, p = model.posteriors(item, who, said, len(u))
+        lab = runs.groups(u, v, q, prior)
+        truth = (lab[u] == lab[v]).astype(np.int64)
+        n = runs.n.astype(float)
+        w = np.zeros((len(u), 2))
+        w[np.arange(len(u)), truth] = np.where(u == v, n[u] * (n[u] - 1) / 2, n[u] * n[v])
+        out.add(model.sums(who, said, p, w[item]), w.sum(axis=0))
+    yield out.batch()
+
+
+def _consensus_rows(batches: Iterator[pa.RecordBatch], model: Entropy, prior: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for b in _run_slices(batches):
+        runs = _Runs(b, model.index)
+        u, v, item, who, said = runs.pairs()
+        lab = runs.groups(u, v, model.posteriors(item, who, said, len(u))[0], prior)
+        names, group = np.unique(np.stack((runs.run, lab)), axis=1, return_inverse=True)
+        group = group.ravel()
+        size = np.bincount(group, runs.n, names.shape[1])
+        log_q = np.zeros((names.shape[1], K))
+        np.add.at(log_q, group, runs.n[:, None] * np.log(np.maximum(runs.q, 1e-12)))
+        log_q -= (size - 1)[:, None] * np.log(prior)
+        q = np.exp(log_q - log_q.max(axis=1, keepdims=True))
+        share = q.max(axis=1) / q.sum(axis=1)
+        least: dict[int, str] = {}
+        for g, f in zip(group.tolist(), runs.first):
+            least[g] = min(f, least.get(g, f))
+        cols = [
+            pa.array(np.array(b.column("run_id").to_pylist(), object)[runs.run], pa.string()), runs.h1, runs.h2, pa.array(np.array(CATEGORIES, object)[log_q.argmax(axis=1)[group]], pa.string()),
+            pa.array(share[group]), pa.array([least[g] for g in group.tolist()], pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays(cols, ["run_id", "h1", "h2", "category", "confidence", "first_of_group"])
+
+
+def _pair_agreement(batches: Iterator[pa.RecordBatch], index: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Pairs of failures both of two statements of different labelers grouped, and those grouped alike."""
+    pairs = alike = 0.0
+    for b in _run_slices(batches):
+        runs = _Runs(b, index)
+        u, v, item, who, said = runs.pairs()
+        if len(item):
+            n = runs.n.astype(float)
+            weight = np.where(u == v, n[u] * (n[u] - 1) / 2, n[u] * n[v])
+            # of an item's votes, all pairs by different labelers: all pairs less those of one labeler
+            t, s = np.bincount(item), np.bincount(item, said)
+            key = item * (int(who.max()) + 1) + who
+            names, own = np.unique(key, return_inverse=True)
+            of = names // (int(who.max()) + 1)
+            t1, s1 = np.bincount(own), np.bincount(own, said)
+            both = lambda x: x * (x - 1) / 2
+            pairs += (weight * (both(t) - np.bincount(of, both(t1), len(t)))).sum()
+            alike += (weight * (both(s) + both(t - s) - np.bincount(of, both(s1) + both(t1 - s1), len(t)))).sum()
+    yield pa.RecordBatch.from_arrays([pa.array([float(pairs)]), pa.array([float(alike)])], ["pairs", "alike"])
 
 
 class Consensus:
-    """Fits both models to a label table; `statements`, `model` and `rates` are kept."""
-
-    def __init__(self, run_labels: DataFrame, passes: int = 14, group_passes: int = 4):
-        self.statements = st = written(votes(run_labels))
-        # a (run, failure) has at most two statements of a labeler, so an item is as long as there are labelers
-        said = st.where("category is not null").groupBy("run_id", "failure_id").agg(F.array_sort(F.collect_list(F.struct("labeler", "context", "category"))).alias("v"))
-        tasks = max(shuffle_partitions(run_labels.sparkSession), 2 * run_labels.sparkSession.sparkContext.defaultParallelism)
-        self.items = written(said.select("run_id", "failure_id", F.col("v.labeler").alias("who"), F.col("v.category").alias("said")).repartition(tasks))
-        names = sorted(r.labeler for r in st.select("labeler").distinct().limit(MAX_LABELERS + 1).collect())
-        self.model = fit(self.items, names, passes=passes)
-        shared = run_labels.sparkSession.sparkContext.broadcast(self.model)
-        self.posterior = written(self.items.mapInArrow(lambda it: _posterior_rows(it, shared.value), "run_id string, failure_id string, q array<double>"))
-        self.joined = written(st.join(self.posterior, ["run_id", "failure_id"], "left"))
-        # a run's labels are a few documents, one per labeler and context; many small tasks share them out evenly
-        per_run = self.joined.groupBy("run_id").agg(F.collect_list(F.struct("failure_id", "labeler", "context", "grp", "q")).alias("v"))
+    """Fits both models to a label table; `statements`, `model` and `pair_model` are kept."""
+
+    def __init__(self, run_labels: DataFrame, passes: int = 40, group_passes: int = 20):
+        spark = run_labels.sparkSession
+        self.statements = st = votes(run_labels)
+        # a (run, failure) has at most two statements of a labeler, so a row is as long as there are labelers
+        own = st.groupBy("run_id", "failure_id").agg(F.array_sort(F.collect_list(F.struct("labeler", "context", "category", "grp"))).alias("v"))
+        self.failures = failures = written(own.select("run_id", "failure_id", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2"), "v"))
+        self.statements = failures.select("run_id", "failure_id", F.explode("v").alias("s")).select("run_id", "failure_id", "s.*")
+        nodes = failures.groupBy("run_id", "h1", "h2").agg(F.first("v").alias("v"), F.min("failure_id").alias("first"), F.count(F.lit(1)).alias("n"))
+        voted = F.filter("v", lambda x: x["category"].isNotNull())
+        self.nodes = nodes = written(nodes.select("run_id", "h1", "h2", "first", "n", voted["labeler"].alias("who"), voted["category"].alias("said"), F.col("v.labeler").alias("labelers"), F.col("v.context").alias("contexts"), F.col("v.grp").alias("groups")))
+        tasks = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+        items = nodes.where(F.size("said") > 0).groupBy("who", "said").agg(F.sum("n").alias("n"))
+        self.items = written(items.repartition(tasks))
+        names = sorted(r.labeler for r in self.statements.select("labeler").distinct().limit(MAX_LABELERS + 1).collect())
+        if len(names) > MAX_LABELERS:
+            raise ValueError(f"more than {MAX_LABELERS} labelers; a table of each is kept on every task")
+        self.model = model = fit(self.items, _category_pass, Entropy(names, K, 4.0), passes)
+        shared = spark.sparkContext.broadcast(model)
+        schema = "run_id string, h1 long, h2 long, first string, n long, who array<string>, said array<int>, labelers array<string>, contexts array<string>, groups array<string>, q array<double>"
+        known = nodes.mapInArrow(lambda it: _category_rows(it, shared.value), schema)
+        # a run's nodes are its distinct statements, not its failures
+        per_run = known.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("first", "h1", "h2", "n", "labelers", "contexts", "groups", "q"))).alias("nodes"))
         self.runs = written(per_run.repartition(tasks))
-        self.rates = Rates({}, self.model.prior)
-        for _ in range(group_passes):
-            now = self.rates
-            sums = self.runs.mapInArrow(lambda it: _group_counts(it, now), "labeler string, tp double, t double, o double, tn double")  # noqa: B023
-            sums = sums.groupBy("labeler").agg(*(F.sum(c).alias(c) for c in ("tp", "t", "o", "tn"))).collect()  # one row per labeler
-            self.rates = Rates({r.labeler: (r.tp, r.t, r.o, r.tn) for r in sums}, self.model.prior)
+        prior = model.prior
+        some = self.runs.where("exists(nodes, x -> x.n > 1) or size(nodes) > 1")
+        # the classes of a pair have no prior of their own: how many pairs differ says more of the sizes of runs than of the two
+        self.pair_model = fit(some, lambda it, m: _group_pass(it, m, prior), Entropy(names, 2, 4.0), group_passes, learn_prior=False)
 
     def rows(self, least: int = 3) -> DataFrame:
         """run_id, failure_id, category, confidence, first_of_group, n_labelers."""
-        schema = "run_id string, failure_id string, category string, confidence double, first_of_group string, n_labelers int"
-        rates = self.rates
-        return self.runs.mapInArrow(lambda it: _consensus_rows(it, rates, least), schema)
+        pair_model, prior = self.pair_model, self.model.prior
+        nodes = self.runs.mapInArrow(lambda it: _consensus_rows(it, pair_model, prior), "run_id string, h1 long, h2 long, category string, confidence double, first_of_group string")
+        n = F.size(F.array_distinct("v.labeler")).alias("n_labelers")
+        own = self.failures.select("run_id", "failure_id", "h1", "h2", n).where(F.col("n_labelers") >= least)
+        return own.join(nodes, ["run_id", "h1", "h2"]).select("run_id", "failure_id", "category", "confidence", "first_of_group", "n_labelers")
 
     def labelers(self) -> DataFrame:
-        """labeler, n_labels, expected accuracy under the posteriors, and the two grouping rates."""
+        """labeler, n_labels, expected accuracy under the posteriors, and how likely they put two failures of one cause, and of two
+        causes, together (null for labelers who grouped nothing)."""
         spark = self.runs.sparkSession
-        hit = F.element_at("q", F.col("category") + 1)
-        acc = self.joined.where("category is not null").groupBy("labeler").agg(F.count(F.lit(1)).alias("n_labels"), F.avg(hit).alias("expected_accuracy"))
-        rows = [(n, (tp + 8) / (tp + t + 10), (o + 2) / (o + tn + 10)) for n, (tp, t, o, tn) in sorted(self.rates.table.items())]
-        rates = spark.createDataFrame(rows, "labeler string, joins_same_cause double, joins_other_cause double")
+        shared = spark.sparkContext.broadcast(self.model)
+        each = self.items.mapInArrow(lambda it: _accuracy(it, shared.value), "labeler string, n double, hit double")
+        acc = each.groupBy("labeler").agg(F.sum("n").cast("long").alias("n_labels"), (F.sum("hit") / F.sum("n")).alias("expected_accuracy"))
+        grouped = self.statements.where("grp is not null").select("labeler").distinct()
+        p = np.exp(self.pair_model.sigma)
+        p = p[:, :, 1] / p.sum(axis=2)
+        rows = [(n, float(p[i, 1]), float(p[i, 0])) for n, i in self.pair_model.index.items()]
+        rates = spark.createDataFrame(rows, "labeler string, joins_same_cause double, joins_other_cause double").join(grouped, "labeler", "left_semi")
         return acc.join(rates, "labeler", "left")
 
     def agreement(self) -> DataFrame:
@@ -388,20 +465,20 @@ class Consensus:
         observed = F.try_divide("x", "n_labels")
         expected = F.try_divide(F.col("n_labels") * F.col("n_labels") - F.col("s2"), F.col("n_labels") * (F.col("n_labels") - 1))
         cat = a.join(b).select("n_failures", "n_labels", observed.alias("observed_disagreement"), expected.alias("expected_disagreement"), (1 - F.try_divide(observed, expected)).alias("alpha"))
-        pairs = self.runs.mapInArrow(_pair_agreement, "pairs double, alike double").agg(F.sum("pairs").alias("n_group_pairs"), F.try_divide(F.sum("alike"), F.sum("pairs")).alias("group_agreement"))
+        index = self.model.index
+        pairs = self.runs.mapInArrow(lambda it: _pair_agreement(it, index), "pairs double, alike double").agg(F.sum("pairs").alias("n_group_pairs"), F.try_divide(F.sum("alike"), F.sum("pairs")).alias("group_agreement"))
         return cat.join(pairs)
 
 
-def _pair_agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of failures both of two statements grouped, and those grouped alike; two statements are compared by contingency."""
-    pairs = alike = 0.0
-    for b in batches:
-        for rows in b.column("v").to_pylist():
-            _, labelers, g, _, _ = _run(rows, K)
-            for i in range(len(labelers)):
-                for j in range(i):
-                    has = [x for x in g if x[i] >= 0 and x[j] >= 0]
-                    if labelers[i] != labelers[j] and len(has) > 1:
-                        tp, x, y, tn = pair_table([r[i] for r in has], [r[j] for r in has])
-                        pairs, alike = pairs + tp + x + y + tn, alike + tp + tn
-    yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([alike])], ["pairs", "alike"])
+def _accuracy(batches: Iterator[pa.RecordBatch], model: Entropy) -> Iterator[pa.RecordBatch]:
+    """Per task and labeler: votes, and how many of them the posteriors expect to be right."""
+    n, hit = np.zeros(len(model.index)), np.zeros(len(model.index))
+    for b in _slices(batches):
+        item, who, said = _votes(b, model)
+        q, _ = model.posteriors(item, who, said, b.num_rows)
+        weight = b.column("n").to_numpy()[item]
+        n += np.bincount(who, weight, len(n))
+        hit += np.bincount(who, weight * q[item, said], len(n))
+    some = np.flatnonzero(n)
+    names = list(model.index)
+    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(n[some]), pa.array(hit[some])], ["labeler", "n", "hit"])

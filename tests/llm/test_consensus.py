@@ -66,9 +66,26 @@ def test_edges(spark):
     assert empty.rows().count() == 0 and empty.labelers().count() == 0 and empty.agreement().first().n_failures == 0
 
 
-def test_groups_from_unlike_names():
-    g = [(0, 1, 0), (0, 1, 0), (1, 0, 0), (1, 0, 1)]
-    q = [[1 / consensus.K] * consensus.K] * 4
-    out = consensus.consensus_groups(g, [2.0, 2.0, 0.3], [-2.0, -2.0, -0.3], q, q[0], 0.5)
-    assert out[0] == out[1] and out[2] == out[3] and out[0] != out[2]
-    assert consensus.pair_table([0, 0, 1], [0, 0, 0]) == (1.0, 0.0, 2.0, 0.0)
+def test_partitions_of_pair_weights():
+    assert [len(consensus._partitions(d)) for d in range(1, 5)] == [1, 2, 5, 15]
+    rng = np.random.default_rng(4)
+    for d in (2, 3, 4, 6, 7):
+        w = rng.normal(size=(d, d))
+        w = w + w.T
+        np.fill_diagonal(w, 0)
+        score = lambda lab: w[lab[:, None] == lab[None, :]].sum()  # noqa: B023, E731
+        best = max(score(np.array(p)) for p in consensus._partitions(d))
+        got = score(consensus.partition(w, [np.arange(d), np.zeros(d, int)]))
+        assert got >= best - 1e-9 if d <= 4 else got >= 0.8 * best
+
+
+def test_a_run_is_its_distinct_statements(spark):
+    """A run of 300 failures in three causes, each named in its own way by three people: few nodes, all failures right."""
+    doc = lambda who, names: ("big", who, "t", "full", {f"f{i:04d}": (names[i % 3], "FLAKY" if i % 3 else "TEST_DEFECT", None) for i in range(300)})
+    df = spark.createDataFrame([doc("a", "xyz"), doc("b", "uvw"), doc("c", ["1", "1", "2"])], SCHEMA)
+    c = consensus.Consensus(df)
+    assert c.nodes.count() == 3
+    got = {r.failure_id: r.first_of_group for r in c.rows().collect()}
+    assert got == {f"f{i:04d}": f"f{i % 3:04d}" for i in range(300)}
+    a = c.agreement().first()
+    assert a.n_group_pairs == 3 * 300 * 299 / 2 and 0.7 < a.group_agreement < 1
