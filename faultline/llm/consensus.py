@@ -4,7 +4,7 @@ A labeler i who sees an item j of true class c answers k with probability propor
 exp(sigma_i(c, k) + tau_j(c, k)): one tilting table per labeler and one per item, both with a quadratic
 penalty. The dual is climbed one coordinate block at a time: each pass over the items finds every item's
 posterior and its tau for the present sigma (nothing is kept per item between passes), adds up the
-gradient and curvature of every sigma, and takes one damped Newton step per coordinate, until no
+gradient and curvature of every sigma, and takes one damped Newton step for each row of a table, until no
 coordinate moves by more than `tolerance`. A pass is one scan of the items; what comes back is one table per labeler, combined per
 task before the shuffle.
 
@@ -101,12 +101,12 @@ class Entropy:
         raise AssertionError
 
     def sums(self, who: np.ndarray, said: np.ndarray, p: np.ndarray, w: np.ndarray) -> dict[int, np.ndarray]:
-        """Gradient and curvature of sigma for each labeler here; w: the weight of each vote under each class."""
+        """Gradient of sigma and expected answers for each labeler here; w: the weight of each vote under each class."""
         if not len(who):
             return {}
         miss = -p
         miss[np.arange(len(who)), :, said] += 1
-        both = np.concatenate((w[:, :, None] * miss, w[:, :, None] * p * (1 - p)), axis=1).reshape(len(who), -1)
+        both = np.concatenate((w[:, :, None] * miss, w[:, :, None] * p), axis=1).reshape(len(who), -1)
         order = np.argsort(who, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], np.diff(who[order]) > 0)))
         return dict(zip(who[order][first].tolist(), np.add.reduceat(both[order], first)))
@@ -129,6 +129,15 @@ class _Sums:
         return pa.RecordBatch.from_arrays([pa.array([*(names[i] for i in self.tables), None], pa.string()), pa.array([*rows, self.mass.tolist()], pa.list_(pa.float64()))], ["labeler", "v"])
 
 
+def _newton(gradient: np.ndarray, expected: np.ndarray, sigma: np.ndarray, penalty: float) -> np.ndarray:
+    """The step of one labeler's table, one row (true class) at a time, with the row's whole curvature."""
+    k = len(sigma)
+    n = expected.sum(axis=1, keepdims=True)
+    mean = expected / np.maximum(n, 1e-300)
+    curve = n[:, :, None] * (mean[:, :, None] * np.eye(k) - mean[:, :, None] * mean[:, None, :]) + penalty * np.eye(k)
+    return np.linalg.solve(curve, (gradient - penalty * sigma)[:, :, None])[:, :, 0]
+
+
 def fit(items: DataFrame, one_pass: Callable, model: Entropy, passes: int, penalty: float = 1.0, tolerance: float = 0.02, learn_prior: bool = True) -> Entropy:
     """Climbs until no coordinate moves by more than `tolerance`, `passes` passes at most. one_pass: (batches, model) to sums.
     Sums are added as decimals, so the order of tasks does not matter."""
@@ -146,8 +155,7 @@ def fit(items: DataFrame, one_pass: Callable, model: Entropy, passes: int, penal
             v = np.array([x["x"] for x in r.v])
             if r.labeler is not None:
                 i = model.index[r.labeler]
-                g, c = v.reshape(2, k, k)
-                step = np.clip((g - penalty * model.sigma[i]) / (c + penalty), -1, 1)
+                step = np.clip(_newton(*v.reshape(2, k, k), model.sigma[i], penalty), -2, 2)
                 fresh.sigma[i] += step
                 moved = max(moved, float(np.abs(step).max()))
             elif learn_prior:
