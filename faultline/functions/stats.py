@@ -7,8 +7,11 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.session import written
+
 SEED = 0x0C0FFEE
 RESAMPLES = 2000
+SENT_ALONG = 32 << 20
 _MASK = (1 << 32) - 1
 _STEP = 0x6D2B79F5
 
@@ -85,7 +88,7 @@ def _imul(a: Column, b: Column) -> Column:
 
 def draw(k: Column, seed: int = SEED) -> Column:
     """The k-th number (k from 1) in [0, 1) of the generator with this seed, as a function of k alone."""
-    a = (F.lit(seed & _MASK) + F.pmod(k, F.lit(1 << 32)).cast("long") * F.lit(_STEP)).bitwiseAND(_MASK) if seed is not None else k
+    a = (F.lit(seed & _MASK) + k.cast("long").bitwiseAND(_MASK) * F.lit(_STEP)).bitwiseAND(_MASK)
     t = _imul(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1).cast("long")))
     t = t.bitwiseXOR((t + _imul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61).cast("long")))).bitwiseAND(_MASK))
     return t.bitwiseXOR(F.shiftright(t, 14)) / float(1 << 32)
@@ -121,27 +124,34 @@ def bootstrap(units: DataFrame, order: list[str], sums: list[str], statistic: Co
     """Percentile interval of `statistic` (over the sums of `sums`) from resampled whole units, per group `by`.
 
     Units are numbered by `order` within their group; resample b's slot i takes unit floor(u * n) with the
-    generator's draw b*n + i + 1. The draws of one group are spread over the cluster by (group, unit), and only
-    sums of a resample are shuffled. Groups of one unit have a point and NaN bounds. Columns: by, n, point, lower, upper.
+    generator's draw b*n + i + 1. Every (group, resample) is a row of its own before its slots are drawn, dealt out over all
+    tasks; a resample's draws meet the units there, where they are few enough to be sent along, and are summed where they
+    were drawn. Groups of one unit have a point and NaN bounds. Columns: by, n, point, lower, upper.
     """
     from pyspark.sql import Window
 
     by = by or []
-    g = by or [F.lit(1)]
-    w = Window.partitionBy(*g)
-    numbered = units.select(*by, *(F.col(c) for c in sums), (F.row_number().over(w.orderBy(*order)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_m"))
-    groups = numbered.groupBy(*by).agg(F.max("_m").alias("_m")) if by else numbered.agg(F.max("_m").alias("_m"))
-    slots = groups.where("_m > 0").select(*by, "_m", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b"))
-    slots = slots.select(*by, "_b", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_s"))
-    picks = slots.select(*by, "_b", F.floor(draw(F.col("_b") * F.col("_m") + F.col("_s") + 1, seed) * F.col("_m")).cast("int").alias("_i"))
-    # how often each resample takes each unit: combined before anything moves
-    often = picks.groupBy(*by, "_b", "_i").agg(F.count(F.lit(1)).alias("_k"))
-    drawn = often.join(numbered, [*by, "_i"]).groupBy(*by, "_b").agg(*(F.sum(F.col(c) * F.col("_k")).alias(c) for c in sums))
-    stat = drawn.select(*by, statistic.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    spark = units.sparkSession
+    # units are few numbers each and read three times; groups go by a 64-bit hash, so a draw is three numbers
+    units = written(units.select(*by, *order, *sums, (F.xxhash64(*by) if by else F.lit(0).cast("long")).alias("_g")))
+    w = Window.partitionBy("_g")
+    numbered = units.select("_g", *(F.col(c) for c in sums), (F.row_number().over(w.orderBy(*order)) - 1).alias("_i"))
+    groups = units.groupBy("_g").agg(F.count(F.lit(1)).alias("_m"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    slots = groups.select("_g", "_m", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b")).repartition(tasks, "_g", "_b")
+    slots = slots.select("_g", "_b", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_s"))
+    # never null, so no filter repeats the whole expression under the join
+    slot = F.coalesce(F.floor(draw(F.col("_b") * F.col("_m") + F.col("_s") + 1, seed) * F.col("_m")).cast("int"), F.lit(0))
+    picks = slots.select("_g", "_b", slot.alias("_i"))
+    # draws outnumber the units by `resamples` and never travel where the units, counted first, can
+    small = units.count() * 8 * (len(sums) + 3) < SENT_ALONG
+    numbered = F.broadcast(numbered) if small else numbered.hint("merge")
+    drawn = picks.join(numbered, ["_g", "_i"]).groupBy("_g", "_b").agg(*(F.sum(c).alias(c) for c in sums))
+    stat = drawn.select("_g", statistic.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     tail = (1 - level) / 2
-    bounds = stat.groupBy(*by).agg(F.percentile("_x", F.lit(tail)).alias("lower"), F.percentile("_x", F.lit(1 - tail)).alias("upper"))
-    total = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in sums)).select(*by, "n", statistic.alias("point"))
-    out = total.join(bounds, by, "left") if by else total.join(bounds, F.lit(True), "left")
+    bounds = stat.groupBy("_g").agg(F.percentile("_x", F.lit(tail)).alias("lower"), F.percentile("_x", F.lit(1 - tail)).alias("upper"))
+    total = units.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in sums)).select(*by, "_g", "n", statistic.alias("point"))
+    out = total.join(bounds, "_g", "left")
     single = F.col("n") < 2
     return out.select(*by, "n", "point", *(F.when(single, nan()).otherwise(F.coalesce(c, nan())).alias(c) for c in ("lower", "upper")))
 
@@ -151,6 +161,15 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     from pyspark.sql import Window
 
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    if not by:
+        # how many values lie below comes from sums per value, in order, by one sort over all tasks: no single window
+        total = counts.agg(F.sum("_c").alias("_n"))
+        parts = counts.orderBy(value).select(value, "_c", F.spark_partition_id().alias("_k"))
+        before = parts.groupBy("_k").agg(F.sum("_c").alias("_s"))
+        earlier = Window.partitionBy(F.lit(1)).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+        before = before.select("_k", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s"))
+        run = parts.join(F.broadcast(before), "_k").withColumn("_u", F.col("_s") + F.sum("_c").over(Window.partitionBy("_k").orderBy(value)))
+        return run.join(F.broadcast(total)).where(F.col("_u") > F.floor(F.col("_n") / 2)).agg(F.min(value).alias("upper_median"))
+    w = Window.partitionBy(*by)
     run = counts.withColumn("_u", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
     return run.where(F.col("_u") > F.floor(F.col("_n") / 2)).groupBy(*by).agg(F.min(value).alias("upper_median"))

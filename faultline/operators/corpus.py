@@ -118,8 +118,9 @@ def _problems(id: Column, *rules: tuple[Column, str]) -> Column:
     return F.explode(F.filter(F.array(*(F.when(bad, F.struct(id.cast("string").alias("id"), F.lit(text).alias("problem"))) for bad, text in rules)), lambda x: x.isNotNull()))
 
 
-def run_problems(runs: DataFrame, failures: DataFrame | None = None, version: int = SCHEMA_VERSION) -> DataFrame:
-    """id and problem of every breach: version window, empty identity, unknown fidelity, failure ids empty or repeated."""
+def run_problems(runs: DataFrame, failures: DataFrame | None = None, version: int = SCHEMA_VERSION, by_run: bool = False) -> DataFrame:
+    """id and problem of every breach: version window, empty identity, unknown fidelity, failure ids empty or repeated.
+    The id of a failure's breach is run#failure, or the run alone with `by_run`."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     v = F.col("schemaVersion")
     rules = (
@@ -131,7 +132,7 @@ def run_problems(runs: DataFrame, failures: DataFrame | None = None, version: in
     if failures is None:
         return out
     n = failures.groupBy("corpusRunId", "failureId").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("message").isNull()).alias("m"))
-    id = F.concat_ws("#", "corpusRunId", "failureId")
+    id = F.coalesce("corpusRunId", F.lit("?")) if by_run else F.concat_ws("#", "corpusRunId", "failureId")
     own = n.select(_problems(id, (blank("failureId"), "failureId is empty"), (F.col("n") > 1, "failureId is repeated"), (F.col("m") > 0, "message is missing")).alias("p")).select("p.*")
     return out.unionByName(own)
 

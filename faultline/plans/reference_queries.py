@@ -14,8 +14,7 @@ from faultline.functions.normalize import normalize
 from faultline.operators import corpus, sampling, scoring
 from faultline.session import table, written
 
-#: Of the SQL only; the queries draw stats.RESAMPLES, so their bounds differ from the SQL's.
-RESAMPLES = 200
+RESAMPLES = stats.RESAMPLES
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -161,12 +160,42 @@ def baseline_by_adapter(s: SparkSession, d: str) -> DataFrame:
     return scoring.strata(rows, "stratum", undefined="null")
 
 
-@_query()
+def _detect_sql() -> str:
+    """The detection chain with ASCII word boundaries for the look-arounds RE2 lacks."""
+    from faultline.functions.frames import DETECTION
+
+    subject = {"stack": "coalesce(stackText, '')", "type": "coalesce(errorType, '')", "all": "coalesce(sourceFile, '') || chr(10) || coalesce(stackText, '') || chr(10) || coalesce(errorType, '')"}
+    cases = []
+    for name, where, p in DETECTION:
+        p = p.replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b").replace("'", "''")
+        cases.append(f"WHEN regexp_matches({subject[where]}, '{p}') THEN '{name}'")
+    return "CASE " + " ".join(cases) + " ELSE 'unknown' END"
+
+
+def _strata_sql(stratum: str) -> str:
+    return f"""
+  kept AS (SELECT * FROM scored WHERE (labeler, corpusRunId) IN (SELECT (labeler, corpusRunId) FROM scored GROUP BY labeler, corpusRunId HAVING count(*) >= 2)),
+  {_counts_sql('kept', f'labeler, {stratum}, corpusRunId', 'predicted', 'truth')},
+  st AS (SELECT labeler, {stratum}, sum(n)::BIGINT AS n_failures, count_if(n >= 2)::BIGINT AS n_runs, sum(CASE WHEN n >= 2 THEN tp ELSE 0 END)::BIGINT AS tp,
+    sum(CASE WHEN n >= 2 THEN fp ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN n >= 2 THEN fn ELSE 0 END)::BIGINT AS fn,
+    sum(CASE WHEN n >= 2 THEN tn ELSE 0 END)::BIGINT AS tn FROM pc GROUP BY labeler, {stratum})
+  SELECT *, {_PRF} FROM st WHERE n_runs > 0"""
+
+
+@_query(f"""{_SCORED.replace("l.grp AS truth", f"l.grp AS truth, {_detect_sql()} AS framework")}, {_strata_sql('framework')}""")
 def baseline_by_framework(s: SparkSession, d: str) -> DataFrame:
     rows = scoring.scored(_failures(s, d, "sourceFile", "errorType", "message", "stackText"), _labels(s, d), scoring.same_error_type, by_framework=True)
     return scoring.strata(rows, "framework", undefined="null")
 
 
+@_query(f"""{_SCORED}, {_RUNS}, scored_ AS (SELECT s.*, coalesce(r.source.repo, '?') AS repo FROM scored s JOIN runs_ r USING (corpusRunId)),
+  {_strata_sql('repo').replace('FROM scored ', 'FROM scored_ ')}""")
+def baseline_by_repository(s: SparkSession, d: str) -> DataFrame:
+    """Scores within the runs of each repository."""
+    repo = _runs(s, d).select("corpusRunId", F.coalesce("source.repo", F.lit("?")).alias("repo"))
+    return scoring.strata(_scored(s, d).join(repo, "corpusRunId"), "repo", undefined="null")
+
+
 @_query(f"""{_SCORED.replace("l.grp AS truth", "l.grp AS truth, coalesce(f.producerAdapter, 'none') AS stratum")},
   cell AS (SELECT labeler, corpusRunId, stratum, count(*) AS n FROM scored GROUP BY ALL),
   run AS (SELECT labeler, corpusRunId, sum(n) AS m, sum(n * (n - 1) // 2) AS own FROM cell GROUP BY ALL HAVING sum(n) >= 2)
@@ -383,12 +412,36 @@ def gate_counts(s: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(cats).withColumn("met", F.col("observed") >= F.col("required"))
 
 
-@_query()
+def _agreement_sql(pairs: str, sums: list[str], per: str, stat: str) -> str:
+    return f"""WITH {_FAILURES}, {pairs}, {per}, {_boot_sql('per', 'labeler_a, labeler_b', 'corpusRunId', sums, stat, RESAMPLES, stats.SEED)}
+      SELECT labeler_a || ' vs ' || labeler_b AS pair, round(lower, 9) AS lower FROM iv WHERE lower IS NOT NULL"""
+
+
+_GROUPING = _agreement_sql(
+    f"{_LABELS}, {_PAIRS}, {_counts_sql('pairs', 'labeler_a, labeler_b, corpusRunId', 'grp_a', 'grp_b')}", ["alike", "total"],
+    "per AS (SELECT labeler_a, labeler_b, corpusRunId, tp + tn AS alike, n * (n - 1) // 2 AS total FROM pc WHERE n >= 2)", "alike / nullif(total, 0)::DOUBLE",
+)
+_SEPARABLE = _agreement_sql(
+    f"""{_LABELS}, h AS (SELECT * FROM labels_ WHERE NOT starts_with(labeler, 'machine:')), one AS (SELECT labeler, min(context) AS c FROM h GROUP BY labeler HAVING count(DISTINCT context) = 1),
+    pairs AS (SELECT a.corpusRunId, a.labeler AS labeler_a, b.labeler AS labeler_b, a.category AS cat_a, b.category AS cat_b FROM h a JOIN h b
+      ON a.corpusRunId = b.corpusRunId AND a.failureId = b.failureId WHERE a.labeler IN (SELECT labeler FROM one WHERE c = 'full') AND b.labeler IN (SELECT labeler FROM one WHERE c = 'payload-only'))""",
+    ["agreed", "total"], "per AS (SELECT labeler_a, labeler_b, corpusRunId, count_if(cat_a = cat_b) AS agreed, count(*) AS total FROM pairs GROUP BY ALL)", "agreed / nullif(total, 0)::DOUBLE",
+)
+
+
+def _weakest_sql(id: str, rows: str, required: float) -> str:
+    return f"""SELECT '{id}' AS id, min(lower) AS lower, (SELECT pair FROM ({rows}) ORDER BY lower, pair LIMIT 1) AS pair, {required}::DOUBLE AS required,
+      coalesce(min(lower) >= {required}, false) AS met FROM ({rows})"""
+
+
+@_query(f"{_weakest_sql('grouping-agreement', _GROUPING, 0.8)} UNION ALL {_weakest_sql('separability', _SEPARABLE, 0.6)}")
 def gate_measured(s: SparkSession, d: str) -> DataFrame:
     """The weakest pair's lower bounds of grouping agreement and of separability; an unmeasured gate is unmet."""
     group = scoring.grouping_agreement(_pairs(s, d), resamples=stats.RESAMPLES)
     sep = scoring.category_agreement(scoring.separability_pairs(_labels(s, d)), resamples=stats.RESAMPLES)
-    weakest = lambda df: df.where(~F.isnan("lower")).agg(F.min("lower").alias("lower"), F.min_by(F.concat_ws(" vs ", *scoring.PAIR), "lower").alias("pair"))
+    # the interval is rounded, so the weakest pair is the same however its bounds were added up; ties to the smallest name
+    named = lambda df: df.where(~F.isnan("lower")).select(F.round("lower", 9).alias("lower"), F.concat_ws(" vs ", *scoring.PAIR).alias("pair"))
+    weakest = lambda df: named(df).agg(F.min(F.struct("lower", "pair")).alias("m")).select("m.lower", "m.pair")
     out = weakest(group).select(F.lit("grouping-agreement").alias("id"), "lower", "pair", F.lit(0.8).alias("required")).unionByName(weakest(sep).select(F.lit("separability").alias("id"), "lower", "pair", F.lit(0.6).alias("required")))
     return out.withColumn("met", F.coalesce(F.col("lower") >= F.col("required"), F.lit(False)))
 
@@ -419,7 +472,9 @@ def terminal_hazards(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "failures").where("stdout is not null").select("rowId", text.has_terminal_hazard("stdout").alias("hazard"))
 
 
-@_query()
+@_query(r"""SELECT rowId, regexp_replace(regexp_replace(regexp_replace(replace(replace(stdout, chr(13) || chr(10), chr(10)), chr(13), chr(65533)),
+  '\x1B(\[[0-9;:?]*[ -/]*[@-~]|\][^\x07\x1B]{0,512}(\x07|\x1B\\)|[@-Z\\-_])', chr(65533), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', chr(65533), 'g'),
+  '[\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]', '<bidi>', 'g') AS clean FROM failures WHERE stdout IS NOT NULL""")
 def terminal_sanitized(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "failures").where("stdout is not null").select("rowId", text.sanitize_terminal("stdout").alias("clean"))
 
@@ -429,31 +484,21 @@ _CUT = """CASE WHEN length(x) <= 1000 THEN x ELSE substr(x, 1, h) || chr(10) ||
 
 
 @_query(f"""SELECT rowId, {_CUT} AS stack FROM (SELECT rowId, stackText AS x, b, b * 2 // 3 AS h FROM (SELECT rowId, stackText,
-  1000 - length('... [truncated,  characters omitted] ...') - 4 - length(length(stackText)::VARCHAR) AS b FROM failures WHERE stackText IS NOT NULL
-    AND NOT regexp_matches(stackText, '[\\x{{10000}}-\\x{{10FFFF}}]')))""")
+  1000 - length('... [truncated,  characters omitted] ...') - 4 - length(length(stackText)::VARCHAR) AS b FROM failures WHERE stackText IS NOT NULL))""")
 def stacks_truncated(s: SparkSession, d: str) -> DataFrame:
     """Stacks capped at 1000 units: head, marker and tail within the cap."""
     f = table(s, d, "failures").where("stackText is not null")
     return f.select("rowId", text.truncate("stackText", 1000).alias("stack"))
 
 
-@_query(r"""SELECT rowId, trim(split_part(replace(replace(trim(message, E' \t\r\n\f'), E'\r\n', E'\n'), E'\r', E'\n'), E'\n', 1), '') AS first_line FROM failures
-  WHERE NOT regexp_matches(message, '[\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]')""")
-def first_lines(s: SparkSession, d: str) -> DataFrame:
-    """First line of each message. The SQL leaves out messages with unusual white space; the tests have those."""
-    return table(s, d, "failures").where("message is not null").select("rowId", text.first_line("message").alias("first_line"))
+_WS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
-def _detect_sql() -> str:
-    """The detection chain with ASCII word boundaries for the look-arounds RE2 lacks."""
-    from faultline.functions.frames import DETECTION
-
-    subject = {"stack": "coalesce(stackText, '')", "type": "coalesce(errorType, '')", "all": "coalesce(sourceFile, '') || chr(10) || coalesce(stackText, '') || chr(10) || coalesce(errorType, '')"}
-    cases = []
-    for name, where, p in DETECTION:
-        p = p.replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b").replace(r"java\.lang\.", r"java\.lang\.").replace("'", "''")
-        cases.append(f"WHEN regexp_matches({subject[where]}, '{p}') THEN '{name}'")
-    return "CASE " + " ".join(cases) + " ELSE 'unknown' END"
+@_query(f"""SELECT rowId, split_part(replace(replace(trim(message, '{_WS}'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10), 1) AS first_line
+  FROM failures WHERE message IS NOT NULL""")
+def first_lines(s: SparkSession, d: str) -> DataFrame:
+    """First line of each message."""
+    return table(s, d, "failures").where("message is not null").select("rowId", text.first_line("message").alias("first_line"))
 
 
 @_query(f"SELECT {_detect_sql()} AS framework, count(*)::BIGINT AS n, count(DISTINCT corpusRunId)::BIGINT AS n_runs FROM failures GROUP BY 1")
@@ -500,8 +545,13 @@ def fingerprint_groups(s: SparkSession, d: str) -> DataFrame:
     return f.groupBy("loose_hash").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("strict_hash").alias("n_strict"), F.min("rowId").alias("first_row_id"))
 
 
-@_query(r"""SELECT substr(sha256(length(coalesce(errorType, '')) || chr(31) || coalesce(errorType, '') || chr(31) || length(message) || chr(31) || message), 1, 32) AS grp,
-  count(*)::BIGINT AS n, min(rowId) AS first_row_id FROM failures WHERE NOT regexp_matches(coalesce(errorType, '') || message, '[\x{10000}-\x{10FFFF}]') GROUP BY 1""")
+def _units_sql(x: str) -> str:
+    """Length in UTF-16 units: a character above U+FFFF counts twice."""
+    return f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
+@_query(f"""SELECT substr(sha256({_units_sql("coalesce(errorType, '')")} || chr(31) || coalesce(errorType, '') || chr(31) || {_units_sql("message")} || chr(31) || message), 1, 32) AS grp,
+  count(*)::BIGINT AS n, min(rowId) AS first_row_id FROM failures WHERE message IS NOT NULL GROUP BY 1""")
 def same_text_groups(s: SparkSession, d: str) -> DataFrame:
     """Failures of equal error type and message, by the length-framed hash of both."""
     f = table(s, d, "failures").where("message is not null")
@@ -569,12 +619,31 @@ def selection_missing_runs(s: SparkSession, d: str) -> DataFrame:
     return e.join(table(s, d, "runs").select("corpusRunId"), "corpusRunId", "left_anti").groupBy("digest").agg(F.count(F.lit(1)).alias("n_missing"))
 
 
-@_query("""SELECT corpusRunId, problem, count(*)::BIGINT AS n FROM (
-    SELECT corpusRunId, 'failureId is repeated' AS problem FROM failures GROUP BY corpusRunId, failureId HAVING count(*) > 1) GROUP BY ALL""")
+_VERSION = "schemaVersion IS NULL OR schemaVersion > 1 OR schemaVersion < 0"
+_KINDS = ", ".join(f"'{c}'" for c in corpus.CATEGORIES)
+
+
+@_query(f"""WITH run AS (SELECT coalesce(corpusRunId, '?') AS corpusRunId, unnest([
+    CASE WHEN {_VERSION} THEN 'schema version cannot be read' END, CASE WHEN coalesce(trim(corpusRunId), '') = '' THEN 'corpusRunId is empty' END,
+    CASE WHEN coalesce(trim(source.repo), '') = '' THEN 'source.repo is empty' END, CASE WHEN coalesce(trim(source.providerRunId), '') = '' THEN 'source.providerRunId is empty' END,
+    CASE WHEN coalesce(fidelity NOT IN ('artifact', 'log-scrape', 'synthetic'), true) THEN 'fidelity is unknown' END]) AS problem FROM runs),
+  f AS (SELECT corpusRunId, failureId, count(*) AS n, count_if(message IS NULL) AS m FROM failures GROUP BY ALL),
+  own AS (SELECT coalesce(corpusRunId, '?') AS corpusRunId, unnest([CASE WHEN coalesce(trim(failureId), '') = '' THEN 'failureId is empty' END,
+    CASE WHEN n > 1 THEN 'failureId is repeated' END, CASE WHEN m > 0 THEN 'message is missing' END]) AS problem FROM f),
+  doc AS (SELECT coalesce(corpusRunId, '') AS corpusRunId, unnest([CASE WHEN {_VERSION} THEN 'schema version cannot be read' END,
+    CASE WHEN coalesce(context NOT IN ('full', 'payload-only'), true) THEN 'context is unknown' END,
+    CASE WHEN coalesce(cardinality(labels), 0) = 0 THEN 'no labels' END]) AS problem FROM run_labels),
+  l AS (SELECT corpusRunId, e.key AS failureId, e.value AS v FROM (SELECT corpusRunId, unnest(map_entries(labels)) AS e FROM run_labels)),
+  lab AS (SELECT coalesce(corpusRunId, '') AS corpusRunId, unnest([CASE WHEN coalesce(trim(v."group"), '') = '' THEN 'group is empty' END,
+    CASE WHEN coalesce(v.category NOT IN ({_KINDS}), true) THEN 'category is unknown' END]) AS problem FROM l),
+  lost AS (SELECT l.corpusRunId, 'failure is not in the run' AS problem FROM l WHERE corpusRunId IN (SELECT corpusRunId FROM f)
+    AND NOT EXISTS (SELECT 1 FROM f WHERE f.corpusRunId = l.corpusRunId AND f.failureId = l.failureId)),
+  x AS (FROM run UNION ALL FROM own UNION ALL FROM doc UNION ALL FROM lab UNION ALL FROM lost)
+  SELECT corpusRunId, problem, count(*)::BIGINT AS n FROM x WHERE problem IS NOT NULL GROUP BY ALL""")
 def validation_problems(s: SparkSession, d: str) -> DataFrame:
-    """What validation would reject among the stored runs, failures and labels, by run. The SQL has repeated ids only."""
+    """What validation would reject among the stored runs, failures and labels, by run."""
     f = table(s, d, "failures")
-    own = corpus.run_problems(table(s, d, "runs"), f).select(F.substring_index("id", "#", 1).alias("corpusRunId"), "problem")
+    own = corpus.run_problems(table(s, d, "runs"), f, by_run=True).select(F.col("id").alias("corpusRunId"), "problem")
     labels = corpus.label_problems(table(s, d, "run_labels"), f, keys=("corpusRunId",)).select(F.col("id").alias("corpusRunId"), "problem")
     return own.unionAll(labels).groupBy("corpusRunId", "problem").agg(F.count(F.lit(1)).alias("n"))
 
