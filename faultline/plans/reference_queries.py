@@ -5,6 +5,8 @@ Undefined ratios are null here, so that both engines agree; the library's own de
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from faultline.functions import hashing, stats, text
 from faultline.functions.frames import detect_framework
 from faultline.functions.normalize import normalize
 from faultline.operators import corpus, sampling, scoring
-from faultline.session import table, written
+from faultline.session import spread, table, written
 
 RESAMPLES = stats.RESAMPLES
 QUERIES: dict = {}
@@ -504,15 +506,57 @@ def first_lines(s: SparkSession, d: str) -> DataFrame:
 @_query(f"SELECT {_detect_sql()} AS framework, count(*)::BIGINT AS n, count(DISTINCT corpusRunId)::BIGINT AS n_runs FROM failures GROUP BY 1")
 def framework_mix(s: SparkSession, d: str) -> DataFrame:
     """Frameworks by the shape of stacks first and by names last."""
-    f = table(s, d, "failures").select("corpusRunId", detect_framework().alias("framework"))
+    f = spread(table(s, d, "failures").select("corpusRunId", "sourceFile", "stackText", "errorType")).select("corpusRunId", detect_framework().alias("framework"))
     return f.groupBy("framework").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("corpusRunId").alias("n_runs"))
 
 
-@_query()
+def _frames_sql() -> str:
+    """Per failure, whether any line is a frame and any is the application's: dialects in order, then the classes."""
+    from faultline.functions import frames as f
+
+    text = lambda p: p.replace("'", "''")
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(line, '{text(p)}') THEN '{n}'" for n, p in f.DIALECTS) + " END"
+
+    def part(group: str) -> str:
+        cases = []
+        for n, p in f.DIALECTS:
+            names = re.findall(r"\(\?P<(\w+)>", p)
+            if group in names:
+                cases.append(f"WHEN '{n}' THEN regexp_extract(line, '{text(p)}', [{', '.join(repr(x) for x in names)}]).{group}")
+        return "CASE dialect " + " ".join(cases) + " ELSE '' END"
+
+    dirs = "|".join(re.escape(d) for d in f.VENDOR_DIRS)
+    framework = text(rf"(?:^|/)(?:{dirs})/|{f.RUNTIME}|(?i:{f.RUNNERS_ANY_CASE})|{f.RUNNERS}")
+    test = text("|".join(f.glob_regex(g).replace(r"\Z", r"\z") for g in f.TEST_GLOBS))
+    return f"""lines AS (SELECT rowId, unnest(regexp_split_to_array(stackText, '\\r\\n|\\r|\\n')) AS line FROM failures_ WHERE stackText IS NOT NULL),
+  d AS (SELECT rowId, line, {kind} AS dialect FROM lines WHERE trim(line) <> ''),
+  p AS (SELECT rowId, dialect, {part("file")} AS file, trim({part("fn")}) AS fn FROM d WHERE dialect IS NOT NULL),
+  c AS (SELECT rowId, replace(file, '\\', '/') AS path, CASE WHEN fn = '<anonymous>' THEN '' ELSE regexp_replace(fn, '^(?:async|new)\\s+', '') END AS fn FROM p
+    WHERE NOT (dialect = 'v8' AND file <> '' AND NOT regexp_matches(file, '[/\\\\.]'))),
+  fr AS (SELECT rowId, count(*) AS n, count_if(path <> '' AND NOT regexp_matches(path, '{framework}') AND NOT (fn <> '' AND regexp_matches(fn, '{framework}'))
+    AND NOT regexp_matches(path, '{test}')) AS app FROM c GROUP BY rowId)"""
+
+
+_Z = "1.959963984540054"
+
+
+@_query(f"""WITH {_FAILURES}, {_RUNS}, {_frames_sql()},
+  x AS (SELECT f.rowId, coalesce(r.source.repo, '?') AS repo, coalesce(fr.n, 0) > 0 AS any_, coalesce(fr.app, 0) > 0 AS app_, {_detect_sql()} AS k, producerAdapter
+    FROM failures_ f JOIN runs_ r USING (corpusRunId) LEFT JOIN fr ON fr.rowId = f.rowId),
+  y AS (SELECT *, CASE WHEN k <> 'unknown' THEN k WHEN producerAdapter = 'playwright' THEN 'playwright' ELSE 'unidentified' END AS framework FROM x),
+  per AS (SELECT framework, repo, count(*) AS n, count_if(any_) AS a, count_if(app_) AS p FROM y GROUP BY ALL),
+  rows_ AS (SELECT framework, sum(n)::BIGINT AS failures, sum(a)::BIGINT AS with_any_frame, sum(p)::BIGINT AS with_app_frame, count(*)::BIGINT AS repositories,
+      max(n) / sum(n) AS top_repo_share FROM per GROUP BY framework
+    UNION ALL SELECT 'total', sum(n)::BIGINT, sum(a)::BIGINT, sum(p)::BIGINT, count(DISTINCT repo)::BIGINT, 0.0 FROM per),
+  w AS (SELECT *, with_app_frame / failures AS q, {_Z}::DOUBLE * {_Z}::DOUBLE AS zz FROM rows_)
+  SELECT framework, failures, with_any_frame, with_app_frame, repositories, round(top_repo_share, 9) AS top_repo_share, round(q, 9) AS rate,
+    round(greatest(0, (q + zz / (2 * failures) - {_Z}::DOUBLE * sqrt(q * (1 - q) / failures + zz / (4 * failures * failures))) / (1 + zz / failures)), 9) AS lower,
+    round(least(1, (q + zz / (2 * failures) + {_Z}::DOUBLE * sqrt(q * (1 - q) / failures + zz / (4 * failures * failures))) / (1 + zz / failures)), 9) AS upper FROM w""")
 def frame_availability(s: SparkSession, d: str) -> DataFrame:
     """Per framework and in total: failures with any frame and with an application frame, with Wilson intervals."""
     runs = _runs(s, d).select("corpusRunId", F.coalesce("source.repo", F.lit("?")).alias("repo"))
-    return scoring.frame_report(_failures(s, d, "sourceFile", "errorType", "stackText", "producerAdapter"), runs)
+    out = scoring.frame_report(_failures(s, d, "sourceFile", "errorType", "stackText", "producerAdapter"), runs)
+    return out.withColumns({c: F.round(c, 9) for c in ("rate", "lower", "upper", "top_repo_share")})
 
 
 @_query("""WITH u AS (SELECT failureId, count(*) AS n, count_if(stackText IS NULL) AS k FROM failures GROUP BY failureId), z AS (SELECT 1.959963984540054 AS z)
@@ -535,14 +579,47 @@ def duration_quantiles(s: SparkSession, d: str) -> DataFrame:
 @_query()
 def normalized_groups(s: SparkSession, d: str) -> DataFrame:
     """Messages by their loose normal form, most frequent first."""
-    return table(s, d, "failures").groupBy(normalize("message", "loose").alias("normal")).agg(F.count(F.lit(1)).alias("n"))
+    m = spread(table(s, d, "failures").select("message"))
+    return m.select(normalize("message", "loose").alias("normal")).groupBy("normal").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Rules with conditions that RE2 has no words for; the others are checked against SQL.
+_BEYOND_RE2 = ("port", "generated-email", "assertion-values", "assertion-literals")
+
+
+def _plain_rules_sql(text: str, passes: int) -> str:
+    """The other rules of loose mode, as nested replacements, once per pass."""
+    from faultline.functions import normalize as n
+
+    w = _WS.replace("\n", "")
+    steps = (
+        (n.ANSI, "", ""), (n.CONTROL, "", ""), (r"\r\n?", chr(10), ""), (n.SPACES, " ", ""), (n.UUID, "<id>", "i"), (n.ULID, "<id>", ""), (n.OBJECT_ID, "<id>", "i"), (n.LONG_HEX, "<id>", "i"),
+        (n.HEX_ADDRESS, "<addr>", "i"), (n.ISO_TIME, "<ts>", ""), (n.EPOCH_MS, "<ts>", ""), (n.EPOCH_S, "<ts>", ""), (n.DURATION, "<dur>", "i"), (n.TEMP_PATH, "<tmp>", "i"),
+        (n.HOME, "<home>", ""), (n.HOME_WINDOWS, "<home>", ""), (n.URL_QUERY, r"\1", "i"), (n.URL_NUMBER.replace(r"(?=/|\b)", r"\b"), r"\1/<n>", "i"), (n.IPV6, "<ip>", "i"), (n.IPV4, "<ip>", ""),
+        (n.GENERATED_NAME, "<gen>", "i"), (n.COUNTER, "<n>", "i"), (n.LINE_COLUMN, r"\1", ""),
+        (f"[{w}]+(\n|\\z)", r"\1", ""), (n.BLANK_LINES, chr(10) * 2, ""), (f"\\A[{_WS}]+|[{_WS}]+\\z", "", ""),
+    )
+    out = "t"
+    for pattern, new, flags in steps:
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{new}', 'g{flags}')"
+    rows = f"(SELECT rowId, {text} AS t FROM failures WHERE {text} IS NOT NULL)"
+    for _ in range(passes):
+        rows = f"(SELECT rowId, {out} AS t FROM {rows})"
+    return f"SELECT rowId, t AS normal FROM {rows}"
+
+
+@_query(_plain_rules_sql("message", 3))
+def normalized_by_plain_rules(s: SparkSession, d: str) -> DataFrame:
+    """Each message's loose form by the 22 rules that SQL can say as well, after three passes."""
+    m = spread(table(s, d, "failures").where("message is not null").select("rowId", "message"))
+    return m.select("rowId", normalize("message", "loose", disabled=_BEYOND_RE2, passes=3).alias("normal"))
 
 
 @_query()
 def fingerprint_groups(s: SparkSession, d: str) -> DataFrame:
     """Failures by strict and loose fingerprint."""
-    f = hashing.with_fingerprint(table(s, d, "failures").select("rowId", "errorType", "message", "stackText"))
-    return f.groupBy("loose_hash").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("strict_hash").alias("n_strict"), F.min("rowId").alias("first_row_id"))
+    f = hashing.with_fingerprint(spread(table(s, d, "failures").select("rowId", "errorType", "message", "stackText")))
+    return f.groupBy("loose_hash").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("strict_hash").alias("n_strict"), F.count_if("frame_fallback").alias("n_fallback"), F.min("rowId").alias("first_row_id"))
 
 
 def _units_sql(x: str) -> str:
@@ -563,14 +640,14 @@ def same_text_groups(s: SparkSession, d: str) -> DataFrame:
 def minhash_candidates(s: SparkSession, d: str) -> DataFrame:
     """Pairs of distinct normalised messages with an estimated similarity of 0.8 or more, by banded sketches, those
     of equal sketches included. A message goes by its first row; `minhash_members` has the others."""
-    m = table(s, d, "failures").select(normalize("message", "strict").alias("t"), "rowId").groupBy("t").agg(F.min("rowId").alias("id"))
+    m = spread(table(s, d, "failures").select("message", "rowId")).select(normalize("message", "strict").alias("t"), "rowId").groupBy("t").agg(F.min("rowId").alias("id"))
     return hashing.lsh_candidates(written(m.select("id", hashing.minhash("t").alias("sig"))), "id", "sig", 0.8, members=True)
 
 
 @_query()
 def minhash_members(s: SparkSession, d: str) -> DataFrame:
     """Every row with a message, and the first row of the same normalised message: the id in `minhash_candidates`."""
-    m = written(table(s, d, "failures").where("message is not null").select("rowId", F.sha2(normalize("message", "strict"), 256).alias("t")))
+    m = written(spread(table(s, d, "failures").where("message is not null").select("rowId", "message")).select("rowId", F.sha2(normalize("message", "strict"), 256).alias("t")))
     return m.join(m.groupBy("t").agg(F.min("rowId").alias("id")), "t").select("rowId", "id")
 
 
