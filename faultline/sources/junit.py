@@ -1,4 +1,4 @@
-"""JUnit XML reports: one pass of an event parser over a scrubbed document.
+"""JUnit XML reports: one pass of an event parser over chunks of a scrubbed document.
 
 Elements and attributes are matched without case. Escape sequences and characters that XML forbids are
 removed and counted before parsing; a DOCTYPE is always refused.
@@ -6,8 +6,11 @@ removed and counted before parsing; a DOCTYPE is always refused.
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import math
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
@@ -52,11 +55,17 @@ class _Reader:
         self.parts: list[str] = []
         self.size, self.full = 0, False
         self.seen: dict[tuple, int] = {}
+        self.done: list[dict] = []  # finished attempts that nobody has taken yet
+        self.total = 0
         self.parser = p = expat.ParserCreate()
         p.buffer_text = True
         p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = self.start, self.end, self.data
         p.StartDoctypeDeclHandler = self.doctype
 
+    def take(self) -> list[dict]:
+        out, self.done = self.done, []
+        return out
+
     def at(self) -> str:
         return f"line {self.parser.CurrentLineNumber}"
 
@@ -141,30 +150,52 @@ class _Reader:
         key = (*path, case.name)
         base = self.seen.get(key, 0)
         for i, (status, f) in enumerate(steps):
-            self.out.attempts.append(attempt(
+            self.done.append(attempt(
                 shardIndex=self.shard, displayName=case.name, suitePath=path, filePath=case.file, attemptIndex=base + i, status=status,
                 durationMs=case.duration if i == len(steps) - 1 else None, failure=f and f | {"stdout": case.stdout, "stderr": case.stderr},
             ))
         if base:
             self.out.warn("DUPLICATE_TESTCASE", f"testcase {case.name!r} appears again; recorded as attempt {base} on", self.at())
         self.seen[key] = base + len(steps)
-        if len(self.out.attempts) > self.limits.max_attempts:
+        self.total += len(steps)
+        if self.total > self.limits.max_attempts:
             raise ParseError("ATTEMPT_LIMIT", f"more than {self.limits.max_attempts} attempts", self.at(), "split the report")
 
 
-def parse(data: bytes, shard: int = 0, skip_invalid: bool = False, limits: Limits = Limits()) -> Parsed:
-    """Attempts in document order, and warnings. Malformed documents raise unless skip_invalid; what was complete is kept."""
-    if len(data) > limits.max_bytes:
-        raise ParseError("SIZE_LIMIT", f"the report exceeds {limits.max_bytes} bytes")
-    out = Parsed()
-    text = data.decode("utf-8-sig", "replace")
-    text, a = _ANSI.subn("", text)
-    text, b = _ILLEGAL.subn("", text)
-    if a + b:
-        out.warn("CONTROL_CHARS_STRIPPED", f"{a} escape sequences and {b} control characters were removed")
+#: Longest escape sequence that is removed; what could be the beginning of one waits for the next chunk.
+_CARRY = 528
+_PROLOG = re.compile(r"^\s*<\?xml[^>]*\?>")
+
+
+def stream(chunks: Iterable[bytes], out: Parsed, shard: int = 0, skip_invalid: bool = False, limits: Limits = Limits()) -> Iterator[list[dict]]:
+    """Attempts as they end, in document order, chunk by chunk; only the open testcase and a short carry are held. Warnings go
+    to `out`. The result does not depend on where chunks are cut."""
+    decoder = codecs.getincrementaldecoder("utf-8-sig")("replace")
     reader = _Reader(out, limits, shard)
+    held, read, scrubbed, begun = "", 0, [0, 0], False
+
+    def feed(text: str, last: bool) -> None:
+        text, a = _ANSI.subn("", text)
+        text, b = _ILLEGAL.subn("", text)
+        scrubbed[0], scrubbed[1] = scrubbed[0] + a, scrubbed[1] + b
+        reader.parser.Parse(text.encode("utf-8", "replace"), last)
+
     try:
-        reader.parser.Parse(re.sub(r"^\s*<\?xml[^>]*\?>", "", text).encode("utf-8", "replace"), True)
+        for chunk in itertools.chain(chunks, (None,)):
+            last = chunk is None
+            read += len(chunk or b"")
+            if read > limits.max_bytes:
+                raise ParseError("SIZE_LIMIT", f"the report exceeds {limits.max_bytes} bytes")
+            held += decoder.decode(chunk or b"", last)
+            if not begun:
+                if len(held) < 4096 and not last:
+                    continue
+                held, begun = _PROLOG.sub("", held), True
+            cut = -1 if last else held.find("\x1b", max(0, len(held) - _CARRY))
+            text, held = (held, "") if cut < 0 else (held[:cut], held[cut:])
+            feed(text, last)
+            if reader.done:
+                yield reader.take()
     except expat.ExpatError as e:
         if not skip_invalid:
             raise ParseError("XML_ERROR", str(e), reader.at(), "the upload was probably cut off; run the job again") from None
@@ -172,6 +203,16 @@ def parse(data: bytes, shard: int = 0, skip_invalid: bool = False, limits: Limit
     if reader.case:
         out.warn("TRUNCATED_INPUT", "the report ends inside a testcase", reader.at())
         reader.finish()
+    if sum(scrubbed):
+        out.warn("CONTROL_CHARS_STRIPPED", f"{scrubbed[0]} escape sequences and {scrubbed[1]} control characters were removed")
+    yield reader.take()
+
+
+def parse(data: bytes, shard: int = 0, skip_invalid: bool = False, limits: Limits = Limits()) -> Parsed:
+    """Attempts in document order, and warnings. Malformed documents raise unless skip_invalid; what was complete is kept."""
+    out = Parsed()
+    for some in stream((data,), out, shard, skip_invalid, limits):
+        out.attempts += some
     return out
 
 

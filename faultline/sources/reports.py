@@ -73,6 +73,10 @@ def parse_file(name: str, data: bytes, shard: int = 0, skip_invalid: bool = True
         return row | {"error": e.code}
 
 
+#: Report bytes whose rows make one Arrow batch.
+_BATCH_BYTES = 4 << 20
+
+
 def _batch(rows: list[dict], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
 
@@ -81,16 +85,29 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def read_reports(spark: SparkSession, path: str, skip_invalid: bool = True, limits: Limits = Limits()) -> DataFrame:
-    """path, adapter, error, warnings, attempts of every report under a folder; other files are left out."""
+def parse_reports(files: DataFrame, skip_invalid: bool = True, limits: Limits = Limits()) -> DataFrame:
+    """path, adapter, error, warnings, attempts of every report among files (path, content); other files are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, size = [], 0
             for p, c in zip(b.column(0).to_pylist(), b.column(1)):
-                if row := parse_file(p, c.as_py(), 0, skip_invalid, limits):
-                    yield _batch([row], PARSED)
+                data = c.as_py()
+                if row := parse_file(p, data, 0, skip_invalid, limits):
+                    rows.append(row)
+                    size += len(data)
+                if size > _BATCH_BYTES:
+                    yield _batch(rows, PARSED)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows, PARSED)
 
-    return _files(spark, path, "*.{xml,json,jsonl}").mapInArrow(run, PARSED)
+    return files.select("path", "content").mapInArrow(run, PARSED)
+
+
+def read_reports(spark: SparkSession, path: str, skip_invalid: bool = True, limits: Limits = Limits()) -> DataFrame:
+    """The reports under a folder, in any file system Spark reads."""
+    return parse_reports(_files(spark, path, "*.{xml,json,jsonl}"), skip_invalid, limits)
 
 
 def attempts(reports: DataFrame) -> DataFrame:
@@ -222,12 +239,33 @@ def read_repository_list(spark: SparkSession, source: str) -> DataFrame:
 # ---- generated input -----------------------------------------------------------------------------
 
 
-def synthetic_failures(spark: SparkSession, n: int) -> DataFrame:
-    """n failing results in 50 suites, with values, identifiers, addresses and ports that normalisation folds away."""
+def synthetic_reports(spark: SparkSession, n: int, suites: int = 50) -> DataFrame:
+    """JUnit reports (path, content) with n failing results in all, one report per suite; values, identifiers,
+    addresses, ports and times vary from result to result."""
+    per = -(-n // suites)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for suite in b.column(0).to_pylist():
+                cases = []
+                for k in range(suite * per, min(n, (suite + 1) * per)):
+                    what = f"wanted {k % 9} rows but found {k % 13}"
+                    cases.append(
+                        f'<testcase name="result {k}" classname="Suite{suite}" time="{k % 89 / 10}"><failure type="AssertionError" message="{what}"><![CDATA[AssertionError: {what}\n'
+                        f"    at verify (src/part{suite}/table.ts:{k % 400 + 1}:{k % 60 + 1})\n    at drive (node_modules/runner/lib/main.js:9:4)\n    at Object.<anonymous> (test/part{suite}.spec.ts:{k % 200}:7)\n"
+                        f"after {k % 5000}ms; request 3f2504e0-4f89-41d3-9a0c-0305e82c33{k % 100:02d} to 10.1.{k % 250}.{k * 7 % 250}:9090 was refused]]></failure></testcase>"
+                    )
+                xml = f'<testsuites><testsuite name="suite {suite}" file="test/part{suite}.spec.ts">{"".join(cases)}</testsuite></testsuites>'
+                yield pa.RecordBatch.from_arrays([pa.array([f"suite-{suite}.xml"]), pa.array([xml.encode()])], ["path", "content"])
+
+    return spark.range(suites, numPartitions=min(suites, spark.sparkContext.defaultParallelism * 2)).mapInArrow(run, "path string, content binary")
+
+
+def synthetic_messages(spark: SparkSession, n: int) -> DataFrame:
+    """Messages with values, times, addresses and identifiers for normalisation to fold."""
     i = F.col("id")
-    message = F.format_string("expected %d items but made %d at 10.0.%d.%d:%d for %s", i % 7, i % 11, i % 200, i % 250, i % 50000 + 1024, F.uuid(F.lit(7)))
-    stack = F.format_string("Error: step %d\n    at run (/srv/app/suite%d.ts:%d:7)\n    at next (/srv/app/node_modules/lib/index.js:9:1)", i, i % 50, i % 400 + 1)
-    return spark.range(n).select(F.format_string("suite-%d", i % 50).alias("suite"), F.lit("Error").alias("errorType"), message.alias("message"), stack.alias("stackText"))
+    text = F.format_string("AssertionError: wanted %d but found %d after %dms at 10.0.0.%d:9090 for request 3f2504e0-4f89-41d3-9a0c-0305e82c%04d", i % 13, i % 17, i % 900, i % 255, i % 10000)
+    return spark.range(n).select(text.alias("message"))
 
 
 # ---- Python data source --------------------------------------------------------------------------
