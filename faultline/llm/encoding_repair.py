@@ -13,6 +13,9 @@ The number of forms is far below the number of rows; each step is a join or a pa
 them, and only the learned transformations (at most the catalogue's) and the counts per character (at
 most Unicode's) come to the driver.
 
+Bounds on what is learned, not on what is looked at: a transformation needs LEAST_VOTES different votes, a word that is undone by
+itself LEAST_WORD characters. Runs of any length vote, and any number of layers is undone.
+
 Defined results: null and ASCII-only texts are no case; a text is a case if any of its lines is; what
 cannot be restored (replaced characters without a twin) keeps its characters and counts as unrestored.
 """
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import written
+from faultline.session import shuffle_partitions, written
 
 #: Names of public codecs; fixed values. What a text may have been written in, and what it may have been read as.
 SINGLE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp1258", "koi8-r", "cp866", "cp437", "cp850", "cp852", "mac_roman", "mac_cyrillic", "iso8859-2", "iso8859-5", "iso8859-7", "iso8859-9", "iso8859-15")
@@ -36,6 +39,7 @@ MULTI = ("gbk", "gb18030", "big5", "shift_jis", "euc_jp", "euc_kr")
 MASK = r"[A-Za-z0-9_.#-]*[0-9_][A-Za-z0-9_.#-]*"
 RUN = re.compile(r"[^\x00-\x7f]+")
 LEAST_VOTES = 3
+LEAST_WORD = 3
 _C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
 
 
@@ -98,15 +102,14 @@ def align(form: str, other: str) -> list[tuple[str, str]] | None:
     return list(zip(RUN.findall(form), RUN.findall(other)))
 
 
-def _explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(written_as, read_as, clean, garbled) of the runs of twins that a pair of codecs explains."""
-    known: dict[tuple[str, str], list[tuple[str, str]]] = {}
+@lru_cache(maxsize=1 << 14)
+def ways(clean: str, dirty: str) -> tuple[tuple[str, str], ...]:
+    """The codec pairs that turn one run into the other, whatever their length."""
+    return tuple(t for t in CATALOGUE if garble(clean, *t) == dirty)
 
-    def ways(clean: str, dirty: str) -> list[tuple[str, str]]:
-        if (clean, dirty) not in known:
-            known[clean, dirty] = [t for t in CATALOGUE if garble(clean, *t) == dirty] if len(clean) <= 400 else []
-        return known[clean, dirty]
 
+def _explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(written_as, read_as, clean, garbled) of the runs of twins that a pair of codecs explains."""
     for b in batches:
         votes: set[tuple[str, str, str, str]] = set()
         for form, hub in zip(b.column("form").to_pylist(), b.column("hub").to_pylist()):
@@ -132,17 +135,16 @@ class Rules:
         return all(ord(c) < 128 or self.chars.get(c, 0) >= 2 for c in text)
 
     def unfold(self, run: str) -> str | None:
-        """The run as UTF-8 read wrongly, once or more; None if it isn't that. Its largest decodable part will do."""
-        out, steps = run, 0
-        while steps < 3:
+        """The run as UTF-8 read wrongly, once or more; None if it isn't that. Every layer makes it shorter, so it ends."""
+        out = run
+        while True:
             for w, r in self.wide:
                 new = restore(out, w, r)
-                if new is not None and len(new) < len(out) and (self.attested(new) or any(restore(new, *t) for t in self.wide[:4])):
-                    out, steps = new, steps + 1
+                if new is not None and len(new) < len(out) and (self.attested(new) or any(restore(new, *t) for t in self.wide)):
+                    out = new
                     break
             else:
-                break
-        return out if steps and self.attested(out) else None
+                return out if out != run and self.attested(out) else None
 
     def twin(self, form: str, hub: str, more: bool) -> list[str] | None:
         """The hub's runs if learned transformations turn each of them that differs into the form's run."""
@@ -184,7 +186,7 @@ def _guesses(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.Rec
     for b in batches:
         out = []
         for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
-            if len(w) >= 3:
+            if len(w) >= LEAST_WORD:
                 out += [(w, n, c) for c in {restore(w, *t) for t in rules.ways} if c and "�" not in c]
         if out:
             cols = list(zip(*out))
@@ -247,20 +249,22 @@ class Repair:
         second = forms.groupBy("layout").agg(hub).select("layout", F.col("h.form").alias("hub2"), F.col("h.n").alias("hub2_n"))
         twins = forms.join(first, "bare").join(second, "layout")
         pairs = twins.select("form", "hub").unionAll(twins.select("form", F.col("hub2").alias("hub"))).where("form <> hub").distinct()
-        votes = pairs.mapInArrow(_explain, "written_as string, read_as string, clean string, garbled string").distinct()
+        # far fewer forms than rows, but each costs many decodings: dealt out over all tasks
+        tasks = max(shuffle_partitions(spark), 2 * spark.sparkContext.defaultParallelism)
+        votes = pairs.repartition(tasks).mapInArrow(_explain, "written_as string, read_as string, clean string, garbled string").distinct()
         ways = votes.groupBy("written_as", "read_as").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") >= LEAST_VOTES).collect()  # at most the catalogue
         char = F.explode(F.split(F.regexp_replace("hub", r"[\x00-\x7F]", ""), ""))
         chars = first.select("hub_n", char.alias("c")).where("c <> ''").groupBy("c").agg(F.sum("hub_n").alias("n")).collect()  # at most Unicode's
         self.rules = rules = Rules([(r.written_as, r.read_as, r.v) for r in ways], {r.c: r.n for r in chars})
         shared = spark.sparkContext.broadcast(rules)
         words = written(forms.select("form", "n").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-        guesses = words.mapInArrow(lambda it: _guesses(it, shared.value), "word string, n long, clean string")
+        guesses = words.repartition(tasks).mapInArrow(lambda it: _guesses(it, shared.value), "word string, n long, clean string")
         known = words.select(F.col("word").alias("clean"), F.col("n").alias("clean_n"))
         fixes = guesses.join(known, "clean").where("clean_n >= 2 and clean_n > n").groupBy("word").agg(F.max_by("clean", F.struct("clean_n", "clean")).alias("clean"))
         # which forms hold those words
         own = forms.mapInArrow(_form_words, "form string, word string").join(fixes, "word").groupBy("form").agg(F.map_from_entries(F.collect_set(F.struct("word", "clean"))).alias("fixed"))
         judged = twins.join(own, "form", "left").select("form", "n", "hub", "hub_n", "hub2", "hub2_n", "fixed")
-        self.cases = judged.mapInArrow(lambda it: _judge(it, shared.value), "form string, runs array<string>")
+        self.cases = judged.repartition(tasks).mapInArrow(lambda it: _judge(it, shared.value), "form string, runs array<string>")
 
     def found(self) -> DataFrame:
         """row_id and field_name of every text with a garbled line."""

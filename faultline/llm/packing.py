@@ -1,7 +1,7 @@
 """Problem 7: items into fixed-capacity containers, by non-negative least squares over the length histogram.
 
 The plan is made from the histogram of lengths alone (at most `capacity` numbers, whatever the corpus). A
-container is cut into equal windows of a few typical items each. All combinations of up to three lengths
+container is cut into equal windows of a few typical items each (at most MAX_WINDOW tokens, so the plan's size does not depend on the capacity). All combinations of up to three lengths
 that fill a window exactly are enumerated; non-negative least squares finds how often to repeat each so
 that the histogram is used up; the counts are rounded down to what is there, and whole containers are
 built from the filled windows. What remains is packed greedily, longest first, by patterns that are
@@ -92,14 +92,21 @@ def nnls(combos: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int
     return x
 
 
+MAX_WINDOW = 2048
+
+
 def window_of(counts: dict[int, int], capacity: int) -> int:
-    """The capacity halved until a window holds about three mean items, and at most a few thousand tokens wide."""
+    """The size of a window: about three mean items, 64 tokens at least and MAX_WINDOW at most, whatever the capacity.
+
+    A container holds capacity // window windows. Of the sizes between half that aim and all of it, the one that wastes least of a
+    container is taken, the largest of equals: none is wasted where one divides the capacity, and a few tokens of a
+    container where none does."""
     n = sum(counts.values())
     mean = sum(k * c for k, c in counts.items()) / max(1, n)
-    w = capacity
-    while w % 2 == 0 and w > 3 * mean and w > 64 or w > 2048 and w % 2 == 0:
-        w //= 2
-    return w
+    aim = min(MAX_WINDOW, max(64, int(3 * mean)))
+    if capacity <= aim:
+        return capacity
+    return min(range(max(1, aim // 2), aim + 1), key=lambda w: (capacity % w, -w))
 
 
 def plan(counts: dict[int, int], capacity: int, steps: int = 300) -> tuple[list[Slot], int]:

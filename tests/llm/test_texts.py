@@ -280,6 +280,18 @@ def test_packing_edges(spark):
     assert slots == [] and n == 0
 
 
+def test_windows_of_odd_capacities():
+    """The window stays small and wastes little of the container, whatever the capacity's factors."""
+    counts = {k: 10 for k in range(1, 1200)}
+    for capacity in (4096, 4095, 4093, 131071, 100_003, 65_537):
+        w = packing.window_of(counts, capacity)
+        assert 32 <= w <= packing.MAX_WINDOW and capacity % w <= 8
+    assert packing.window_of({5: 3}, 40) == 40
+    slots, n = packing.plan(counts, 131071)
+    total = sum(k * c for k, c in counts.items())
+    assert -(-total // 131071) <= n <= -(-total // 131071) + 1
+
+
 def test_combinations_are_complete():
     lengths = np.array([1, 2, 3, 5, 8, 9])
     got = {tuple(sorted(int(lengths[i]) for i in c if i >= 0)) for c in packing.combinations(lengths, 10)}
