@@ -62,7 +62,7 @@ def status(c: Corpus, a: argparse.Namespace) -> None:
 
 def frames(c: Corpus, a: argparse.Namespace) -> None:
     repo = c.runs.select("corpusRunId", F.col("source.repo").alias("repo"))
-    _show(scoring.frame_report(c.failures, repo).orderBy(F.desc("failures"), "framework"))
+    _show(scoring.frame_report(scoring.frame_flags(c.failures), repo).orderBy(F.desc("failures"), "framework"))
 
 
 def baseline(c: Corpus, a: argparse.Namespace) -> None:

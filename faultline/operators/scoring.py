@@ -11,9 +11,17 @@ from faultline.functions import hashing, stats
 from faultline.functions.frames import detect_framework, frame_summary, framework_or_adapter
 from faultline.operators import corpus
 
+#: Reasons as reports give them; fixed values.
+TOO_FEW, NO_LABELS = "only %d labelled failure(s); a run needs 2 to contribute a pair", "no labels"
+
 Grouping = Callable[[DataFrame], DataFrame]
 
 
+def by_column(column: str) -> Grouping:
+    """Equal values of a column are one group."""
+    return lambda failures: failures.select("corpusRunId", "failureId", F.col(column).alias("grp"))
+
+
 def loose_fingerprint(failures: DataFrame) -> DataFrame:
     """corpusRunId, failureId, grp: equal loose fingerprints are one group."""
     return hashing.with_fingerprint(failures).select("corpusRunId", "failureId", F.col("loose_hash").alias("grp"))
@@ -86,11 +94,11 @@ def exclusions(runs: DataFrame, rows: DataFrame, labels: DataFrame) -> DataFrame
     n = rows.groupBy("labeler", "corpusRunId").agg(F.count(F.lit(1)).alias("n"))
     # every stored run counts once for every labeler: totals instead of a product of both
     seen = docs.join(runs.select("corpusRunId"), "corpusRunId", "left_semi").join(n, ["labeler", "corpusRunId"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    few = F.regexp_replace(F.concat(F.lit("only "), "n", F.lit(" labelled failure(s); a run needs 2 to contribute a pair")), r"\d+", "N")
+    few = F.regexp_replace(F.format_string(TOO_FEW, "n"), r"\d+", "N")
     some = seen.where("n < 2").select("labeler", few.alias("reason")).groupBy("labeler", "reason").agg(F.count(F.lit(1)).alias("n_runs"))
     total = runs.select("corpusRunId").distinct().agg(F.count(F.lit(1)).alias("t"))
     had = names.join(seen.groupBy("labeler").agg(F.count(F.lit(1)).alias("h")), "labeler", "left")
-    none = had.join(F.broadcast(total)).select("labeler", F.lit("no labels").alias("reason"), (F.col("t") - F.coalesce("h", F.lit(0))).alias("n_runs"))
+    none = had.join(F.broadcast(total)).select("labeler", F.lit(NO_LABELS).alias("reason"), (F.col("t") - F.coalesce("h", F.lit(0))).alias("n_runs"))
     return some.unionByName(none.where("n_runs > 0"))
 
 
@@ -174,10 +182,16 @@ def check_contexts(full: DataFrame, payload: DataFrame) -> None:
 # ---- reports -------------------------------------------------------------------------------------
 
 
-def frame_report(failures: DataFrame, repo_of: DataFrame) -> DataFrame:
+def frame_flags(failures: DataFrame, *keep: str, **options) -> DataFrame:
+    """corpusRunId, the columns to keep, framework, and whether the stack has any frame and one of the application (0 or 1): what a
+    report needs of a stack, found where the stack is read. Options are test_globs and vendor_dirs."""
+    f = failures.select("corpusRunId", *keep, framework_or_adapter(detect_framework()).alias("framework"), frame_summary("stackText", **options).alias("s"))
+    return f.select("corpusRunId", *keep, "framework", (F.col("s.n_frames") > 0).cast("long").alias("any"), (F.col("s.n_app") > 0).cast("long").alias("app"))
+
+
+def frame_report(flags: DataFrame, repo_of: DataFrame) -> DataFrame:
     """Per framework: failures, with any frame, with an application frame, its Wilson interval, repositories, top share."""
-    f = failures.select("corpusRunId", framework_or_adapter(detect_framework()).alias("framework"), frame_summary("stackText").alias("s"))
-    f = f.select("corpusRunId", "framework", (F.col("s.n_frames") > 0).cast("long").alias("any"), (F.col("s.n_app") > 0).cast("long").alias("app")).join(repo_of, "corpusRunId")
+    f = flags.join(repo_of, "corpusRunId")
     per = f.groupBy("framework", "repo").agg(F.count(F.lit(1)).alias("n"), F.sum("any").alias("any"), F.sum("app").alias("app"))
     rows = per.groupBy("framework").agg(F.sum("n").alias("failures"), F.sum("any").alias("with_any_frame"), F.sum("app").alias("with_app_frame"), F.count(F.lit(1)).alias("repositories"), (F.max("n") / F.sum("n")).alias("top_repo_share"))
     total = per.agg(F.lit("total").alias("framework"), F.sum("n").alias("failures"), F.sum("any").alias("with_any_frame"), F.sum("app").alias("with_app_frame"), F.count_distinct("repo").alias("repositories"), F.lit(0.0).alias("top_repo_share"))

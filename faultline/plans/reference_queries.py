@@ -111,7 +111,13 @@ def _null(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _scored(s: SparkSession, d: str, grouping=scoring.same_error_type) -> DataFrame:
-    return scoring.scored(_failures(s, d, "sourceFile", "errorType", "message", "stackText"), _labels(s, d), grouping)
+    return scoring.scored(_failures(s, d, "errorType"), _labels(s, d), grouping)
+
+
+def _derived(s: SparkSession, d: str, make, *columns: str) -> DataFrame:
+    """One row per failure with columns derived from its texts. They are derived where the texts are read, so no text is shuffled."""
+    f = spread(table(s, d, "failures").select("rowId", "corpusRunId", "failureId", "sourceFile", "producerAdapter", "errorType", "message", "stackText"))
+    return corpus.first_deliveries(make(f).select("rowId", "corpusRunId", "failureId", *columns), *columns)
 
 
 _SCORED = f"""WITH {_FAILURES}, {_LABELS},
@@ -145,7 +151,9 @@ def baseline_total(s: SparkSession, d: str) -> DataFrame:
 @_query()
 def baseline_loose_fingerprint(s: SparkSession, d: str) -> DataFrame:
     """The same with groups of equal loose fingerprints."""
-    return scoring.baseline_total(scoring.baseline_runs(_scored(s, d, scoring.loose_fingerprint)), ["labeler"], resamples=stats.RESAMPLES, undefined="null")
+    f = _derived(s, d, hashing.with_fingerprint, "loose_hash")
+    rows = scoring.scored(f, _labels(s, d), scoring.by_column("loose_hash"))
+    return scoring.baseline_total(scoring.baseline_runs(rows), ["labeler"], resamples=stats.RESAMPLES, undefined="null")
 
 
 @_query(f"""{_SCORED.replace("l.grp AS truth", "l.grp AS truth, coalesce(f.producerAdapter, 'none') AS stratum")},
@@ -157,7 +165,7 @@ def baseline_loose_fingerprint(s: SparkSession, d: str) -> DataFrame:
   SELECT *, {_PRF} FROM st WHERE n_runs > 0""")
 def baseline_by_adapter(s: SparkSession, d: str) -> DataFrame:
     """Scores within strata: both members of a pair come from one producing adapter."""
-    f = _failures(s, d, "sourceFile", "errorType", "message", "stackText", "producerAdapter")
+    f = _failures(s, d, "errorType", "producerAdapter")
     rows = scoring.scored(f, _labels(s, d), scoring.same_error_type).join(f.select("corpusRunId", "failureId", F.coalesce("producerAdapter", F.lit("none")).alias("stratum")), ["corpusRunId", "failureId"])
     return scoring.strata(rows, "stratum", undefined="null")
 
@@ -186,7 +194,8 @@ def _strata_sql(stratum: str) -> str:
 
 @_query(f"""{_SCORED.replace("l.grp AS truth", f"l.grp AS truth, {_detect_sql()} AS framework")}, {_strata_sql('framework')}""")
 def baseline_by_framework(s: SparkSession, d: str) -> DataFrame:
-    rows = scoring.scored(_failures(s, d, "sourceFile", "errorType", "message", "stackText"), _labels(s, d), scoring.same_error_type, by_framework=True)
+    f = _derived(s, d, lambda x: x.withColumn("framework", detect_framework()), "errorType", "framework")
+    rows = scoring.scored(f, _labels(s, d), scoring.same_error_type).join(f.select("corpusRunId", "failureId", "framework"), ["corpusRunId", "failureId"])
     return scoring.strata(rows, "framework", undefined="null")
 
 
@@ -204,7 +213,7 @@ def baseline_by_repository(s: SparkSession, d: str) -> DataFrame:
   SELECT labeler, sum(m * (m - 1) // 2 - own)::BIGINT AS cross_pairs FROM run GROUP BY labeler""")
 def cross_adapter_pairs(s: SparkSession, d: str) -> DataFrame:
     """Pairs of one run whose members come from different adapters, counted without making them."""
-    f = _failures(s, d, "sourceFile", "errorType", "message", "stackText", "producerAdapter")
+    f = _failures(s, d, "errorType", "producerAdapter")
     rows = scoring.scored(f, _labels(s, d), scoring.same_error_type).join(f.select("corpusRunId", "failureId", F.coalesce("producerAdapter", F.lit("none")).alias("stratum")), ["corpusRunId", "failureId"])
     return scoring.cross_pairs(rows, "stratum")
 
@@ -555,7 +564,8 @@ _Z = "1.959963984540054"
 def frame_availability(s: SparkSession, d: str) -> DataFrame:
     """Per framework and in total: failures with any frame and with an application frame, with Wilson intervals."""
     runs = _runs(s, d).select("corpusRunId", F.coalesce("source.repo", F.lit("?")).alias("repo"))
-    out = scoring.frame_report(_failures(s, d, "sourceFile", "errorType", "stackText", "producerAdapter"), runs)
+    flags = _derived(s, d, lambda f: scoring.frame_flags(f, "rowId", "failureId"), "framework", "any", "app")
+    out = scoring.frame_report(flags, runs)
     return out.withColumns({c: F.round(c, 9) for c in ("rate", "lower", "upper", "top_repo_share")})
 
 
@@ -675,7 +685,7 @@ def generator_sequence(s: SparkSession, d: str) -> DataFrame:
 @_query()
 def labelling_sample(s: SparkSession, d: str) -> DataFrame:
     """A coverage-driven selection of runs for labelling."""
-    f = _failures(s, d, "sourceFile", "errorType", "stackText").withColumn("framework", detect_framework())
+    f = _derived(s, d, lambda x: x.withColumn("framework", detect_framework()), "framework")
     return sampling.sample(_runs(s, d).select("corpusRunId", "source.repo"), f).selected
 
 
