@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vocabulary of the stored documents; fixed values.
@@ -96,6 +96,47 @@ def usable_artifact(name: Column, size: Column, expired: Column, cap: int) -> Co
     return name.rlike(ARTIFACT_HINT) & (size <= cap) & ~expired
 
 
+def tracked(runs: DataFrame, paths: list[str]) -> DataFrame:
+    """The runs whose document is among the paths under version control (as `git ls-files` lists them)."""
+    dirs = sorted({p.split("/")[-2] for p in paths if p.endswith("/run.json") and p.count("/")})
+    return runs.where(F.regexp_replace("corpusRunId", r"[^A-Za-z0-9._-]+", "_").isin(dirs)) if dirs else runs.limit(0)
+
+
+def ordered(runs: DataFrame) -> DataFrame:
+    """Adds ordinal: a run's place among all by the name of its folder, without bringing all runs into one task."""
+    name = F.regexp_replace("corpusRunId", r"[^A-Za-z0-9._-]+", "_")
+    parts = runs.withColumn("_d", name).orderBy("_d", "corpusRunId").withColumn("_p", F.spark_partition_id())
+    own = Window.partitionBy("_p").orderBy("_d", "corpusRunId")
+    earlier = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    before = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_b"))
+    return parts.join(F.broadcast(before), "_p").withColumn("ordinal", F.row_number().over(own) - 1 + F.col("_b")).drop("_d", "_p", "_b")
+
+
+def filtered(runs: DataFrame, text: str = "", held: bool | None = None, framework: str | None = None) -> DataFrame:
+    """Runs whose id, repository or branch contains a text, that are held out or not, and of a framework (column frameworks)."""
+    out = runs
+    if text:
+        hay = F.lower(F.concat_ws(" ", "corpusRunId", "source.repo", "source.headBranch"))
+        out = out.where(hay.contains(text.lower()))
+    if held is not None:
+        out = out.where(hold_out_reason(F.col("source.licenseSpdx")).isNotNull() == F.lit(held))
+    return out.where(F.array_contains("frameworks", framework)) if framework else out
+
+
+def sorted_by(df: DataFrame, column: str, before: tuple[str, bool] | None = None) -> tuple[DataFrame, tuple[str, bool]]:
+    """df by a column, falling first; asking for the same column again turns the direction. Ties by run."""
+    falling = not before[1] if before and before[0] == column else True
+    return df.orderBy(F.desc_nulls_last(column) if falling else F.asc_nulls_last(column), "corpusRunId"), (column, falling)
+
+
+def category_of(answer: str) -> str | None:
+    """A category by its number in the vocabulary (from 1) or by its name; null for anything else."""
+    folded = answer.strip().upper().replace(" ", "_").replace("-", "_")
+    if folded.isdigit():
+        return CATEGORIES[int(folded) - 1] if 1 <= int(folded) <= len(CATEGORIES) else None
+    return folded if folded in CATEGORIES else None
+
+
 def committable(runs: DataFrame) -> DataFrame:
     return runs.where(hold_out_reason(F.col("source.licenseSpdx")).isNull())
 

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import hashing, stats, text
-from faultline.functions.frames import detect_framework
+from faultline.functions.frames import detect_framework, framework_or_adapter
 from faultline.functions.normalize import normalize
-from faultline.operators import corpus, sampling, scoring
+from faultline.operators import corpus, gates, sampling, scoring
 from faultline.session import spread, table, written
 
 RESAMPLES = stats.RESAMPLES
@@ -403,24 +403,22 @@ def coverage_gaps(s: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""{_RUN_SIZES}, {_LABELS}, hl AS (SELECT * FROM labels_ WHERE NOT starts_with(labeler, 'machine:')),
-  k AS (SELECT category, count(DISTINCT corpusRunId || '#' || failureId) AS n FROM hl GROUP BY category)
+  k AS (SELECT category, count(DISTINCT corpusRunId || '#' || failureId) AS n FROM hl GROUP BY category),
+  kept AS (SELECT * FROM runs_ WHERE {_HELD} IS NULL), fk AS (SELECT {_detect_sql()} AS k, producerAdapter FROM failures_ WHERE corpusRunId IN (SELECT corpusRunId FROM kept)),
+  fw AS (SELECT CASE WHEN k <> 'unknown' THEN k WHEN producerAdapter = 'playwright' THEN 'playwright' ELSE 'unidentified' END AS k FROM fk)
   SELECT 'runs' AS id, (SELECT count(*) FROM per)::DOUBLE AS observed, 80::DOUBLE AS required, (SELECT count(*) FROM per) >= 80 AS met
   UNION ALL SELECT 'multi-failure-runs', (SELECT count_if(n >= 5) FROM per), 50, (SELECT count_if(n >= 5) FROM per) >= 50
   UNION ALL SELECT 'failures', (SELECT count(DISTINCT corpusRunId || '#' || failureId) FROM hl), 1000, (SELECT count(DISTINCT corpusRunId || '#' || failureId) FROM hl) >= 1000
   UNION ALL SELECT 'repositories', (SELECT count(DISTINCT repo) FROM per), 10, (SELECT count(DISTINCT repo) FROM per) >= 10
   UNION ALL SELECT 'labelers', (SELECT count(DISTINCT labeler) FROM hl), 2, (SELECT count(DISTINCT labeler) FROM hl) >= 2
+  UNION ALL SELECT 'frameworks', (SELECT count(DISTINCT k) FROM fw WHERE k <> 'unidentified'), 3, (SELECT count(DISTINCT k) FROM fw WHERE k <> 'unidentified') >= 3
+  UNION ALL SELECT 'synthetic-cap', (SELECT round(100.0 * count_if(fidelity = 'synthetic') / count(*), 1) FROM kept), 20, (SELECT count_if(fidelity = 'synthetic') / count(*) <= 0.2 FROM kept)
   UNION ALL SELECT 'category:' || category, n, 30, n >= 30 FROM k""")
 def gate_counts(s: SparkSession, d: str) -> DataFrame:
     """The counted requirements, machine labels left out; a category's floor counts distinct failures."""
-    per = _per_run(s, d)
-    human = _labels(s, d).where(~corpus.is_machine())
-    key = F.concat_ws("#", "corpusRunId", "failureId")
-    a = per.agg(F.count(F.lit(1)).alias("r"), F.count_if(F.col("n") >= 5).alias("m"), F.count_distinct("repo").alias("p"))
-    b = human.agg(F.count_distinct(key).alias("f"), F.count_distinct("labeler").alias("l"))
-    one = lambda i, c, k: F.struct(F.lit(i).alias("id"), F.col(c).cast("double").alias("observed"), F.lit(float(k)).alias("required"))
-    rows = a.join(b).select(F.explode(F.array(one("runs", "r", 80), one("multi-failure-runs", "m", 50), one("failures", "f", 1000), one("repositories", "p", 10), one("labelers", "l", 2))).alias("x")).select("x.*")
-    cats = human.groupBy("category").agg(F.count_distinct(key).cast("double").alias("observed")).select(F.concat(F.lit("category:"), "category").alias("id"), "observed", F.lit(30.0).alias("required"))
-    return rows.unionByName(cats).withColumn("met", F.col("observed") >= F.col("required"))
+    flags = _derived(s, d, lambda x: x.withColumn("framework", framework_or_adapter(detect_framework())), "framework")
+    out = gates.counted(gates.sizes(_runs(s, d), _failures(s, d, "rowId")), flags, _labels(s, d))
+    return out.select("id", "observed", "required", "met")
 
 
 def _agreement_sql(pairs: str, sums: list[str], per: str, stat: str) -> str:
@@ -448,13 +446,7 @@ def _weakest_sql(id: str, rows: str, required: float) -> str:
 @_query(f"{_weakest_sql('grouping-agreement', _GROUPING, 0.8)} UNION ALL {_weakest_sql('separability', _SEPARABLE, 0.6)}")
 def gate_measured(s: SparkSession, d: str) -> DataFrame:
     """The weakest pair's lower bounds of grouping agreement and of separability; an unmeasured gate is unmet."""
-    group = scoring.grouping_agreement(_pairs(s, d), resamples=stats.RESAMPLES)
-    sep = scoring.category_agreement(scoring.separability_pairs(_labels(s, d)), resamples=stats.RESAMPLES)
-    # the interval is rounded, so the weakest pair is the same however its bounds were added up; ties to the smallest name
-    named = lambda df: df.where(~F.isnan("lower")).select(F.round("lower", 9).alias("lower"), F.concat_ws(" vs ", *scoring.PAIR).alias("pair"))
-    weakest = lambda df: named(df).agg(F.min(F.struct("lower", "pair")).alias("m")).select("m.lower", "m.pair")
-    out = weakest(group).select(F.lit("grouping-agreement").alias("id"), "lower", "pair", F.lit(0.8).alias("required")).unionByName(weakest(sep).select(F.lit("separability").alias("id"), "lower", "pair", F.lit(0.6).alias("required")))
-    return out.withColumn("met", F.coalesce(F.col("lower") >= F.col("required"), F.lit(False)))
+    return gates.measured(_pairs(s, d), scoring.separability_pairs(_labels(s, d)), resamples=stats.RESAMPLES)
 
 
 @_query(f"""WITH {_FAILURES}, x AS (SELECT corpusRunId, sourceFile, suitePath, displayName, attemptIndex, failureId,

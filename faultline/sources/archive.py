@@ -74,18 +74,25 @@ def untar(data: bytes, limits: ArchiveLimits = ArchiveLimits()) -> dict[str, byt
     return out
 
 
-def _unzip(data: bytes, limits: ArchiveLimits) -> dict[str, bytes]:
-    """Entries whose stated size fits the rest of the budget; what inflates beyond its stated size is dropped."""
+def _unzip(data: bytes, limits: ArchiveLimits, skipped: list[str]) -> dict[str, bytes]:
+    """Entries whose stated size fits the rest of the budget; what inflates beyond its stated size is dropped. Reasons are noted."""
     out, left = {}, limits.total
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for info in z.infolist()[: limits.max_entries]:
-            if info.is_dir() or info.file_size > min(limits.max_entry, left):
+        entries = z.infolist()
+        skipped += ["too many entries"] * max(0, len(entries) - limits.max_entries)
+        for info in entries[: limits.max_entries]:
+            if info.is_dir():
+                continue
+            if info.file_size > min(limits.max_entry, left):
+                skipped.append("entry too large" if info.file_size > limits.max_entry else "inflate budget used up")
                 continue
             left -= info.file_size
             with z.open(info) as f:
                 body = f.read(info.file_size + 1)
             if len(body) == info.file_size:
                 out[info.filename] = body
+            else:
+                skipped.append("size differs from the stated one")
     return out
 
 
@@ -100,11 +107,11 @@ def _gunzip(data: bytes, most: int) -> bytes:
 def unpack(data: bytes, limits: ArchiveLimits = ArchiveLimits()) -> tuple[dict[str, bytes], list[str]]:
     """(files, reasons for what was skipped). Members of nested archives are named outer!inner."""
     bad = (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, NotImplementedError, RuntimeError)
+    out, skipped = {}, []
     try:
-        entries = _unzip(data, limits)
+        entries = _unzip(data, limits, skipped)
     except bad as e:
         return {}, [f"unzip failed: {str(e)[:60]}"]
-    out, skipped = {}, []
     for name, body in entries.items():
         nested = is_tarball(name) or name.lower().endswith(".zip")
         if not nested or len(body) > limits.max_archive:
@@ -114,7 +121,7 @@ def unpack(data: bytes, limits: ArchiveLimits = ArchiveLimits()) -> tuple[dict[s
             if is_tarball(name):
                 inner = untar(_gunzip(body, limits.total) if is_gzipped(name, body) else body, limits)
             else:
-                inner = _unzip(body, limits)
+                inner = _unzip(body, limits, skipped)
             out.update({f"{name}!{k}": v for k, v in inner.items()})
         except bad:
             skipped.append("nested untar failed" if is_tarball(name) else "nested unzip failed")

@@ -81,6 +81,12 @@ def _batch(rows: list[dict], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in any file system Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -120,7 +126,7 @@ def warning_counts(reports: DataFrame) -> DataFrame:
     return rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-ARCHIVED = T.StructType([T.StructField("archive", _S), T.StructField("skipped", T.ArrayType(_S)), *PARSED.fields])
+ARCHIVED = T.StructType([T.StructField("archive", _S), T.StructField("bytes", _L), T.StructField("skipped", T.ArrayType(_S)), *PARSED.fields])
 
 
 def read_archives(spark: SparkSession, path: str, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
@@ -129,20 +135,47 @@ def read_archives(spark: SparkSession, path: str, limits: ArchiveLimits = Archiv
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, c in zip(b.column(0).to_pylist(), b.column(1)):
-                files, skipped = unpack(c.as_py(), limits)
+                data = c.as_py()
+                files, skipped = unpack(data, limits)
                 rows = [r for n in sorted(files) if (r := parse_file(n, files[n]))]
-                for r in rows or [dict.fromkeys(PARSED.names)]:
-                    yield _batch([{"archive": p, "skipped": skipped} | r], ARCHIVED)
+                yield _batch([{"archive": p, "bytes": len(data), "skipped": skipped} | r for r in rows or [dict.fromkeys(PARSED.names)]], ARCHIVED)
 
     return _files(spark, path, "*.zip").mapInArrow(run, ARCHIVED)
 
 
+def skip_reasons(archives: DataFrame) -> DataFrame:
+    """reason and n of what was skipped in archives; an archive's reasons count once, however many reports it holds."""
+    each = archives.groupBy("archive").agg(F.any_value("skipped").alias("s"))
+    return each.select(F.explode("s").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def probe(archives: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per repository of sources (archive, repo): artifacts, bytes, parsed reports, failures, adapters and the reason. A repository
+    without any artifact has a row too."""
+    fails = F.coalesce(F.size(F.filter("attempts", lambda a: a["failure"].isNotNull())), F.lit(0))
+    per = archives.groupBy("archive").agg(F.any_value("bytes").alias("bytes"), F.count_if(F.col("path").isNotNull() & F.col("error").isNull()).alias("parsed"), F.sum(fails).alias("failures"), F.collect_set("adapter").alias("adapters"))
+    out = sources.join(per, "archive", "left").groupBy("repo").agg(
+        F.count("bytes").alias("artifacts"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("parsed"), F.lit(0)).alias("parsed"), F.coalesce(F.sum("failures"), F.lit(0)).alias("failures"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("adapters")))).alias("adapters"),
+    )
+    return out.withColumn("reason", corpus.probe_reason(F.col("parsed"), F.col("failures"), F.col("artifacts")))
+
+
+def archive_sources(spark: SparkSession, archives: DataFrame, listing: str) -> DataFrame:
+    """archive, size, corpusRunId, source, repo from a JSON-lines listing: name (of the file, null for a run without artifacts), corpusRunId, source."""
+    schema = T.StructType([T.StructField("name", _S), T.StructField("corpusRunId", _S), T.StructField("source", SOURCE)])
+    rows = spark.read.schema(schema).json(listing)
+    files = archives.select("archive", F.col("bytes").alias("size"), F.regexp_extract("archive", r"([^/]*)$", 1).alias("name")).distinct()
+    return rows.join(files, "name", "left").select("archive", "size", "corpusRunId", "source", F.col("source.repo").alias("repo"))
+
+
 def harvest(archives: DataFrame, sources: DataFrame, budget: int | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(runs, failures) from archives (archive, path, adapter, attempts ...) and sources (archive, size, corpusRunId, source).
 
     Runs that are known already are left out, as are runs without failures. Archives of a run are taken smallest
     first within the budget; one that does not fit is passed over. Failures are numbered by archive, file and position.
     """
+    sources = sources.where("archive is not null")
     if known is not None:
         sources = sources.join(known.select("corpusRunId"), "corpusRunId", "left_anti")
     order = F.array_sort(F.collect_list(F.struct("size", "archive")))
@@ -204,7 +237,7 @@ def write_runs(runs: DataFrame, failures: DataFrame, folder: str) -> None:
 def read_labels(spark: SparkSession, folder: str, labeler: str | None = None) -> DataFrame:
     """Label documents under folder/<labeler>/<run>.json; a labeler without a folder has none."""
     part = "*" if labeler is None else re.sub(r"[^A-Za-z0-9._-]+", "_", labeler)
-    if labeler is not None and not os.path.isdir(f"{folder}/{part}"):
+    if labeler is not None and not exists(spark, f"{folder}/{part}"):
         return spark.createDataFrame([], LABELS)
     return spark.read.schema(LABELS).option("multiLine", "true").option("mode", "FAILFAST").json(f"{folder}/{part}/*.json")
 
@@ -232,7 +265,7 @@ def _write_documents(docs: DataFrame, folder: str, name: str | None) -> None:
 
 def read_repository_list(spark: SparkSession, source: str) -> DataFrame:
     """owner/name per row, from a file (# begins a comment) or a comma list."""
-    lines = spark.read.text(source) if os.path.exists(source) else spark.createDataFrame([(x,) for x in source.split(",")], "value string")
+    lines = spark.read.text(source) if exists(spark, source) else spark.createDataFrame([(x,) for x in source.split(",")], "value string")
     return lines.select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("repo")).where("repo <> ''").distinct()
 
 

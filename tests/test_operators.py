@@ -238,6 +238,8 @@ def test_registered_intervals_use_all_resamples(spark, monkeypatch):
     monkeypatch.setattr(q, "_pairs", lambda s, d: pairs)
     monkeypatch.setattr(q, "_scored", lambda s, d, *g: scored)
     monkeypatch.setattr(q, "_labels", lambda s, d, *k: None)
+    monkeypatch.setattr(q, "_derived", lambda *a: None)
+    monkeypatch.setattr(scoring, "scored", lambda *a, **k: scored)
     monkeypatch.setattr(scoring, "separability_pairs", lambda labels: pairs)
     for f in (q.baseline_total, q.baseline_loose_fingerprint, q.grouping_agreement, q.category_agreement, q.gate_measured):
         f(spark, "")
@@ -275,3 +277,16 @@ def test_astral_characters_are_kept(spark, tmp_path):
     stacks = dict(q.stacks_truncated(spark, str(tmp_path)).collect())
     assert set(stacks) == {1, 2, 4} and stacks[2] == "short" + smile and all(n(t) <= 1000 for t in stacks.values())
     assert stacks[1].startswith(smile) and stacks[1].endswith(smile) and "characters omitted" in stacks[1]
+
+
+def test_run_views(spark):
+    rows = [(f"gh:o/{n}:1:1", (f"o/{n}", "MIT" if n != "b" else None, "main"), ["jest"] if n == "a" else []) for n in ("b", "a", "c")]
+    runs = spark.createDataFrame(rows, "corpusRunId string, source struct<repo string, licenseSpdx string, headBranch string>, frameworks array<string>").repartition(3)
+    assert [(r.ordinal, r.source.repo) for r in corpus.ordered(runs).orderBy("ordinal").collect()] == [(0, "o/a"), (1, "o/b"), (2, "o/c")]
+    ids = lambda df: sorted(r.source.repo for r in df.collect())
+    assert ids(corpus.tracked(runs, ["corpus/runs/gh_o_a_1_1/run.json", "x"])) == ["o/a"] and ids(corpus.tracked(runs, [])) == []
+    assert ids(corpus.filtered(runs, "O/A")) == ["o/a"] and ids(corpus.filtered(runs, held=True)) == ["o/b"] and ids(corpus.filtered(runs, framework="jest")) == ["o/a"]
+    down, state = corpus.sorted_by(runs, "corpusRunId")
+    up, _ = corpus.sorted_by(runs, "corpusRunId", state)
+    assert [r.source.repo for r in down.collect()] == ["o/c", "o/b", "o/a"] == [r.source.repo for r in up.collect()][::-1]
+    assert [corpus.category_of(x) for x in ("1", " flaky ", "99", "product regression", "?")] == [corpus.CATEGORIES[0], "FLAKY", None, "PRODUCT_REGRESSION", None]

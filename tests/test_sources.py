@@ -12,7 +12,7 @@ import pytest
 
 from faultline import cli
 from faultline.sources import archive, junit, playwright, reports, sinks
-from faultline.sources.model import Limits, ParseError
+from faultline.sources.model import Limits, Parsed, ParseError
 
 XML = b"""<?xml version="1.0"?>
 <testsuites><testsuite name="outer" file="a.ts"><testsuite name="">
@@ -140,7 +140,7 @@ def test_archives():
     assert list(archive.untar(long_)) == ["deep/" * 40 + "n.xml"]
     data = zip_of([("r/a.xml", XML), ("in.tgz", gzip.compress(tar)), ("in.zip", zip_of([("z.xml", XML)])), ("bad.zip", b"no"), ("big.bin", b"0" * 5000)])
     files, skipped = archive.unpack(data, archive.ArchiveLimits(max_entry=4000))
-    assert set(files) == {"r/a.xml", "in.tgz!a.xml", "in.tgz!b.txt", "in.zip!z.xml"} and skipped == ["nested unzip failed"]
+    assert set(files) == {"r/a.xml", "in.tgz!a.xml", "in.tgz!b.txt", "in.zip!z.xml"} and skipped == ["entry too large", "nested unzip failed"]
     assert archive.unpack(b"not a zip")[0] == {}
 
 
@@ -204,10 +204,51 @@ def test_command_line(spark, tmp_path, capsys):
     assert go("import", "--corpus", root, "--sheet", sheet, "--key", key, "--labeler", "new one", "--at", "t", "--context", "payload-only") == 0
     assert reports.read_labels(spark, f"{root}/labels", "new one").count() == 1 and reports.read_labels(spark, f"{root}/labels", "none").count() == 0
     assert go("snapshot", "--corpus", root, "--out", str(tmp_path / "snap.json")) == 0 and json.load(open(tmp_path / "snap.json"))["runs"]
+    snap = json.load(open(tmp_path / "snap.json"))
+    assert {r["id"] for r in snap["gate"]["requirements"]} >= {"runs", "frameworks", "synthetic-cap", "grouping-agreement", "separability"} and not snap["gate"]["passed"]
+    assert [b["band"] for b in snap["sizeBands"]] == ["1", "2-4", "5-24", "25-99", "100+"] and len(snap["baselines"]) == 3 and snap["labelers"][0]["categories"] == {"FLAKY": 3}
+    assert snap["gate"]["heldOut"] == {"runs": 1, "failures": 3, "repositories": 1, "runs_with_5_failures": 0, "runs_in_band": 0}
+    capsys.readouterr()
+    assert go("status", "--corpus", root, "--json") == 0 and len(json.loads(capsys.readouterr().out)["requirements"]) == 10
     assert go("compact", "--corpus", root, "--cap", "100", "--out", str(tmp_path / "again")) == 0
     assert reports.read_runs(spark, str(tmp_path / "again"))[1].count() == 6
 
 
+def test_scan_and_harvest_commands(spark, tmp_path, capsys):
+    root, z = tmp_path / "c", tmp_path / "z"
+    z.mkdir()
+    root.mkdir()
+    (z / "one.zip").write_bytes(zip_of([("a.xml", XML)]))
+    (z / "none.zip").write_bytes(zip_of([("readme", "x")]))
+    listing = tmp_path / "src.jsonl"
+    src = lambda n, k, spdx="MIT": {"name": n, "corpusRunId": f"gh:o/{k}:1:1", "source": {"provider": "gh", "repo": f"o/{k}", "providerRunId": "1", "runAttempt": 1, "licenseSpdx": spdx}}
+    listing.write_text("\n".join(map(json.dumps, [src("one.zip", "a"), src("none.zip", "b"), src(None, "c")])))
+    go = lambda *a: cli.main(list(a), spark)
+    out = str(tmp_path / "good.txt")
+    assert go("scan", "--archives", str(z), "--sources", str(listing), "--out", out) == 0 and open(out).read() == "o/a\n"
+    said = capsys.readouterr().out
+    assert "1 of 3 yield failures" in said and "no artifacts" in said and "nothing parsed" in said
+    for added in (1, 0):  # the second harvest finds the run stored
+        assert go("harvest", "--corpus", str(root), "--archives", str(z), "--sources", str(listing)) == 0
+        assert f"added {added} run(s)" in capsys.readouterr().out
+    runs, fails = reports.read_runs(spark, str(root / "runs"))
+    assert runs.count() == 1 and fails.count() > 0 and go("status", "--corpus", str(root)) == 0
+
+
+def test_chunks_do_not_matter():
+    """Any cut of the bytes gives the same attempts and warnings; attempts are given out before the end."""
+    text = XML + b""
+    whole = junit.parse(text, skip_invalid=True)
+    for size in (1, 7, 64, 1000):
+        out = Parsed()
+        parts = list(junit.stream((text[i : i + size] for i in range(0, len(text), size)), out, skip_invalid=True))
+        assert [a for p in parts for a in p] == whole.attempts and [w["code"] for w in out.warnings] == [w["code"] for w in whole.warnings]
+    many = b"<testsuite>" + b"".join(b"<testcase name='t%d'><failure>\x1b[31m%s\x1b[0m</failure></testcase>" % (i, b"x" * 300) for i in range(100)) + b"</testsuite>"
+    out = Parsed()
+    first = next(junit.stream((many[i : i + 8000] for i in range(0, len(many), 8000)), out))
+    assert 0 < len(first) < 100 and first[0]["failure"]["stackText"] == "x" * 300
+
+
 def test_sinks():
     assert sinks.ignore_block("a\n", ["x/"]) == f"a\n{sinks.BEGIN}\nx/\n{sinks.END}\n"
     assert sinks.ignore_block(sinks.ignore_block("a", ["x/"]), ["y/"]).count("/") == 1
