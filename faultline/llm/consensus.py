@@ -408,32 +408,57 @@ def _pair_agreement(batches: Iterator[pa.RecordBatch], index: dict[str, int]) ->
     yield pa.RecordBatch.from_arrays([pa.array([float(pairs)]), pa.array([float(alike)])], ["pairs", "alike"])
 
 
-class Consensus:
-    """Fits both models to a label table; `statements`, `model` and `pair_model` are kept."""
+def _per_run(nodes: DataFrame) -> DataFrame:
+    """run_id and its nodes: its distinct statements, not its failures."""
+    return nodes.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("first", "h1", "h2", "n", "labelers", "contexts", "groups", "q"))).alias("nodes"))
 
-    def __init__(self, run_labels: DataFrame, passes: int = 40, group_passes: int = 20):
-        spark = run_labels.sparkSession
-        self.statements = st = votes(run_labels)
+
+class Statements:
+    """What was said: `failures` with their statements, `nodes` (failures of a run with equal ones, counted), `names` of labelers."""
+
+    def __init__(self, run_labels: DataFrame):
         # a (run, failure) has at most two statements of a labeler, so a row is as long as there are labelers
-        own = st.groupBy("run_id", "failure_id").agg(F.array_sort(F.collect_list(F.struct("labeler", "context", "category", "grp"))).alias("v"))
+        own = votes(run_labels).groupBy("run_id", "failure_id").agg(F.array_sort(F.collect_list(F.struct("labeler", "context", "category", "grp"))).alias("v"))
         self.failures = failures = written(own.select("run_id", "failure_id", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2"), "v"))
         self.statements = failures.select("run_id", "failure_id", F.explode("v").alias("s")).select("run_id", "failure_id", "s.*")
         nodes = failures.groupBy("run_id", "h1", "h2").agg(F.first("v").alias("v"), F.min("failure_id").alias("first"), F.count(F.lit(1)).alias("n"))
         voted = F.filter("v", lambda x: x["category"].isNotNull())
-        self.nodes = nodes = written(nodes.select("run_id", "h1", "h2", "first", "n", voted["labeler"].alias("who"), voted["category"].alias("said"), F.col("v.labeler").alias("labelers"), F.col("v.context").alias("contexts"), F.col("v.grp").alias("groups")))
+        self.nodes = written(nodes.select("run_id", "h1", "h2", "first", "n", voted["labeler"].alias("who"), voted["category"].alias("said"), F.col("v.labeler").alias("labelers"), F.col("v.context").alias("contexts"), F.col("v.grp").alias("groups")))
+        self.names = sorted(r.labeler for r in self.statements.select("labeler").distinct().limit(MAX_LABELERS + 1).collect())
+        if len(self.names) > MAX_LABELERS:
+            raise ValueError(f"more than {MAX_LABELERS} labelers; a table of each is kept on every task")
+
+    def agreement(self) -> DataFrame:
+        """One row: failures and labels compared, observed and expected disagreement, Krippendorff's alpha; pairs of failures
+        that two labelers both grouped, and the share grouped alike."""
+        st = self.statements.where("category is not null")
+        per = st.groupBy("run_id", "failure_id", "category").agg(F.count(F.lit(1)).alias("n"))
+        unit = per.groupBy("run_id", "failure_id").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s")).where("m > 1")
+        kept = per.join(unit.select("run_id", "failure_id"), ["run_id", "failure_id"], "left_semi").groupBy("category").agg(F.sum("n").alias("n"))
+        a = unit.agg(F.count(F.lit(1)).alias("n_failures"), F.sum("m").alias("n_labels"), F.sum((F.col("m") * F.col("m") - F.col("s")) / (F.col("m") - 1)).alias("x"))
+        b = kept.agg(F.sum(F.col("n") * F.col("n")).alias("s2"))
+        observed = F.try_divide("x", "n_labels")
+        expected = F.try_divide(F.col("n_labels") * F.col("n_labels") - F.col("s2"), F.col("n_labels") * (F.col("n_labels") - 1))
+        cat = a.join(b).select("n_failures", "n_labels", observed.alias("observed_disagreement"), expected.alias("expected_disagreement"), (1 - F.try_divide(observed, expected)).alias("alpha"))
+        index = {n: i for i, n in enumerate(self.names)}
+        runs = _per_run(self.nodes.withColumn("q", F.array_repeat(F.lit(1 / K), K)))
+        pairs = runs.mapInArrow(lambda it: _pair_agreement(it, index), "pairs double, alike double").agg(F.sum("pairs").alias("n_group_pairs"), F.try_divide(F.sum("alike"), F.sum("pairs")).alias("group_agreement"))
+        return cat.join(pairs)
+
+
+class Consensus(Statements):
+    """Fits both models to a label table; `model` and `pair_model` are kept."""
+
+    def __init__(self, run_labels: DataFrame, passes: int = 40, group_passes: int = 20):
+        super().__init__(run_labels)
+        spark, nodes, names = run_labels.sparkSession, self.nodes, self.names
         tasks = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
         items = nodes.where(F.size("said") > 0).groupBy("who", "said").agg(F.sum("n").alias("n"))
         self.items = written(items.repartition(tasks))
-        names = sorted(r.labeler for r in self.statements.select("labeler").distinct().limit(MAX_LABELERS + 1).collect())
-        if len(names) > MAX_LABELERS:
-            raise ValueError(f"more than {MAX_LABELERS} labelers; a table of each is kept on every task")
         self.model = model = fit(self.items, _category_pass, Entropy(names, K, 4.0), passes)
         shared = spark.sparkContext.broadcast(model)
         schema = "run_id string, h1 long, h2 long, first string, n long, who array<string>, said array<int>, labelers array<string>, contexts array<string>, groups array<string>, q array<double>"
-        known = nodes.mapInArrow(lambda it: _category_rows(it, shared.value), schema)
-        # a run's nodes are its distinct statements, not its failures
-        per_run = known.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("first", "h1", "h2", "n", "labelers", "contexts", "groups", "q"))).alias("nodes"))
-        self.runs = written(per_run.repartition(tasks))
+        self.runs = written(_per_run(nodes.mapInArrow(lambda it: _category_rows(it, shared.value), schema)).repartition(tasks))
         prior = model.prior
         some = self.runs.where("exists(nodes, x -> x.n > 1) or size(nodes) > 1")
         # the classes of a pair have no prior of their own: how many pairs differ says more of the sizes of runs than of the two
@@ -461,23 +486,6 @@ class Consensus:
         rates = spark.createDataFrame(rows, "labeler string, joins_same_cause double, joins_other_cause double").join(grouped, "labeler", "left_semi")
         return acc.join(rates, "labeler", "left")
 
-    def agreement(self) -> DataFrame:
-        """One row: failures and labels compared, observed and expected disagreement, Krippendorff's alpha; pairs of failures
-        that two labelers both grouped, and the share grouped alike."""
-        st = self.statements.where("category is not null")
-        per = st.groupBy("run_id", "failure_id", "category").agg(F.count(F.lit(1)).alias("n"))
-        unit = per.groupBy("run_id", "failure_id").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("s")).where("m > 1")
-        kept = per.join(unit.select("run_id", "failure_id"), ["run_id", "failure_id"], "left_semi").groupBy("category").agg(F.sum("n").alias("n"))
-        a = unit.agg(F.count(F.lit(1)).alias("n_failures"), F.sum("m").alias("n_labels"), F.sum((F.col("m") * F.col("m") - F.col("s")) / (F.col("m") - 1)).alias("x"))
-        b = kept.agg(F.sum(F.col("n") * F.col("n")).alias("s2"))
-        observed = F.try_divide("x", "n_labels")
-        expected = F.try_divide(F.col("n_labels") * F.col("n_labels") - F.col("s2"), F.col("n_labels") * (F.col("n_labels") - 1))
-        cat = a.join(b).select("n_failures", "n_labels", observed.alias("observed_disagreement"), expected.alias("expected_disagreement"), (1 - F.try_divide(observed, expected)).alias("alpha"))
-        index = self.model.index
-        pairs = self.runs.mapInArrow(lambda it: _pair_agreement(it, index), "pairs double, alike double").agg(F.sum("pairs").alias("n_group_pairs"), F.try_divide(F.sum("alike"), F.sum("pairs")).alias("group_agreement"))
-        return cat.join(pairs)
-
-
 def _accuracy(batches: Iterator[pa.RecordBatch], model: Entropy) -> Iterator[pa.RecordBatch]:
     """Per task and labeler: votes, and how many of them the posteriors expect to be right."""
     n, hit = np.zeros(len(model.index)), np.zeros(len(model.index))
