@@ -267,15 +267,20 @@ def _bands(sig: np.ndarray) -> list[str]:
     return [f"{i}:{np.base_repr(int(x), 36).lower()}" for i, x in enumerate(h)]
 
 
-def lsh_candidates(df, id: str, signature: str, least: float = 0.0, members: bool = False):
+def lsh_candidates(df, id: str, signature: str, least: float = 0.0, members: bool = False, crowd: int = 2000):
     """Pairs (a < b) that share a band key, with the estimated similarity, from `least` on.
 
     Equal signatures are one representative each; a pair found under several keys is kept once. With `members`, the
     pairs are those of all ids: what stands behind one signature is paired too, with similarity 1."""
     reps = df.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("n"))
-    keys = reps.select("rep", F.col(signature).alias("s"), F.explode(band_keys(F.col(signature))).alias("k"))
-    left, right = keys.select("k", F.col("rep").alias("a")), keys.select("k", F.col("rep").alias("b"))
-    pairs = left.join(right, "k").where("a < b").select("a", "b").distinct()
+    keys = reps.select("rep", F.explode(band_keys(F.col(signature))).alias("k"))
+    # keys of one sketch fall away; the sketches of a crowded key are dealt out over cells of two blocks, so none is paired in one task
+    often = keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", F.ceil(F.col("c") / crowd).cast("int").alias("nb"))
+    dealt = keys.join(often, "k").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("k", "rep", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
+    side = lambda n: dealt.select("k", "x", "y", F.col("rep").alias(n), F.col("block").alias(f"{n}_block"))
+    # two of one block meet in their own cell only
+    pairs = side("a").join(side("b"), ["k", "x", "y"]).where("a < b and (a_block <> b_block or x = y)").select("a", "b").distinct()
     sig = reps.select("rep", F.col(signature).alias("s"))
     j = pairs.join(sig.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     out = j.select("a", "b", estimate_jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)

@@ -304,32 +304,42 @@ def synthetic_messages(spark: SparkSession, n: int) -> DataFrame:
 # ---- Python data source --------------------------------------------------------------------------
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str, skip_invalid: bool):
-        self.folder, self.skip_invalid = folder, skip_invalid
+    """Partitions are planned by bytes: small files share one, a file is never split."""
 
-    def partitions(self) -> list[_File]:
-        found = [os.path.join(d, f) for d, _, fs in os.walk(self.folder) for f in fs if f.lower().endswith((".xml", ".json", ".jsonl"))]
-        return [_File(p) for p in sorted(found)] or [_File("")]
+    def __init__(self, folder: str, skip_invalid: bool, partition_bytes: int):
+        self.folder, self.skip_invalid, self.partition_bytes = folder, skip_invalid, partition_bytes
 
-    def read(self, partition: _File):
-        if not partition.path:
-            return
-        with open(partition.path, "rb") as f:
-            row = parse_file(partition.path, f.read(), 0, self.skip_invalid)
-        for a in (row or {}).get("attempts", []):
-            fields = [a[n] for n in ATTEMPT.names[:-1]]
-            x = a["failure"]
-            yield (partition.path, row["adapter"], *fields, None if x is None else tuple([tuple(v.values()) for v in y] if k == "artifacts" else y for k, y in x.items()))
+    def partitions(self) -> list[_Files]:
+        found = [os.path.join(d, f) for d, _, fs in os.walk(self.folder) for f in fs if f.lower().endswith((".xml", ".json", ".jsonl"))]
+        out, size = [_Files([])], 0
+        for path in sorted(found):
+            n = os.path.getsize(path)
+            if out[-1].paths and size + n > self.partition_bytes:
+                out.append(_Files([]))
+                size = 0
+            out[-1].paths.append(path)
+            size += n
+        return out
+
+    def read(self, partition: _Files):
+        for path in partition.paths:
+            with open(path, "rb") as f:
+                row = parse_file(path, f.read(), 0, self.skip_invalid)
+            for a in (row or {}).get("attempts", []):
+                fields = [a[n] for n in ATTEMPT.names[:-1]]
+                x = a["failure"]
+                yield (path, row["adapter"], *fields, None if x is None else tuple([tuple(v.values()) for v in y] if k == "artifacts" else y for k, y in x.items()))
 
 
 class ReportSource(DataSource):
-    """spark.dataSource.register(ReportSource); spark.read.format("ci_report").load(folder)"""
+    """spark.dataSource.register(ReportSource); spark.read.format("ci_report").load(folder), for a folder that all nodes mount;
+    `read_reports` reads any file system Spark knows."""
 
     @classmethod
     def name(cls) -> str:
@@ -339,4 +349,4 @@ class ReportSource(DataSource):
         return T.StructType([T.StructField("path", _S), T.StructField("adapter", _S), *ATTEMPT.fields])
 
     def reader(self, schema: T.StructType) -> _Reader:
-        return _Reader(self.options["path"], self.options.get("skipInvalid", "true") == "true")
+        return _Reader(self.options["path"], self.options.get("skipInvalid", "true") == "true", int(self.options.get("partitionBytes", 64 << 20)))

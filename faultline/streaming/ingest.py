@@ -17,14 +17,9 @@ def append_new(target: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(key)
-        try:
-            stored = spark.read.parquet(target).select(*key)
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = None
-        if stored is not None:
-            fresh = fresh.join(stored, key, "left_anti")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # something is stored
+            fresh = fresh.join(spark.read.schema(batch.schema).parquet(target).select(*key), key, "left_anti")
         fresh.write.mode("append").parquet(target)
 
     return put

@@ -168,6 +168,14 @@ def test_minhash(spark):
     assert [(r.a, r.b) for r in got] == [(1, 2)]
 
 
+def test_crowded_bands_are_split(spark):
+    """The pairs are the same however many cells a band's sketches are dealt out over, and none comes twice."""
+    s = "the quick brown fox jumps over the lazy dog again and again number "
+    df = spark.createDataFrame([(i, s + str(i)) for i in range(40)], "id long, t string").select("id", hashing.minhash("t").alias("sig"))
+    whole, split = (sorted((r.a, r.b) for r in hashing.lsh_candidates(df, "id", "sig", crowd=n).collect()) for n in (2000, 3))
+    assert whole == split and len(set(whole)) == len(whole) > 500
+
+
 def test_levenshtein(spark):
     f = lambda a, b: one(spark, hashing.levenshtein_similarity(F.lit(a), F.lit(b)))
     assert f("abc", "abc") == 1.0 and f("", "x") == 0.0 and f("kitten", "sitting") == pytest.approx(1 - 3 / 7)
