@@ -34,7 +34,9 @@ VENDOR_DIRS = ("node_modules", "site-packages", "dist-packages", "vendor", ".ven
 RUNTIME = r"^(?:node|internal):|^(?:java|javax|jdk|sun|kotlin|scala)\.|^/usr/lib/(?:python|jvm)"
 RUNNERS_ANY_CASE = r"(?:^|[/\\])(?:(?:playwright|jest|mocha|jasmine|cypress|rspec|vitest)(?:[/\\-]|$)|@(?:playwright|jest)(?:[/\\]|$))"
 RUNNERS = r"(?:^|[/\\])(?:(?:_pytest|pluggy)(?:[/\\]|$)|unittest(?:[/\\.]|$))|^(?:org\.junit|org\.testng|junit)\.|^testing\.(?:tRunner|runTests)"
-_PARSERS = tuple((name, re.compile(p, re.ASCII)) for name, p in DIALECTS)
+#: What a line of each dialect cannot do without, to look for before its pattern is tried; "at" is what it begins with.
+_NEEDS = {"python": "File", "pytest": ".py:", "jvm": "at", "ruby": ".rb:", "vitest": "❯", "v8": "at", "go": ".go:"}
+_PARSERS = tuple((name, _NEEDS[name], re.compile(p, re.ASCII)) for name, p in DIALECTS)
 FRAME = T.StructType([
     T.StructField("raw", T.StringType()), T.StructField("function_name", T.StringType()), T.StructField("file", T.StringType()),
     T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("kind", T.StringType()),
@@ -43,7 +45,8 @@ FRAME = T.StructType([
 
 def glob_regex(glob: str) -> str:
     """`**/` is any number of segments, `**` anything, `*` and `?` stay within one; open at the start, closed at the end."""
-    parts = re.split(r"(\*\*/|\*\*|\*|\?)", glob)
+    # as the start is open, a leading `**/` says nothing more
+    parts = re.split(r"(\*\*/|\*\*|\*|\?)", glob.removeprefix("**/"))
     special = {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
     return "(?:^|/)" + "".join(special.get(p, re.escape(p)) for p in parts) + r"\Z"
 
@@ -55,15 +58,21 @@ class Classifier:
         dirs = "|".join(re.escape(d) for d in (*VENDOR_DIRS, *vendor_dirs))
         self.framework = re.compile(rf"(?:^|/)(?:{dirs})/|{RUNTIME}|(?i:{RUNNERS_ANY_CASE})|{RUNNERS}")
         self.test = re.compile("|".join(glob_regex(g) for g in test_globs))
+        # paths and names come again and again; what each is by itself is remembered
+        self.of_path = lru_cache(maxsize=1 << 15)(self._of_path)
+        # every alternative begins at the start or behind a separator: without one, only the start needs a look
+        self.is_runner = lru_cache(maxsize=1 << 15)(lambda name: bool(self.framework.search(name) if "/" in name or "\\" in name else self.framework.match(name)))
 
-    def __call__(self, file: str | None, name: str | None) -> str:
-        path = (file or "").replace("\\", "/")
-        if any(s and self.framework.search(s) for s in (path, name or "")):
+    def _of_path(self, path: str) -> str:
+        if self.framework.search(path):
             return "framework"
-        if not path:
-            return "unknown"
         return "test" if self.test.search(path) else "app"
 
+    def __call__(self, file: str | None, name: str | None) -> str:
+        path = (file or "").replace("\\", "/")
+        kind = self.of_path(path) if path else "unknown"
+        return "framework" if kind != "framework" and name and self.is_runner(name) else kind
+
 
 @lru_cache(maxsize=16)
 def _classifier(globs: tuple[str, ...], vendor: tuple[str, ...]) -> Classifier:
@@ -77,7 +86,10 @@ def _function_name(fn: str | None) -> str | None:
 
 @lru_cache(maxsize=1 << 16)
 def _frame(line: str, globs: tuple[str, ...], vendor: tuple[str, ...]) -> tuple[str, tuple] | None:
-    for dialect, pattern in _PARSERS:
+    begins = line.lstrip().startswith("at")
+    for dialect, needs, pattern in _PARSERS:
+        if not (begins if needs == "at" else needs in line):
+            continue
         m = pattern.search(line)
         if not m:
             continue
