@@ -126,7 +126,7 @@ def sample(c: Corpus, a: argparse.Namespace) -> None:
     s = sampling.sample(c.runs.select("corpusRunId", F.col("source.repo").alias("repo")), c.named(), sampling.Policy(a.target, a.min, a.max, slice_large_runs=a.slice))
     doc = {"schemaVersion": 1, "digest": s.digest(), "policy": sampling.policy_row(s.policy), "runs": [{"corpusRunId": r["corpusRunId"], "failureIds": r["failureIds"]} for r in s.runs]}
     sinks.write_json(doc, a.out)
-    _show(s.selected.drop("failureIds"))
+    _show(s.selected.drop("failureIds").orderBy(F.desc("n_failures"), "corpusRunId"))
 
 
 def snapshot(c: Corpus, a: argparse.Namespace) -> None:

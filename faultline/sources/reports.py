@@ -234,12 +234,25 @@ def write_runs(runs: DataFrame, failures: DataFrame, folder: str) -> None:
     _write_documents(docs, folder, "run.json")
 
 
-def read_labels(spark: SparkSession, folder: str, labeler: str | None = None) -> DataFrame:
-    """Label documents under folder/<labeler>/<run>.json; a labeler without a folder has none."""
-    part = "*" if labeler is None else re.sub(r"[^A-Za-z0-9._-]+", "_", labeler)
-    if labeler is not None and not exists(spark, f"{folder}/{part}"):
+def _safe(name: str) -> str:
+    return re.sub(r"[^A-Za-z0-9._-]+", "_", name)
+
+
+def read_labels(spark: SparkSession, folder: str, labeler: str | None = None, run: str | None = None) -> DataFrame:
+    """Label documents under folder/<labeler>/<run>.json, of one labeler or run if named; one without a file has none."""
+    path = f"{folder}/{'*' if labeler is None else _safe(labeler)}/{'*' if run is None else _safe(run)}.json"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    if found is None or not len(found):
         return spark.createDataFrame([], LABELS)
-    return spark.read.schema(LABELS).option("multiLine", "true").option("mode", "FAILFAST").json(f"{folder}/{part}/*.json")
+    return spark.read.schema(LABELS).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def labelers(spark: SparkSession, folder: str) -> list[str]:
+    """The folders of labelers, by name, without reading a document."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
 
 
 def write_labels(labels: DataFrame, folder: str) -> None:

@@ -80,6 +80,13 @@ def ignore_block(existing: str, paths: list[str]) -> str:
     return existing + ("" if not existing or existing.endswith("\n") else "\n") + block
 
 
+def run_header(run: dict, failures: int) -> str:
+    """A run in a few lines, for a prompt or a report; what is unknown is left out."""
+    source = run.get("source") or {}
+    known = ((k, source.get(n)) for k, n in (("repository", "repo"), ("workflow", "workflowName"), ("event", "event"), ("branch", "headBranch"), ("commit", "headSha"), ("url", "url")))
+    return "\n".join([f"run {run['corpusRunId']}, {failures} failure(s)", *(f"  {k}: {v}" for k, v in known if v)])
+
+
 def head_and_tail(text: str | None, head: int = 12, tail: int = 8, last: bool = False) -> str:
     """The first lines of a stack, or the last lines of output, for a label prompt."""
     lines = re.split(r"\r\n|\r|\n", text or "")

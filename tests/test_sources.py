@@ -11,8 +11,8 @@ import zipfile
 import pytest
 
 from faultline import cli
-from faultline.sources import archive, junit, playwright, reports, sinks
-from faultline.sources.model import Limits, Parsed, ParseError
+from faultline.sources import archive, conformance, junit, playwright, reports, sinks
+from faultline.sources.model import Limits, Parsed, ParseError, attempt
 
 XML = b"""<?xml version="1.0"?>
 <testsuites><testsuite name="outer" file="a.ts"><testsuite name="">
@@ -203,6 +203,8 @@ def test_command_line(spark, tmp_path, capsys):
     json.dump(doc, open(sheet, "w"))
     assert go("import", "--corpus", root, "--sheet", sheet, "--key", key, "--labeler", "new one", "--at", "t", "--context", "payload-only") == 0
     assert reports.read_labels(spark, f"{root}/labels", "new one").count() == 1 and reports.read_labels(spark, f"{root}/labels", "none").count() == 0
+    assert reports.labelers(spark, f"{root}/labels") == ["kim", "lee", "new_one"] and reports.labelers(spark, f"{root}/nowhere") == []
+    assert reports.read_labels(spark, f"{root}/labels", run="gh:o/r:1:1").count() == 3 and reports.read_labels(spark, f"{root}/labels", run="other").count() == 0
     assert go("snapshot", "--corpus", root, "--out", str(tmp_path / "snap.json")) == 0 and json.load(open(tmp_path / "snap.json"))["runs"]
     snap = json.load(open(tmp_path / "snap.json"))
     assert {r["id"] for r in snap["gate"]["requirements"]} >= {"runs", "frameworks", "synthetic-cap", "grouping-agreement", "separability"} and not snap["gate"]["passed"]
@@ -249,8 +251,28 @@ def test_chunks_do_not_matter():
     assert 0 < len(first) < 100 and first[0]["failure"]["stackText"] == "x" * 300
 
 
+def test_adapters_conform():
+    esc = b"<testsuite><testcase name='a\x1b[1mb'><failure message='\x1b[31mred'>x</failure></testcase></testsuite>"
+    assert conformance.findings(junit, {"whole": XML, "cut": XML[: len(XML) // 2], "escapes": esc}) == []
+    assert conformance.findings(playwright, {"document": json.dumps(DOC).encode(), "log": "\n".join(map(json.dumps, LOG)).encode()}) == []
+
+    class Careless:
+        NAME, CAPABILITIES = "careless", {}
+        confidence = staticmethod(lambda path, head: 2.0)
+
+        @staticmethod
+        def stream(chunks, out, *_):
+            for c in chunks:
+                if b"\xff" in c:
+                    raise KeyError("x")
+                yield [attempt(displayName=c.decode("utf-8", "replace"), durationMs=-1.0)]
+
+    assert {f.check for f in conformance.findings(Careless)} == {"confidence", "contract", "terminal safety", "capabilities", "chunks", "errors"}
+
+
 def test_sinks():
     assert sinks.ignore_block("a\n", ["x/"]) == f"a\n{sinks.BEGIN}\nx/\n{sinks.END}\n"
     assert sinks.ignore_block(sinks.ignore_block("a", ["x/"]), ["y/"]).count("/") == 1
     assert "</script" not in sinks.embed_json({"a": "</script> "}) and sinks.plain(float("nan")) is None
+    assert sinks.run_header({"corpusRunId": "r", "source": {"repo": "o/r", "event": None}}, 2) == "run r, 2 failure(s)\n  repository: o/r"
     assert sinks.head_and_tail("\n".join("abcdefghijklmnop")).count("\n") == 11
