@@ -164,7 +164,7 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     if not by:
         # how many values lie below comes from sums per value, in order, by one sort over all tasks: no single window
         total = counts.agg(F.sum("_c").alias("_n"))
-        parts = counts.orderBy(value).select(value, "_c", F.spark_partition_id().alias("_k"))
+        parts = written(counts.orderBy(value).select(value, "_c", F.spark_partition_id().alias("_k")))  # read twice, and must not be dealt out anew
         before = parts.groupBy("_k").agg(F.sum("_c").alias("_s"))
         earlier = Window.partitionBy(F.lit(1)).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
         before = before.select("_k", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.session import written
+
 #: Vocabulary of the stored documents; fixed values.
 CATEGORIES = ("PRODUCT_REGRESSION", "TEST_DEFECT", "FLAKY", "ENVIRONMENT_FAILURE", "DEPENDENCY_FAILURE", "DATA_FAILURE", "PERFORMANCE_REGRESSION", "UNKNOWN")
 FIDELITIES = ("artifact", "log-scrape", "synthetic")
@@ -105,7 +107,8 @@ def tracked(runs: DataFrame, paths: list[str]) -> DataFrame:
 def ordered(runs: DataFrame) -> DataFrame:
     """Adds ordinal: a run's place among all by the name of its folder, without bringing all runs into one task."""
     name = F.regexp_replace("corpusRunId", r"[^A-Za-z0-9._-]+", "_")
-    parts = runs.withColumn("_d", name).orderBy("_d", "corpusRunId").withColumn("_p", F.spark_partition_id())
+    # written once: both readers must see the same parts
+    parts = written(runs.withColumn("_d", name).orderBy("_d", "corpusRunId").withColumn("_p", F.spark_partition_id()))
     own = Window.partitionBy("_p").orderBy("_d", "corpusRunId")
     earlier = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
     before = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_b"))
