@@ -196,12 +196,16 @@ def harvest(archives: DataFrame, sources: DataFrame, budget: int | None = None,
         )),
         F.count_if(F.col("path").isNotNull() & F.col("error").isNull()).alias("filesParsed"), F.count_if(F.col("error").isNotNull()).alias("filesRejected"),
     )
-    rows = files.select("corpusRunId", "shard", "archive", "path", F.col("adapter").alias("producerAdapter"), F.posexplode("attempts").alias("pos", "a")).where("a.failure is not null")
     from pyspark.sql import Window
 
-    w = Window.partitionBy("corpusRunId").orderBy("shard", "path", "pos")
+    # a failure's number is its place in its file behind the failures of the run's earlier files: the window has a row per file
+    file, bad = ["corpusRunId", "archive", "path"], F.filter("attempts", lambda a: a["failure"].isNotNull())
+    earlier = Window.partitionBy("corpusRunId").orderBy("shard", "path").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = files.where("path is not null").select(*file, "shard", F.coalesce(F.size(bad), F.lit(0)).alias("n"))
+    starts = sizes.select(*file, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    rows = files.where("path is not null").select(*file, "shard", F.col("adapter").alias("producerAdapter"), F.posexplode(bad).alias("pos", "a")).join(starts, file)
     failures = rows.select(
-        "corpusRunId", F.format_string("f%04d", F.row_number().over(w)).alias("failureId"),
+        "corpusRunId", F.format_string("f%04d", F.col("start") + F.col("pos") + 1).alias("failureId"),
         F.concat_ws("/", F.regexp_extract("archive", r"([^/]*?)(?:\.zip)?$", 1), "path").alias("sourceFile"), "producerAdapter", F.col("shard").alias("shardIndex"),
         "a.attemptIndex", "a.displayName", "a.suitePath", "a.filePath", "a.status", "a.durationMs", "a.failure.errorType", "a.failure.message", "a.failure.stackText",
         "a.failure.stdout", "a.failure.stderr", F.lit(None).cast("map<string,bigint>").alias("truncated"),
