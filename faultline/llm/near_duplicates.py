@@ -12,11 +12,14 @@ p(s) = s^(m-1) * (1 + 2(m-1)q + m(m-1)q^2), q = (1-s)/2, and all functions miss
 2e-10 at s = 0.7. Equal fingerprints are told apart from ones with another word removed by 15 bits of that word.
 
 A pair alike in its common words may have s below that, down to 0. Where s < LEAST_RARE, both its rows have less
-than most = (1 - threshold) / (1 - LEAST_RARE) of their words rare. All rows below that share are met over all their words:
-CLOSE_FUNCTIONS keys of CLOSE_WORDS minima miss a pair of similarity t with (1 - t^3)^22, 1e-4 at 0.7, 2e-6 at 0.77. (Rows so far
-below it that no row above it can be alike need no fingerprints of rare words: see `least_share`.) As many unlike
-rows share such keys, a signature travels with each: a bit per word, from which follows how many words two rows can share
-at most. Pairs that cannot reach the threshold are dropped; no other is.
+than most = (1 - threshold) / (1 - LEAST_RARE) of their words rare. Rows below that share are the close ones. Rows of one
+vocabulary share more than half of their common words by chance, so keys of these alone would be held by a fixed part
+of all rows, whatever the table's size. A pair that differs in its rare words is the more alike in its common ones, as its
+differences are limited in all; so keys mix minima of both kinds, each mix for another part of that range, and at every
+rare share and every division of the differences all keys miss a pair with MISS at most (see `schedule`). The fewer rare words
+a pair has, the more keys that takes; so the few close rows with the least (at most FEW) are compared with every close row
+instead. As unlike rows still share keys, a signature travels with each: a bit per word, from which follows how many words two rows can
+share at most. Pairs that cannot reach the threshold are dropped; no other is.
 
 Crowded keys are split. Keys of many rows are found by counts combined per task. Variants of BUSY rows or more carry
 signatures too, and a key of CROWD rows or more is dealt out over cells of two blocks of its rows, each cell a key of its own; so the
@@ -33,7 +36,9 @@ rows without any word are in no pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +52,15 @@ FUNCTIONS, WORDS = 22, 5
 COMMON = 0.05
 ALWAYS_INFORMATIVE = 200
 LEAST_RARE = 0.56
-CLOSE_FUNCTIONS, CLOSE_WORDS = 22, 3
+MISS = 1e-4
+#: What unlike rows share by chance of their rare and of their common words, and what a group of keys costs beside a comparison with a row;
+#: these decide which mixes are taken, not what they find.
+CHANCE_RARE, CHANCE_COMMON, GROUP_COST = 0.02, 0.7, 25_000
+#: Keys that share their first common minimum travel together, with one signature.
+TOGETHER = 8
+MOST_RARE_MINIMA, MOST_COMMON_MINIMA, SHARES = 3, 14, 64
+FEW, FEW_OF, BINS = 20_000, 64, 1024
+SMALL = 48
 SIGNATURE, COMMON_BITS = 8, 384
 WORD_BYTES, NAME_BYTES = 5, 6
 BUSY, CROWD, MOST_HOT, LEAST_NOTED = 1024, 16_384, 100_000, 8
@@ -145,6 +158,7 @@ class Plan:
     blocks: np.ndarray  # for each of them, into how many blocks its rows are dealt
     threshold: float
     buckets: int = 1
+    below: float = 0.0  # close rows whose share of rare words is below this are compared with all
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +263,9 @@ def fingerprints(row: np.ndarray, h: np.ndarray, n_rows: int, functions: int = F
                 yield np.repeat(part, m), mix(rest + np.uint64(g)).ravel(), mark.ravel()
 
 
-def _minima(x: np.ndarray, n: int) -> Iterator[np.ndarray]:
+def _minima(x: np.ndarray, n: int, seed: int = 0) -> Iterator[np.ndarray]:
     """Of n hash functions of 32 bits, the least value in each column of x."""
-    for a, b in mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * _P).astype(np.uint32).reshape(n, 2):
+    for a, b in mix(np.arange(seed + 1, seed + 2 * n + 1, dtype=np.uint64) * _P).astype(np.uint32).reshape(n, 2):
         v = (x ^ a) * (b | np.uint32(1))
         v ^= v >> np.uint32(16)
         v *= np.uint32(0x7FEB352D)
@@ -261,30 +275,126 @@ def _minima(x: np.ndarray, n: int) -> Iterator[np.ndarray]:
         yield v.min(axis=0)
 
 
-def _close_keys(s: _Sets, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, key) over all words of the rows named, some hundred rows at a time."""
-    rows = rows[np.argsort(s.count[rows], kind="stable")]
-    for part in np.array_split(rows, len(rows) // 256 + 1):
-        if not len(part):
-            continue
-        last = s.bounds[part + 1] - 1
-        # a row shorter than the longest repeats its last word, which changes no minimum
-        at = np.minimum(s.bounds[part] + np.arange(int((last - s.bounds[part]).max()) + 1)[:, None], last)
-        minima = _minima(s.words[at].astype(np.uint32), CLOSE_FUNCTIONS * CLOSE_WORDS)
-        for g in range(CLOSE_FUNCTIONS):
-            key = np.full(len(part), g, np.uint64)
-            for _ in range(CLOSE_WORDS):
-                key = mix(key * _P + next(minima))
-            yield part, key
+@lru_cache(maxsize=8)
+def schedule(threshold: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Mixes (rare minima, common minima), and how many groups of TOGETHER keys of each a pair needs whose share of rare words is at least
+    k / SHARES, for every k. These numbers fall with k, so rows that go by the least share of any pair they can be in hold
+    all keys that the pair needs.
+
+    Of a pair's words, counted in both rows, let r be rare, and x + y = d = (1 - t) / (1 + t) at most be unshared, x of
+    them rare: then its rare words are alike to (r - x) / (r + x), its common ones to (1 - r - y) / (1 - r + y). Groups are added
+    where they find most for what they cost until no x is missed more often than MISS. From `least_joint` on, pairs
+    whose rare words are alike to LEAST_RARE have fingerprints."""
+    d = (1 - threshold) / (1 + threshold)
+    mixes = [(a, b) for a in range(MOST_RARE_MINIMA + 1) for b in range(1, MOST_COMMON_MINIMA + 1)]
+    power = np.array(mixes)
+    cost = GROUP_COST + 1e6 * TOGETHER * CHANCE_RARE ** power[:, :1] * CHANCE_COMMON ** power[:, 1:]
+    keys, out = np.zeros(len(mixes)), np.zeros((SHARES + 1, len(mixes)), np.int64)
+    for k in range(SHARES, -1, -1):
+        for r in np.linspace(k, k + 1, 4) / SHARES:
+            x = np.linspace(0, min(d, r), 48)
+            y = np.minimum(d - x, 1 - r)
+            rare, common = (r - x) / np.maximum(r + x, 1e-9), (1 - r - y) / np.maximum(1 - r + y, 1e-9)
+            if k / SHARES >= least_joint(threshold):
+                rare, common = rare[rare < LEAST_RARE], common[rare < LEAST_RARE]
+            if r > 1 or not len(rare) or k / SHARES > (1 - threshold) / (1 - LEAST_RARE):
+                continue
+            found = group_chance(rare[None], common[None], power[:, :1], power[:, 1:])
+            gain = -np.log1p(-np.minimum(found, 1 - 1e-9)) / -np.log(MISS)
+            while (got := np.ceil(keys) @ gain).min() < 1:
+                weight = np.where(got < 1, np.exp(-40 * (got - got.min())), 0)
+                keys[np.argmax((gain @ weight) / cost[:, 0])] += 1
+        out[k] = keys
+    return mixes, out
+
+
+def group_chance(rare: np.ndarray, common: np.ndarray, a, b):
+    """How likely a group of keys of a rare and b common minima finds a pair whose rare and common words are alike to these."""
+    return common * (1 - (1 - rare**a * common ** (b - 1)) ** TOGETHER)
+
+
+def least_joint(threshold: float) -> float:
+    """From this share of rare words in both rows of a pair on, both have fingerprints of them."""
+    return least_share(threshold, (1 - threshold) / (1 - LEAST_RARE))
+
+
+def _fingerprinted(threshold: float) -> float:
+    """No pair of a share of `least_joint` has a row below this: at most the other has n (1 / t - 1) rare words besides a row's n
+    words, or lacks n (1 - t) common ones."""
+    u = 1 / threshold - 1
+    return max(0.0, min(least_joint(threshold) * (1 + threshold), least_joint(threshold) * (2 + u) - u) / 2)
+
+
+def _least_pair(share: np.ndarray, plan: Plan) -> np.ndarray:
+    """The least share of rare words, in both rows, of any pair that a row with this share can be in: the other lacks 1 - t of
+    the row's words, all rare, or has 1 / t - 1 as many common ones besides; and if it has 1 / t as many words, no fewer of them
+    are rare than in any row that is not compared with all."""
+    t = plan.threshold
+    least = np.minimum(2 * share - (1 - t), 2 * t * share)
+    return np.maximum(np.maximum(least, t * share + plan.below) / (1 + t), 0)
+
+
+def _columns(words: np.ndarray, bounds: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The words of rows side by side, a column for each row; a row shorter than the longest repeats its last word, which
+    changes no minimum."""
+    last = bounds[part + 1] - 1
+    return words[np.minimum(bounds[part] + np.arange(int((last - bounds[part]).max()) + 1)[:, None], last)]
+
+
+def _close_keys(s: _Sets, rows: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, keys, group) of the rows named, some hundred rows at a time: TOGETHER keys each; those of rows of another group differ."""
+    mixes, needed = schedule(plan.threshold)
+    most = needed.max(axis=0)
+    first = np.concatenate(([0], np.cumsum(most)))
+    known, place = _known(s.words, plan.common)
+    counts, bounds = zip(*(_per_row(s.row[own], len(s.count)) for own in (~known, known)))
+    rare_words, place = s.words[~known].astype(np.uint32), place[known]
+    # the values of each common word under all functions of a mix; equal values of unlike words only add candidates
+    values = {i: (mix(plan.common[:, None] + mix(np.arange(most[i] * (1 + TOGETHER * (b - 1)), dtype=np.uint64) + np.uint64(i << 32))) >> np.uint64(48)).astype(np.uint16) for i, (_, b) in enumerate(mixes) if most[i]}
+    factors = mix(np.arange(1, MOST_RARE_MINIMA + MOST_COMMON_MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
+    needs = needed[np.floor(_least_pair(counts[0][rows] / s.count[rows], plan) * SHARES).astype(np.int64)]
+    # rows of like needs and sizes are laid out together
+    order = np.lexsort((s.count[rows], needs.sum(axis=1)))
+    for at in np.array_split(order, len(order) // 128 + 1):
+        # a row without words of one kind is in no pair alike in that kind
+        at = at[counts[1][rows[at]] > 0]
+        some = counts[0][rows[at]] > 0
+        for own, with_rare in ((at[some], True), (at[~some], False)):
+            if not len(own):
+                continue
+            part = rows[own]
+            common_at = _columns(place, bounds[1], part).T
+            rare_at = _columns(rare_words, bounds[0], part) if with_rare else None
+            for i, (a, b) in enumerate(mixes):
+                n = int(needs[own, i].max())
+                if not n or (a and not with_rare):
+                    continue
+                width = n * (1 + TOGETHER * (b - 1))
+                step = max(1, 2_000_000 // (width * common_at.shape[1]))
+                table = np.ascontiguousarray(values[i][:, :width])
+                least = np.concatenate([table[common_at[j : j + step]].min(axis=1) for j in range(0, len(part), step)]).reshape(len(part), n, -1).astype(np.uint64)
+                group = mix((np.arange(n, dtype=np.uint64) + np.uint64(int(first[i]) + 1)) * _P + least[:, :, 0])
+                keys = group[:, :, None] + np.arange(TOGETHER, dtype=np.uint64)
+                keys += (least[:, :, 1:].reshape(len(part), n, TOGETHER, b - 1) * factors[: b - 1]).sum(axis=3, dtype=np.uint64)
+                if a:
+                    least = np.stack(list(_minima(rare_at, n * TOGETHER * a, i << 20)), axis=1).reshape(len(part), n, TOGETHER, a)
+                    keys += (least * factors[-a:]).sum(axis=3, dtype=np.uint64)
+                row, g = np.nonzero(needs[own, i][:, None] > np.arange(n))
+                yield part[row], mix(keys[row, g]), group[row, g]
+
+
+def _known(words: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are common, and where among them."""
+    at = np.searchsorted(common, words)
+    if not len(common):
+        return np.zeros(len(words), bool), at
+    return common[np.minimum(at, len(common) - 1)] == words, at
 
 
 def signatures(s: _Sets, common: np.ndarray) -> np.ndarray:
     """(rows, SIGNATURE + 1) words of 64 bits: each word of a row sets one bit, the common ones in a part of their own; the last
     says how many words found their bit set. Two rows share at most as many words as bits, and the lesser of these."""
-    at = np.searchsorted(common, s.words)
-    known = np.zeros(len(s.words), bool)
-    inside = at < len(common)
-    known[inside] = common[at[inside]] == s.words[inside]
+    known, at = _known(s.words, common)
     bit = np.where(known, at % COMMON_BITS, COMMON_BITS + (mix(s.words) % np.uint64(64 * SIGNATURE - COMMON_BITS)).astype(np.int64))
     out = np.zeros((len(s.count), SIGNATURE + 1), np.uint64)
     np.bitwise_or.at(out, (s.row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
@@ -308,22 +418,100 @@ def least_share(threshold: float, most: float) -> float:
     """A row whose share of rare words is below this is alike to no row whose share is `most` or more.
 
     Rows of a and b words that share c have c >= t (a + b) / (1 + t), and b's rare words are at most a's and b's own:
-    most * b <= share * a + b - c. The share follows, and is least where a is largest beside b, at b / t."""
+    most * b <= share * a + b - c. The share follows, and is least at b = t a or at b = a / t."""
     t = threshold
-    return max(0.0, (t * (1 + 1 / t) / (1 + t) - (1 - most)) * t)
+    return max(0.0, t / (1 + t) + min(t * (k := t / (1 + t) - (1 - most)), k / t))
 
 
 def _entries(s: _Sets, plan: Plan) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(close, row, key, mark) of both routes."""
-    rare = ~np.isin(s.words, plan.common)
-    n_rare = np.bincount(s.row[rare], minlength=len(s.count))
-    most = (1 - plan.threshold) / (1 - LEAST_RARE)
-    some = rare & (n_rare >= least_share(plan.threshold, most) * s.count)[s.row]
+    """(close, row, key, mark) of both routes; of close rows (True, row, keys, group)."""
+    rare, n_rare, close = _shares(s, plan)
+    some = rare & (n_rare >= _fingerprinted(plan.threshold) * s.count)[s.row]
     for row, key, mark in fingerprints(s.row[some], s.words[some], len(s.count)):
         yield False, row, key, mark
-    if len(plan.common):
-        for row, key in _close_keys(s, np.flatnonzero(n_rare < most * s.count)):
-            yield True, row, key, None
+    rows = np.flatnonzero(close & (n_rare >= plan.below * s.count))
+    if len(rows):
+        for row, keys, group in _close_keys(s, rows, plan):
+            yield True, row, keys, group
+
+
+def _shares(s: _Sets, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words are rare, how many of each row, and which rows are close."""
+    rare = ~_known(s.words, plan.common)[0]
+    n_rare = np.bincount(s.row[rare], minlength=len(s.count))
+    return rare, n_rare, (n_rare < (1 - plan.threshold) / (1 - LEAST_RARE) * s.count) & (len(plan.common) > 0)
+
+
+def _close_shares(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """How many close rows have which share of rare words, in BINS steps."""
+    n = np.zeros(BINS, np.int64)
+    for _, s in _distinct(batches):
+        _, n_rare, close = _shares(s, plan)
+        n += np.bincount(np.minimum(n_rare[close] * BINS // s.count[close], BINS - 1), minlength=BINS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(n)], ["bin", "n"])
+
+
+def _few(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """The close rows that are compared with all, with their signatures."""
+    for ids, s in _distinct(batches):
+        _, n_rare, close = _shares(s, plan)
+        own = np.flatnonzero(close & (n_rare < plan.below * s.count))
+        if len(own):
+            sign = signatures(s, plan.common)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array([sign[i].tobytes() for i in own], pa.binary())], ["c", "s"])
+
+
+def _with_few(batches: Iterator[pa.RecordBatch], plan: Plan, few: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a close row and one of the few that their signatures leave possible."""
+    ids_few, sign_few = few
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for ids, s in _distinct(batches):
+        close = np.flatnonzero(_shares(s, plan)[2])
+        if not len(close):
+            continue
+        for x, y in _possible_pairs(signatures(s, plan.common)[close], sign_few, plan.threshold):
+            a, b = ids[close[x]], ids_few[y]
+            held.append((np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]))
+        if sum(len(a) for a, _ in held) > 1_000_000:
+            yield _pairs_out(held)
+            held = []
+    if held:
+        yield _pairs_out(held)
+
+
+def _words_needed(sign: np.ndarray, threshold: float) -> np.ndarray:
+    """Two rows reach the threshold if they share the sum of their values."""
+    size = np.bitwise_count(sign[:, :-1]).sum(axis=1, dtype=np.int64) + sign[:, -1].astype(np.int64)
+    return (size * (threshold / (1 + threshold))).astype(np.float32)
+
+
+def _possible_pairs(p: np.ndarray, q: np.ndarray, threshold: float, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of the rows of p and of q whose signatures leave room for the threshold. own: q is p, and only x < y are asked for."""
+    bits = [np.ascontiguousarray(z[:, :-1].T) for z in (p, q)]
+    spare = [np.minimum(z[:, -1], 32_767).astype(np.int16) for z in (p, q)]
+    need = [_words_needed(z, threshold) for z in (p, q)]
+    need[0] = need[0] - np.float32(1e-3)
+    for lo in range(0, len(p), 32):
+        hi = min(lo + 32, len(p))
+        for at in range(lo if own else 0, len(q), 2048):
+            to = min(at + 2048, len(q))
+            both = np.empty((hi - lo, to - at), np.uint64)
+            ones, some = np.empty(both.shape, np.uint8), np.empty(both.shape, np.uint8)
+            shared = np.minimum(spare[0][lo:hi, None], spare[1][None, at:to])
+            for i in range(SIGNATURE):
+                np.bitwise_and(bits[0][i, lo:hi, None], bits[1][i, None, at:to], out=both)
+                np.bitwise_count(both, out=ones if i % 2 else some)
+                # two counts of 64 at most fit a byte
+                if i % 2:
+                    some += ones
+                if i % 2 or i == SIGNATURE - 1:
+                    shared += some
+            x, y = np.nonzero(shared >= need[0][lo:hi, None] + need[1][None, at:to])
+            x, y = x + lo, y + at
+            if own:
+                x, y = x[x < y], y[x < y]
+            if len(x):
+                yield x, y
 
 
 def _crowded(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
@@ -342,8 +530,8 @@ def _crowded(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.Recor
 
     for _, s in _distinct(batches):
         for close, _, key, _ in _entries(s, plan):
-            held[close].append(key)
-            size += len(key)
+            held[close].append(key.ravel())
+            size += key.size
         if size > 4_000_000:
             yield from flush()
             size = 0
@@ -366,44 +554,54 @@ def _dealt(key: np.ndarray, ids: np.ndarray, plan: Plan) -> tuple[np.ndarray, np
     return index, cells, hot[index]
 
 
+PLAIN, SIGNED, GROUPED = range(3)
+
+
 def _emit(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Packed blocks (bucket, keys, classes, marks or signatures). Rows mostly of common words, and rows of a crowded key,
-    carry a signature."""
-    held: dict[bool, list[tuple]] = {False: [], True: []}
-    size = {False: 0, True: 0}
+    """Packed blocks (bucket, kind, keys, classes, marks or signatures). Groups of keys of close rows, and rows of a crowded
+    key, carry a signature; a crowded key of a group goes to its cells by itself, and its place in the group is 0."""
+    held: list[list[tuple]] = [[], [], []]
+    size = [0, 0, 0]
 
-    def flush(signed: bool) -> Iterator[pa.RecordBatch]:
-        if not held[signed]:
+    def flush(kind: int) -> Iterator[pa.RecordBatch]:
+        if not held[kind]:
             return
-        key, c, extra = (np.concatenate(x) for x in zip(*held[signed]))
-        held[signed], size[signed] = [], 0
-        bucket = (key >> np.uint64(32)) % np.uint64(plan.buckets)
+        where, key, c, extra = (np.concatenate(x) for x in zip(*held[kind]))
+        held[kind], size[kind] = [], 0
+        bucket = (where >> np.uint64(32)) % np.uint64(plan.buckets)
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(plan.buckets + 1, dtype=np.uint64))
         full = np.flatnonzero(np.diff(ends))
         for some in np.array_split(full, len(full) // 32 + 1):
             own = [order[ends[b] : ends[b + 1]] for b in some]
-            blobs = [[key[o].astype(np.uint32).tobytes() for o in own], [_bytes(c[o], NAME_BYTES) for o in own], [extra[o].tobytes() for o in own]]
-            cols = [pa.array(some.astype(np.int32)), pa.array([signed] * len(some), pa.bool_()), *(pa.array(x, pa.binary()) for x in blobs)]
-            yield pa.RecordBatch.from_arrays(cols, ["bucket", "signed", "v", "c", "x"])
+            blobs = [[key[o].tobytes() for o in own], [_bytes(c[o], NAME_BYTES) for o in own], [extra[o].tobytes() for o in own]]
+            cols = [pa.array(some.astype(np.int32)), pa.array([kind] * len(some), pa.int8()), *(pa.array(x, pa.binary()) for x in blobs)]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "kind", "v", "c", "x"])
+
+    def hold(kind: int, where: np.ndarray, key: np.ndarray, c: np.ndarray, extra: np.ndarray) -> None:
+        if len(c):
+            held[kind].append((where, key.astype(np.uint32), c, extra))
+            size[kind] += len(c) * (1, 8, 12)[kind]
 
     for ids, s in _distinct(batches):
         sign = None
         for close, row, key, mark in _entries(s, plan):
-            index, cell, hot = _dealt(key, ids[row], plan)
-            signed = hot | close
-            for kind in (False, True):
-                own = index[signed == kind]
-                if not len(own):
-                    continue
-                if kind and sign is None:
-                    sign = signatures(s, plan.common)
-                held[kind].append((cell[signed == kind], ids[row[own]], sign[row[own]] if kind else mark[own]))
-                size[kind] += len(own) * (8 if kind else 1)
-        for kind in (False, True):
+            index, cell, hot = _dealt(key.ravel(), np.repeat(ids[row], key.size // len(row)), plan)
+            if sign is None and (close or hot.any()):
+                sign = signatures(s, plan.common)
+            if close:
+                lone = index[hot]
+                hold(SIGNED, cell[hot], cell[hot], ids[row[lone // TOGETHER]], sign[row[lone // TOGETHER]] if len(lone) else mark)
+                key.reshape(-1)[lone] = 0
+                hold(GROUPED, mark, key, ids[row], sign[row])
+            else:
+                hold(PLAIN, cell[~hot], cell[~hot], ids[row[index[~hot]]], mark[index[~hot]])
+                if hot.any():
+                    hold(SIGNED, cell[hot], cell[hot], ids[row[index[hot]]], sign[row[index[hot]]])
+        for kind in (PLAIN, SIGNED, GROUPED):
             if size[kind] > 2_000_000:
                 yield from flush(kind)
-    for kind in (False, True):
+    for kind in (PLAIN, SIGNED, GROUPED):
         yield from flush(kind)
 
 
@@ -454,40 +652,64 @@ def _collide(threshold: float):
     def signed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Rows of one key whose signatures leave room for the similarity asked for; nothing above it is lost."""
         v, c, s = _unpacked(rows, SIGNATURE + 1, np.uint64)
-        spare = s[:, -1].astype(np.int32)
-        bits = s[:, :-1].T.copy()
-        need = (np.bitwise_count(bits).sum(axis=0, dtype=np.int32) + spare) * np.float32(threshold / (1 + threshold))
+        yield from possible(v, np.arange(len(v)), c, s)
+
+    def grouped(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        v = np.concatenate([np.frombuffer(r[0], np.uint32).reshape(-1, TOGETHER) for r in rows])
+        c = np.concatenate([_numbers(r[1], NAME_BYTES) for r in rows])
+        s = np.concatenate([np.frombuffer(r[2], np.uint64).reshape(-1, SIGNATURE + 1) for r in rows])
+        key = v.ravel()
+        order = np.argsort(key, kind="stable")
+        order = order[key[order] > 0]
+        yield from possible(key[order], order // TOGETHER, c, s)
+
+    def possible(v: np.ndarray, at: np.ndarray, c: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of entries in order of their keys v, those of rows `at` of c and s."""
+        need = _words_needed(s, threshold)
         starts = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+        length = np.diff(np.append(starts, len(v)))
         held, size = [], 0
-        for i, j in zip(starts, np.append(starts[1:], len(v))):
-            for lo in range(i, j - 1, 64):
-                hi = min(lo + 64, j)
-                for at in range(lo, j, 4096):
-                    to = min(at + 4096, j)
-                    shared = np.minimum(spare[lo:hi, None], spare[None, at:to])
-                    for w in bits:
-                        shared += np.bitwise_count(w[lo:hi, None] & w[None, at:to])
-                    x, y = np.nonzero(shared >= need[lo:hi, None] + need[None, at:to] - 1e-3)
-                    x, y = x + lo, y + at
-                    ok = x < y
-                    if ok.any():
-                        held.append((c[x[ok]], c[y[ok]]))
-                        size += int(ok.sum())
-                    if size > 1_000_000:
-                        yield _pairs_out(held)
-                        held, size = [], 0
+        for x, y in chain(small(starts, length, at, s, need), large(starts, length, at, s)):
+            a, b = c[x], c[y]
+            x, y = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+            held.append((x, y))
+            size += len(x)
+            if size > 1_000_000:
+                yield _pairs_out(held)
+                held, size = [], 0
         if held:
             yield _pairs_out(held)
 
+    def small(starts: np.ndarray, length: np.ndarray, rows: np.ndarray, s: np.ndarray, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs within groups of SMALL rows at most, those of all groups at once."""
+        starts, length = starts[length <= SMALL], length[length <= SMALL]
+        for gap in range(1, SMALL):
+            starts, length = starts[length > gap], length[length > gap]
+            reach = length - gap
+            at = np.repeat(starts - (np.cumsum(reach) - reach), reach) + np.arange(int(reach.sum()))
+            for i in range(0, len(at), 65_536):
+                x, y = rows[at[i : i + 65_536]], rows[at[i : i + 65_536] + gap]
+                p, q = s[x], s[y]
+                shared = np.bitwise_count(p[:, :-1] & q[:, :-1]).sum(axis=1, dtype=np.int64) + np.minimum(p[:, -1], q[:, -1]).astype(np.int64)
+                ok = shared >= need[x] + need[y] - np.float32(1e-3)
+                if ok.any():
+                    yield x[ok], y[ok]
+
+    def large(starts: np.ndarray, length: np.ndarray, rows: np.ndarray, s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, n in zip(starts[length > SMALL], length[length > SMALL]):
+            own = rows[i : i + n]
+            for x, y in _possible_pairs(s[own], s[own], threshold, own=True):
+                yield own[x], own[y]
+
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[bool, list[tuple]] = {False: [], True: []}
+        rows: list[list[tuple]] = [[], [], []]
         for b in batches:
-            for kind, *blobs in zip(b.column("signed").to_pylist(), b.column("v").to_pylist(), b.column("c").to_pylist(), b.column("x").to_pylist()):
+            for kind, *blobs in zip(*(b.column(n).to_pylist() for n in ("kind", "v", "c", "x"))):
                 rows[kind].append(tuple(blobs))
-        if rows[False]:
-            yield from plain(rows.pop(False))
-        if rows[True]:
-            yield from signed(rows.pop(True))
+        for kind, f in ((PLAIN, plain), (SIGNED, signed), (GROUPED, grouped)):
+            if own := rows[kind]:
+                rows[kind] = []
+                yield from f(own)
 
     return run
 
@@ -547,17 +769,35 @@ class NearDuplicates:
         sets = scan.where("kind = 0 and words is not null").select(F.col("b").alias("c1"), F.col("c").alias("c2"), "words")
         none = np.zeros(0, np.int64)
         plan = Plan(frequent, none.view(np.uint64), none, threshold)
+        close, few = np.zeros(BINS, np.int64), (none, none)
+        words = sets.select("c1", "words")
+        if len(frequent):
+            basis = spark.sparkContext.broadcast(plan)
+            for r in words.mapInArrow(lambda it: _close_shares(it, basis.value), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+                close[r.bin] = r.n
+            # whole bins of rows, so a share that very many rows have is not taken in part
+            bins = int(np.searchsorted(np.cumsum(close), min(FEW, close.sum() // FEW_OF), "right"))
+            plan = replace(plan, below=bins / BINS if close[:bins].any() else 0.0)
         least = spark.sparkContext.broadcast(plan)
-        # fewer than total * (entries per row) / n keys can have n rows, and no more than MOST_HOT are asked for
-        busy, crowd = (max(n, total * (FUNCTIONS * WORDS + CLOSE_FUNCTIONS) // MOST_HOT) for n in (busy, crowd))
-        hot = sets.select("c1", "words").mapInArrow(lambda it: _crowded(it, least.value), "close boolean, key long, n long").groupBy("close", "key").agg(F.sum("n").alias("n"))
+        if plan.below:
+            got = {r.c: r.s for r in words.mapInArrow(lambda it: _few(it, least.value), "c long, s binary").collect()}
+            few = (np.array(list(got), np.int64), np.frombuffer(b"".join(map(bytes, got.values())), np.uint64).reshape(-1, SIGNATURE + 1))
+        needed = schedule(threshold)[1].sum(axis=1)
+        groups = int((close * needed[np.floor(_least_pair(np.arange(BINS) / BINS, plan) * SHARES).astype(np.int64)])[round(plan.below * BINS) :].sum())
+        # fewer than (entries) / n keys can have n rows, and no more than MOST_HOT are asked for
+        busy, crowd = (max(n, (total * FUNCTIONS * WORDS + TOGETHER * groups) // MOST_HOT) for n in (busy, crowd))
+        hot = words.mapInArrow(lambda it: _crowded(it, least.value), "close boolean, key long, n long").groupBy("close", "key").agg(F.sum("n").alias("n"))
         hot = sorted((int(np.int64(r.key).view(np.uint64)), r.n) for r in hot.where(F.col("n") >= F.when(F.col("close"), crowd).otherwise(busy)).collect())
         # a bucket holds some hundred thousand entries
-        buckets = max(shuffle_partitions(spark), total * (FUNCTIONS * WORDS + 8 * CLOSE_FUNCTIONS) // 800_000 + 1)
-        plan = Plan(frequent, np.array([k for k, _ in hot], np.uint64), np.array([-(-n // crowd) for _, n in hot], np.int64), threshold, buckets)
+        buckets = max(shuffle_partitions(spark), (total * FUNCTIONS * WORDS + 12 * groups) // 800_000 + 1)
+        plan = replace(plan, hot=np.array([k for k, _ in hot], np.uint64), blocks=np.array([-(-n // crowd) for _, n in hot], np.int64), buckets=buckets)
         shared = spark.sparkContext.broadcast(plan)
-        emitted = sets.select("c1", "words").mapInArrow(lambda it: _emit(it, shared.value), "bucket int, signed boolean, v binary, c binary, x binary")
-        candidates = emitted.groupBy("bucket").applyInArrow(_collide(threshold), "a long, b long").distinct()
+        emitted = words.mapInArrow(lambda it: _emit(it, shared.value), "bucket int, kind byte, v binary, c binary, x binary")
+        candidates = emitted.groupBy("bucket").applyInArrow(_collide(threshold), "a long, b long")
+        if len(few[0]):
+            rest = spark.sparkContext.broadcast(few)
+            candidates = candidates.unionAll(words.mapInArrow(lambda it: _with_few(it, shared.value, rest.value), "a long, b long"))
+        candidates = candidates.distinct()
         # one exchange by c1 serves the grouping and both joins
         sets = sets.repartition("c1").groupBy("c1", "c2").agg(F.first("words").alias("words"))
         candidates = _possible(candidates, sets, shared, threshold)

@@ -159,6 +159,76 @@ def test_families_above_the_common_share_keep_their_links(spark):
     assert len(want) > 40_000 and got == want
 
 
+def _rows_of_one_vocabulary(rng, n):
+    """Word sets that share most of their common words by chance, some 24 % of their words being rare."""
+    common, rare = [f"c{i}" for i in range(190)], [f"n{i}" for i in range(1500)]
+    return [{*rng.sample(common, rng.randint(130, 150)), *rng.sample(rare, rng.randint(40, 50))} for _ in range(n)]
+
+
+def test_unlike_rows_of_one_vocabulary_seldom_share_a_key():
+    """Rows that share a key are compared, which would be quadratic if keys were held by a fixed part of all rows."""
+    import pyarrow as pa
+
+    sets = _rows_of_one_vocabulary(random.Random(12), 1500)
+    row, h = near_duplicates.word_sets(pa.array([" ".join(sorted(x)) for x in sets]))
+    h = h >> np.uint64(64 - 8 * near_duplicates.WORD_BYTES)
+    s = near_duplicates._Sets(pa.array([near_duplicates._bytes(h[row == i].view(np.int64), near_duplicates.WORD_BYTES) for i in range(len(sets))], pa.binary()))
+    w, n = np.unique(s.words, return_counts=True)
+    none = np.zeros(0, np.int64)
+    plan = near_duplicates.Plan(w[n > 0.2 * len(sets)], none.view(np.uint64), none, 0.7)
+    keys = np.concatenate([key.ravel() for close, _, key, _ in near_duplicates._entries(s, plan) if close])
+    held = np.unique(keys, return_counts=True)[1]
+    assert (held * (held - 1)).sum() < 0.6 * len(sets) * (len(sets) - 1)
+
+
+def test_keys_of_rare_and_common_words_miss_no_division_of_the_differences():
+    """What the schedule promises, worked out for pairs of every share, division and size, by what each row can know."""
+    for t in (0.6, 0.7, 0.85):
+        mixes, needed = near_duplicates.schedule(t)
+        none = np.zeros(0, np.int64)
+        rng = np.random.default_rng(5)
+        assert (np.diff(needed, axis=0) <= 0).all()
+        for below in (0.0, 0.15):
+            plan = near_duplicates.Plan(none.view(np.uint64), none.view(np.uint64), none, t, below=below)
+            worst, tried = 0.0, 0
+            for _ in range(15_000):
+                rare = rng.random() * 0.8
+                lost = rng.dirichlet([0.3] * 4) * (1 / t - 1) * rng.uniform(0.9, 1)
+                p, q = np.array([rare, 1 - rare]), lost[:2]
+                one, two = p + q, p + lost[2:]
+                if p.sum() < t * (one.sum() + two.sum() - p.sum()):
+                    continue
+                share = np.array([one[0] / one.sum(), two[0] / two.sum()])
+                s_rare, s_common = p / np.maximum(one + two - p, 1e-12)
+                if (share >= near_duplicates._fingerprinted(t)).all() and s_rare >= near_duplicates.LEAST_RARE or (share < below).any():
+                    continue
+                if (share >= (1 - t) / (1 - near_duplicates.LEAST_RARE)).any():
+                    assert s_rare >= near_duplicates.LEAST_RARE - 1e-9 and (share >= near_duplicates._fingerprinted(t)).all()
+                    continue
+                keys = needed[np.floor(near_duplicates._least_pair(share, plan) * near_duplicates.SHARES).astype(int)].min(axis=0)
+                worst = max(worst, np.prod([(1 - near_duplicates.group_chance(s_rare, s_common, a, b)) ** n for (a, b), n in zip(mixes, keys) if n]))
+                tried += 1
+            assert tried > 150 and worst <= near_duplicates.MISS
+
+
+def test_pairs_of_one_vocabulary_are_all_found(spark):
+    """Differences in rare words, in common ones and in both, and rows with hardly any rare word; the rest shares the vocabulary."""
+    rng = random.Random(13)
+    sets = _rows_of_one_vocabulary(rng, 1200)
+    for i in range(240):
+        own = sorted(sets[i])
+        rare, common = [w for w in own if w[0] == "n"], [w for w in own if w[0] == "c"]
+        lost = {*rng.sample(rare, min(len(rare), 28))} if i % 3 == 0 else {*rng.sample(common, 28)} if i % 3 == 1 else {*rng.sample(own, 30)}
+        sets.append({*own} - lost | ({f"n{rng.randrange(1500)}" for _ in range(26)} if i % 3 == 0 else {f"c{rng.randrange(190)}" for _ in range(14)}))
+        if i % 8 == 0:
+            sets += [{*common, *rare[: i % 5]}, {*common, *rare[:3]} - {*common[:5]}]
+    df = spark.createDataFrame([(i, " ".join(sorted(x))) for i, x in enumerate(sets)], "id long, body string").repartition(4)
+    near = near_duplicates.NearDuplicates(df, "id", "body", 0.7, common=0.1)
+    got = {(r.row_id_a, r.row_id_b) for r in near.row_pairs().collect()}
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])}
+    assert len(want) > 300 and got == want
+
+
 # ---- encodings -----------------------------------------------------------------------------------
 
 CLEAN = [
