@@ -6,7 +6,8 @@ BLAKE3, whose public algorithm is computed for a whole batch at once, or of SHA-
 
 from __future__ import annotations
 
-from hashlib import sha256
+from functools import reduce
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,15 @@ from pyspark.sql import types as T
 from faultline.functions.frames import TEST_GLOBS, parse_stack
 from faultline.functions.normalize import VERSION, Normalizer, worker_normalizer
 from faultline.functions.text import units
+from faultline.session import written
 
 SEP = "\x1f"
 STRICT_FRAMES, LOOSE_FRAMES = 5, 3
 PRIME31 = (1 << 31) - 1
 PERMUTATIONS, BANDS, BAND_ROWS = 128, 32, 4
 SHINGLE, LEAST_UNITS = 5, 40
+#: Bits of a position that go with a key; the most keys that are split; bytes of text that are sketched together.
+PLANES, MOST_CROWDED, _PIECE = 3, 100_000, 1 << 15
 #: BLAKE3's public constants: the initial state and the message permutation; fixed values.
 _IV = np.array([0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19], np.uint32)
 _PERM = [2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8]
@@ -213,31 +217,66 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
 _A, _B = _coefficients()
 
 
-def minhash_signature(text: str | None) -> list[int] | None:
-    """None for null and for texts of fewer than 40 UTF-16 units."""
-    if text is None:
-        return None
-    u = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
-    if len(u) < LEAST_UNITS:
-        return None
+def _signatures(texts: list[str | None]) -> np.ndarray:
+    """A row of 128 positions for each text; all PRIME31, which no sketch has, for null and for fewer than 40 UTF-16 units."""
+    out = np.full((len(texts), PERMUTATIONS), PRIME31, np.uint32)
+    own, piece, size = [], [], 0
+    for i, t in enumerate(texts):
+        raw = b"" if t is None else t.encode("utf-16-le", "surrogatepass")
+        if len(raw) < 2 * LEAST_UNITS:
+            continue
+        own.append(i)
+        piece.append(raw)
+        size += len(raw)
+        if size > _PIECE:
+            out[own] = _sketched(piece)
+            own, piece, size = [], [], 0
+    if own:
+        out[own] = _sketched(piece)
+    return out
+
+
+def _sketched(piece: list[bytes]) -> np.ndarray:
+    """The sketches of encoded texts, side by side."""
+    u = np.frombuffer(b"".join(piece), np.uint16).astype(np.uint64)
+    units_ = np.array([len(x) // 2 for x in piece])
     mask, prime = np.uint64(0xFFFFFFFF), np.uint64(16777619)
     h = np.full(len(u) - SHINGLE + 1, 0x811C9DC5, np.uint64)
     for i in range(SHINGLE):
         c = u[i : i + len(h)]
         h = ((h ^ (c & np.uint64(0xFF))) * prime) & mask
         wide = c > np.uint64(0xFF)
-        h = np.where(wide, ((h ^ (c >> np.uint64(8))) * prime) & mask, h)
-    h = np.unique(h % np.uint64(PRIME31))
-    sig = np.full(PERMUTATIONS, PRIME31, np.uint64)
-    for i in range(0, len(h), 4096):
-        sig = np.minimum(sig, ((_A[:, None] * h[None, i : i + 4096] + _B[:, None]) % np.uint64(PRIME31)).min(axis=1))
-    return sig.astype(np.int64).tolist()
+        if wide.any():
+            h = np.where(wide, ((h ^ (c >> np.uint64(8))) * prime) & mask, h)
+    ends, windows = np.cumsum(units_), units_ - SHINGLE + 1
+    inside = np.ones(len(u), bool)
+    for i in range(1, SHINGLE):  # windows that begin here run into the next text
+        inside[ends - i] = False
+    p31, bits = np.uint64(PRIME31), np.uint64(31)
+    h, starts = h[inside[: len(h)]] % p31, np.cumsum(windows) - windows
+    if len(piece) == 1:  # it may be long
+        h = np.unique(h)
+    out = np.empty((len(piece), PERMUTATIONS), np.uint32)
+    for k in range(PERMUTATIONS):
+        x = h * _A[k] + _B[k]
+        x = (x & p31) + (x >> bits)  # the remainder by 2^31 - 1, or that and once the prime
+        out[:, k] = np.minimum.reduceat(np.minimum(x, x - p31), starts)
+    return out
+
+
+def _listed(sigs: np.ndarray) -> list[list[int] | None]:
+    return [None if x[0] == PRIME31 else x for x in sigs.tolist()]
+
+
+def minhash_signature(text: str | None) -> list[int] | None:
+    """None for null and for texts of fewer than 40 UTF-16 units."""
+    return _listed(_signatures([text]))[0]
 
 
 def minhash(text: Column | str) -> Column:
     @F.pandas_udf("array<int>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(minhash_signature)
+        return pd.Series(_listed(_signatures(s.tolist())), index=s.index, dtype=object)
 
     return run(text)
 
@@ -259,34 +298,95 @@ def band_keys(signature: Column | str) -> Column:
 
 
 def _bands(sig: np.ndarray) -> list[str]:
-    rows = sig.reshape(BANDS, BAND_ROWS)
-    h = np.uint64(0x811C9DC5) ^ np.arange(BANDS, dtype=np.uint64)
-    for r in range(BAND_ROWS):
+    return [f"{i}:{np.base_repr(int(x), 36).lower()}" for i, x in enumerate(_blocks(sig[None], BANDS)[0])]
+
+
+def _blocks(sigs: np.ndarray, n: int) -> np.ndarray:
+    """32-bit hashes of n runs of positions, as even as can be, for each sketch; those of 32 runs are the bands'."""
+    cuts = np.arange(n + 1) * PERMUTATIONS // n
+    sigs, h = sigs.astype(np.uint64), np.tile(np.uint64(0x811C9DC5) ^ np.arange(n, dtype=np.uint64), (len(sigs), 1))
+    for r in range(-(-PERMUTATIONS // n)):
+        own = np.flatnonzero(cuts[:-1] + r < cuts[1:])
+        x, g = sigs[:, cuts[own] + r], h[:, own]
         for shift in (0, 8, 16, 24):
-            h = ((h ^ ((rows[:, r] >> np.uint64(shift)) & np.uint64(0xFF))) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
-    return [f"{i}:{np.base_repr(int(x), 36).lower()}" for i, x in enumerate(h)]
+            g = ((g ^ ((x >> np.uint64(shift)) & np.uint64(0xFF))) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+        h[:, own] = g
+    return h
+
+
+def _planes(sigs: np.ndarray) -> np.ndarray:
+    """PLANES bits of a hash of each position, by bit: two longs for each. Positions that are equal have equal bits."""
+    mixed = (sigs.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - PLANES)
+    return np.concatenate([np.packbits((mixed >> np.uint32(k)) & np.uint32(1), axis=1).view(np.int64) for k in range(PLANES)], axis=1)
+
+
+def _compact(signature: Column | str, blocks: int) -> Column:
+    """struct(digest, keys, bits) of a sketch: its hash, those of its blocks and a few bits of each position."""
+
+    @F.pandas_udf("digest binary, keys array<int>, bits array<bigint>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        own = np.flatnonzero(s.notna().to_numpy())
+        digest, keys, bits = (np.full(len(s), None, object) for _ in range(3))
+        if len(own):
+            sigs = np.stack(s.iloc[own].tolist()).astype(np.uint32)
+            for i, x, k, p in zip(own, sigs, _blocks(sigs, blocks).astype(np.uint32).view(np.int32), _planes(sigs)):
+                digest[i], keys[i], bits[i] = blake2b(x.tobytes(), digest_size=16).digest(), k, p
+        return pd.DataFrame({"digest": digest, "keys": keys, "bits": bits})
+
+    return run(signature)
+
+
+def _same_positions(a: Column, b: Column) -> Column:
+    """Share of equal positions of two texts' sketches; a text is sketched once a batch."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        i, j = (np.array([known.setdefault(t, len(known)) for t in s], np.int64) for s in (x, y))
+        sigs = _signatures(list(known))
+        return pd.Series((sigs[i] == sigs[j]).mean(axis=1))
+
+    return run.asNondeterministic()(a, b)  # else a filter on it runs it once more
 
 
-def lsh_candidates(df, id: str, signature: str, least: float = 0.0, members: bool = False, crowd: int = 2000):
+def lsh_candidates(df, id: str, signature: str, least: float = 0.0, members: bool = False, crowd: int = 2000, text: str | None = None):
     """Pairs (a < b) that share a band key, with the estimated similarity, from `least` on.
 
     Equal signatures are one representative each; a pair found under several keys is kept once. With `members`, the
-    pairs are those of all ids: what stands behind one signature is paired too, with similarity 1."""
-    reps = df.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("n"))
-    keys = reps.select("rep", F.explode(band_keys(F.col(signature))).alias("k"))
-    # keys of one sketch fall away; the sketches of a crowded key are dealt out over cells of two blocks, so none is paired in one task
-    often = keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k", F.ceil(F.col("c") / crowd).cast("int").alias("nb"))
-    dealt = keys.join(often, "k").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("k", "rep", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
-    side = lambda n: dealt.select("k", "x", "y", F.col("rep").alias(n), F.col("block").alias(f"{n}_block"))
+    pairs are those of all ids: what stands behind one signature is paired too, with similarity 1. `text`: the column
+    whose `minhash` the signature is, if that is shorter; it goes with the pairs in place of the signature.
+
+    Where `least` leaves a pair at most 31 unequal positions, it has an equal band, and an equal one among any blocks
+    that are one more than those positions; so fewer and longer blocks are the keys there and find the same pairs. A
+    key carries some bits of each position, which rule out most pairs where they meet, and none that reaches `least`."""
+    differ = PERMUTATIONS - next((n for n in range(PERMUTATIONS + 1) if n / PERMUTATIONS >= least), PERMUTATIONS + 1)
+    blocks = max(1, differ + 1) if differ < BANDS else BANDS
+    # nothing is filtered or taken apart before it is written, or Python would run for each
+    rows = written(df.select(F.col(id).alias("id"), _compact(F.col(signature), blocks).alias("c"))).where("c.digest is not null").select("id", "c.*")
+    # keys and bits follow from the digest
+    reps = written(rows.groupBy("digest", "keys", "bits").agg(F.min("id").alias("rep")))
+    key = lambda pos, h: F.shiftleft(pos.cast("long"), 32).bitwiseOR(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    keys = reps.select("rep", "bits", F.posexplode("keys").alias("pos", "h")).select("rep", "bits", key(F.col("pos"), F.col("h")).alias("k"))
+    # the sketches of a crowded key are dealt out over cells of two blocks, so none is paired in one task; at most MOST_CROWDED keys are
+    crowd = max(crowd, reps.count() * blocks // MOST_CROWDED)
+    often = written(keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd).select("k", F.ceil(F.col("c") / crowd).cast("int").alias("nb")))
+    dealt = keys.join(F.broadcast(often), "k", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"x": F.least("block", "o"), "y": F.greatest("block", "o")})
+    words = [F.col("bits")[i].alias(f"w{i}") for i in range(2 * PLANES)]
+    dealt = dealt.select("k", F.shiftleft(F.col("x").cast("long"), 32).bitwiseOR(F.col("y").cast("long")).alias("cell"), F.when(F.col("x") == F.col("y"), -1).otherwise(F.col("block")).alias("block"), "rep", *words)
     # two of one block meet in their own cell only
-    pairs = side("a").join(side("b"), ["k", "x", "y"]).where("a < b and (a_block <> b_block or x = y)").select("a", "b").distinct()
-    sig = reps.select("rep", F.col(signature).alias("s"))
-    j = pairs.join(sig.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
-    out = j.select("a", "b", estimate_jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
+    p, q = dealt.alias("p"), dealt.alias("q")
+    unlike = lambda i: reduce(Column.bitwiseOR, (F.col(f"p.w{2 * k + i}").bitwiseXOR(F.col(f"q.w{2 * k + i}")) for k in range(PLANES)))
+    met = (F.col("p.rep") < F.col("q.rep")) & ((F.col("p.block") == -1) | (F.col("p.block") != F.col("q.block")))
+    met &= F.bit_count(unlike(0)) + F.bit_count(unlike(1)) <= differ
+    pairs = p.join(q, (F.col("p.k") == F.col("q.k")) & (F.col("p.cell") == F.col("q.cell")) & met).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"))
+    pairs = pairs.repartition("a").dropDuplicates(["a", "b"])  # so it lies as the next join needs it
+    whole = lambda n, x: df.select(F.col(id).alias(n), F.col(text or signature).alias(x))
+    j = pairs.join(whole("a", "sa"), "a").join(whole("b", "sb"), "b")
+    out = j.select("a", "b", (estimate_jaccard if text is None else _same_positions)(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= least)
     if not members:
         return out
-    m = df.join(reps.select(signature, "rep"), signature).select("rep", F.col(id).alias("m"))
+    m = rows.select("digest", F.col("id").alias("m")).join(reps.select("digest", "rep"), "digest").select("rep", "m")
     x, y = m.select(F.col("rep").alias("a"), F.col("m").alias("ma")), m.select(F.col("rep").alias("b"), F.col("m").alias("mb"))
     between = out.join(x, "a").join(y, "b").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"), "similarity")
     within = x.join(y, F.col("a") == F.col("b")).where("ma < mb").select(F.col("ma").alias("a"), F.col("mb").alias("b"), F.lit(1.0).alias("similarity"))

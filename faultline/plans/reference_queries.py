@@ -643,7 +643,7 @@ def minhash_candidates(s: SparkSession, d: str) -> DataFrame:
     """Pairs of distinct normalised messages with an estimated similarity of 0.8 or more, by banded sketches, those
     of equal sketches included. A message goes by its first row; `minhash_members` has the others."""
     m = spread(table(s, d, "failures").select("message", "rowId")).select(normalize("message", "strict").alias("t"), "rowId").groupBy("t").agg(F.min("rowId").alias("id"))
-    return hashing.lsh_candidates(written(m.select("id", hashing.minhash("t").alias("sig"))), "id", "sig", 0.8, members=True)
+    return hashing.lsh_candidates(written(m.select("id", "t")).withColumn("sig", hashing.minhash("t")), "id", "sig", 0.8, members=True, text="t")
 
 
 @_query()

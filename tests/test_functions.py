@@ -176,6 +176,26 @@ def test_crowded_bands_are_split(spark):
     assert whole == split and len(set(whole)) == len(whole) > 500
 
 
+def test_unlike_sketches_end_where_they_meet(spark):
+    """Texts half alike share band keys with each other; no more is shuffled for them, and the pairs are those of brute force."""
+    import random
+
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    same = word(70)
+    texts = [same + word(30) for _ in range(500)]
+    texts += [t[:-k] for k in range(1, 9) for t in texts[:40]] + ["x y z " * n for n in (8, 9, 10)] + ["short", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").withColumn("sig", hashing.minhash("t"))
+    known = [(i, s) for i, s in enumerate(map(hashing.minhash_signature, texts)) if s is not None]
+    want = {(i, j): n / 128 for k, (i, s) in enumerate(known) for j, u in known[k + 1 :] if (n := sum(x == y for x, y in zip(s, u))) >= 103}
+    moved = lambda: spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    for how in ({}, {"text": "t"}, {"text": "t", "crowd": 60}):
+        before = moved()
+        got = [((x.a, x.b), x.similarity) for x in hashing.lsh_candidates(df, "id", "sig", 0.8, members=True, **how).collect()]
+        assert len(got) == len(want) > 1000 and dict(got) == want
+        assert moved() - before < 1_500_000
+
+
 def test_levenshtein(spark):
     f = lambda a, b: one(spark, hashing.levenshtein_similarity(F.lit(a), F.lit(b)))
     assert f("abc", "abc") == 1.0 and f("", "x") == 0.0 and f("kitten", "sitting") == pytest.approx(1 - 3 / 7)
